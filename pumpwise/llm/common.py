@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import string
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +58,15 @@ def broadcast_up_to(df: DataFrame, max_rows: int) -> DataFrame:
 def join_on_id(left: DataFrame, right: DataFrame, left_id: str, right_id: str, how: str) -> DataFrame:
     """Equi-join in which null ids match null ids."""
     return left.join(right, F.col(left_id).eqNullSafe(F.col(right_id)), how)
+
+
+def by_characters(batch: pa.RecordBatch, text: int = 1, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices whose texts (column number text) have at most so many characters, or of one row."""
+    sizes, at, size = pc.utf8_length(batch.column(text)).to_pylist(), 0, 0
+    for i, n in enumerate(sizes):
+        if i > at and size + n > most:
+            yield batch.slice(at, i - at)
+            at, size = i, 0
+        size += n
+    if at < batch.num_rows:
+        yield batch.slice(at)

@@ -1,11 +1,15 @@
-"""The registered queries of this subpackage and their SQL."""
+"""The registered queries of this subpackage and their SQL; the four without SQL are tested against brute force."""
 
-from pumpwise.llm import chat, decontaminate, exact_dedup, line_dedup, mixing, sharding
+from pumpwise.llm import chat, decontaminate, exact_dedup, langid, line_dedup, mixing, quality, secrets, sharding, simhash
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_quality": quality.op2_quality,
+    "op3_secrets": secrets.op3_secrets,
     "op4_sharding": sharding.op4_sharding,
+    "op5_simhash": simhash.op5_simhash,
     "op6_chat_format": chat.op6_chat_format,
+    "op7_langid": langid.op7_langid,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_mixing": mixing.op10_mixing,
