@@ -6,11 +6,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pumpwise.llm.common import by_characters, read_table, text_or_empty
+from pumpwise.llm.common import read_table, text_or_empty
 
 #: Most labelled documents that the model is fitted on (those with the least CRC-32 of their ids), and pairs drawn from them.
 MAX_FIT_ROWS, MAX_PAIRS = 20_000, 100_000
@@ -121,30 +122,38 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(x, pa.list_(pa.float64()))], names=["label", "x"])
 
     got = rows.select("label", "text").mapInArrow(of_batches, "label int, x array<double>").toPandas()
+    if got.empty:
+        return None
     # Sorted, so that the fit does not depend on the order of tasks.
     got = got.assign(key=[tuple(v) for v in got["x"]]).sort_values(["key", "label"])
-    return fit_ranking(np.array(got["x"].tolist(), dtype=float).reshape(len(got), -1), got["label"].to_numpy() == 1)
+    return fit_ranking(np.array(got["x"].tolist(), dtype=float), got["label"].to_numpy() == 1)
+
+
+def quality_score(model: Ranking | None, text: Column) -> Column:
+    """The score of a text, 0 to 1, from the whole text alone; 0.5 without a model (no labels of both kinds)."""
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        classes = _classes()
+        x = np.array([features(t, classes) for t in texts], dtype=float)
+        return pd.Series(model.score(x) if model and len(x) else np.full(len(x), 0.5))
+
+    return score(text)
 
 
 def quality_scores(docs: DataFrame, model: Ranking | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, score (0 to 1), predicted (1 from 0.5 on).
 
-    Only the whole text is an input.  Null texts count as empty and get the score of a text without words; without a
-    model (no labels of both kinds) every score is 0.5.  Rows with one id are scored one by one; other columns are ignored.
+    Null texts count as empty and get the score of a text without words.  Rows with one id are scored one by one, an empty
+    table gives no rows; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    scored = docs.select(F.col(id_col).alias("id"), quality_score(model, text_or_empty(text_col)).alias("score"))
+    return scored.select(F.col("id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
-    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = _classes()
-        for batch in batches:
-            for part in by_characters(batch):
-                x = np.array([features(t, classes) for t in part.column(1).to_pylist()], dtype=float)
-                score = model.score(x) if model else np.full(len(x), 0.5)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score)], names=["id", "score"])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    scored = rows.mapInArrow(of_batches, f"id {kind}, score double")
-    return scored.select(F.col("id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+def keep_good(docs: DataFrame, model: Ranking | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text scores 0.5 or more, all columns as they are."""
+    return docs.where(quality_score(model, text_or_empty(text_col)) >= 0.5)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

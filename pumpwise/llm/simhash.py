@@ -41,17 +41,22 @@ def fingerprint(text: str, width: int = WIDTH, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and fp (the fingerprint as a signed 64-bit number) of each row."""
-    rows = docs.select(F.col(id_col).alias("id"), ascii_lower(text_or_empty(text_col)).alias("text"))
+    """id, row_key (64-bit hash of id and text) and fp (the fingerprint as a signed 64-bit number) of each row."""
+    rows = docs.select(F.col(id_col).alias("id"), ascii_lower(text_or_empty(text_col)).alias("text"), row_key(id_col, text_col).alias("row_key"))
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_characters(batch):
                 fps = np.array([fingerprint(t, width, seed) for t in part.column(1).to_pylist()], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(fps.view(np.int64))], names=["id", "row_key", "fp"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(of_batches, f"id {kind}, fp bigint")
+    return rows.mapInArrow(of_batches, f"id {kind}, row_key bigint, fp bigint")
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """Tells apart rows that differ in id or text."""
+    return F.xxhash64(F.col(id_col), text_or_empty(text_col))
 
 
 def _nodes(keys: DataFrame, above: int, depth: int) -> DataFrame:
@@ -146,6 +151,16 @@ def connected_components(links: DataFrame) -> DataFrame:
         state = now
 
 
+def _grouped(docs: DataFrame, budget: int, width: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """id, row_key, fp, root (a fingerprint that names the component), component_id of each row."""
+    rows = checkpoint(fingerprints(docs, width, seed, id_col, text_col))
+    distinct = checkpoint(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    roots = connected_components(close_pairs(distinct.select(F.col("fp").alias("key")), budget))
+    labelled = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(labelled.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, budget: int = BUDGET, width: int = WIDTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, fingerprint (16 hex digits), component_id (the least id reachable over links).
 
@@ -155,13 +170,19 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, width: int = WIDTH, s
     have fingerprint zero and link like others.  Null ids are no component_id unless a component has no other.
     An empty table gives no rows; other columns are ignored.
     """
-    rows = checkpoint(fingerprints(docs, width, seed, id_col, text_col))
-    distinct = checkpoint(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = connected_components(close_pairs(distinct.select(F.col("fp").alias("key")), budget))
-    labelled = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    components = labelled.join(least, "root").select("fp", "component_id")
-    return rows.join(components, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    grouped = _grouped(docs, budget, width, seed, id_col, text_col)
+    return grouped.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, budget: int = BUDGET, width: int = WIDTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stand for their component: the one with its least id; all columns as they are.
+
+    Of several texts with that id, the one with the least hash stays; of rows equal in id and text, any one.
+    """
+    grouped = _grouped(docs, budget, width, seed, id_col, text_col)
+    least = grouped.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row_key").alias("__kept"))
+    keyed = docs.withColumn("__row", row_key(id_col, text_col))
+    return keyed.join(least.select("__kept"), F.col("__row") == F.col("__kept"), "left_semi").dropDuplicates(["__row"]).drop("__row")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
