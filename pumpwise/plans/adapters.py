@@ -326,7 +326,7 @@ def croatia(raw: Raw, run_at: Column) -> DataFrame:
         "cjenici: array<struct<gorivo_id: string, cijena: string>>>"
     )
     stations = R.json_list(raw["all"], element, ["postajas"]).select("row_ord", "x.*")
-    facts = stations.select("row_ord", F.posexplode("cjenici").alias("price_ord", "c")).select("row_ord", "price_ord", F.col("c.gorivo_id").alias("gid"), S.text_number(F.col("c.cijena")).alias("price"))
+    facts = stations.select("row_ord", F.posexplode("cjenici").alias("price_ord", "c")).select("row_ord", "price_ord", F.col("c.gorivo_id").alias("gid"), S.decimal_comma(F.col("c.cijena")).alias("price"))
     facts = lookup.two_hops(facts, "gid", products, "product", "category", lookup.fuel_dim(stations.sparkSession, dims.HR_FUELS), "fuel_code")
     facts = dedup.first_valid(facts.select("row_ord", "price_ord", "fuel_type", "unit", "price"), ["row_ord", "fuel_type"], ["price_ord"], S.valid_price(F.col("price")))
     listed = dedup.ordered_list(facts, ["row_ord"], ["price_ord"], entry(F.col("fuel_type"), F.col("price"), F.col("unit")), "raw_prices")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pumpwise.functions.scalars import decimal_comma, number, strip
+from pumpwise.functions.scalars import number, strip
 from pumpwise.operators.lookup import small
 
 
@@ -156,8 +156,3 @@ def region_codes(docs: DataFrame) -> DataFrame:
     codes = regions.select("row_ord", F.posexplode("x.subRegions").alias("sub_ord", "s"))
     code = strip(F.col("s.code")).try_cast("int")
     return codes.select(code.alias("code"), F.struct("row_ord", "sub_ord").alias("code_ord")).where("code IS NOT NULL")
-
-
-def text_number(c: Column) -> Column:
-    """A JSON number or a text with a decimal comma or point, read as text, as a double."""
-    return decimal_comma(c)
