@@ -12,25 +12,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _order(cols: Sequence[str]) -> Column:
-    return F.struct(*cols)
+def _packed(cols: Sequence[str]) -> Column:
+    """One column as it is (numbers then aggregate by hash), several as a struct (by sort)."""
+    return F.col(cols[0]) if len(cols) == 1 else F.struct(*cols)
 
 
-def _row(df: DataFrame, keys: Sequence[str]) -> Column:
-    return F.struct(*(c for c in df.columns if c not in keys))
+def _unpacked(packed: str, cols: Sequence[str]) -> list[Column]:
+    return [F.col(packed).alias(cols[0])] if len(cols) == 1 else [F.col(f"{packed}.{c}") for c in cols]
 
 
 def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key."""
-    picked = df.groupBy(*keys).agg(F.min_by(_row(df, keys), _order(order)).alias("__row"))
-    return picked.select(*keys, "__row.*").select(*df.columns)
+    rest = [c for c in df.columns if c not in keys]
+    picked = df.groupBy(*keys).agg(F.min_by(_packed(rest), _packed(order)).alias("__row"))
+    return picked.select(*keys, *_unpacked("__row", rest)).select(*df.columns)
 
 
 def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of each key, at the position of the first: order columns are those of the first sight."""
     rest = [c for c in df.columns if c not in keys and c not in order]
-    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), _order(order)).alias("__row"), F.min(_order(order)).alias("__at"))
-    return picked.select(*keys, "__row.*", "__at.*").select(*df.columns)
+    picked = df.groupBy(*keys).agg(F.max_by(_packed(rest), _packed(order)).alias("__row"), F.min(_packed(order)).alias("__at"))
+    return picked.select(*keys, *_unpacked("__row", rest), *_unpacked("__at", order)).select(*df.columns)
 
 
 def first_then_filter(df: DataFrame, keys: Sequence[str], order: Sequence[str], condition: Column) -> DataFrame:
@@ -55,9 +57,9 @@ def merge_partials(df: DataFrame, key: str, order: Sequence[str], prices: str =
     Prices are an array of entries with fuel_type.  A price's place is that of its first sight.
     """
     attributes = [c for c in df.columns if c not in (key, prices)]
-    first = df.groupBy(key).agg(F.min_by(F.struct(*attributes), _order(order)).alias("__row"))
+    first = df.groupBy(key).agg(F.min_by(F.struct(*attributes), _packed(order)).alias("__row"))
     each = df.select(key, *order, F.posexplode(prices).alias("__pos", "__p")).withColumn("__fuel", F.col("__p.fuel_type"))
-    best = each.groupBy(key, "__fuel").agg(F.min_by("__p", _order([*order, "__pos"])).alias("__p"), F.min(_order([*order, "__pos"])).alias("__at"))
+    best = each.groupBy(key, "__fuel").agg(F.min_by("__p", _packed([*order, "__pos"])).alias("__p"), F.min(_packed([*order, "__pos"])).alias("__at"))
     listed = ordered_list(best, [key], ["__at"], F.col("__p"), prices)
     return first.join(listed, key, "left").select(key, "__row.*", prices).select(*df.columns)
 
@@ -66,7 +68,7 @@ def group_by_place(df: DataFrame, name: str, lat: str, lon: str, order: Sequence
     """df with place_key: the name and coordinates rounded, under which rows count as one station; and the first row's order as place_at."""
     key = F.concat_ws("|", F.col(name), F.round(F.col(lat), places).cast("string"), F.round(F.col(lon), places).cast("string"))
     keyed = df.withColumn("place_key", key)
-    first = keyed.groupBy("place_key").agg(F.min(_order(order)).alias("place_at"))
+    first = keyed.groupBy("place_key").agg(F.min(_packed(order)).alias("place_at"))
     return keyed.join(first, "place_key")
 
 

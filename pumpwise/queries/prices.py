@@ -198,7 +198,7 @@ def rounded_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of one name and rounded place are one station (AGG-07)."""
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.col("c_acctbal").alias("lat"), (F.col("c_acctbal") / 2).alias("lon"))
     keyed = dedup.group_by_place(rows, "c_mktsegment", "lat", "lon", ["c_custkey"], places=-3)
-    return keyed.select("c_custkey", F.col("place_at.c_custkey").alias("first_custkey"))
+    return keyed.select("c_custkey", F.col("place_at").alias("first_custkey"))
 
 
 @REGISTRY.add("SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name, c_custkey) - 1 AS ordinal FROM customer")
