@@ -101,7 +101,9 @@ def parse_composite_id(c: Column) -> Column:
     place = split_camel(geo_key)
     city, street = place["city"], place["street"]
     display = F.replace(brand, F.lit("_"), F.lit(" "))
-    where = F.when(city == "", "").when(street == "", F.concat(F.lit(" · "), city)).otherwise(F.concat(F.lit(" · "), street, F.lit(", "), city))
+    where = F.when(city == "", "").when(street == "", F.concat(F.lit(" · "), city)).otherwise(
+        F.concat(F.lit(" · "), street, F.lit(", "), city)
+    )
     single = F.size(parts) < 2
     return F.struct(
         F.when(single, c).otherwise(F.concat(display, where)).alias("name"), F.when(single, c).otherwise(brand).alias("brand"),
@@ -123,7 +125,8 @@ def parse_address(c: Column) -> Column:
     words = F.array_remove(F.split(F.regexp_extract(text, pattern, 1), rf"{BLANK}+"), "")
     street = F.array_join(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), " ")
     return F.struct(
-        F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit("")).alias("city"), F.regexp_extract(text, pattern, 2).alias("postal"), street.alias("street"),
+        F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit("")).alias("city"), F.regexp_extract(text, pattern, 2).alias("postal"),
+        street.alias("street"),
     )
 
 
@@ -229,7 +232,9 @@ def geocode_query(city: Column, street: Column, postal: Column, not_cities: list
         no_city = no_city | known.isin(*not_cities)
         known = F.when(no_city, "").otherwise(known)
     road = F.coalesce(street, F.lit(""))
-    query = F.struct(known.alias("city"), road.alias("street"), F.when(known == "", F.coalesce(postal, F.lit(""))).otherwise("").alias("postal"))
+    query = F.struct(
+        known.alias("city"), road.alias("street"), F.when(known == "", F.coalesce(postal, F.lit(""))).otherwise("").alias("postal")
+    )
     return F.when((known != "") | (road != ""), query)
 
 

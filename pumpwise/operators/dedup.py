@@ -59,7 +59,9 @@ def merge_partials(df: DataFrame, key: str, order: Sequence[str], prices: str =
     attributes = [c for c in df.columns if c not in (key, prices)]
     first = df.groupBy(key).agg(F.min_by(F.struct(*attributes), _packed(order)).alias("__row"))
     each = df.select(key, *order, F.posexplode(prices).alias("__pos", "__p")).withColumn("__fuel", F.col("__p.fuel_type"))
-    best = each.groupBy(key, "__fuel").agg(F.min_by("__p", _packed([*order, "__pos"])).alias("__p"), F.min(_packed([*order, "__pos"])).alias("__at"))
+    best = each.groupBy(key, "__fuel").agg(
+        F.min_by("__p", _packed([*order, "__pos"])).alias("__p"), F.min(_packed([*order, "__pos"])).alias("__at")
+    )
     listed = ordered_list(best, [key], ["__at"], F.col("__p"), prices)
     return first.join(listed, key, "left").select(key, "__row.*", prices).select(*df.columns)
 

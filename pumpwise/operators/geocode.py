@@ -13,11 +13,15 @@ LIMIT = 300
 
 def apply_cache(stations: DataFrame, cache: DataFrame, country: str = "country", key: str = "geo_key") -> DataFrame:
     """Coordinates of a cached success replace the station's; a cached failure (null lat) and a blank key change nothing."""
-    hits = cache.where("lat IS NOT NULL").select(F.col("country").alias("__country"), F.col("key").alias("__key"), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"))
+    hits = cache.where("lat IS NOT NULL").select(
+        F.col("country").alias("__country"), F.col("key").alias("__key"), F.col("lat").alias("__lat"), F.col("lon").alias("__lon")
+    )
     same = (F.col(country) == F.col("__country")) & (F.col(key) == F.col("__key")) & (F.col(key) != "")
     joined = stations.join(hits, same, "left")
     hit = F.col("__lat").isNotNull()
-    joined = joined.withColumns({"lat": F.when(hit, F.col("__lat")).otherwise(F.col("lat")), "lon": F.when(hit, F.col("__lon")).otherwise(F.col("lon"))})
+    joined = joined.withColumns(
+        {"lat": F.when(hit, F.col("__lat")).otherwise(F.col("lat")), "lon": F.when(hit, F.col("__lon")).otherwise(F.col("lon"))}
+    )
     return joined.drop("__country", "__key", "__lat", "__lon")
 
 
@@ -59,12 +63,16 @@ def look_up(queries: DataFrame, gazetteer: DataFrame, query: str = "query") -> D
         "__c": norm_key(F.col(f"{query}.city")), "__s": norm_key(F.col(f"{query}.street")), "__p": F.col(f"{query}.postal"),
     })
     here = F.col("country") == F.col("__country")
-    out = asked.join(exact, here & (F.col("__s") == F.col("__street")) & (F.col("__c") == F.col("__city")) & (F.col("__s") != ""), "left").drop("__country", "__street", "__city")
+    out = asked.join(
+        exact, here & (F.col("__s") == F.col("__street")) & (F.col("__c") == F.col("__city")) & (F.col("__s") != ""), "left"
+    ).drop("__country", "__street", "__city")
     out = out.join(city, here & (F.col("__c") == F.col("__city")) & (F.col("__c") != ""), "left").drop("__country", "__city")
     out = out.join(postal, here & (F.col("__p") == F.col("__postal")) & (F.col("__p") != ""), "left").drop("__country", "__postal")
     answer = F.when(F.col(query).isNotNull(), F.coalesce("exact", "by_city", "by_postal"))
     out = out.withColumn("__a", answer)
-    return out.withColumns({"lat": F.col("__a.lat"), "lon": F.col("__a.lon")}).drop("__a", "exact", "by_city", "by_postal", "__c", "__s", "__p")
+    return out.withColumns({"lat": F.col("__a.lat"), "lon": F.col("__a.lon")}).drop(
+        "__a", "exact", "by_city", "by_postal", "__c", "__s", "__p"
+    )
 
 
 def grown_cache(cache: DataFrame, attempts: DataFrame) -> DataFrame:

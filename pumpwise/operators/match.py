@@ -17,7 +17,10 @@ def _numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple
     return df.where(full).withColumn("__n", F.expr(f"row_number() OVER ({window})")), df.where(~full)
 
 
-def match_slots(locations: DataFrame, records: DataFrame, keys: Sequence[str], location_order: Sequence[str], record_order: Sequence[str], take: Sequence[str]) -> DataFrame:
+def match_slots(
+    locations: DataFrame, records: DataFrame, keys: Sequence[str], location_order: Sequence[str], record_order: Sequence[str],
+    take: Sequence[str]
+) -> DataFrame:
     """All locations; the i-th of a key has the take columns of the i-th record of that key, and matched is true.
 
     Filled before the window, blank keys neither match nor skew it.
@@ -27,12 +30,16 @@ def match_slots(locations: DataFrame, records: DataFrame, keys: Sequence[str], l
     right = right.select(*keys, "__n", *(F.col(c).alias(f"__{c}") for c in take), F.lit(True).alias("__hit"))
     joined = left.join(right, [*keys, "__n"], "left").withColumn("matched", F.coalesce("__hit", F.lit(False)))
     for c in take:
-        joined = joined.withColumn(c, F.when(F.col("matched"), F.col(f"__{c}")).otherwise(F.col(c)) if c in locations.columns else F.col(f"__{c}"))
+        joined = joined.withColumn(
+            c, F.when(F.col("matched"), F.col(f"__{c}")).otherwise(F.col(c)) if c in locations.columns else F.col(f"__{c}")
+        )
     columns = [*locations.columns, *(c for c in take if c not in locations.columns), "matched"]
     return joined.select(*columns).unionByName(blank.withColumn("matched", F.lit(False)), allowMissingColumns=True)
 
 
-def unmatched_records(locations: DataFrame, records: DataFrame, keys: Sequence[str], location_order: Sequence[str], record_order: Sequence[str]) -> DataFrame:
+def unmatched_records(
+    locations: DataFrame, records: DataFrame, keys: Sequence[str], location_order: Sequence[str], record_order: Sequence[str]
+) -> DataFrame:
     """Records without a location: those beyond the number of locations of their key, and those with a blank key."""
     left, _ = _numbered(locations, keys, location_order)
     right, blank = _numbered(records, keys, record_order)

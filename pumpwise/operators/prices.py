@@ -35,7 +35,10 @@ def with_prices(stations: DataFrame, prices: Column, currency: str, run_at: Colu
     """Stations with prices[] in the canonical form; stations left without a price go unless keep_empty."""
     canonical = F.transform(
         prices,
-        lambda p: F.struct(p["fuel_type"].alias("fuel_type"), p["price"].alias("price"), F.lit(currency).alias("currency"), p["unit"].alias("unit"), run_at.alias("updated_at")),
+        lambda p: F.struct(
+            p["fuel_type"].alias("fuel_type"), p["price"].alias("price"), F.lit(currency).alias("currency"), p["unit"].alias("unit"),
+            run_at.alias("updated_at")
+        ),
     )
     out = stations.withColumn("prices", canonical)
     return out if keep_empty else out.where(F.size("prices") > 0)

@@ -20,5 +20,7 @@ def daily_summary(df: DataFrame, keys: list[str], at: str, price: str = "price")
 
 def append_snapshot(stations: DataFrame, pull_date: str, path: str) -> None:
     """One pull's prices in long form, in the folder of its date; a repeated pull replaces its own date only."""
-    long = stations.select("country", F.col("id").alias("station_id"), F.posexplode("prices").alias("price_ord", "p")).select("country", "station_id", "price_ord", "p.*")
+    long = stations.select(
+        "country", F.col("id").alias("station_id"), F.posexplode("prices").alias("price_ord", "p")
+    ).select("country", "station_id", "price_ord", "p.*")
     long.write.mode("overwrite").parquet(f"{path.rstrip('/')}/pull_date={pull_date}")

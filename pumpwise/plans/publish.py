@@ -28,14 +28,21 @@ def metas(stations: DataFrame, sources: DataFrame, fetched_at: Column) -> DataFr
     """One row per source: country, currency, source, confidence, fetched_at, station_count.  The source's own values stand even if its rows came from a fallback."""
     per = stations.groupBy("country").agg(F.count(F.lit(1)).alias("station_count"))
     joined = small(sources).join(per, "country", "left")
-    return joined.select("source_ord", "country", "currency", "source", "confidence", iso_timestamp(fetched_at).alias("fetched_at"), F.coalesce("station_count", F.lit(0).cast("bigint")).alias("station_count"))
+    return joined.select(
+        "source_ord", "country", "currency", "source", "confidence", iso_timestamp(fetched_at).alias("fetched_at"),
+        F.coalesce("station_count", F.lit(0).cast("bigint")).alias("station_count")
+    )
 
 
 def index(metas: DataFrame, fetched_at: Column) -> DataFrame:
     """One row: fetched_at, total_stations, countries (metas in registry order)."""
-    listed = F.array_sort(F.collect_list(F.struct("source_ord", "country", "currency", "source", "confidence", "fetched_at", "station_count")))
+    listed = F.array_sort(
+        F.collect_list(F.struct("source_ord", "country", "currency", "source", "confidence", "fetched_at", "station_count"))
+    )
     total = F.coalesce(F.sum("station_count"), F.lit(0).cast("bigint"))
-    return metas.agg(total.alias("total_stations"), F.transform(listed, lambda m: m.dropFields("source_ord")).alias("countries")).select(iso_timestamp(fetched_at).alias("fetched_at"), "total_stations", "countries")
+    return metas.agg(
+        total.alias("total_stations"), F.transform(listed, lambda m: m.dropFields("source_ord")).alias("countries")
+    ).select(iso_timestamp(fetched_at).alias("fetched_at"), "total_stations", "countries")
 
 
 def write_countries(stations: DataFrame, path: str) -> None:

@@ -28,7 +28,10 @@ FROM lineitem""")
 def composite_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Composite key with wildcard (JOIN-02)."""
     rules = [("A", "F", "E10"), ("N", "F", "E5"), ("N", None, "DIESEL")]
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", lookup.with_wildcard(rules, F.col("l_returnflag"), F.col("l_linestatus")).alias("fuel_type"))
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        lookup.with_wildcard(rules, F.col("l_returnflag"), F.col("l_linestatus")).alias("fuel_type")
+    )
 
 
 @REGISTRY.add("""SELECT p_partkey, CASE WHEN contains(lower(p_name || ' ' || p_type), 'brass') THEN 'E10' WHEN contains(lower(p_name || ' ' || p_type), 'red') THEN 'E5'
@@ -36,7 +39,9 @@ def composite_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ordered_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first keyword that occurs decides (JOIN-03)."""
     rules = [("BRASS", "E10"), ("Red", "E5"), ("e", "DIESEL")]
-    return table(spark, sf_dir, "part").select("p_partkey", lookup.by_keyword(rules, F.concat_ws(" ", "p_name", "p_type")).alias("fuel_type"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", lookup.by_keyword(rules, F.concat_ws(" ", "p_name", "p_type")).alias("fuel_type")
+    )
 
 
 @REGISTRY.add("""SELECT p_partkey, CASE WHEN p_size = 1 THEN CASE WHEN contains(p_name, 'a') THEN 'E10' ELSE 'E5' END
@@ -51,7 +56,10 @@ def conditional_override(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("SELECT c_custkey, r_name FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
 def two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two chained lookups (JOIN-05)."""
-    rows = lookup.two_hops(table(spark, sf_dir, "customer"), "c_nationkey", table(spark, sf_dir, "nation"), "n_nationkey", "n_regionkey", table(spark, sf_dir, "region"), "r_regionkey")
+    rows = lookup.two_hops(
+        table(spark, sf_dir, "customer"), "c_nationkey", table(spark, sf_dir, "nation"), "n_nationkey", "n_regionkey",
+        table(spark, sf_dir, "region"), "r_regionkey"
+    )
     return rows.select("c_custkey", "r_name")
 
 
@@ -59,10 +67,14 @@ def two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CASE s_suppkey % 3 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'AUTOMOBILE' ELSE 'MACHINERY' END, 'supplier', s_suppkey FROM supplier WHERE s_suppkey % 3 <> 1""")
 def source_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The secondary source stands in where the primary is unavailable (JOIN-12)."""
-    primary = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("source"), F.lit("customer").alias("origin"), F.col("c_custkey").alias("id"))
+    primary = table(spark, sf_dir, "customer").select(
+        F.col("c_mktsegment").alias("source"), F.lit("customer").alias("origin"), F.col("c_custkey").alias("id")
+    )
     third = F.col("s_suppkey") % 3
     other = F.when(third == 0, "BUILDING").when(third == 1, "AUTOMOBILE").otherwise("MACHINERY")
-    secondary = table(spark, sf_dir, "supplier").select(other.alias("source"), F.lit("supplier").alias("origin"), F.col("s_suppkey").alias("id"))
+    secondary = table(spark, sf_dir, "supplier").select(
+        other.alias("source"), F.lit("supplier").alias("origin"), F.col("s_suppkey").alias("id")
+    )
     seen = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("source")).distinct()
     return lookup.fallback(primary, secondary, seen.withColumn("available", ~F.col("source").isin("BUILDING", "MACHINERY")), "source")
 
@@ -75,7 +87,9 @@ _LAT, _LON = "(48 + (s_suppkey * 37 % 997) / 250.0)", "(8 + (s_suppkey * 53 % 99
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     lat = F.lit(48) + (F.col("s_suppkey") * 37 % 997) / 250.0
     lon = F.lit(8) + (F.col("s_suppkey") * 53 % 991) / 200.0
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("price"), lat.alias("lat"), lon.alias("lon"))
+    return table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("price"), lat.alias("lat"), lon.alias("lon")
+    )
 
 
 @REGISTRY.add(f"""SELECT id, g_id FROM (SELECT s_suppkey AS id, {_LAT}::DOUBLE AS lat, {_LON}::DOUBLE AS lon FROM supplier) s
@@ -94,7 +108,9 @@ def nearest_cheapest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.cheapest_near(_placed(spark, sf_dir), 50.0, 10.0, 150.0, 20).select("id", "price")
 
 
-@REGISTRY.add("""SELECT event_id, value FROM events WHERE event_type IN ('click', 'view') AND CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events WHERE event_type IN ('click', 'view'))""")
+@REGISTRY.add(
+    """SELECT event_id, value FROM events WHERE event_type IN ('click', 'view') AND CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events WHERE event_type IN ('click', 'view'))"""
+)
 def latest_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chosen products of the latest period (FLT-13)."""
     rows = table(spark, sf_dir, "events").withColumn("day", F.col("ts").cast("date"))
@@ -108,12 +124,16 @@ def member_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.members(parts, "p_brand", parts.where("p_partkey < 10").select("p_brand").distinct(), "p_brand").select("p_partkey")
 
 
-@REGISTRY.add("""SELECT event_id FROM events WHERE CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) % 2 = 0 AND event_type IN ('click', 'view', 'purchase')""")
+@REGISTRY.add(
+    """SELECT event_id FROM events WHERE CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) % 2 = 0 AND event_type IN ('click', 'view', 'purchase')"""
+)
 def tag_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tag of a map and a type decide (FLT-14)."""
     tags = F.from_json("props", "map<string,string>")
     rows = table(spark, sf_dir, "events").withColumn("tags", tags)
-    return rows.where((F.col("tags")["k"].try_cast("int") % 2 == 0) & F.col("event_type").isin("click", "view", "purchase")).select("event_id")
+    return rows.where(
+        (F.col("tags")["k"].try_cast("int") % 2 == 0) & F.col("event_type").isin("click", "view", "purchase")
+    ).select("event_id")
 
 
 @REGISTRY.add("""SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 2 = 0 AND n_nationkey < 20 THEN CAST(n_nationkey AS DOUBLE)
@@ -124,14 +144,22 @@ def gazetteer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = table(spark, sf_dir, "region")
     blank = F.lit(None).cast("string")
     exact = nations.where("n_nationkey < 20").join(lookup.small(regions), F.col("n_regionkey") == F.col("r_regionkey")).select(
-        F.lit("XX").alias("country"), F.col("n_name").alias("street"), F.col("r_name").alias("city"), blank.alias("postal"), F.col("n_nationkey").cast("double").alias("lat"), F.lit(0.0).alias("lon"), F.lit(0).alias("rank"))
-    loose = regions.select(F.lit("XX").alias("country"), blank.alias("street"), F.col("r_name").alias("city"), blank.alias("postal"), (F.col("r_regionkey") + 1000.0).alias("lat"), F.lit(0.0).alias("lon"), F.lit(-1).alias("rank"))
+        F.lit("XX").alias("country"), F.col("n_name").alias("street"), F.col("r_name").alias("city"), blank.alias("postal"),
+        F.col("n_nationkey").cast("double").alias("lat"), F.lit(0.0).alias("lon"), F.lit(0).alias("rank"))
+    loose = regions.select(
+        F.lit("XX").alias("country"), blank.alias("street"), F.col("r_name").alias("city"), blank.alias("postal"),
+        (F.col("r_regionkey") + 1000.0).alias("lat"), F.lit(0.0).alias("lon"), F.lit(-1).alias("rank")
+    )
     # An entry without a street answers queries by city only; those with one rank after it there.
     gazetteer = exact.withColumn("rank", F.lit(5)).unionByName(loose)
-    rows = table(spark, sf_dir, "customer").join(lookup.small(nations), F.col("c_nationkey") == F.col("n_nationkey")).join(lookup.small(regions), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = table(spark, sf_dir, "customer").join(
+        lookup.small(nations), F.col("c_nationkey") == F.col("n_nationkey")
+    ).join(lookup.small(regions), F.col("n_regionkey") == F.col("r_regionkey"))
     key = F.col("c_custkey")
     street = F.when(key % 2 == 0, F.upper("n_name")).otherwise("")
-    city = F.when((key % 7 == 0), "Nowhere").when((key % 3 == 0) & ~((key % 2 == 0) & (F.col("n_nationkey") < 20)), "").otherwise(F.col("r_name"))
+    city = F.when((key % 7 == 0), "Nowhere").when(
+        (key % 3 == 0) & ~((key % 2 == 0) & (F.col("n_nationkey") < 20)), ""
+    ).otherwise(F.col("r_name"))
     query = S.geocode_query(city, F.when((city == ""), "").otherwise(street), F.lit(""))
     asked = rows.select("c_custkey", F.lit("XX").alias("country"), query.alias("query"))
     return geocode.look_up(asked, gazetteer).select("c_custkey", "lat")
@@ -141,10 +169,14 @@ _BOX = "c_acctbal BETWEEN 0 AND 5000 AND c_nationkey BETWEEN 5 AND 20"
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("lat"), F.col("c_nationkey").cast("double").alias("lon"))
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", F.col("c_acctbal").alias("lat"), F.col("c_nationkey").cast("double").alias("lon")
+    )
 
 
-@REGISTRY.add(f"SELECT c_custkey, CASE WHEN {_BOX} THEN c_acctbal END AS lat, CASE WHEN {_BOX} THEN CAST(c_nationkey AS DOUBLE) END AS lon FROM customer")
+@REGISTRY.add(
+    f"SELECT c_custkey, CASE WHEN {_BOX} THEN c_acctbal END AS lat, CASE WHEN {_BOX} THEN CAST(c_nationkey AS DOUBLE) END AS lon FROM customer"
+)
 def bounds_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coordinates outside the box become null (FLT-04)."""
     return geo.null_outside(_customers(spark, sf_dir), (0.0, 5.0, 5000.0, 20.0))
@@ -162,9 +194,16 @@ def box_country(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ISO code and box of the country, all countries in one join (FLT-07, FLT-08)."""
     regions = table(spark, sf_dir, "region").where("r_regionkey < 3")
     low = F.col("r_regionkey") * 1000.0
-    countries = regions.select(F.concat(F.lit("X"), F.col("r_regionkey").cast("string")).alias("country"), F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("iso3"), low.alias("min_lat"), F.lit(-1.0).alias("min_lon"), (low + 2500).alias("max_lat"), F.lit(99.0).alias("max_lon"))
+    countries = regions.select(
+        F.concat(F.lit("X"), F.col("r_regionkey").cast("string")).alias("country"),
+        F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("iso3"), low.alias("min_lat"), F.lit(-1.0).alias("min_lon"),
+        (low + 2500).alias("max_lat"), F.lit(99.0).alias("max_lon")
+    )
     rows = table(spark, sf_dir, "customer").join(lookup.small(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    rows = rows.select("c_custkey", F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("code"), F.col("c_acctbal").alias("lat"), F.col("c_nationkey").cast("double").alias("lon"))
+    rows = rows.select(
+        "c_custkey", F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("code"), F.col("c_acctbal").alias("lat"),
+        F.col("c_nationkey").cast("double").alias("lon")
+    )
     return geo.in_country(rows, countries, "code").select("c_custkey", "country")
 
 
@@ -179,8 +218,13 @@ def coords_required(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT s_suppkey, s_name, NULL, 'supplier' FROM supplier""")
 def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UNION ALL by name with missing columns (SET-01..03)."""
-    one = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.lit("customer").alias("source"))
-    two = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("supplier").alias("source"), F.col("s_name").alias("name"))
+    one = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"),
+        F.lit("customer").alias("source")
+    )
+    two = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("id"), F.lit("supplier").alias("source"), F.col("s_name").alias("name")
+    )
     return lookup.union_sources(one, two)
 
 

@@ -13,7 +13,9 @@ from pumpwise.queries.registry import Registry, table
 
 REGISTRY = Registry()
 #: Order of line items that leaves no ties: (l_orderkey, l_linenumber) is no key in the synthetic tables.
-LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus", "l_shipdate"]
+LINE_ORDER = [
+    "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus", "l_shipdate"
+]
 _LINES = ", ".join(LINE_ORDER)
 FLAGS = [("A", "E10", "L"), ("N", "DIESEL", "kg")]
 _FLAGS = "(VALUES ('A', 'E10', 'L'), ('N', 'DIESEL', 'kg')) f(code, fuel_type, unit)"
@@ -31,7 +33,9 @@ def registry_first_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = facts.select(F.col("l_suppkey").alias("s_suppkey"), "fuel_type", "unit", F.col("l_discount").alias("price"), *LINE_ORDER)
     facts = dedup.first_valid(facts, ["s_suppkey", "fuel_type"], LINE_ORDER, S.valid_price(F.col("price")))
     registry = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    return lookup.registry_join(registry, facts, "s_suppkey").select("s_suppkey", "s_name", "fuel_type", "unit", "l_orderkey", "l_linenumber", "price")
+    return lookup.registry_join(registry, facts, "s_suppkey").select(
+        "s_suppkey", "s_name", "fuel_type", "unit", "l_orderkey", "l_linenumber", "price"
+    )
 
 
 _SLOTS = """
@@ -72,7 +76,10 @@ WITH o AS (SELECT o_orderkey, round(o_totalprice * 100) AS price, 'CUR' || (c_na
 
 def _priced_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    orders = orders.select("o_orderkey", F.round(F.col("o_totalprice") * 100).alias("price"), F.concat(F.lit("CUR"), (F.col("c_nationkey") % 5).cast("string")).alias("currency"))
+    orders = orders.select(
+        "o_orderkey", F.round(F.col("o_totalprice") * 100).alias("price"),
+        F.concat(F.lit("CUR"), (F.col("c_nationkey") % 5).cast("string")).alias("currency")
+    )
     return orders, lookup.dim(spark, RATES, "currency string, rate double")
 
 
@@ -83,7 +90,9 @@ FROM o LEFT JOIN {_RATES} ON cur = currency""")
 def fx_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices in local currency; no rate, or rate 0: the base price stays (JOIN-09)."""
     orders, rates = _priced_orders(spark, sf_dir)
-    return money.convert(orders, rates, "price", "currency", places=0).select("o_orderkey", F.col("price").cast("bigint").alias("price"), "price_currency")
+    return money.convert(orders, rates, "price", "currency", places=0).select(
+        "o_orderkey", F.col("price").cast("bigint").alias("price"), "price_currency"
+    )
 
 
 @REGISTRY.add(_PRICED + f"""
@@ -97,10 +106,15 @@ def to_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _cached(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Documents as stations without coordinates, labels as a cache in which label 0 is a remembered failure."""
     key = (lambda c: F.concat(F.lit("k"), (c % 5000).cast("string")))
-    stations = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("country"), key(F.col("doc_id")).alias("geo_key"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
+    stations = table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("lang").alias("country"), key(F.col("doc_id")).alias("geo_key"), F.lit(None).cast("double").alias("lat"),
+        F.lit(None).cast("double").alias("lon")
+    )
     labels = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
     good = F.when(F.col("quality") == 1, F.col("doc_id").cast("double"))
-    cache = labels.where("doc_id < 5000").select(F.col("lang").alias("country"), key(F.col("doc_id")).alias("key"), good.alias("lat"), (good / 2).alias("lon"))
+    cache = labels.where("doc_id < 5000").select(
+        F.col("lang").alias("country"), key(F.col("doc_id")).alias("key"), good.alias("lat"), (good / 2).alias("lon")
+    )
     return stations, cache
 
 
@@ -124,7 +138,9 @@ def cache_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys never tried and which of them this run takes, at most 300 per country (JOIN-11, LIM-01)."""
     waiting = geocode.backlog(*_cached(spark, sf_dir), ["doc_id"]).select("country", "doc_id")
     turn = geocode.take_turn(waiting, ["doc_id"]).select("country", "doc_id", F.lit(True).alias("this_run"))
-    return waiting.join(turn, ["country", "doc_id"], "left").select("country", "doc_id", F.coalesce("this_run", F.lit(False)).alias("this_run"))
+    return waiting.join(turn, ["country", "doc_id"], "left").select(
+        "country", "doc_id", F.coalesce("this_run", F.lit(False)).alias("this_run")
+    )
 
 
 @REGISTRY.add(_CACHE + """, b AS (SELECT DISTINCT country, k FROM s ANTI JOIN c USING (country, k))
@@ -134,13 +150,19 @@ def cache_left_over(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geocode.left_over(geocode.backlog(*_cached(spark, sf_dir), ["doc_id"]))
 
 
-@REGISTRY.add("SELECT o_custkey, arg_min(o_orderkey, o_orderkey) AS o_orderkey, arg_min(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY o_custkey")
+@REGISTRY.add(
+    "SELECT o_custkey, arg_min(o_orderkey, o_orderkey) AS o_orderkey, arg_min(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY o_custkey"
+)
 def first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first order of each customer (AGG-01)."""
-    return dedup.first_wins(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], ["o_orderkey"])
+    return dedup.first_wins(
+        table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], ["o_orderkey"]
+    )
 
 
-@REGISTRY.add("SELECT * FROM (SELECT o_custkey, min(o_orderkey) AS o_orderkey, arg_min(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY o_custkey) WHERE o_orderstatus <> 'F'")
+@REGISTRY.add(
+    "SELECT * FROM (SELECT o_custkey, min(o_orderkey) AS o_orderkey, arg_min(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY o_custkey) WHERE o_orderstatus <> 'F'"
+)
 def first_then_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First wins, then the condition: a first row that fails hides later ones (AGG-02)."""
     rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
@@ -164,8 +186,12 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, fuel_type, price FROM (
 def unpivot_first_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide price columns to long, the first valid of each fuel, inside the row (PRJ-05, AGG-03)."""
     fuels = [("l_discount", "E5", "L"), ("l_tax", "E5", "L"), ("l_extendedprice", "DIESEL", "L")]
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", first_per_fuel(keep_valid(from_columns(fuels, F.col))).alias("p"))
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.explode("p").alias("p")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p.fuel_type", "p.price")
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", first_per_fuel(keep_valid(from_columns(fuels, F.col))).alias("p")
+    )
+    return rows.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.explode("p").alias("p")
+    ).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p.fuel_type", "p.price")
 
 
 @REGISTRY.add(f"""
@@ -181,10 +207,14 @@ def merge_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").withColumn("shard", F.col("l_linestatus"))
     one = F.array(F.struct(F.col("l_returnflag").alias("fuel_type"), F.col("l_extendedprice").alias("price")))
     merged = dedup.merge_partials(rows.select("l_suppkey", *order, one.alias("prices")), "l_suppkey", order)
-    return merged.select("l_suppkey", F.col("shard").alias("attribute"), F.posexplode("prices").alias("price_ord", "p")).select("l_suppkey", "attribute", "price_ord", "p.fuel_type", "p.price")
+    return merged.select(
+        "l_suppkey", F.col("shard").alias("attribute"), F.posexplode("prices").alias("price_ord", "p")
+    ).select("l_suppkey", "attribute", "price_ord", "p.fuel_type", "p.price")
 
 
-@REGISTRY.add(f"SELECT l_suppkey, string_agg(l_returnflag || l_linenumber, ',' ORDER BY {_LINES}, l_returnflag) AS listed FROM lineitem GROUP BY l_suppkey")
+@REGISTRY.add(
+    f"SELECT l_suppkey, string_agg(l_returnflag || l_linenumber, ',' ORDER BY {_LINES}, l_returnflag) AS listed FROM lineitem GROUP BY l_suppkey"
+)
 def ordered_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of a key in order (AGG-06)."""
     value = F.concat("l_returnflag", F.col("l_linenumber").cast("string"))
@@ -196,7 +226,9 @@ def ordered_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_mktsegment, round(c_acctbal, -3), round(c_acctbal / 2, -3)) AS first_custkey FROM customer""")
 def rounded_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of one name and rounded place are one station (AGG-07)."""
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.col("c_acctbal").alias("lat"), (F.col("c_acctbal") / 2).alias("lon"))
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey", "c_mktsegment", F.col("c_acctbal").alias("lat"), (F.col("c_acctbal") / 2).alias("lon")
+    )
     keyed = dedup.group_by_place(rows, "c_mktsegment", "lat", "lon", ["c_custkey"], places=-3)
     return keyed.select("c_custkey", F.col("place_at").alias("first_custkey"))
 
@@ -218,7 +250,10 @@ def meta_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM customer GROUP BY c_nationkey""")
 def coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conditional counts (AGG-10)."""
-    return publish.coverage(table(spark, sf_dir, "customer"), "c_nationkey", with_prices=F.col("c_acctbal") > 0, with_coordinates=F.col("c_mktsegment").contains("O"))
+    return publish.coverage(
+        table(spark, sf_dir, "customer"), "c_nationkey", with_prices=F.col("c_acctbal") > 0,
+        with_coordinates=F.col("c_mktsegment").contains("O")
+    )
 
 
 @REGISTRY.add("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 0)")
@@ -232,7 +267,9 @@ def nonempty_only(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT event_id, value, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS previous FROM events)""")
 def price_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change against the pull before (DCL-01)."""
-    return history.price_changes(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"], "value").select("event_id", "previous", "delta")
+    return history.price_changes(
+        table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"], "value"
+    ).select("event_id", "previous", "delta")
 
 
 @REGISTRY.add("SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, min(value) AS low, max(value) AS high FROM events GROUP BY ALL")

@@ -16,7 +16,9 @@ REGISTRY = Registry()
     CASE regexp_replace(strip_accents(lower(regexp_extract(text, '^\\s*([^\\s]+)', 1))), '[^a-z0-9]', '', 'g') WHEN 'the' THEN 'a' WHEN 'statoil' THEN 'circlek' END) AS brand FROM documents""")
 def norm_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text and brand keys (SCL-03, SCL-04, JOIN-13)."""
-    return table(spark, sf_dir, "documents").select("doc_id", S.norm_key(F.col("text")).alias("key"), S.brand_key(F.col("text"), {"the": "a", "statoil": "circlek"}).alias("brand"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", S.norm_key(F.col("text")).alias("key"), S.brand_key(F.col("text"), {"the": "a", "statoil": "circlek"}).alias("brand")
+    )
 
 
 @REGISTRY.add("SELECT o_orderkey, o_totalprice AS price, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice END AS odd FROM orders")
@@ -27,7 +29,9 @@ def decimal_comma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", S.decimal_comma(text).alias("price"), S.decimal_comma(odd).alias("odd"))
 
 
-@REGISTRY.add("SELECT p_partkey, CAST(p_size AS DOUBLE) AS price, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS DOUBLE) END AS broken FROM part")
+@REGISTRY.add(
+    "SELECT p_partkey, CAST(p_size AS DOUBLE) AS price, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS DOUBLE) END AS broken FROM part"
+)
 def strip_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with a currency sign (SCL-02)."""
     text = F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(",0 €"))
@@ -51,7 +55,9 @@ SELECT s_suppkey, CASE k WHEN 0 THEN 'circle k · Main Road, Malm' WHEN 1 THEN '
 def parse_composite_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Composite ids (SCL-07)."""
     kind = F.col("s_suppkey") % 4
-    text = F.when(kind == 0, "skane-lan_circle_k_MalmMainRoad").when(kind == 1, "stockholms-lan_st1_SolnaSoloCity_rest").when(kind == 2, "kalmar_plain_brand").otherwise("single")
+    text = F.when(kind == 0, "skane-lan_circle_k_MalmMainRoad").when(
+        kind == 1, "stockholms-lan_st1_SolnaSoloCity_rest"
+    ).when(kind == 2, "kalmar_plain_brand").otherwise("single")
     return table(spark, sf_dir, "supplier").select("s_suppkey", S.parse_composite_id(text).alias("x")).select("s_suppkey", "x.*")
 
 
@@ -69,7 +75,9 @@ def parse_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     """City, postal code and street of an address (SCL-09)."""
     nation = F.col("c_nationkey").cast("string")
     full = F.concat(F.lower("c_mktsegment"), F.lit(" 7  City"), nation, F.lit(" 10"), F.lpad(nation, 2, "0"), F.lit(" Danmark"))
-    text = F.when(F.col("c_nationkey") >= 10, F.concat((F.col("c_nationkey") + 1000).cast("string"), F.lit(" end"))).when(F.col("c_custkey") % 5 == 0, "no digits 12").otherwise(full)
+    text = F.when(
+        F.col("c_nationkey") >= 10, F.concat((F.col("c_nationkey") + 1000).cast("string"), F.lit(" end"))
+    ).when(F.col("c_custkey") % 5 == 0, "no digits 12").otherwise(full)
     return table(spark, sf_dir, "customer").select("c_custkey", S.parse_address(text).alias("x")).select("c_custkey", "x.*")
 
 
@@ -85,13 +93,20 @@ def embedded_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A price inside a name (SCL-11)."""
     size = F.col("p_size")
     note = F.when(size % 3 == 0, " (Re85 1.2.3)").otherwise(F.concat(F.lit(" (Re85  "), (size + 1).cast("string"), F.lit(".5)")))
-    return table(spark, sf_dir, "part").select("p_partkey", S.embedded_price(F.concat("p_name", note)).alias("x")).select("p_partkey", "x.*")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", S.embedded_price(F.concat("p_name", note)).alias("x")
+    ).select("p_partkey", "x.*")
 
 
-@REGISTRY.add("SELECT c_custkey, lower(c_mktsegment) || '_' || replace(replace(c_name || '|' || c_custkey || ' x', '|', '_'), ' ', '_') AS id FROM customer")
+@REGISTRY.add(
+    "SELECT c_custkey, lower(c_mktsegment) || '_' || replace(replace(c_name || '|' || c_custkey || ' x', '|', '_'), ' ', '_') AS id FROM customer"
+)
 def sanitize_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids with a country prefix (SCL-12)."""
-    return table(spark, sf_dir, "customer").select("c_custkey", S.sanitize_id(F.col("c_mktsegment"), F.concat("c_name", F.lit("|"), F.col("c_custkey").cast("string"), F.lit(" x"))).alias("id"))
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        S.sanitize_id(F.col("c_mktsegment"), F.concat("c_name", F.lit("|"), F.col("c_custkey").cast("string"), F.lit(" x"))).alias("id")
+    )
 
 
 @REGISTRY.add("""SELECT p_partkey, trim(CASE WHEN p_size % 2 = 0 THEN p_name ELSE '' END || ' ' || CASE WHEN p_size % 3 = 0 THEN CAST(p_size AS VARCHAR) ELSE '' END) AS address,
@@ -109,7 +124,9 @@ def join_address(spark: SparkSession, sf_dir: str) -> DataFrame:
 def zero_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zero is no coordinate; a broken axis spoils both (SCL-15)."""
     lon = F.when(F.col("c_custkey") % 3 == 0, "east").otherwise(F.col("c_acctbal").cast("string"))
-    return table(spark, sf_dir, "customer").select("c_custkey", S.zero_to_null(F.col("c_nationkey").cast("string"), lon).alias("x")).select("c_custkey", "x.*")
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", S.zero_to_null(F.col("c_nationkey").cast("string"), lon).alias("x")
+    ).select("c_custkey", "x.*")
 
 
 @REGISTRY.add("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 50.0 WHEN abs(c_acctbal) > 90 THEN c_acctbal / 100000 ELSE c_acctbal END AS lat,
@@ -121,7 +138,9 @@ def descale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", x.alias("x")).select("c_custkey", "x.*")
 
 
-@REGISTRY.add("""SELECT c_custkey, CASE WHEN c_nationkey % 4 < 2 THEN 45.0::DOUBLE + (c_nationkey % 2) END AS lat, CASE WHEN c_nationkey % 4 < 2 THEN 15.5::DOUBLE END AS lon FROM customer""")
+@REGISTRY.add(
+    """SELECT c_custkey, CASE WHEN c_nationkey % 4 < 2 THEN 45.0::DOUBLE + (c_nationkey % 2) END AS lat, CASE WHEN c_nationkey % 4 < 2 THEN 15.5::DOUBLE END AS lon FROM customer"""
+)
 def swap_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Swapped axes told apart by their ranges (SCL-17)."""
     kind = F.col("c_nationkey") % 4
@@ -136,19 +155,28 @@ SELECT c_custkey, NULL, NULL FROM customer WHERE c_custkey % 5 = 0""")
 def nested_or_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested coordinates, else flat ones (SCL-18)."""
     key = F.col("c_custkey")
-    x = S.nested_or_flat(F.when(key % 3 == 0, "0").otherwise("64.5"), F.lit(None).cast("string"), F.col("c_nationkey").cast("string"), F.when(key % 5 == 0, "west").otherwise("20"))
+    x = S.nested_or_flat(
+        F.when(key % 3 == 0, "0").otherwise("64.5"), F.lit(None).cast("string"), F.col("c_nationkey").cast("string"),
+        F.when(key % 5 == 0, "west").otherwise("20")
+    )
     return table(spark, sf_dir, "customer").select("c_custkey", x.alias("x")).select("c_custkey", "x.*")
 
 
-@REGISTRY.add("SELECT p_partkey, coalesce(nullif(CASE WHEN p_size % 2 = 0 THEN '' ELSE p_brand END, ''), CASE WHEN p_size % 3 = 0 THEN p_type END, 'Station') AS name FROM part")
+@REGISTRY.add(
+    "SELECT p_partkey, coalesce(nullif(CASE WHEN p_size % 2 = 0 THEN '' ELSE p_brand END, ''), CASE WHEN p_size % 3 = 0 THEN p_type END, 'Station') AS name FROM part"
+)
 def coalesce_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first value that is not blank (SCL-05)."""
     size = F.col("p_size")
-    name = S.first_nonblank(F.when(size % 2 == 0, "").otherwise(F.col("p_brand")), F.when(size % 3 == 0, F.col("p_type")), default="Station")
+    name = S.first_nonblank(
+        F.when(size % 2 == 0, "").otherwise(F.col("p_brand")), F.when(size % 3 == 0, F.col("p_type")), default="Station"
+    )
     return table(spark, sf_dir, "part").select("p_partkey", name.alias("name"))
 
 
-@REGISTRY.add("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice / 7, 3) * 1000 AS BIGINT) AS milli FROM lineitem")
+@REGISTRY.add(
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice / 7, 3) * 1000 AS BIGINT) AS milli FROM lineitem"
+)
 def round_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rounding to three places (SCL-19)."""
     milli = F.round(S.round_places(F.col("l_extendedprice") / 7, 3) * 1000).cast("bigint")

@@ -39,20 +39,37 @@ def json_root_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A bare list, or a list under one of several keys, the first that is not empty (SRC-02)."""
     kind, x = F.col("o_custkey") % 3, F.col("x")
     none = F.array().cast(f"array<{_ROW}>")
-    doc = F.when(kind == 0, F.to_json(x)).when(kind == 1, F.to_json(F.struct(none.alias("results"), x.alias("data")))).otherwise(F.to_json(F.struct(x.alias("stations"))))
+    doc = F.when(kind == 0, F.to_json(x)).when(
+        kind == 1, F.to_json(F.struct(none.alias("results"), x.alias("data")))
+    ).otherwise(F.to_json(F.struct(x.alias("stations"))))
     docs = _orders(spark, sf_dir).select("o_custkey", doc.alias("doc"))
-    return R.json_list(docs, _ROW, ["results", "records", "data", "stations"], root=True).select("o_custkey", "row_ord", "x.id", F.col("x.p").alias("price"))
+    return R.json_list(
+        docs, _ROW, ["results", "records", "data", "stations"], root=True
+    ).select("o_custkey", "row_ord", "x.id", F.col("x.p").alias("price"))
 
 
-@REGISTRY.add("SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, s_acctbal AS price, CAST(s_nationkey AS VARCHAR) AS path FROM supplier")
+@REGISTRY.add(
+    "SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, s_acctbal AS price, CAST(s_nationkey AS VARCHAR) AS path FROM supplier"
+)
 def csv_preamble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delimited lines after a line of metadata (SRC-03)."""
     rows = table(spark, sf_dir, "supplier")
     key = F.col("s_suppkey").cast("string")
-    line = F.concat_ws("|", key, F.concat(F.lit('"'), "s_name", F.lit('"')), F.replace(F.col("s_acctbal").cast("string"), F.lit("."), F.lit(",")), F.lit("extra"))
-    lines = rows.select(F.col("s_nationkey").cast("string").alias("path"), F.struct(F.lit(2).alias("a"), F.col("s_suppkey").alias("b")).alias("line_ord"), line.alias("value"))
+    line = F.concat_ws(
+        "|", key, F.concat(F.lit('"'), "s_name", F.lit('"')), F.replace(F.col("s_acctbal").cast("string"), F.lit("."), F.lit(",")),
+        F.lit("extra")
+    )
+    lines = rows.select(
+        F.col("s_nationkey").cast("string").alias("path"), F.struct(F.lit(2).alias("a"), F.col("s_suppkey").alias("b")).alias("line_ord"),
+        line.alias("value")
+    )
     nations = rows.select(F.col("s_nationkey").cast("string").alias("path")).distinct()
-    heads = [nations.select("path", F.struct(F.lit(i).alias("a"), F.lit(0).cast("bigint").alias("b")).alias("line_ord"), F.lit(v).alias("value")) for i, v in enumerate(("Extracted today", "id|name|price"))]
+    heads = [
+        nations.select(
+            "path", F.struct(F.lit(i).alias("a"), F.lit(0).cast("bigint").alias("b")).alias("line_ord"), F.lit(v).alias("value")
+        ) for i,
+        v in enumerate(("Extracted today", "id|name|price"))
+    ]
     parsed = R.csv_after_preamble(lines.unionByName(heads[0]).unionByName(heads[1]), "id|", ["id", "name", "price"])
     return parsed.select("id", "name", S.decimal_comma(F.col("price")).alias("price"), "path")
 
@@ -70,9 +87,14 @@ def html_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedded_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A list of arrays in page script; short arrays go (SRC-06)."""
     rows = table(spark, sf_dir, "orders")
-    full = F.concat(F.lit('["'), "o_orderstatus", F.lit('",45.0,25.0,"City","Road",'), F.col("o_totalprice").cast("string"), F.lit(","), F.col("o_orderkey").cast("string"), F.lit("]"))
+    full = F.concat(
+        F.lit('["'), "o_orderstatus", F.lit('",45.0,25.0,"City","Road",'), F.col("o_totalprice").cast("string"), F.lit(","),
+        F.col("o_orderkey").cast("string"), F.lit("]")
+    )
     item = F.when(F.col("o_orderkey") % 4 == 0, '["short",1]').otherwise(full)
-    docs = _documents(rows, "o_custkey", item, "o_orderkey").select(F.concat(F.lit("<script>\nvar rezultate = JSON.parse('["), F.array_join("x", ","), F.lit("]');</script>")).alias("doc"))
+    docs = _documents(rows, "o_custkey", item, "o_orderkey").select(
+        F.concat(F.lit("<script>\nvar rezultate = JSON.parse('["), F.array_join("x", ","), F.lit("]');</script>")).alias("doc")
+    )
     found = R.embedded_literal(docs, r"(?s)var rezultate\s*=\s*JSON\.parse\('(\[.*?\])'\)", 6)
     at = (lambda i: F.get("x", F.lit(i)))
     return found.select(at(6).cast("bigint").alias("o_orderkey"), at(0).alias("brand"), S.number(at(5)).alias("price"))
@@ -94,8 +116,13 @@ def flat_kv_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def xml_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Currency and rate pairs of a feed; the last of repeated ones counts (SRC-08)."""
     name = F.concat(F.lit("CU"), F.char(F.col("n_nationkey") + 65))
-    pair = F.concat(F.lit('<Cube currency="'), name, F.lit('" rate="9"/><Cube currency="'), name, F.lit('" rate="'), (F.col("n_nationkey") + 0.5).cast("string"), F.lit('"/>'))
-    docs = _documents(table(spark, sf_dir, "nation"), "n_regionkey", pair, "n_nationkey").select("path", F.array_join("x", "\n").alias("doc"))
+    pair = F.concat(
+        F.lit('<Cube currency="'), name, F.lit('" rate="9"/><Cube currency="'), name, F.lit('" rate="'),
+        (F.col("n_nationkey") + 0.5).cast("string"), F.lit('"/>')
+    )
+    docs = _documents(
+        table(spark, sf_dir, "nation"), "n_regionkey", pair, "n_nationkey"
+    ).select("path", F.array_join("x", "\n").alias("doc"))
     return R.xml_rates(docs)
 
 
@@ -106,8 +133,10 @@ def map_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer")
     node, lat = F.col("c_custkey") % 2 == 0, F.col("c_nationkey").cast("double")
     element = F.struct(
-        F.col("c_custkey").alias("id"), F.when(node, "node").otherwise("way").alias("type"), F.when(node, lat).alias("lat"), F.when(node, F.lit(1.0)).alias("lon"),
-        F.when(~node, F.struct((lat + 100).alias("lat"), F.lit(2.0).alias("lon"))).alias("center"), F.create_map(F.lit("brand"), "c_mktsegment", F.lit("amenity"), F.lit("fuel")).alias("tags"),
+        F.col("c_custkey").alias("id"), F.when(node, "node").otherwise("way").alias("type"), F.when(node, lat).alias("lat"),
+        F.when(node, F.lit(1.0)).alias("lon"),
+        F.when(~node, F.struct((lat + 100).alias("lat"), F.lit(2.0).alias("lon"))).alias("center"),
+        F.create_map(F.lit("brand"), "c_mktsegment", F.lit("amenity"), F.lit("fuel")).alias("tags"),
     )
     listed = _documents(rows, "c_nationkey", F.to_json(element), "c_custkey")
     docs = listed.select("path", F.concat(F.lit('{"elements":['), F.array_join("x", ","), F.lit("]}")).alias("doc"))
@@ -118,7 +147,9 @@ def map_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CAST(n AS INTEGER) AS fuel_ord, CASE n WHEN 0 THEN 'E10' ELSE 'DIESEL' END AS fuel_type, o_totalprice AS price FROM o WHERE n < 2 AND c >= 2""")
 def positional_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values by position; short vectors give nothing (SRC-10)."""
-    docs = _documents(table(spark, sf_dir, "orders"), "o_custkey", F.col("o_totalprice"), "o_orderkey").select(F.to_json(F.struct(F.col("x").alias("value"))).alias("doc"))
+    docs = _documents(
+        table(spark, sf_dir, "orders"), "o_custkey", F.col("o_totalprice"), "o_orderkey"
+    ).select(F.to_json(F.struct(F.col("x").alias("value"))).alias("doc"))
     return R.positional_cube(docs, [("0", "E10", "L"), ("1", "DIESEL", "L")]).select("fuel_ord", "fuel_type", "price")
 
 
@@ -127,18 +158,24 @@ def paged_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered pages up to the first empty one (SRC-11): page 13 is empty."""
     rows = _documents(table(spark, sf_dir, "customer"), "c_nationkey", F.struct(F.col("c_custkey").alias("id")), "c_custkey")
     full = F.when(F.col("c_nationkey") != 13, F.col("x")).otherwise(F.array().cast("array<struct<id: bigint>>"))
-    docs = rows.select(F.col("c_nationkey").alias("page"), F.to_json(F.struct(F.lit("more").alias("next"), full.alias("results"))).alias("doc"))
+    docs = rows.select(
+        F.col("c_nationkey").alias("page"), F.to_json(F.struct(F.lit("more").alias("next"), full.alias("results"))).alias("doc")
+    )
     return R.pages(docs, "struct<id: bigint>").select("x.id", "page")
 
 
-@REGISTRY.add("""SELECT c_custkey AS id, c_nationkey AS region, c_mktsegment AS fuel, CAST(c_nationkey AS INTEGER) AS region_ord, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS INTEGER) AS fuel_ord FROM customer""")
+@REGISTRY.add(
+    """SELECT c_custkey AS id, c_nationkey AS region, c_mktsegment AS fuel, CAST(c_nationkey AS INTEGER) AS region_ord, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS INTEGER) AS fuel_ord FROM customer"""
+)
 def sharded_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses per region and fuel in the order of the shard grid (SRC-12)."""
     rows = table(spark, sf_dir, "customer")
     one = rows.groupBy("c_nationkey", "c_mktsegment").agg(F.collect_list(F.struct(F.col("c_custkey").alias("id"))).alias("x"))
     path = F.concat_ws("/", F.lit("landing"), F.concat_ws("-", F.col("c_nationkey").cast("string"), "c_mktsegment"))
     docs = R.shard_of(one.select(path.alias("path"), F.to_json("x").alias("doc")), "([0-9]+)-([A-Z]+)$", region=1, fuel=2)
-    regions = rows.select(F.col("c_nationkey").cast("string").alias("region"), F.col("c_nationkey").cast("int").alias("region_ord")).distinct()
+    regions = rows.select(
+        F.col("c_nationkey").cast("string").alias("region"), F.col("c_nationkey").cast("int").alias("region_ord")
+    ).distinct()
     names = rows.select(F.col("c_mktsegment").alias("fuel")).distinct()
     fuels = names.withColumn("fuel_ord", F.expr("cast(row_number() OVER (ORDER BY fuel) - 1 AS int)"))  # a handful of fuels
     found = R.json_list(R.with_shard_order(docs, R.shard_grid(regions, fuels)), "struct<id: bigint>", root=True)
@@ -169,6 +206,10 @@ def doc_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def typed_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only JSON numbers are prices, texts and booleans are not (FLT-02)."""
     key = F.col("o_orderkey")
-    value = F.when(key % 3 == 0, F.col("o_totalprice").cast("string")).when(key % 3 == 1, F.concat(F.lit('"'), F.col("o_totalprice").cast("string"), F.lit('"'))).otherwise("true")
-    docs = table(spark, sf_dir, "orders").select(F.concat(F.lit('[{"id":'), key.cast("string"), F.lit(',"v":'), value, F.lit("}]")).alias("doc"))
+    value = F.when(key % 3 == 0, F.col("o_totalprice").cast("string")).when(
+        key % 3 == 1, F.concat(F.lit('"'), F.col("o_totalprice").cast("string"), F.lit('"'))
+    ).otherwise("true")
+    docs = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit('[{"id":'), key.cast("string"), F.lit(',"v":'), value, F.lit("}]")).alias("doc")
+    )
     return R.json_list(docs, "struct<id: bigint, v: double>", root=True).select("x.id", F.col("x.v").alias("price"))

@@ -34,7 +34,9 @@ def decode(content: Column, charset: str = "utf-8") -> Column:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of splittable text files: path, line_ord (in file order), value."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value"
+    )
     return rows.select("path", F.struct("block", F.monotonically_increasing_id().alias("n")).alias("line_ord"), "value")
 
 
@@ -89,7 +91,9 @@ def table_rows(docs: DataFrame, table: str, row: str, cell: str) -> DataFrame:
     """Rows of the first HTML table that matches: docs' columns, row_ord, html, cells.  table, row and cell are patterns with one group."""
     rest = [c for c in docs.columns if c != "doc"]
     rows = F.regexp_extract_all(F.regexp_extract("doc", table, 1), F.lit(row), F.lit(1))
-    return docs.select(*rest, F.posexplode(rows).alias("row_ord", "html")).withColumn("cells", F.regexp_extract_all("html", F.lit(cell), F.lit(1)))
+    return docs.select(*rest, F.posexplode(rows).alias("row_ord", "html")).withColumn(
+        "cells", F.regexp_extract_all("html", F.lit(cell), F.lit(1))
+    )
 
 
 def embedded_literal(docs: DataFrame, pattern: str, fields: int) -> DataFrame:
@@ -113,7 +117,9 @@ def xml_rates(docs: DataFrame) -> DataFrame:
     names, rates = (F.regexp_extract_all("doc", F.lit(pattern), F.lit(g)) for g in (1, 2))
     pairs = docs.select("path", F.posexplode(F.arrays_zip(names.alias("currency"), rates.alias("rate"))).alias("ord", "x"))
     rate = number(F.col("x.rate"))
-    return pairs.select("path", "ord", "x.currency", rate.alias("rate")).groupBy("currency").agg(F.max_by("rate", F.struct("path", "ord")).alias("rate"))
+    return pairs.select("path", "ord", "x.currency", rate.alias("rate")).groupBy("currency").agg(
+        F.max_by("rate", F.struct("path", "ord")).alias("rate")
+    )
 
 
 ELEMENT = "struct<id: bigint, type: string, lat: double, lon: double, center: struct<lat: double, lon: double>, tags: map<string,string>>"
@@ -125,7 +131,8 @@ def map_elements(docs: DataFrame) -> DataFrame:
     node = F.col("x.type") == "node"
     return rows.select(
         "path", "row_ord", F.col("x.id").alias("element_id"), F.col("x.type").alias("type"),
-        F.when(node, F.col("x.lat")).otherwise(F.col("x.center.lat")).alias("lat"), F.when(node, F.col("x.lon")).otherwise(F.col("x.center.lon")).alias("lon"),
+        F.when(node, F.col("x.lat")).otherwise(F.col("x.center.lat")).alias("lat"),
+        F.when(node, F.col("x.lon")).otherwise(F.col("x.center.lon")).alias("lon"),
         F.coalesce("x.tags", F.create_map().cast("map<string,string>")).alias("tags"),
     )
 
@@ -145,7 +152,10 @@ def pages(docs: DataFrame, element: str, page: str = "page", key: str = "results
     state = parsed.select("page", (F.coalesce(F.size(f"d.{key}"), F.lit(0)) > 0).alias("full"), F.col("d.next").isNull().alias("last"))
     # The run of good pages: as many good pages as their number says, none before them the last.
     marks = state.where("full").selectExpr("page", "last", "row_number() OVER (ORDER BY page) AS n", "min(page) OVER () AS first")
-    marks = marks.selectExpr("page", "page - first + 1 = n AS gapless", "coalesce(max(last) OVER (ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ended")
+    marks = marks.selectExpr(
+        "page", "page - first + 1 = n AS gapless",
+        "coalesce(max(last) OVER (ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ended"
+    )
     good = marks.where("gapless AND NOT ended").select("page")
     return parsed.join(small(good), "page").select("page", F.posexplode(f"d.{key}").alias("row_ord", "x"))
 

@@ -28,7 +28,8 @@ def ingest(docs: DataFrame, adapter: Callable[[DataFrame], DataFrame], out: str,
 
 
 def ingest_with_cache(
-    docs: DataFrame, adapter: Callable[[DataFrame], DataFrame], gazetteer: DataFrame, key: Column, query: Column, out: str, cache_root: str, checkpoint: str,
+    docs: DataFrame, adapter: Callable[[DataFrame], DataFrame], gazetteer: DataFrame, key: Column, query: Column, out: str, cache_root: str,
+    checkpoint: str,
     order: list[str], limit: int = geocode.LIMIT,
 ) -> StreamingQuery:
     """Like ingest; stations get coordinates from the cache, and at most limit new keys per country and batch are looked up.
@@ -44,7 +45,9 @@ def ingest_with_cache(
         attempts = geocode.look_up(turn.select("country", "geo_key", "id", "query"), gazetteer)
         geocode.grown_cache(cache, attempts).write.mode("overwrite").parquet(f"{cache_root.rstrip('/')}/batch={batch_id}")
         new = attempts.where("lat IS NOT NULL").select("country", "id", F.col("lat").alias("__lat"), F.col("lon").alias("__lon"))
-        located = stations.join(new, ["country", "id"], "left").withColumns({"lat": F.coalesce("lat", "__lat"), "lon": F.coalesce("lon", "__lon")})
+        located = stations.join(new, ["country", "id"], "left").withColumns(
+            {"lat": F.coalesce("lat", "__lat"), "lon": F.coalesce("lon", "__lon")}
+        )
         located.drop("__lat", "__lon", "geo_key").write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={batch_id}")
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -23,7 +23,10 @@ def run_time(spark):
 
 def docs(spark, *contents, **shards):
     names = list(shards)
-    rows = [(f"f{i}", c if isinstance(c, str) else json.dumps(c, ensure_ascii=False), *(shards[n][i] for n in names)) for i, c in enumerate(contents)]
+    rows = [
+        (f"f{i}", c if isinstance(c, str) else json.dumps(c, ensure_ascii=False), *(shards[n][i] for n in names)) for i,
+        c in enumerate(contents)
+    ]
     kinds = ", ".join(f"{n} {'int' if n in ('shard_ord', 'page') else 'string'}" for n in names)
     return spark.createDataFrame(rows, "path string, doc string" + (", " + kinds if kinds else ""))
 
@@ -49,8 +52,10 @@ def poi(i, country, fuels, lat=52.0, lon=5.0):
 def test_points_of_interest(spark):
     euro = {"fuelType": "EURO95", "fuelName": "Euro 95 (E10)", "value": 2.0}
     values = [
-        poi("a|b c", "NLD", [euro, {**euro, "fuelName": "x"}, {"fuelType": "CNG", "value": 1}, {"fuelType": "ODD", "value": 1}]), poi("far", "NLD", [euro], lat=10.0), poi("none", "NLD", []),
-        poi("text", "NLD", [{**euro, "value": "2.0"}]), poi("true", "NLD", [{**euro, "value": True}]), poi("zero", "NLD", [{**euro, "value": 0}]), poi("null", "NLD", [euro], lat=None), poi("pl", "POL", [euro], lon=20.0),
+        poi("a|b c", "NLD", [euro, {**euro, "fuelName": "x"}, {"fuelType": "CNG", "value": 1}, {"fuelType": "ODD", "value": 1}]),
+        poi("far", "NLD", [euro], lat=10.0), poi("none", "NLD", []),
+        poi("text", "NLD", [{**euro, "value": "2.0"}]), poi("true", "NLD", [{**euro, "value": True}]),
+        poi("zero", "NLD", [{**euro, "value": 0}]), poi("null", "NLD", [euro], lat=None), poi("pl", "POL", [euro], lon=20.0),
         poi("hu", "HUN", [euro], lat=47.0, lon=19.0), poi("other", "USA", [euro]),
     ]
     rates = spark.createDataFrame([("PLN", 4.25)], "currency string, rate double")
@@ -67,14 +72,20 @@ def osm(i, kind="node", lat=55.0, lon=13.0, **tags):
 
 
 def test_sweden(spark):
-    elements = [osm(1, name="Shell Malmö", brand="Shell", addr_city="Malmö", addr_street="Gatan", addr_housenumber="3"), osm(2, "way", brand="ST1", addr_municipality="malmo"), osm(3, lat=None), osm(3, lat=55.5), osm(4)]
+    elements = [
+        osm(1, name="Shell Malmö", brand="Shell", addr_city="Malmö", addr_street="Gatan", addr_housenumber="3"),
+        osm(2, "way", brand="ST1", addr_municipality="malmo"), osm(3, lat=None), osm(3, lat=55.5), osm(4)
+    ]
     one = {"skane_st1_MalmStorgatan__95": "18,50", "skane_st1_MalmStorgatan__diesel": 19.5, "skane_st1_Malmo__98": 1, "skane_okq8_LundCentrum__95": "17", "bad": 1, "x__95": "abc", "skane_st1_MalmStorgatan__odd": 3}
     two = {"skane_st1_MalmStorgatan__95": "18.75"}
     raw = {"osm": docs(spark, {"elements": elements}), "counties": docs(spark, one, two, {"error": "x", "y__95": "1"}, county=["skane", "blekinge", "z"], shard_ord=[0, 1, 2])}
     got = stations(A.sweden(raw, NOW))
     assert set(got) == {"se_osm_1", "se_osm_2", "se_osm_4"} and all(not got[x]["prices"] for x in got)
     cache = spark.createDataFrame([("SE", "MalmStorgatan", 55.6, 13.0)], "country string, key string, lat double, lon double")
-    gazetteer = spark.createDataFrame([("SE", "Centrum", "Lund", None, 55.7, 13.2, 0)], "country string, street string, city string, postal string, lat double, lon double, rank int")
+    gazetteer = spark.createDataFrame(
+        [("SE", "Centrum", "Lund", None, 55.7, 13.2, 0)],
+        "country string, street string, city string, postal string, lat double, lon double, rank int"
+    )
     got = stations(A.sweden(raw, NOW, cache, gazetteer))
     assert prices(got["se_skane_st1_MalmStorgatan"]) == [("E10", 18.75, "SEK", "L"), ("DIESEL", 19.5, "SEK", "L")]
     assert got["se_skane_st1_MalmStorgatan"]["county"] == "blekinge" and got["se_skane_okq8_LundCentrum"]["lat"] == 55.7
@@ -102,38 +113,58 @@ def test_norway(spark):
 def test_denmark(spark):
     one = [
         {"stationId": "1", "city": "Odense", "street": "Vej", "houseNumber": None, "postalCode": "5000", "coordinates": {"latitude": "55.4", "longitude": 0},
-         "prices": [{"fuelType": "Autobenzin", "octane": "95", "price": "13.5"}, {"fuelType": "Autodiesel", "octane": "", "price": 12}, {"fuelType": "Autodiesel", "octane": "x", "price": 11}, {"fuelType": "Gas", "price": 1}]},
+         "prices": [
+             {"fuelType": "Autobenzin", "octane": "95", "price": "13.5"}, {"fuelType": "Autodiesel", "octane": "", "price": 12},
+             {"fuelType": "Autodiesel", "octane": "x", "price": 11}, {"fuelType": "Gas", "price": 1}
+         ]},
         {"stationId": "2", "prices": [{"fuelType": "Autobenzin", "octane": "95", "price": "n/a"}]},
     ]
     two = {"data": {"stationsPrices": [{"stationId": "9", "stationName": "Q", "address": "Dronningemaen 34 Svendborg 5700 Danmark", "products": [{"productName": "GoEasy 95 E10", "price": "13"}, {"productName": "Diesel Extra", "price": 14}, {"productName": "AdBlue", "price": 2}]}]}}
-    gazetteer = spark.createDataFrame([("DK", None, "Svendborg", None, 55.06, 10.6, 0)], "country string, street string, city string, postal string, lat double, lon double, rank int")
+    gazetteer = spark.createDataFrame(
+        [("DK", None, "Svendborg", None, 55.06, 10.6, 0)],
+        "country string, street string, city string, postal string, lat double, lon double, rank int"
+    )
     cache = spark.createDataFrame([], "country string, key string, lat double, lon double")
     got = stations(A.denmark({"octanes": docs(spark, one), "products": docs(spark, two)}, NOW, cache, gazetteer))
     assert set(got) == {"dk_shell_1", "dk_q8_9"}
     assert prices(got["dk_shell_1"]) == [("E10", 13.5, "DKK", "L"), ("DIESEL", 12.0, "DKK", "L"), ("DIESEL", 11.0, "DKK", "L")]
     assert (got["dk_shell_1"]["lat"], got["dk_shell_1"]["lon"], got["dk_shell_1"]["postal_code"]) == (55.4, None, "5000")
-    assert prices(got["dk_q8_9"]) == [("E10", 13.0, "DKK", "L"), ("DIESEL", 14.0, "DKK", "L")] and got["dk_q8_9"]["lat"] == 55.06 and got["dk_q8_9"]["city"] == "Svendborg"
+    assert prices(got["dk_q8_9"]) == [
+        ("E10", 13.0, "DKK", "L"), ("DIESEL", 14.0, "DKK", "L")
+    ] and got["dk_q8_9"]["lat"] == 55.06 and got["dk_q8_9"]["city"] == "Svendborg"
 
 
 def finnish(*rows):
-    cells = "".join(f'<tr class=" bg{1 + i % 2} E10"><td><a href="x?cmd=map&amp;id={n}">m</a>{label}</td>' + "".join(f'<td class="Hinnat x">{c}</td>' for c in cs) + "</tr>\n" for i, (n, label, cs) in enumerate(rows))
+    cells = "".join(
+        f'<tr class=" bg{1 + i % 2} E10"><td><a href="x?cmd=map&amp;id={n}">m</a>{label}</td>' + "".join(
+            f'<td class="Hinnat x">{c}</td>' for c in cs
+        ) + "</tr>\n" for i,
+        (n, label, cs) in enumerate(rows)
+    )
     return f'<html><table class="e10">\n{cells}</table><table class="e10"><tr class=" bg1 E10"></tr></table>'
 
 
 def test_finland(spark):
-    one = finnish((11, " Neste, Katu 1 (Re85 1.649) ", ["1,8", "-", "1.7"]), (12, "Seo", ["-", " ", "-"]), (13, "Few", ["1", "2"]), (14, "ABC", ["9", "0", "1,1", "x"]))
+    one = finnish(
+        (11, " Neste, Katu 1 (Re85 1.649) ", ["1,8", "-", "1.7"]), (12, "Seo", ["-", " ", "-"]), (13, "Few", ["1", "2"]),
+        (14, "ABC", ["9", "0", "1,1", "x"])
+    )
     two = finnish((11, "Other", ["5", "5", "5"]), (15, "St1 Töölö", ["1", "2", "3"]))
     pages = docs(spark, one, two, "<html>", slug=["Oulu", "Neste", "Kemi"], shard_ord=[0, 1, 2])
     got = stations(A.finland({"pages": pages}, NOW))
     assert set(got) == {"fi_11", "fi_14", "fi_15"}
     assert prices(got["fi_11"]) == [("E10", 1.8, "EUR", "L"), ("DIESEL", 1.7, "EUR", "L"), ("E85", 1.649, "EUR", "L")]
-    assert (got["fi_11"]["name"], got["fi_11"]["brand"], got["fi_11"]["address"], got["fi_11"]["city"]) == ("Neste, Katu 1", "Neste", "Katu 1", "Oulu")
+    assert (
+        got["fi_11"]["name"], got["fi_11"]["brand"], got["fi_11"]["address"], got["fi_11"]["city"]
+    ) == ("Neste, Katu 1", "Neste", "Katu 1", "Oulu")
     assert prices(got["fi_14"]) == [("E5", 1.1, "EUR", "L")] and got["fi_15"]["city"] == "Neste"
 
 
 def test_iceland(spark):
     row = {"key": "k", "name": " N ", "company": "C", "geo": {"lat": 64.1, "lon": -21.9}, "bensin95": 300.5, "diesel": "310"}
-    for payload in ([row, {"key": "n", "bensin95": None}], {"stations": [row, {**row, "key": "z", "geo": None, "lat": "65", "lon": "x", "name": ""}]}):
+    for payload in (
+        [row, {"key": "n", "bensin95": None}], {"stations": [row, {**row, "key": "z", "geo": None, "lat": "65", "lon": "x", "name": ""}]}
+    ):
         got = stations(A.iceland({"stations": docs(spark, payload)}, NOW))
         assert prices(got["is_k"]) == [("E5", 300.5, "ISK", "L")] and got["is_k"]["lat"] == 64.1 and got["is_k"]["name"] == "N"
     assert got["is_z"]["lat"] is None and got["is_z"]["name"] == "C"
@@ -141,7 +172,11 @@ def test_iceland(spark):
 
 def test_germany(spark):
     s = {"id": "u", "brand": "ARAL", "name": "Station", "street": "Weg", "houseNumber": "1", "place": "Ulm", "lat": 48.4, "lng": 9.9, "e5": 1.8, "e10": False, "diesel": 1.7}
-    areas = docs(spark, {"ok": True, "stations": [s]}, {"ok": False, "stations": [{**s, "id": "v"}]}, {"ok": True, "stations": [{**s, "e5": 9.0}, {**s, "id": "w", "brand": "", "e5": None, "diesel": False}, {**s, "id": "x", "brand": ""}]}, "junk", shard_ord=[0, 1, 2, 3])
+    areas = docs(
+        spark, {"ok": True, "stations": [s]}, {"ok": False, "stations": [{**s, "id": "v"}]},
+        {"ok": True, "stations": [{**s, "e5": 9.0}, {**s, "id": "w", "brand": "", "e5": None, "diesel": False}, {**s, "id": "x", "brand": ""}]},
+        "junk", shard_ord=[0, 1, 2, 3]
+    )
     got = stations(A.germany({"areas": areas}, NOW))
     assert set(got) == {"de_u", "de_x"} and prices(got["de_u"]) == [("E5", 1.8, "EUR", "L"), ("DIESEL", 1.7, "EUR", "L")]
     assert got["de_u"]["name"] == "ARAL Station" and got["de_x"]["name"] == "Station" and got["de_u"]["address"] == "Weg 1"
@@ -158,14 +193,24 @@ def test_france(spark):
 
 def test_spain(spark):
     s = {"IDEESS": "5", "Rótulo": "R", "Dirección": "D", "Municipio": "M", "Latitud": "40,4", "Longitud (WGS84)": "-3,7", "Precio Gasoleo A": "1,499", "Precio Gasolina 95 E5": "", "Precio Gasolina 98 E5": "1,8"}
-    got = stations(A.spain({"stations": docs(spark, {"ListaEESSPrecio": [s, {**s, "IDEESS": "6", "Latitud": "0", "Longitud (WGS84)": "0"}, {"IDEESS": "7", "Precio Gasoleo A": None}]})}, NOW))
+    got = stations(
+        A.spain(
+            {"stations": docs(spark, {"ListaEESSPrecio": [s, {**s, "IDEESS": "6", "Latitud": "0", "Longitud (WGS84)": "0"}, {"IDEESS": "7", "Precio Gasoleo A": None}]})},
+            NOW
+        )
+    )
     assert set(got) == {"es_5", "es_6"} and prices(got["es_5"]) == [("DIESEL", 1.499, "EUR", "L"), ("E5", 1.8, "EUR", "L")]
     assert (got["es_5"]["lat"], got["es_5"]["lon"], got["es_6"]["lat"]) == (40.4, -3.7, None)
 
 
 def test_portugal(spark):
     s = {"Id": 3, "Nome": "N", "Marca": None, "Morada": "R", "Municipio": "L", "Latitude": "38.7", "Longitude": "-9.1", "Preco": "1,499 €"}
-    fuels = docs(spark, {"status": True, "resultado": [s, {**s, "Id": 4, "Preco": "0 €"}]}, {"status": True, "resultado": [{**s, "Preco": "1,7", "Nome": "late"}]}, {"status": True, "resultado": [{**s, "Preco": "1,9"}, {**s, "Id": 5, "Latitude": "1"}]}, {"status": False, "resultado": [s]}, fuel=["2101", "3201", "3400", "1120"], shard_ord=[0, 1, 2, 3])
+    fuels = docs(
+        spark, {"status": True, "resultado": [s, {**s, "Id": 4, "Preco": "0 €"}]},
+        {"status": True, "resultado": [{**s, "Preco": "1,7", "Nome": "late"}]},
+        {"status": True, "resultado": [{**s, "Preco": "1,9"}, {**s, "Id": 5, "Latitude": "1"}]}, {"status": False, "resultado": [s]},
+        fuel=["2101", "3201", "3400", "1120"], shard_ord=[0, 1, 2, 3]
+    )
     got = stations(A.portugal({"fuels": fuels}, NOW))
     assert set(got) == {"pt_3", "pt_5"} and prices(got["pt_3"]) == [("DIESEL", 1.499, "EUR", "L"), ("E5", 1.7, "EUR", "L")]
     assert got["pt_3"]["name"] == "N" and got["pt_5"]["lat"] is None
@@ -175,23 +220,37 @@ def test_austria(spark):
     regions = docs(spark, [{"code": 1, "subRegions": [{"code": 101}, {"code": "x"}, {"code": "102"}]}, {"subRegions": None}])
     assert [r["code"] for r in R.region_codes(regions).orderBy("code_ord").collect()] == [101, 102]
     s = {"id": 1, "name": "OMV, Wien", "address": {"street": "Ring", "streetnumber": "2", "city": "Wien"}, "location": {"latitude": 48.2, "longitude": 16.4}, "prices": [{"fuelType": "DIE", "amount": 0}, {"fuelType": "DIE", "amount": "1.6"}]}
-    districts = docs(spark, [s, {**s, "id": 2, "prices": []}, {**s, "id": 3, "open": False}], [{**s, "prices": [{"fuelType": "SUP", "amount": 1.7}]}], fuel=["DIE", "SUP"], shard_ord=[0, 1])
+    districts = docs(
+        spark, [s, {**s, "id": 2, "prices": []}, {**s, "id": 3, "open": False}], [{**s, "prices": [{"fuelType": "SUP", "amount": 1.7}]}],
+        fuel=["DIE", "SUP"], shard_ord=[0, 1]
+    )
     got = stations(A.austria({"districts": districts}, NOW))
     assert set(got) == {"at_1"} and prices(got["at_1"]) == [("DIESEL", 1.6, "EUR", "L"), ("E5", 1.7, "EUR", "L")]
     assert (got["at_1"]["brand"], got["at_1"]["address"]) == ("OMV", "Ring 2")
 
 
 def test_italy(spark):
-    registry = lines(spark, 'Estrazione del 2026-01-01\nidImpianto|Gestore|Bandiera|Tipo|Nome Impianto|Indirizzo|Comune|Provincia|Latitudine|Longitudine\n1|G|old|x|N|I|C|P|45,1|9\n1|G|"B|q"|x||I|C|P|45.1|9,2|extra\n2|G||x|N|I|C|P|99|9\n3|G|B|x|N|I|C|P|45|9\n|G')
-    facts = lines(spark, "idImpianto|descCarburante|prezzo|isSelf|dtComu\n1|Gasolio|0|1|d\n1|Gasolio|1.6|1|d\n1|Gasolio BTZ|1.5|1|d\n1|Benzina|abc|1|d\n2|Metano|1,2|0|d\n9|Benzina|1|0|d\n3|Odd|1|0|d")
+    registry = lines(
+        spark,
+        'Estrazione del 2026-01-01\nidImpianto|Gestore|Bandiera|Tipo|Nome Impianto|Indirizzo|Comune|Provincia|Latitudine|Longitudine\n1|G|old|x|N|I|C|P|45,1|9\n1|G|"B|q"|x||I|C|P|45.1|9,2|extra\n2|G||x|N|I|C|P|99|9\n3|G|B|x|N|I|C|P|45|9\n|G'
+    )
+    facts = lines(
+        spark,
+        "idImpianto|descCarburante|prezzo|isSelf|dtComu\n1|Gasolio|0|1|d\n1|Gasolio|1.6|1|d\n1|Gasolio BTZ|1.5|1|d\n1|Benzina|abc|1|d\n2|Metano|1,2|0|d\n9|Benzina|1|0|d\n3|Odd|1|0|d"
+    )
     got = stations(A.italy({"registry": registry, "prices": facts}, NOW))
     assert set(got) == {"it_1", "it_2"} and prices(got["it_1"]) == [("DIESEL", 1.6, "EUR", "L")] and prices(got["it_2"]) == [("CNG", 1.2, "EUR", "kg")]
-    assert (got["it_1"]["brand"], got["it_1"]["name"], got["it_1"]["lat"], got["it_2"]["lat"], got["it_2"]["brand"]) == ("B|q", "G", 45.1, None, "G")
+    assert (
+        got["it_1"]["brand"], got["it_1"]["name"], got["it_1"]["lat"], got["it_2"]["lat"], got["it_2"]["brand"]
+    ) == ("B|q", "G", 45.1, None, "G")
 
 
 def test_slovenia(spark):
     s = {"pk": 5, "name": "P", "address": "A", "zip_code": "1000", "lat": 46.0, "lng": 14.5, "prices": {"98": None, "95": 0, "100": 1.6, "dizel": 1.5, "dizel-premium": 1.9, "cng": "x"}}
-    pages = docs(spark, {"next": "2", "results": [s]}, {"next": "3", "results": [{**s, "pk": 6, "lat": 10}]}, {"next": None, "results": []}, {"next": None, "results": [{**s, "pk": 7}]}, page=[1, 2, 3, 4])
+    pages = docs(
+        spark, {"next": "2", "results": [s]}, {"next": "3", "results": [{**s, "pk": 6, "lat": 10}]}, {"next": None, "results": []},
+        {"next": None, "results": [{**s, "pk": 7}]}, page=[1, 2, 3, 4]
+    )
     got = stations(A.slovenia({"pages": pages}, NOW))
     assert set(got) == {"si_5", "si_6"} and prices(got["si_5"]) == [("E5", 1.6, "EUR", "L"), ("DIESEL", 1.5, "EUR", "L")]
     assert got["si_5"]["city"] == "1000" and got["si_6"]["lat"] is None
@@ -201,7 +260,10 @@ def test_slovenia(spark):
 
 def test_croatia(spark):
     doc = {
-        "gorivos": [{"id": 1, "vrsta_goriva_id": 99}, {"id": 1, "vrsta_goriva_id": 7}, {"id": 2, "vrsta_goriva_id": 8}, {"id": 3, "vrsta_goriva_id": 0}, {"id": 4, "vrsta_goriva_id": 26}],
+        "gorivos": [
+            {"id": 1, "vrsta_goriva_id": 99}, {"id": 1, "vrsta_goriva_id": 7}, {"id": 2, "vrsta_goriva_id": 8},
+            {"id": 3, "vrsta_goriva_id": 0}, {"id": 4, "vrsta_goriva_id": 26}
+        ],
         "postajas": [
             {"id": 10, "naziv": "INA", "adresa": "A", "mjesto": "M", "lat": "15,9", "lng": None, "long": "45,8", "cjenici": [{"gorivo_id": 1, "cijena": "0"}, {"gorivo_id": 2, "cijena": "1,4"}, {"gorivo_id": 1, "cijena": 1.3}, {"gorivo_id": 3, "cijena": 1}, {"gorivo_id": 4, "cijena": 1.1}]},
             {"id": 11, "naziv": "X", "cjenici": [{"gorivo_id": 77, "cijena": 1}]},
@@ -218,8 +280,13 @@ def romanian(*rows):
 
 def test_romania(spark):
     pages = docs(
-        spark, romanian(["OMV", 45.00001, 25.0, "C", "A", 7.5], ["OMV", 45.00002, 25.0, "late", "A", 8.0], ["MOL", 10, 25, "C", "A", 7], ["MOL", 45, 25, "C"]),
-        romanian(["OMV", "45.00001", "25", "C2", "A2", "8.1"], ["MOL", 45.5, 25.5, "C", "A", 0]), "none", fuel=["Benzina_Regular", "Motorina_Regular", "GPL"], shard_ord=[0, 1, 2])
+        spark,
+        romanian(
+            ["OMV", 45.00001, 25.0, "C", "A", 7.5], ["OMV", 45.00002, 25.0, "late", "A", 8.0], ["MOL", 10, 25, "C", "A", 7],
+            ["MOL", 45, 25, "C"]
+        ),
+        romanian(["OMV", "45.00001", "25", "C2", "A2", "8.1"], ["MOL", 45.5, 25.5, "C", "A", 0]), "none",
+        fuel=["Benzina_Regular", "Motorina_Regular", "GPL"], shard_ord=[0, 1, 2])
     got = list(stations(A.romania({"pages": pages}, NOW)).values())
     assert len(got) == 1 and prices(got[0]) == [("E5", 7.5, "RON", "L"), ("DIESEL", 8.1, "RON", "L")] and got[0]["city"] == "C"
 
@@ -232,7 +299,9 @@ def test_charsets(spark):
 
 
 def test_rates(spark):
-    got = R.xml_rates(docs(spark, "<Cube currency='USD' rate='1.1'/><Cube currency=\"SEK\" rate=\"11\"/>", "<Cube currency='SEK' rate='12.5'/>"))
+    got = R.xml_rates(
+        docs(spark, "<Cube currency='USD' rate='1.1'/><Cube currency=\"SEK\" rate=\"11\"/>", "<Cube currency='SEK' rate='12.5'/>")
+    )
     assert {r["currency"]: r["rate"] for r in got.collect()} == {"USD": 1.1, "SEK": 12.5}
 
 

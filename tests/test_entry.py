@@ -19,7 +19,9 @@ def test_columns_and_plan(spark, name):
     """Columns agree with the SQL's; nothing runs Python per row."""
     df = QUERIES[name](spark, SF)
     con = duckdb.connect()
-    for t in ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split():
+    for t in (
+        "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+    ).split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     result = con.execute(ORACLE_SQL[name])
     assert sorted(c[0] for c in result.description) == sorted(df.columns)

@@ -9,7 +9,11 @@ from pumpwise.operators import dedup, geo, geocode, lookup, match, money
 from pumpwise.operators.prices import entry, first_per_fuel, keep_valid
 
 RNG = random.Random(11)
-ROWS = [(RNG.choice("abcde"), i // 7, i % 7, RNG.choice([None, "x", "y", "z"]), RNG.choice([-1.0, 0.0, 1.5, 2.5, float("nan")])) for i in range(300)]
+ROWS = [
+    (
+        RNG.choice("abcde"), i // 7, i % 7, RNG.choice([None, "x", "y", "z"]), RNG.choice([-1.0, 0.0, 1.5, 2.5, float("nan")])
+    ) for i in range(300)
+]
 SCHEMA = "k string, shard int, row int, v string, p double"
 
 
@@ -50,7 +54,12 @@ def test_first_valid_and_first_then_filter(spark):
 
 
 def test_merge_partials(spark):
-    answers = [(RNG.choice("abcd"), i, f"name{i}", [(RNG.choice(["E5", "E10", "LPG"]), float(i * 10 + j), "L") for j in range(RNG.randint(0, 3))]) for i in range(60)]
+    answers = [
+        (
+            RNG.choice("abcd"), i, f"name{i}",
+            [(RNG.choice(["E5", "E10", "LPG"]), float(i * 10 + j), "L") for j in range(RNG.randint(0, 3))]
+        ) for i in range(60)
+    ]
     want = {}
     for k, i, name, prices in answers:
         if k not in want:
@@ -58,13 +67,20 @@ def test_merge_partials(spark):
         for p in prices:
             if p[0] not in {q[0] for q in want[k][2]}:
                 want[k][2].append(p)
-    df = spark.createDataFrame(answers, "k string, i int, name string, prices array<struct<fuel_type: string, price: double, unit: string>>").repartition(5)
+    df = spark.createDataFrame(
+        answers, "k string, i int, name string, prices array<struct<fuel_type: string, price: double, unit: string>>"
+    ).repartition(5)
     got = {r["k"]: (r["i"], r["name"], [tuple(p) for p in r["prices"]]) for r in dedup.merge_partials(df, "k", ["i"]).collect()}
     assert got == want
 
 
 def test_price_arrays(spark):
-    prices = F.array(*(entry(F.lit(f), F.lit(p), F.lit("L")) for f, p in (("E5", 0.0), ("E5", 1.5), ("LPG", float("nan")), ("E5", 2.0), ("CNG", 3.0), ("LPG", None))))
+    prices = F.array(
+        *(
+            entry(F.lit(f), F.lit(p), F.lit("L")) for f,
+            p in (("E5", 0.0), ("E5", 1.5), ("LPG", float("nan")), ("E5", 2.0), ("CNG", 3.0), ("LPG", None))
+        )
+    )
     got = spark.range(1).select(first_per_fuel(keep_valid(prices)).alias("p"), keep_valid(prices).alias("all")).first()
     assert [tuple(p) for p in got["p"]] == [("E5", 1.5, "L"), ("CNG", 3.0, "L")] and len(got["all"]) == 3
 
@@ -104,7 +120,10 @@ CACHE = "country string, key string, lat double, lon double"
 
 def test_geocode_cache(spark):
     stations = spark.createDataFrame(
-        [("SE", "k1", 1, None, None), ("SE", "k2", 2, None, None), ("SE", "", 3, None, None), ("SE", "k3", 4, None, None), ("SE", "k3", 5, None, None), ("NO", "k1", 6, None, None), ("SE", "k1", 7, 9.0, 9.0)],
+        [
+            ("SE", "k1", 1, None, None), ("SE", "k2", 2, None, None), ("SE", "", 3, None, None), ("SE", "k3", 4, None, None),
+            ("SE", "k3", 5, None, None), ("NO", "k1", 6, None, None), ("SE", "k1", 7, 9.0, 9.0)
+        ],
         "country string, geo_key string, id int, lat double, lon double")
     cache = spark.createDataFrame([("SE", "k1", 1.0, 2.0), ("SE", "k2", None, None)], CACHE)
     hit = geocode.apply_cache(stations, cache)
@@ -113,22 +132,32 @@ def test_geocode_cache(spark):
     waiting = geocode.backlog(hit, cache, ["id"])
     assert sorted(r["id"] for r in waiting.collect()) == [4, 6]
     assert geocode.take_turn(waiting, ["id"], limit=0).count() == 0 and {r["left_over"] for r in geocode.left_over(waiting, 0).collect()} == {1}
-    attempts = spark.createDataFrame([("SE", "k3", 5.0, 6.0), ("NO", "k1", None, None)], "country string, geo_key string, lat double, lon double")
+    attempts = spark.createDataFrame(
+        [("SE", "k3", 5.0, 6.0), ("NO", "k1", None, None)], "country string, geo_key string, lat double, lon double"
+    )
     assert geocode.grown_cache(cache, attempts).count() == 4
 
 
 def test_gazetteer(spark):
     gazetteer = spark.createDataFrame(
-        [("SE", "Storgatan", "Malmö", None, 1.0, 1.0, 2), ("SE", "Storgatan", "Malmö", None, 2.0, 2.0, 1), ("SE", None, "Malmö", None, 3.0, 3.0, 0), ("SE", None, None, "123", 4.0, 4.0, 0)],
+        [
+            ("SE", "Storgatan", "Malmö", None, 1.0, 1.0, 2), ("SE", "Storgatan", "Malmö", None, 2.0, 2.0, 1),
+            ("SE", None, "Malmö", None, 3.0, 3.0, 0), ("SE", None, None, "123", 4.0, 4.0, 0)
+        ],
         "country string, street string, city string, postal string, lat double, lon double, rank int")
     asked = spark.createDataFrame(
-        [(1, "SE", ("malmo", "STORGATAN", "")), (2, "SE", ("Malmö", "Other", "")), (3, "SE", ("Lund", "", "")), (4, "SE", ("", "x", "123")), (5, "SE", None), (6, "NO", ("Malmö", "", ""))],
+        [
+            (1, "SE", ("malmo", "STORGATAN", "")), (2, "SE", ("Malmö", "Other", "")), (3, "SE", ("Lund", "", "")),
+            (4, "SE", ("", "x", "123")), (5, "SE", None), (6, "NO", ("Malmö", "", ""))
+        ],
         "i int, country string, query struct<city: string, street: string, postal: string>")
     assert {r["i"]: r["lat"] for r in geocode.look_up(asked, gazetteer).collect()} == {1: 2.0, 2: 3.0, 3: None, 4: 4.0, 5: None, 6: None}
 
 
 def test_lookups(spark):
-    df = spark.createDataFrame([("Autobenzin", "95"), ("Autobenzin", ""), ("Autodiesel", "x"), ("Autodiesel", None), (None, None)], "t string, o string")
+    df = spark.createDataFrame(
+        [("Autobenzin", "95"), ("Autobenzin", ""), ("Autodiesel", "x"), ("Autodiesel", None), (None, None)], "t string, o string"
+    )
     from pumpwise.functions import dims
 
     got = [r[0] for r in df.select(lookup.with_wildcard(dims.DK_OCTANES, F.col("t"), F.col("o"))).collect()]
@@ -155,5 +184,8 @@ def test_radius_cover(spark):
         return 2 * 6371.0088 * asin(sqrt(h))
 
     want = {(i, g) for i, a, b in places for g, c, d in grid if km(a, b, c, d) <= 25}
-    got = geo.radius_cover(spark.createDataFrame(places, "id int, lat double, lon double"), spark.createDataFrame(grid, "g_id int, g_lat double, g_lon double"), 25.0)
+    got = geo.radius_cover(
+        spark.createDataFrame(places, "id int, lat double, lon double"),
+        spark.createDataFrame(grid, "g_id int, g_lat double, g_lon double"), 25.0
+    )
     assert {(r["id"], r["g_id"]) for r in got.collect()} == want and want

@@ -23,10 +23,15 @@ def test_files_index_and_counts(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir()) == ["country_code=it", "country_code=se"]
     back = publish.read_combined(spark, str(tmp_path / "out"))
     assert sorted(map(str, back.select(*STATION.fieldNames()).collect())) == sorted(map(str, rows.collect()))
-    sources = spark.createDataFrame([(0, "SE", "SEK", "x", 0.8), (1, "IT", "EUR", "y", 0.9), (2, "FR", "EUR", "z", 0.9)], "source_ord int, country string, currency string, source string, confidence double")
+    sources = spark.createDataFrame(
+        [(0, "SE", "SEK", "x", 0.8), (1, "IT", "EUR", "y", 0.9), (2, "FR", "EUR", "z", 0.9)],
+        "source_ord int, country string, currency string, source string, confidence double"
+    )
     metas = publish.metas(rows, sources, F.lit(AT))
     one = publish.index(metas, F.lit(AT)).first()
-    assert one["total_stations"] == 3 and [(m["country"], m["station_count"]) for m in one["countries"]] == [("SE", 1), ("IT", 2), ("FR", 0)]
+    assert one["total_stations"] == 3 and [
+        (m["country"], m["station_count"]) for m in one["countries"]
+    ] == [("SE", 1), ("IT", 2), ("FR", 0)]
     assert one["fetched_at"] == "2026-01-02T03:04:05.000000+00:00"
     publish.write_index(publish.index(metas, F.lit(AT)), str(tmp_path / "index"))
     documents = {r["country"]: json.loads(r["document"]) for r in publish.country_document(rows, metas).collect()}
@@ -36,7 +41,9 @@ def test_files_index_and_counts(spark, tmp_path):
 def test_cache_files(spark, tmp_path):
     assert publish.load_cache(spark, [str(tmp_path / "none")]).count() == 0
     spark.range(3).write.parquet(str(tmp_path / "odd"))
-    attempts = spark.createDataFrame([("SE", "k", 1.0, 2.0), ("SE", "f", None, None)], "country string, geo_key string, lat double, lon double")
+    attempts = spark.createDataFrame(
+        [("SE", "k", 1.0, 2.0), ("SE", "f", None, None)], "country string, geo_key string, lat double, lon double"
+    )
     path = publish.save_cache(spark.createDataFrame([("SE", "k", None, None)], CACHE), attempts, str(tmp_path / "cache"))
     got = publish.load_cache(spark, [str(tmp_path / "odd"), path])
     assert {tuple(r) for r in got.collect()} == {("SE", "k", 1.0, 2.0), ("SE", "f", None, None)}
@@ -50,7 +57,9 @@ def test_a_failing_source_leaves_the_others(spark, tmp_path):
 
 
 def test_history(spark, tmp_path):
-    pulls = spark.createDataFrame([("a", 1, 1.0, AT), ("a", 2, 1.5, AT), ("b", 1, 2.0, AT)], "k string, pull int, price double, at timestamp")
+    pulls = spark.createDataFrame(
+        [("a", 1, 1.0, AT), ("a", 2, 1.5, AT), ("b", 1, 2.0, AT)], "k string, pull int, price double, at timestamp"
+    )
     got = {(r["k"], r["pull"]): r["delta"] for r in history.price_changes(pulls, ["k"], ["pull"]).collect()}
     assert got == {("a", 1): None, ("a", 2): 0.5, ("b", 1): None}
     assert {tuple(r)[2:] for r in history.daily_summary(pulls, ["k"], "at").collect()} == {(2, 1.0, 1.5), (1, 2.0, 2.0)}
@@ -63,18 +72,26 @@ def test_history(spark, tmp_path):
 def _stations(batch):
     x = F.from_json("doc", "array<struct<id: string, city: string>>")
     rows = batch.select(F.posexplode(x).alias("ord", "x"))
-    return rows.select(F.lit("SE").alias("country"), "ord", "x.id", "x.city", F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
+    return rows.select(
+        F.lit("SE").alias("country"), "ord", "x.id", "x.city", F.lit(None).cast("double").alias("lat"),
+        F.lit(None).cast("double").alias("lon")
+    )
 
 
 def test_streamed_pulls_carry_the_cache(spark, tmp_path):
     landing, out, cache, check = (tmp_path / x for x in ("landing", "out", "cache", "check"))
     landing.mkdir()
-    gazetteer = spark.createDataFrame([("SE", None, c, None, float(i), 0.0, 0) for i, c in enumerate(("lund", "malmo", "umea"))], "country string, street string, city string, postal string, lat double, lon double, rank int")
+    gazetteer = spark.createDataFrame(
+        [("SE", None, c, None, float(i), 0.0, 0) for i, c in enumerate(("lund", "malmo", "umea"))],
+        "country string, street string, city string, postal string, lat double, lon double, rank int"
+    )
     query = F.struct(F.col("city").alias("city"), F.lit("").alias("street"), F.lit("").alias("postal"))
 
     def pull(n, *cities):
         (landing / f"{n}.json").write_text(json.dumps([{"id": f"{n}-{i}", "city": c} for i, c in enumerate(cities)]))
-        q = ingest_with_cache(landed(spark, str(landing)), _stations, gazetteer, F.col("city"), query, str(out), str(cache), str(check), ["ord"], limit=1)
+        q = ingest_with_cache(
+            landed(spark, str(landing)), _stations, gazetteer, F.col("city"), query, str(out), str(cache), str(check), ["ord"], limit=1
+        )
         q.awaitTermination()
         return {r["id"]: r["lat"] for r in spark.read.parquet(str(out / f"batch={n}")).collect()}
 

@@ -15,7 +15,10 @@ def values(spark, texts, expr):
     return [r["v"] for r in sorted(df.collect(), key=lambda r: r["i"])]
 
 
-NUMBERS = ["1.5", " 2 ", "", None, "-3", "+4.", ".5", "1e3", "1_000", "1.5d", "nan", "inf", "0x1", "1,5", "1.2.3", "--1", " 7 ", "abc", "True", "1 2"]
+NUMBERS = [
+    "1.5", " 2 ", "", None, "-3", "+4.", ".5", "1e3", "1_000", "1.5d", "nan", "inf", "0x1", "1,5", "1.2.3", "--1", " 7 ", "abc", "True",
+    "1 2"
+]
 
 
 def test_number(spark):
@@ -26,7 +29,9 @@ def test_number(spark):
 
 
 def test_valid_price(spark):
-    df = spark.createDataFrame([(x,) for x in (1.5, 0.0, -1.0, float("nan"), None)], "p double").select(S.valid_price(F.col("p")).alias("v"))
+    df = spark.createDataFrame(
+        [(x,) for x in (1.5, 0.0, -1.0, float("nan"), None)], "p double"
+    ).select(S.valid_price(F.col("p")).alias("v"))
     assert [r["v"] for r in df.collect()] == [True, False, False, False, False]
 
 
@@ -36,14 +41,18 @@ def brute_key(t):
 
 def test_norm_key(spark):
     rng = random.Random(1)
-    texts = ["Tromsø", "Łódź", "Straße", "Malmö Öst 7", "ÀÉÎõü", "İstanbul", "Kelvin", "", "ﬁ", "①"] + ["".join(chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(0x1E00, 0x1F00)])) for _ in range(12)) for _ in range(400)]
+    texts = ["Tromsø", "Łódź", "Straße", "Malmö Öst 7", "ÀÉÎõü", "İstanbul", "Kelvin", "", "ﬁ", "①"] + [
+        "".join(chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(0x1E00, 0x1F00)])) for _ in range(12)) for _ in range(400)
+    ]
     got = values(spark, texts, S.norm_key)
     assert got[:4] == ["troms", "odz", "strae", "malmoost7"]
     assert got == [brute_key(t) for t in texts]
 
 
 def test_brand_key(spark):
-    assert values(spark, ["Shell Express", " Statoil", "", None, "  ", "Öl-Depot X"], S.brand_key) == ["st1", "circlek", "", "", "", "oldepot"]
+    assert values(
+        spark, ["Shell Express", " Statoil", "", None, "  ", "Öl-Depot X"], S.brand_key
+    ) == ["st1", "circlek", "", "", "", "oldepot"]
 
 
 def brute_composite(text):
@@ -76,16 +85,26 @@ def brute_address(text):
 
 def test_addresses(spark):
     rng = random.Random(4)
-    texts = [None, "", "Dronningemaen 34 Svendborg 5700 Danmark"] + [" ".join(rng.choices(["Vej", "12", "By", "5700", "123", "99999", "X1234"], k=rng.randint(0, 6))) for _ in range(300)]
+    texts = [None, "", "Dronningemaen 34 Svendborg 5700 Danmark"] + [
+        " ".join(rng.choices(["Vej", "12", "By", "5700", "123", "99999", "X1234"], k=rng.randint(0, 6))) for _ in range(300)
+    ]
     assert [tuple(v) for v in values(spark, texts, S.parse_address)] == [brute_address(t) for t in texts]
 
 
 def test_small_parsers(spark):
-    assert [tuple(v) for v in values(spark, ["a__b__c", "x", "__y", "p__", "é__ü\n__z"], S.rsplit_key)] == [("a__b", "c"), ("", ""), ("", "y"), ("p", ""), ("é__ü\n", "z")]
-    assert [tuple(v) for v in values(spark, ["Neste, Main 1, X", "Neste", ", y"], S.split_comma)] == [("Neste", "Main 1, X"), ("Neste", ""), ("", "y")]
-    assert [tuple(v) for v in values(spark, ["Abc (Re85 1.649)", "Abc (Re85 1.2.3) d", "Abc"], S.embedded_price)] == [("Abc", 1.649), ("Abc  d", None), ("Abc", None)]
+    assert [
+        tuple(v) for v in values(spark, ["a__b__c", "x", "__y", "p__", "é__ü\n__z"], S.rsplit_key)
+    ] == [("a__b", "c"), ("", ""), ("", "y"), ("p", ""), ("é__ü\n", "z")]
+    assert [
+        tuple(v) for v in values(spark, ["Neste, Main 1, X", "Neste", ", y"], S.split_comma)
+    ] == [("Neste", "Main 1, X"), ("Neste", ""), ("", "y")]
+    assert [
+        tuple(v) for v in values(spark, ["Abc (Re85 1.649)", "Abc (Re85 1.2.3) d", "Abc"], S.embedded_price)
+    ] == [("Abc", 1.649), ("Abc  d", None), ("Abc", None)]
     assert values(spark, [" - ", "-", "", "  ", None, " 1,5"], S.sentinel_to_null) == [None, None, None, None, None, "1,5"]
-    assert [tuple(v) for v in values(spark, ["MalmöStorgatan", "abc", "StockholmVasaGatan", ""], S.split_camel)] == [("Malm", "Storgatan"), ("abc", ""), ("Stockholm", "Vasa Gatan"), ("", "")]
+    assert [
+        tuple(v) for v in values(spark, ["MalmöStorgatan", "abc", "StockholmVasaGatan", ""], S.split_camel)
+    ] == [("Malm", "Storgatan"), ("abc", ""), ("Stockholm", "Vasa Gatan"), ("", "")]
 
 
 def test_points(spark):
@@ -109,8 +128,12 @@ def test_points(spark):
 
 
 def test_geocode_query(spark):
-    rows = [("Oulu", "Road 1", "90"), ("Shell", "Road 1", "90"), ("4-tie", "", ""), ("Keha_ I", "R", ""), (None, None, "1"), ("", "R", None)]
-    df = spark.createDataFrame(rows, "c string, s string, p string").select(S.geocode_query(F.col("c"), F.col("s"), F.col("p"), ["Shell"]).alias("q"))
+    rows = [
+        ("Oulu", "Road 1", "90"), ("Shell", "Road 1", "90"), ("4-tie", "", ""), ("Keha_ I", "R", ""), (None, None, "1"), ("", "R", None)
+    ]
+    df = spark.createDataFrame(rows, "c string, s string, p string").select(
+        S.geocode_query(F.col("c"), F.col("s"), F.col("p"), ["Shell"]).alias("q")
+    )
     got = [r["q"] and tuple(r["q"]) for r in df.collect()]
     assert got == [("Oulu", "Road 1", ""), ("", "Road 1", "90"), None, ("", "R", ""), None, ("", "R", "")]
 
