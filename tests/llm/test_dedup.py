@@ -27,7 +27,10 @@ def lower(t):
 @pytest.mark.parametrize("weak", [False, True])
 @pytest.mark.parametrize("keep", ["min", "max"])
 def test_exact_dedup(spark, keep, weak):
-    texts = [(3, "Ab"), (1, "aB"), (2, None), (7, ""), (5, "É"), (6, "é"), (None, "ab"), (9, "x" * 100_000), (8, "X" * 100_000), (9, "y"), (9, "y")]
+    texts = [
+        (3, "Ab"), (1, "aB"), (2, None), (7, ""), (5, "É"), (6, "é"), (None, "ab"), (9, "x" * 100_000), (8, "X" * 100_000), (9, "y"),
+        (9, "y")
+    ]
     weak_hash = {"content_hash": lambda c: F.lit("00")} if weak else {}  # all texts collide
     got = exact_dedup(table(spark, texts), keep=keep, **weak_hash).collect()
     want = []
@@ -131,7 +134,9 @@ def test_line_dedup(spark):
     pool = [" ".join(rng.choices("abcdef", k=rng.randint(1, 6))) for _ in range(12)] + ["", "  "]
     texts = [(i, "\n".join(rng.choices(pool, k=rng.randint(0, 9)))) for i in range(60)]
     passage = "\n".join(["p q r", "", "s t u v", "w x"])
-    texts += [(100 + i, f"own{i}\n{passage}\ntail{i}") for i in range(20)] + [(100, f"own0\n{passage}\ntail0"), (500, None), (501, "\n\n"), (None, passage)]
+    texts += [(100 + i, f"own{i}\n{passage}\ntail{i}") for i in range(20)] + [
+        (100, f"own0\n{passage}\ntail0"), (500, None), (501, "\n\n"), (None, passage)
+    ]
     gone = brute_lines(texts, 6)
     assert sum(map(len, gone.values())) > 100
     got = line_dedup(table(spark, texts), min_words=6).collect()

@@ -34,7 +34,9 @@ def test_quality_on_held_out_labels(spark):
 
 def test_quality_learns_from_allowed_rows_only(spark):
     docs, labels = read_table(spark, SF, "documents"), read_table(spark, SF, "labels")
-    flipped = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id"), 3, 1), 1 - F.col("quality")).otherwise(F.col("quality")))
+    flipped = labels.withColumn(
+        "quality", F.when(quality.held_out(F.col("doc_id"), 3, 1), 1 - F.col("quality")).otherwise(F.col("quality"))
+    )
     a, b = quality.fit_quality(docs, labels), quality.fit_quality(docs.withColumn("lang", F.lit("q")), flipped)
     assert np.array_equal(a.weights, b.weights) and a.cut == b.cut
 
@@ -78,14 +80,23 @@ def brute_base(text):
 
 
 RANDOM = ["ghp_16C7e42F292c6912E7710c838347Ae178B4a", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "dGhpcyBpcyBhIHRlc3Qgb2YgYmFzZTY0"]
-HARMLESS = ["internationalization_configuration_manager", "550e8400-e29b-41d4-a716-446655440000", "D41D8CD98F00B204E9800998ECF8427E", "2024-01-31-12345678901234567890", "Thththionwhstinererlyandoreble"]
+HARMLESS = [
+    "internationalization_configuration_manager", "550e8400-e29b-41d4-a716-446655440000", "D41D8CD98F00B204E9800998ECF8427E",
+    "2024-01-31-12345678901234567890", "Thththionwhstinererlyandoreble"
+]
 
 
 def test_secrets(spark):
     rng = random.Random(6)
-    bits = ["token", "Secret", "PASSWORD", "api_key", "apikey", "ſecret", '"', "'", " ", "=", ":", "abc", "01234567", "f" * 40, "AKIA", "AKIAABCDEFGHIJKL", "é", "😀", "\n", "a1" * 20, "-", "/"]
+    bits = [
+        "token", "Secret", "PASSWORD", "api_key", "apikey", "ſecret", '"', "'", " ", "=", ":", "abc", "01234567", "f" * 40, "AKIA",
+        "AKIAABCDEFGHIJKL", "é", "😀", "\n", "a1" * 20, "-", "/"
+    ]
     texts = [(i, "".join(rng.choices(bits, k=rng.randint(0, 25)))) for i in range(300)]
-    texts += [(400, None), (401, ""), (402, "x" * 200_000 + " token=abcdefgh"), (403, "token=abc secret=token:abcdefghij"), (None, "passwd: 12345678"), (404, "password = 'hunter2x' and"), (404, "password = 'hunter2x' and")]
+    texts += [
+        (400, None), (401, ""), (402, "x" * 200_000 + " token=abcdefgh"), (403, "token=abc secret=token:abcdefghij"),
+        (None, "passwd: 12345678"), (404, "password = 'hunter2x' and"), (404, "password = 'hunter2x' and")
+    ]
     got = secrets.scan_secrets(table(spark, texts)).collect()
     want = Counter()
     for i, t in texts:

@@ -39,7 +39,10 @@ def test_shards(spark, limit):
     rng = random.Random(2)
     rows = [(i, "é" * rng.randint(0, 40)) for i in range(120)] + [(900, "z" * 5000), (None, None), (None, "q"), (1000, "")]
     repeated = [(901, "r" * 50)] * 9
-    got = extendible_shards(spark.createDataFrame([(i, t, "x", "y") for i, t in rows + repeated], "doc_id bigint, text string, cell string, shard string"), limit).collect()
+    got = extendible_shards(
+        spark.createDataFrame([(i, t, "x", "y") for i, t in rows + repeated], "doc_id bigint, text string, cell string, shard string"),
+        limit
+    ).collect()
     assert len(got) == len(rows) + len(repeated)
     want = brute_shards(rows + repeated, limit)
     names = Counter((r["doc_id"], r["n_bytes"], re.sub("-.*", "", r["shard"])) for r in got)
@@ -66,7 +69,9 @@ def grams(text):
 def test_contained_items(spark):
     rng = random.Random(7)
     vocab = [f"v{i}" for i in range(60)]
-    items = [(k, " ".join(rng.choices(vocab, k=rng.choice([1, 3, 5, 6, 9, 14, 30, 59])))) for k in range(40)] + [(77, None), (78, ""), (79, "Alpha beta, GAMMA delta epsilon!"), (0, "two rows one item here now")]
+    items = [(k, " ".join(rng.choices(vocab, k=rng.choice([1, 3, 5, 6, 9, 14, 30, 59])))) for k in range(40)] + [
+        (77, None), (78, ""), (79, "Alpha beta, GAMMA delta epsilon!"), (0, "two rows one item here now")
+    ]
     docs = []
     for i in range(80):
         words = rng.choices(vocab, k=rng.choice([0, 4, 50, 400]))
@@ -77,7 +82,10 @@ def test_contained_items(spark):
             at = rng.randint(0, len(words))
             words[at:at] = part
         docs.append((i, " ".join(words)))
-    docs += [(200, "say: alpha BETA gamma; delta epsilon."), (201, None), (None, "alpha beta gamma delta epsilon"), (5, docs[6][1]), (202, items[0][1])]
+    docs += [
+        (200, "say: alpha BETA gamma; delta epsilon."), (201, None), (None, "alpha beta gamma delta epsilon"), (5, docs[6][1]),
+        (202, items[0][1])
+    ]
     dg, ig = defaultdict(set), defaultdict(set)
     for i, t in docs:
         dg[i] |= grams(t)
@@ -107,7 +115,9 @@ def brute_fill(budget, children):
 @pytest.mark.parametrize("budget", [0, 7, 1000, 3300, 10**6])
 def test_leaf_budgets(spark, budget):
     rng = random.Random(budget)
-    leaves = [(d, l, s, rng.choice([0, 5, 60, 700])) for d in "ab" for l in ("en", "de", "xx") for s in ("s1", "s2", "s3") if rng.random() < 0.8]
+    leaves = [
+        (d, l, s, rng.choice([0, 5, 60, 700])) for d in "ab" for l in ("en", "de", "xx") for s in ("s1", "s2", "s3") if rng.random() < 0.8
+    ]
     weights = {"domain": {"a": 3}, "lang": {"en": 4, "de": 2, "xx": 0}, "source": {"s2": 5}}
     frame = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens bigint")
     got = {tuple(r)[:3]: r["alloc"] for r in leaf_budgets(frame, budget, weights, 2).collect()}
@@ -128,8 +138,15 @@ def test_leaf_budgets(spark, budget):
 
 def test_mix_sources(spark):
     rng = random.Random(4)
-    docs = [(i, " ".join(["w"] * rng.randint(0, 30)), rng.choice(["en", "de", None]), rng.choice(["s0", "s0", "s0", "s1", None]), "m") for i in range(400)]
-    docs += [(7, "again w w", "en", "s0", "m"), (None, "w w", "en", "s0", "m"), (999, None, "en", "s0", "m"), (1000, "only " * 50, "fr", "s9", "m")]
+    docs = [
+        (
+            i, " ".join(["w"] * rng.randint(0, 30)), rng.choice(["en", "de", None]), rng.choice(["s0", "s0", "s0", "s1", None]), "m"
+        ) for i in range(400)
+    ]
+    docs += [
+        (7, "again w w", "en", "s0", "m"), (None, "w w", "en", "s0", "m"), (999, None, "en", "s0", "m"),
+        (1000, "only " * 50, "fr", "s9", "m")
+    ]
     frame = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, times string")
     args = (F.lit("d"), {"lang": {"de": 5}}, 0.7, 2, 11)
     plan = {tuple(r)[:3]: r for r in mixing_plan(frame, *args).collect()}
@@ -161,8 +178,10 @@ def test_mix_sources(spark):
 
 def test_rotation(spark):
     rows = [
-        (1, 0, "system", "Be kind."), (1, 1, "ann", "Hi é"), (1, 2, "bob", "Yo"), (1, 2, "bob", "Yo"), (1, 3, "cy", None), (1, None, None, "first"),
-        (2, 5, "ann", ""), (3, 0, "system", "alone"), (None, 1, "x", "null conv"), *((4, i, "ab"[i % 2], "t" * (i % 7)) for i in range(300)),
+        (1, 0, "system", "Be kind."), (1, 1, "ann", "Hi é"), (1, 2, "bob", "Yo"), (1, 2, "bob", "Yo"), (1, 3, "cy", None),
+        (1, None, None, "first"),
+        (2, 5, "ann", ""), (3, 0, "system", "alone"), (None, 1, "x", "null conv"),
+        *((4, i, "ab"[i % 2], "t" * (i % 7)) for i in range(300)),
     ]
     frame = spark.createDataFrame([(*r, "p") for r in rows], "conv_id bigint, turn bigint, role string, text string, perspective string")
     got = rotate_perspectives(frame).collect()

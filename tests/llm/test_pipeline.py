@@ -26,7 +26,9 @@ def corpus(spark, tmp_path_factory):
         docs.append((10_000 + k, t.replace(" ", "\n", 1), l, None, n))
         docs.append((20_000 + k, f"{t}\n{bench[k]}", None, s, n))
     docs += [docs[3], (30_000, None, None, None, None), (None, docs[5][1], "en", "src1", 5)]
-    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(
+        docs, "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    ).write.parquet(f"{sf}/documents.parquet")
     for name in ("labels", "benchmark"):
         read_table(spark, source, name).write.parquet(f"{sf}/{name}.parquet")
     return sf
