@@ -40,7 +40,9 @@ def rotate_perspectives(
         F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")).alias("speaker"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    voices = rows.where(~F.col("speaker").isin(*scene_roles)).select(F.col("conv").alias("c"), F.col("speaker").alias("perspective")).distinct()
+    voices = rows.where(~F.col("speaker").isin(*scene_roles)).select(
+        F.col("conv").alias("c"), F.col("speaker").alias("perspective")
+    ).distinct()
     both = rows.join(voices, F.col("conv").eqNullSafe(F.col("c"))).drop("c")
     own, scene = F.col("speaker") == F.col("perspective"), F.col("speaker").isin(*scene_roles)
     role = F.when(own, "assistant").when(scene, F.col("speaker")).otherwise("user")

@@ -89,7 +89,9 @@ def contained_items(
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_contaminated(
+    docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """The rows of docs whose id is in no pair of contained_items; all columns as they are."""
     found = contained_items(docs, items, containment, id_col, text_col).select(F.col(id_col).alias("__found")).distinct()
     return join_on_id(docs, broadcast_up_to(checkpoint(found), MAX_BROADCAST_ROWS), id_col, "__found", "left_anti")

@@ -149,7 +149,9 @@ def mix_sources(
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     mixed = mix_sources(docs, source_domain(), WEIGHTS, SHARE, MAX_EPOCHS, SEED)
-    rows = mixed.select("doc_id", *(_leaf(x, source_domain()).alias(x) for x in LEVELS), F.size(words_of(text_or_empty())).alias("n_tokens"), "times")
+    rows = mixed.select(
+        "doc_id", *(_leaf(x, source_domain()).alias(x) for x in LEVELS), F.size(words_of(text_or_empty())).alias("n_tokens"), "times"
+    )
     return rows.select("doc_id", *LEVELS, "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("epoch"))
 
 

@@ -50,7 +50,8 @@ def features(text: str, classes: np.ndarray) -> list[float]:
     return [
         (count[_UPPER] + PRIOR_CAPITALS) / (letters + PRIOR_CHARS),
         *(count[k] / (filled + PRIOR_CHARS) for k in (_DIGIT, _STOP, _SHOUT, _SYMBOL)),
-        (filled + PRIOR_CHARS) / (n + PRIOR_CHARS / 6), again, marked, np.log(distinct + 1.0) / np.log(n + 1.0), np.log(n), len(set(lines)) / len(lines),
+        (filled + PRIOR_CHARS) / (n + PRIOR_CHARS / 6), again, marked, np.log(distinct + 1.0) / np.log(n + 1.0), np.log(n),
+        len(set(lines)) / len(lines),
         np.log(n / len(lines)), sum(w.isupper() and len(w) > 1 for w in words) / n, float(n > 0),
     ]
 
@@ -108,9 +109,13 @@ def held_out(id_col: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ranking | None:
+def fit_quality(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
+) -> Ranking | None:
     """Fit on labelled documents that are not held out (CRC-32 of the id mod 3 is not 1), at most MAX_FIT_ROWS of them."""
-    chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
+    chosen = labels.select(
+        F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")
+    ).where("id IS NOT NULL AND label IN (0, 1)")
     chosen = chosen.where(~held_out(F.col("id"), 3, 1)).groupBy("id").agg(F.min("label").alias("label"))
     chosen = chosen.orderBy(F.crc32(F.col("id").cast("string").cast("binary")), "id").limit(MAX_FIT_ROWS)
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "id")

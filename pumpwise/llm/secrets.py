@@ -15,7 +15,10 @@ from pumpwise.llm.common import by_characters, read_table, text_or_empty
 
 #: Kinds in the order of ties: pattern, group whose length counts, least length.
 BASE_KINDS = {
-    "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE), 2, 8),
+    "assign": (
+        re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE), 2,
+        8
+    ),
     "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 16),
     # A run of 32 or more: the same as the runs of any length, less the shorter ones.
     "hex": (re.compile(r"[0-9a-f]{32,}"), 0, 32),
@@ -104,7 +107,10 @@ def scan_secrets(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "d
                     for k in kinds:
                         counts[k].append(sum(x[2] == k for x in both))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array(counts[k], pa.int64()) for k in kinds), pa.array(base, pa.string()), pa.array(spans, pa.string())],
+                    [
+                        part.column(0), *(pa.array(counts[k], pa.int64()) for k in kinds), pa.array(base, pa.string()),
+                        pa.array(spans, pa.string())
+                    ],
                     names=["id", *(f"n_{k}" for k in kinds), "base_spans", "spans"],
                 )
 
