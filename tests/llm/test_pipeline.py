@@ -75,3 +75,14 @@ def test_stages(spark, corpus):
     assert sorted((str(r["doc_id"]), r["shard"]) for r in got) == sorted((str(i), s) for (i, _), s in shards.items())
     whole = corpus_pipeline.run(spark, corpus).collect()
     assert sorted(map(key, whole)) == sorted(map(key, got))
+
+
+def test_stages_on_nothing_and_on_nulls(spark, corpus):
+    """An empty table gives an empty one; a document of nulls passes or goes by the same rules as any other."""
+    docs = read_table(spark, corpus, "documents")
+    nulls = spark.createDataFrame([(None, None, None, None, None), (None, None, None, None, None)], docs.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), corpus).count() == 0, name
+        left = stage(spark, nulls, corpus).count()
+        # Equal rows are one near-duplicate group; a leaf without tokens is not mixed; the rest is clean.
+        assert left == {"quality": 2, "near_dedup": 1, "decontaminate": 2, "mix": 0, "shard": 2}[name], name
