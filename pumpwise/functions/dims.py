@@ -109,3 +109,7 @@ DE_GRID = [
     (52.1205, 11.6276), (50.9272, 11.5861), (53.4285, 14.5528), (54.5086, 13.6), (50.0755, 14.4378), (51.36, 10.0), (49.7, 9.95),
     (50.57, 9.68),
 ]
+# All countries in the order of publication.
+COUNTRY_ORDER = (
+    "SE NO DK FI IS DE FR ES AD PT NL BE LU CH LI AT CZ SK PL HU IT MT SI HR BA ME RS XK MK AL GR CY EE LV LT RO BG MD"
+).split()

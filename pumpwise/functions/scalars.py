@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Mapping
@@ -55,6 +56,7 @@ def sentinel_to_null(c: Column, sentinel: str = "-") -> Column:
     return F.nullif(nonblank(strip(c)), F.lit(sentinel))
 
 
+@functools.cache
 def _fold_table() -> tuple[str, str]:
     """Characters whose decomposed lower-case form keeps exactly one letter or digit of ASCII, and that one."""
     pairs = {}

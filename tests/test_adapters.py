@@ -308,3 +308,25 @@ def test_rates(spark):
 @pytest.mark.parametrize("country", sorted(A.ADAPTERS))
 def test_every_adapter_has_a_source(country):
     assert country in {s[0] for s in dims.SOURCES}
+
+
+def test_a_whole_run(spark, tmp_path):
+    """Own sources, the feed that adds or stands in, a broken source; then the index."""
+    from pumpwise.plans import publish, run
+
+    euro = {"fuelType": "DIESEL", "value": 1.5}
+    feed = {"value": [poi("n", "NLD", [euro]), poi("d", "DNK", [euro], 55.5, 10.0), poi("e", "ESP", [euro], 40.0, -3.0), poi("g", "DEU", [euro], 50.0, 10.0)]}
+    area = {"ok": True, "stations": [{"id": "u", "lat": 48.4, "lng": 9.9, "e5": 1.8}]}
+    broken = docs(spark, "[]").withColumn("doc", F.raise_error(F.lit("gone")).cast("string"))
+    raw = {
+        "POI": {"stations": docs(spark, feed)}, "DE": {"areas": docs(spark, area, shard_ord=[0])}, "FR": {"stations": broken},
+        "IS": {"stations": docs(spark, [{"key": "k", "diesel": 300}])},
+    }
+    rates = spark.createDataFrame([("DKK", 7.5)], "currency string, rate double")
+    rows, status = publish.run_all(spark, run.sources_of(spark, raw, rates, NOW), str(tmp_path / "staging"))
+    got = stations(rows)
+    assert set(got) == {"nl_n", "dk_d", "es_e", "de_u", "is_k"} and prices(got["dk_d"]) == [("DIESEL", 11.25, "DKK", "L")]
+    assert {r["country"]: r["available"] for r in status.collect()} == {"POI": True, "DE": True, "FR": False, "IS": True}
+    one = publish.index(publish.metas(rows, run.source_dim(spark), NOW), NOW).first()
+    assert one["total_stations"] == 5 and [m["country"] for m in one["countries"]] == dims.COUNTRY_ORDER
+    assert run.poi_scope({"DE": True, "ES": True}) == [c[0] for c in dims.POI_COUNTRIES if c[0] not in ("DE", "ES")]
