@@ -88,7 +88,7 @@ def split_comma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", S.split_comma(text).alias("x")).select("p_partkey", "x.*")
 
 
-@REGISTRY.add("SELECT p_partkey, p_name AS rest, CASE WHEN p_size % 3 > 0 THEN 1.5 + p_size END AS price FROM part")
+@REGISTRY.add("SELECT p_partkey, p_name AS rest, CASE WHEN p_size % 3 > 0 THEN 1.5::DOUBLE + p_size END AS price FROM part")
 def embedded_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A price inside a name (SCL-11)."""
     size = F.col("p_size")
