@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pumpwise.llm.common import ascii_lower, read_table, text_or_empty
+from pumpwise.llm.common import ascii_lower, checkpoint, read_table, text_or_empty
 
 
 def exact_dedup(
@@ -42,6 +42,8 @@ def exact_dedup(
         .groupBy("h", "sha")
         .agg(pick("keep_id").alias("keep_id"), distinct.alias("group_size"))
     )
+    # Written out, so that Spark may split a hot class's rows in the join; under an aggregate it could not.
+    labels = checkpoint(labels)
     rows = keyed.select("id", "h", F.unhex(F.sha2("norm", 256)).alias("sha"))
     return rows.join(labels, ["h", "sha"]).select(
         F.col("id").alias(id_col),
