@@ -42,13 +42,17 @@ def fingerprint(text: str, width: int = WIDTH, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, width: int = WIDTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, row_key (64-bit hash of id and text) and fp (the fingerprint as a signed 64-bit number) of each row."""
-    rows = docs.select(F.col(id_col).alias("id"), ascii_lower(text_or_empty(text_col)).alias("text"), row_key(id_col, text_col).alias("row_key"))
+    rows = docs.select(
+        F.col(id_col).alias("id"), ascii_lower(text_or_empty(text_col)).alias("text"), row_key(id_col, text_col).alias("row_key")
+    )
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_characters(batch):
                 fps = np.array([fingerprint(t, width, seed) for t in part.column(1).to_pylist()], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(fps.view(np.int64))], names=["id", "row_key", "fp"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(2), pa.array(fps.view(np.int64))], names=["id", "row_key", "fp"]
+                )
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(of_batches, f"id {kind}, row_key bigint, fp bigint")
@@ -70,19 +74,27 @@ def _masks(bits: int, most: int) -> list[list[int]]:
     return [[m for m in range(1 << bits) if m.bit_count() <= most - e] for e in range(most + 1)]
 
 
-def _descend_dense(pairs: DataFrame, children: DataFrame, bits: int, most: int) -> DataFrame:
-    """One step down where nearly all nodes exist: flip the bits that the budget still allows, keep the nodes that exist."""
+def _descend_dense(pairs: DataFrame | None, children: DataFrame, bits: int, most: int) -> DataFrame:
+    """One step down where nearly all nodes exist: flip the bits that the budget still allows, keep the nodes that exist.
+
+    pairs is None at the root, which is paired with itself.
+    """
     low = (1 << bits) - 1
     masks = F.lit(None).cast("array<bigint>")
     for e, some in enumerate(_masks(bits, most)):
         masks = F.when(F.col("err") == e, F.array(*(F.lit(m).cast("long") for m in some))).otherwise(masks)
-    left = pairs.join(children.select(F.col("up").alias("a"), F.col("node").alias("x"), "many"), "a")
+    own = children.select(F.col("up").alias("a"), F.col("node").alias("x"), "many")
+    left = own.withColumns({"b": F.col("a"), "err": F.lit(0)}) if pairs is None else pairs.join(own, "a")
     left = left.select("a", "b", "x", "many", "err", F.explode(masks).alias("mask"))
     y = F.shiftleft("b", bits).bitwiseOR(F.col("x").bitwiseAND(F.lit(low)).bitwiseXOR(F.col("mask")))
-    left = left.select("x", y.alias("y"), "many", (F.col("err") + F.bit_count("mask")).alias("err"), (F.col("a") == F.col("b")).alias("same"))
+    left = left.select(
+        "x", y.alias("y"), "many", (F.col("err") + F.bit_count("mask")).alias("err"), (F.col("a") == F.col("b")).alias("same")
+    )
     # Of the children of one node, each pair once; a child with itself only while it has two keys.
     left = left.where(~F.col("same") | (F.col("x") < F.col("y")) | ((F.col("x") == F.col("y")) & F.col("many")))
-    return left.join(children.select(F.col("node").alias("y")), "y", "left_semi").select(F.col("x").alias("a"), F.col("y").alias("b"), "err")
+    return left.join(
+        children.select(F.col("node").alias("y")), "y", "left_semi"
+    ).select(F.col("x").alias("a"), F.col("y").alias("b"), "err")
 
 
 def _descend_sparse(pairs: DataFrame, children: DataFrame, most: int) -> DataFrame:
@@ -111,7 +123,7 @@ def close_pairs(keys: DataFrame, budget: int = BUDGET) -> DataFrame:
     for turn in (0, _HALF):
         turned = F.col("key") if not turn else F.shiftleft("key", turn).bitwiseOR(F.shiftrightunsigned("key", 64 - turn))
         trie = keys.select(turned.alias("key"))
-        pairs, above = keys.sparkSession.sql("SELECT 0L AS a, 0L AS b, 0 AS err"), 0
+        pairs, above = None, 0
         for depth in DEPTHS:
             children = _nodes(trie, above, depth)
             if depth <= _HALF:
@@ -138,9 +150,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     state = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        # Minima are written out, so that Spark may split a hub's rows in the joins; under an aggregate it could not.
+        least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
+        large = checkpoint(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
         hooked = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = checkpoint(hooked.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -157,11 +170,13 @@ def _grouped(docs: DataFrame, budget: int, width: int, seed: int, id_col: str, t
     distinct = checkpoint(rows.groupBy("fp").agg(F.min("id").alias("least")))
     roots = connected_components(close_pairs(distinct.select(F.col("fp").alias("key")), budget))
     labelled = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = checkpoint(labelled.groupBy("root").agg(F.min("least").alias("component_id")))
     return rows.join(labelled.join(least, "root").select("fp", "root", "component_id"), "fp")
 
 
-def near_duplicates(docs: DataFrame, budget: int = BUDGET, width: int = WIDTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, budget: int = BUDGET, width: int = WIDTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """One row per row of docs: id, fingerprint (16 hex digits), component_id (the least id reachable over links).
 
     Texts are lower-cased in A-Z and cut at white space; rows link if their fingerprints differ in at most budget bits.
@@ -174,7 +189,9 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, width: int = WIDTH, s
     return grouped.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, budget: int = BUDGET, width: int = WIDTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_of_each(
+    docs: DataFrame, budget: int = BUDGET, width: int = WIDTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """The rows of docs that stand for their component: the one with its least id; all columns as they are.
 
     Of several texts with that id, the one with the least hash stays; of rows equal in id and text, any one.
