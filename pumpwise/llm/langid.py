@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pumpwise.llm.common import by_characters, read_table, text_or_empty
+from pumpwise.llm.common import by_characters, checkpoint, read_table, text_or_empty
 from pumpwise.llm.quality import held_out
 
 #: Letters by script, as Unicode block ranges (fixed values); any other letter is of the last, unnamed script.
@@ -154,7 +154,9 @@ def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The counts are summed in each task, then by language and bucket; what reaches the driver is bounded by BUCKETS
     and MAX_LANGUAGES (more languages stop the job).  Every counted language weighs the same.
     """
-    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), text_or_empty(text_col).alias("text"), held_out(F.col(id_col), 4, 2).alias("out"))
+    rows = docs.select(
+        F.col(lang_col).cast("string").alias("lang"), text_or_empty(text_col).alias("text"), held_out(F.col(id_col), 4, 2).alias("out")
+    )
     rows = rows.where("lang IS NOT NULL AND NOT out").select("lang", "text")
     scripts = len(SCRIPT_RANGES) + 1
 
@@ -171,22 +173,29 @@ def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     into[BUCKETS:] += np.bincount(words.script, minlength=scripts)
         for lang, into in counts.items():
             slot = np.flatnonzero(into)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(slot), pa.string()), pa.array(slot, pa.int32()), pa.array(into[slot])], names=["lang", "slot", "n"])
-
-    summed = rows.mapInArrow(of_batches, "lang string, slot int, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
-    most = MAX_LANGUAGES * (BUCKETS + scripts)
-    got = summed.limit(most + 1).toPandas()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(slot), pa.string()), pa.array(slot, pa.int32()), pa.array(into[slot])], names=["lang", "slot", "n"]
+            )
+
+    summed = checkpoint(rows.mapInArrow(of_batches, "lang string, slot int, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n")))
+    if (languages := summed.select("lang").distinct().count()) > MAX_LANGUAGES:
+        raise ValueError(f"{languages} languages; the model takes {MAX_LANGUAGES}")
+    got = summed.toPandas()
     names = tuple(sorted(got["lang"].unique()))
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     counts = np.zeros((BUCKETS + scripts, len(names)))
-    counts[got["slot"].to_numpy(dtype=int), np.searchsorted(np.array(names, dtype=object), got["lang"].to_numpy(dtype=object))] = got["n"].to_numpy()
+    counts[
+        got["slot"].to_numpy(dtype=int), np.searchsorted(np.array(names, dtype=object), got["lang"].to_numpy(dtype=object))
+    ] = got["n"].to_numpy()
     grams, used = counts[:BUCKETS], counts[BUCKETS:]
-    weights = np.log((grams + 0.5) / (grams.sum(axis=0) + 0.5 * BUCKETS)).astype(np.float32) if names else np.zeros((BUCKETS, 0), np.float32)
+    weights = np.log(
+        (grams + 0.5) / (grams.sum(axis=0) + 0.5 * BUCKETS)
+    ).astype(np.float32) if names else np.zeros((BUCKETS, 0), np.float32)
     return Languages(names, weights, used >= SCRIPT_SHARE * np.maximum(1, used.sum(axis=0)))
 
 
-def identify_languages(docs: DataFrame, model: Languages, penalty: float = SWITCH_PENALTY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify_languages(
+    docs: DataFrame, model: Languages, penalty: float = SWITCH_PENALTY, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """One row per row of docs: id, lang_pred, score, spans (lang:start:end in code points of the lower-cased text, comma-joined).
 
     Each word (run of letters) scores its n-grams in the languages that use its script; the best path over the words, a
