@@ -63,7 +63,10 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
     rows = rows.repartition("id", "th").dropDuplicates(["id", "th", "pos"])
     windows = _windows(rows, min_words).withColumn("at", F.struct("id", "th", "first"))
     anchors = windows.groupBy("fp", "body").agg(F.min("at").alias("anchor"), F.max("at").alias("latest")).where("anchor < latest")
-    later = windows.join(anchors.drop("latest"), ["fp", "body"]).where("at > anchor").select("id", "th", "first", "last")
+    anchors = anchors.select("anchor", F.col("fp").alias("afp"), F.col("body").alias("abody"), F.xxhash64("fp", "body").alias("akey"))
+    # The last key has a value of its own, so that Spark shuffles both sides for the join and may split a hot window's rows.
+    same = (F.col("fp") == F.col("afp")) & (F.col("body") == F.col("abody")) & (F.xxhash64("fp", "body") == F.col("akey"))
+    later = windows.join(anchors, same).where("at > anchor").select("id", "th", "first", "last")
     # Extend both ways: windows that overlap or touch are parts of one run.
     reach = "max(last) OVER (PARTITION BY id, th ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     marked = later.withColumn("opens", F.expr(f"CASE WHEN first <= {reach} + 1 THEN 0 ELSE 1 END"))
