@@ -163,16 +163,26 @@ def connected_components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def _grouped(docs: DataFrame, budget: int, width: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """id, row_key, fp, root (a fingerprint that names the component), component_id of each row."""
-    rows = checkpoint(fingerprints(docs, width, seed, id_col, text_col))
-    distinct = checkpoint(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = connected_components(close_pairs(distinct.select(F.col("fp").alias("key")), budget))
+def rooted(rows: DataFrame, links: DataFrame, distinct: DataFrame | None = None) -> DataFrame:
+    """id, row_key, fp, root (a fingerprint that names the component over links), component_id of each row (id, row_key, fp).
+
+    distinct is the checkpoint of fp and its least id, if it is there already.
+    """
+    if distinct is None:
+        distinct = checkpoint(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    roots = connected_components(links)
     labelled = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(labelled.join(least, "root").select("fp", "root", "component_id"), "fp")
 
 
+def _grouped(docs: DataFrame, budget: int, width: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """The rows of fingerprints, rooted over fingerprints within the budget."""
+    rows = checkpoint(fingerprints(docs, width, seed, id_col, text_col))
+    distinct = checkpoint(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    return rooted(rows, close_pairs(distinct.select(F.col("fp").alias("key")), budget), distinct)
+
+
 def near_duplicates(
     docs: DataFrame, budget: int = BUDGET, width: int = WIDTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -195,7 +205,11 @@ def keep_one_of_each(
 
     Of several texts with that id, the one with the least hash stays; of rows equal in id and text, any one.
     """
-    grouped = _grouped(docs, budget, width, seed, id_col, text_col)
+    return one_of_each(docs, _grouped(docs, budget, width, seed, id_col, text_col), id_col, text_col)
+
+
+def one_of_each(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that keep_one_of_each keeps of the components in grouped."""
     least = grouped.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row_key").alias("__kept"))
     keyed = docs.withColumn("__row", row_key(id_col, text_col))
     return keyed.join(least.select("__kept"), F.col("__row") == F.col("__kept"), "left_semi").dropDuplicates(["__row"]).drop("__row")
