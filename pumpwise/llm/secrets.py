@@ -34,6 +34,9 @@ _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _NUMBER = re.compile(r"[0-9+/_=-]+")
 #: Parts of an identifier: words and short numbers between separators.
 _IDENTIFIER = re.compile(r"([A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})([_/=+-]+([A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[_/=+-]*")
+_SEPARATORS = re.compile(r"[_/=+-]+")
+#: Letters of a part that can speak for or against an identifier: numbers and shorter parts take about a token whatever they are.
+_PART_LETTERS = 3
 #: Where the vocabulary's file is on every executor, and how its tokenizer cuts a text before merging (fixed by the vocabulary).
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PRETOKENS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -57,6 +60,21 @@ def base_spans(text: str) -> list[Span]:
     return [(a, b, kind) for a, _, b, kind in sorted(found)]
 
 
+def _of_words(s: str, encoding: tiktoken.Encoding) -> bool:
+    """Whether a string is an identifier whose parts are plausible words, by more characters per token than a random string has.
+
+    The longer parts are judged together if they make up half the string, and each that is as long as a random string by itself.
+    """
+    if not _IDENTIFIER.fullmatch(s):
+        return False
+    parts = [x for x in _SEPARATORS.split(s) if len(x) >= _PART_LETTERS and x.isalpha()]
+    tokens = [len(encoding.encode_ordinary(x)) for x in parts]
+    letters = sum(map(len, parts))
+    if 2 * letters >= len(s) and letters <= MAX_CHARS_PER_TOKEN * sum(tokens):
+        return False
+    return not any(len(x) >= MIN_CHARS and len(x) <= MAX_CHARS_PER_TOKEN * n for x, n in zip(parts, tokens))
+
+
 def random_spans(text: str, taken: list[Span], encoding: tiktoken.Encoding) -> list[Span]:
     """(start, end, kind) of strings that the vocabulary cuts into unusually short tokens.
 
@@ -70,9 +88,9 @@ def random_spans(text: str, taken: list[Span], encoding: tiktoken.Encoding) -> l
             last += 1
         if any(x[0] < b and a < x[1] for x in taken[last : last + 4]) or _NUMBER.fullmatch(s) or _UUID.fullmatch(s):
             continue
-        if len(s) in DIGEST_LENGTHS and _DIGEST.fullmatch(s) or _IDENTIFIER.fullmatch(s):
+        if len(s) in DIGEST_LENGTHS and _DIGEST.fullmatch(s) or _of_words(s, encoding):
             continue
-        if len(s) <= MAX_CHARS_PER_TOKEN * len(encoding.encode_ordinary(s)):
+        if _IDENTIFIER.fullmatch(s) or len(s) <= MAX_CHARS_PER_TOKEN * len(encoding.encode_ordinary(s)):
             found.append((a, b, RANDOM_KIND))
     return found
 
