@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,16 +17,32 @@ BETWEEN_WORDS = r"[^\p{L}\p{M}\p{N}]+"
 MAX_BROADCAST_ROWS = 200_000
 
 
-def shingles_of(text: Column, width: int = WIDTH, of: str = "text") -> Column:
-    """Shingles of a text, lower case, as strings or as 64-bit hashes of their words; with fewer words, the one whole sequence."""
-    words = F.array_remove(F.split(F.lower(text), BETWEEN_WORDS), "")
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(F.lower(text), BETWEEN_WORDS), "")
 
-    def all_shingles(ws: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(ws) - width + 1, F.lit(1)))
+
+def shingles_of(text: Column, width: int = WIDTH, of: str = "text", shorter: Sequence[int] = ()) -> Column:
+    """Shingles of a text, lower case, as strings or as 64-bit hashes of their words; with fewer words, the one whole sequence.
+
+    The sequences of so many words as shorter names (each below width) come besides.
+    """
+
+    def sequences(ws: Column, n: int, least: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(ws) - n + 1, F.lit(1)))
         one = (lambda x: F.xxhash64(x)) if of == "hash" else (lambda x: F.array_join(x, " "))
-        return F.when(F.size(ws) > 0, F.transform(starts, lambda i: one(F.slice(ws, i, width)))).otherwise(F.array())
+        return F.when(F.size(ws) >= least, F.transform(starts, lambda i: one(F.slice(ws, i, n)))).otherwise(F.array())
+
+    def all_shingles(ws: Column) -> Column:
+        own = sequences(ws, width, 1)
+        return F.concat(own, *(sequences(ws, n, n) for n in shorter)) if shorter else own
+
+    return let(_words(text), all_shingles)
 
-    return let(words, all_shingles)
+
+def _short_lengths(items: DataFrame) -> list[int]:
+    """The word counts below WIDTH that occur among items, WIDTH - 1 at most."""
+    n = items.select(F.size(_words(F.col("text"))).alias("n")).where((F.col("n") > 0) & (F.col("n") < WIDTH)).distinct()
+    return sorted(r["n"] for r in n.collect())
 
 
 def _needed(n: Column, containment: float) -> Column:
@@ -53,6 +71,7 @@ def contained_items(
     text_col: str = "text",
     item_id_col: str = "item_id",
     item_text_col: str = "text",
+    short_inside: bool = False,
 ) -> DataFrame:
     """Pairs (document, item) where the document holds the containment of the item's distinct shingles.
 
@@ -62,6 +81,10 @@ def contained_items(
     decide.  Signatures of whole documents in bands would miss short items in long
     documents: their Jaccard similarity is close to 0.
 
+    An item of fewer than WIDTH words is one shingle.  As in SQL below, it matches only a document of just these words;
+    with short_inside, each such length that occurs is a size partition of its own: documents give their sequences of
+    that length, too, and the item is found wherever its words follow each other.
+
     Shingles of documents are never shuffled if the sketches are small; candidate
     documents are few, and only their shingles that occur in an item are counted.
     Null or wordless texts match nothing.  Rows with one id count as one document,
@@ -69,16 +92,17 @@ def contained_items(
     """
     docs = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     items = items.select(F.col(item_id_col).alias("item"), text_or_empty(item_text_col).alias("text"))
+    shorter = _short_lengths(items) if short_inside else []
 
     sketch = broadcast_up_to(checkpoint(_sketches(items, containment)), MAX_BROADCAST_ROWS)
-    probes = docs.select("id", F.explode(shingles_of(F.col("text"), of="hash")).alias("h"))
+    probes = docs.select("id", F.explode(shingles_of(F.col("text"), of="hash", shorter=shorter)).alias("h"))
     candidates = checkpoint(probes.join(sketch, "h", "left_semi").select("id").distinct())
     candidates = broadcast_up_to(candidates.withColumnRenamed("id", "found"), MAX_BROADCAST_ROWS)
 
     wanted = checkpoint(items.select("item", F.explode(shingles_of(F.col("text"))).alias("shingle")).distinct())
     sizes = wanted.groupBy("item").agg(F.count(F.lit(1)).alias("n_shingles"))
     held = join_on_id(docs, candidates, "id", "found", "left_semi")
-    held = held.select("id", F.explode(F.array_distinct(shingles_of(F.col("text")))).alias("shingle"))
+    held = held.select("id", F.explode(F.array_distinct(shingles_of(F.col("text"), shorter=shorter))).alias("shingle"))
     pairs = held.join(broadcast_up_to(wanted, MAX_BROADCAST_ROWS), "shingle").groupBy("id", "item")
     pairs = pairs.agg(F.count_distinct("shingle").alias("n_found"))
     sizes = sizes.withColumnRenamed("item", "sized")
@@ -92,8 +116,8 @@ def contained_items(
 def drop_contaminated(
     docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The rows of docs whose id is in no pair of contained_items; all columns as they are."""
-    found = contained_items(docs, items, containment, id_col, text_col).select(F.col(id_col).alias("__found")).distinct()
+    """The rows of docs whose id is in no pair of contained_items, short items inside documents included; all columns as they are."""
+    found = contained_items(docs, items, containment, id_col, text_col, short_inside=True).select(F.col(id_col).alias("__found")).distinct()
     return join_on_id(docs, broadcast_up_to(checkpoint(found), MAX_BROADCAST_ROWS), id_col, "__found", "left_anti")
 
 
