@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,8 @@ BUCKETS = 1 << BUCKET_BITS
 SWITCH_PENALTY, SCRIPT_SHARE = 8.0, 0.01
 #: Score of a word for a language that does not use its script, and of documents walked at once.
 OFF_SCRIPT, BLOCK = -50.0, 256
-_PLANE = 0x10000
+#: All code points; the marks that continue a word but open none, and what the letter table holds for them.
+_CODES, _MARKS, _MARK = 0x110000, (0x0300, 0x036F), 255
 
 
 @dataclass(frozen=True)
@@ -45,16 +47,14 @@ class Words:
         return self.last - self.first
 
 
+@cache
 def _letters() -> np.ndarray:
-    """0 for what is no letter, else 1 + the script, for the basic plane; marks continue words, too."""
-    table = np.zeros(_PLANE + 1, dtype=np.uint8)
-    for i in range(_PLANE):
-        if chr(i).isalpha() or 0x300 <= i <= 0x36F:
-            table[i] = 1 + len(SCRIPT_RANGES)
+    """Of each code point: 1 + the script of a letter, _MARK for a mark, 0 for anything else."""
+    table = np.fromiter((chr(i).isalpha() for i in range(_CODES)), dtype=np.uint8, count=_CODES) * np.uint8(1 + len(SCRIPT_RANGES))
     for k, (a, b) in enumerate(SCRIPT_RANGES):
         part = table[a : b + 1]
         part[part > 0] = 1 + k
-    table[_PLANE] = 1 + len(SCRIPT_RANGES)
+    table[_MARKS[0] : _MARKS[1] + 1] = _MARK
     return table
 
 
@@ -64,8 +64,11 @@ def words_of_texts(texts: list[str], letters: np.ndarray) -> Words:
     joined = "\n".join([*lowered, ""])
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     offsets = np.concatenate(([0], np.cumsum([len(t) + 1 for t in lowered])))
-    kind = letters[np.minimum(codes, _PLANE)]
-    inside = kind > 0
+    kind = letters[codes]
+    marks, inside = kind == _MARK, kind > 0
+    if marks.any():  # a mark is in a word if what its run of marks follows is a letter
+        base = np.maximum.accumulate(np.where(marks, 0, np.arange(len(codes))))
+        inside &= ~marks[base] & (kind[base] > 0)
     after = np.concatenate(([False], inside[:-1]))  # the blank after a word ends its last n-grams
     edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -198,7 +201,7 @@ def identify_languages(
 ) -> DataFrame:
     """One row per row of docs: id, lang_pred, score, spans (lang:start:end in code points of the lower-cased text, comma-joined).
 
-    Each word (run of letters) scores its n-grams in the languages that use its script; the best path over the words, a
+    Each word (run of letters, with the marks that follow them) scores its n-grams in the languages that use its script; the best path over the words, a
     change of language costing the penalty, labels them, and words of one language in a row form a span.
     lang_pred is the language with most letters (ties: the first in alphabetical order), score its share of the letters.  Without a letter
     (null and empty texts too), or if nothing was learned, they are 'und' and 0.
