@@ -1,4 +1,4 @@
-"""SimHash near-deduplication: fingerprints, a binary-trie self-join within a Hamming budget, connected components."""
+"""SimHash near-deduplication: fingerprints and a binary-trie self-join within a Hamming budget; components are those of its links."""
 
 from __future__ import annotations
 
@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pumpwise.llm.common import ascii_lower, by_characters, checkpoint, read_table, text_or_empty
+from pumpwise.llm.components import connected_components, rooted
 
 #: Most differing bits of linked fingerprints; words of a shingle and seed of its hash in the registered query.
 BUDGET = 3
@@ -41,26 +42,17 @@ def fingerprint(text: str, width: int = WIDTH, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, row_key (64-bit hash of id and text) and fp (the fingerprint as a signed 64-bit number) of each row."""
-    rows = docs.select(
-        F.col(id_col).alias("id"), ascii_lower(text_or_empty(text_col)).alias("text"), row_key(id_col, text_col).alias("row_key")
-    )
+    """id and fp (the fingerprint as a signed 64-bit number) of each row."""
+    rows = docs.select(F.col(id_col).alias("id"), ascii_lower(text_or_empty(text_col)).alias("text"))
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_characters(batch):
                 fps = np.array([fingerprint(t, width, seed) for t in part.column(1).to_pylist()], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(fps.view(np.int64))], names=["id", "row_key", "fp"]
-                )
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(of_batches, f"id {kind}, row_key bigint, fp bigint")
-
-
-def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """Tells apart rows that differ in id or text."""
-    return F.xxhash64(F.col(id_col), text_or_empty(text_col))
+    return rows.mapInArrow(of_batches, f"id {kind}, fp bigint")
 
 
 def _nodes(keys: DataFrame, above: int, depth: int) -> DataFrame:
@@ -117,7 +109,8 @@ def close_pairs(keys: DataFrame, budget: int = BUDGET) -> DataFrame:
     Of two keys within the budget, one half differs in at most budget // 2 bits,
     so the walk is made twice, from either half, with that smaller budget in the first 32 levels: the number of
     node pairs stays near the number of keys.  A level is two equi-joins on node numbers; a
-    node has at most 2^8 (2^16 below level 32) children, so no key of a join is unbounded.
+    node has at most 2^8 (2^16 below level 32) children, so no key of a join is unbounded.  Node pairs stay near the number of keys up to
+    about 10^8 keys; beyond that nearly all 2^32 nodes of level 32 exist, and each half walks some 33 pairs for every node.
     """
     found = None
     for turn in (0, _HALF):
@@ -140,49 +133,6 @@ def close_pairs(keys: DataFrame, budget: int = BUDGET) -> DataFrame:
     return found.distinct()
 
 
-def connected_components(links: DataFrame) -> DataFrame:
-    """node, root of every node in links (a, b): the least node reachable.  Alternating large-star and small-star steps.
-
-    Each step sends a node's neighbours to the least of them by joins and minima, so no neighbour list is gathered;
-    steps end when the links no longer change.  Links of a node to itself are ignored.
-    """
-    links = checkpoint(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
-    while True:
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hooked = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = checkpoint(hooked.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
-        state = now
-
-
-def rooted(rows: DataFrame, links: DataFrame, distinct: DataFrame | None = None) -> DataFrame:
-    """id, row_key, fp, root (a fingerprint that names the component over links), component_id of each row (id, row_key, fp).
-
-    distinct is the checkpoint of fp and its least id, if it is there already.
-    """
-    if distinct is None:
-        distinct = checkpoint(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = connected_components(links)
-    labelled = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(labelled.join(least, "root").select("fp", "root", "component_id"), "fp")
-
-
-def _grouped(docs: DataFrame, budget: int, width: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """The rows of fingerprints, rooted over fingerprints within the budget."""
-    rows = checkpoint(fingerprints(docs, width, seed, id_col, text_col))
-    distinct = checkpoint(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    return rooted(rows, close_pairs(distinct.select(F.col("fp").alias("key")), budget), distinct)
-
-
 def near_duplicates(
     docs: DataFrame, budget: int = BUDGET, width: int = WIDTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -191,29 +141,16 @@ def near_duplicates(
     Texts are lower-cased in A-Z and cut at white space; rows link if their fingerprints differ in at most budget bits.
     Equal fingerprints are joined once, through one representative, so a group of
     copies costs no pairs.  A null text counts as empty; texts without words
-    have fingerprint zero and link like others.  Null ids are no component_id unless a component has no other.
-    An empty table gives no rows; other columns are ignored.
+    have fingerprint zero and link like others; very long texts are taken whole, bits being counted in slices.  Repeated rows give repeated
+    results.  Null ids are no component_id unless a component has no other.  An empty table gives no rows; other columns are ignored.
     """
-    grouped = _grouped(docs, budget, width, seed, id_col, text_col)
+    rows = checkpoint(fingerprints(docs, width, seed, id_col, text_col))
+    distinct = checkpoint(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    roots = connected_components(close_pairs(distinct.select(F.col("fp").alias("key")), budget))
+    grouped = rooted(rows, distinct, roots, "fp")
     return grouped.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(
-    docs: DataFrame, budget: int = BUDGET, width: int = WIDTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """The rows of docs that stand for their component: the one with its least id; all columns as they are.
-
-    Of several texts with that id, the one with the least hash stays; of rows equal in id and text, any one.
-    """
-    return one_of_each(docs, _grouped(docs, budget, width, seed, id_col, text_col), id_col, text_col)
-
-
-def one_of_each(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that keep_one_of_each keeps of the components in grouped."""
-    least = grouped.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row_key").alias("__kept"))
-    keyed = docs.withColumn("__row", row_key(id_col, text_col))
-    return keyed.join(least.select("__kept"), F.col("__row") == F.col("__kept"), "left_semi").dropDuplicates(["__row"]).drop("__row")
-
-
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint and component_id of every document: 3-word shingles, links at 3 or fewer differing bits."""
     return near_duplicates(read_table(spark, sf_dir, "documents"))

@@ -112,6 +112,17 @@ def test_connected_components_of_a_long_chain(spark):
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
 
 
+def test_connected_components_of_a_hub(spark):
+    """One component of 30 000 nodes that hang on one root, and links between its leaves."""
+    n = 30_000
+    links = spark.range(1, n).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+    links = links.unionByName(spark.range(1, n - 1, 7).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    links = links.unionByName(spark.range(n, 2 * n, 2).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    got = connected_components(links).groupBy("root").count()
+    assert {r["root"]: r["count"] for r in got.where("count > 2").collect()} == {0: n}
+    assert got.where("count = 2").count() == n // 2
+
+
 def brute_lines(texts, min_words):
     """(id, text) -> lines deleted, by comparing all runs of lines."""
     docs = sorted(set((i, t or "") for i, t in texts), key=lambda x: (x[0] is not None, x[0] or 0))
