@@ -1,73 +1,93 @@
-"""Line deduplication by winnowing: window minima over line hashes as fingerprints, joined, extended, later runs deleted."""
+"""Line deduplication by winnowing: window minima of line hashes are selected and joined, matches extended both ways, later runs deleted."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pumpwise.llm.common import read_table, text_or_empty, words_of
+from pumpwise.llm.common import checkpoint, read_table, text_or_empty, words_of
 
 #: Words of a repeated run of lines from which it is deleted.
 MIN_WORDS = 50
 BLANKS = " \t\r\v\f"
 
 
-def _lines(text: Column) -> Column:
-    """The non-blank lines of a text: pos (0-based among all lines), hash of the trimmed line, words."""
-    parts = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("pos"), F.trim(x, F.lit(BLANKS)).alias("s")))
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The non-blank lines of each document: id, th, pos (0-based among all lines), h and digest of the trimmed line, upto (words so far), w.
+
+    th (128 bits of the text) and id name the document; rows equal in both are one.  Rows of a document are in one partition.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    parts = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), F.trim(x, F.lit(BLANKS)).alias("s")))
     full = F.filter(parts, lambda x: x["s"] != "")
-    return F.transform(
-        full, lambda x: F.struct(x["pos"].alias("pos"), F.xxhash64(x["s"]).alias("h"), F.size(words_of(x["s"])).cast("long").alias("w"))
+    lines = rows.select("id", F.unhex(F.md5("text")).alias("th"), F.explode(full).alias("x"))
+    lines = lines.select(
+        "id", "th", "x.pos", F.xxhash64("x.s").alias("h"), F.unhex(F.md5("x.s")).alias("digest"), F.size(words_of(F.col("x.s"))).cast("long").alias("w")
     )
+    lines = lines.repartition("id", "th").distinct()
+    return lines.withColumn("upto", F.expr("sum(w) OVER (PARTITION BY id, th ORDER BY pos)"))
 
 
-def _windows(rows: DataFrame, min_words: int) -> DataFrame:
-    """The shortest windows of consecutive lines with min_words words: from each line onward, and up to each line.
+def _onward(min_words: int) -> str:
+    """The frame of a line's window: the shortest run of lines from it onward that has min_words words (or all that are left)."""
+    return f"OVER (PARTITION BY id, th ORDER BY upto - w RANGE BETWEEN CURRENT ROW AND {min_words - 1} FOLLOWING)"
 
-    Columns id, th, fp, body, first, last.  fp is the window's fingerprint, its
-    least line hash; body hashes all its lines.  Any run of min_words words or
-    more is covered by the windows inside it, so equal runs share fingerprints
-    wherever they stand.
-    """
-    doc = "PARTITION BY id, th"
-    rows = rows.withColumn("upto", F.expr(f"sum(w) OVER ({doc} ORDER BY pos)")).withColumn("before", F.expr("upto - w"))
-    onward = f"OVER ({doc} ORDER BY before RANGE BETWEEN CURRENT ROW AND {min_words - 1} FOLLOWING)"
-    back = f"OVER ({doc} ORDER BY upto RANGE BETWEEN {min_words - 1} PRECEDING AND CURRENT ROW)"
 
-    def one(frame: str, ends: str) -> Column:
-        return F.expr(
-            f"struct(sum(w) {frame} AS words, min(h) {frame} AS fp, xxhash64(collect_list(h) {frame}) AS body, {ends})"
-        )
+def _back(min_words: int) -> str:
+    """The same up to and with the line."""
+    return f"OVER (PARTITION BY id, th ORDER BY upto RANGE BETWEEN {min_words - 1} PRECEDING AND CURRENT ROW)"
 
-    both = rows.select(
-        "id", "th",
-        one(onward, f"pos AS first, max(pos) {onward} AS last").alias("a"),
-        one(back, f"min(pos) {back} AS first, pos AS last").alias("b"),
-    )
-    each = F.filter(F.array("a", "b"), lambda x: x["words"] >= min_words)
-    return both.select("id", "th", F.explode(F.array_distinct(each)).alias("x")).select("id", "th", "x.fp", "x.body", "x.first", "x.last")
+
+def selected_lines(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Winnowing: of each window the line with the least hash (of equal ones the first), each position once: id, th, pos, h.
+
+    A window is the shortest run of lines with min_words words from some line onward.  Any run of min_words words holds a whole window, and
+    equal windows select the same of their lines, so a run that stands in two places has a selected line at the same place in both.
+    """
+    frame = _onward(min_words)
+    windows = lines.select("id", "th", F.expr(f"sum(w) {frame}").alias("words"), F.expr(f"min(struct(h, pos)) {frame}").alias("least"))
+    return windows.where(F.col("words") >= min_words).select("id", "th", "least.pos", "least.h").distinct()
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Maximal runs of lines that repeat earlier ones: id, th (64-bit hash of the text), first, last (line numbers from 0).
+    """Maximal runs of lines that repeat earlier ones: id, th (MD5 of the text), first, last (line numbers from 0).
 
     A run is a sequence of lines, blank ones aside and edges trimmed, of min_words
     words or more in all.  Of equal runs the one with the smallest
-    (id, line) stays; the others are returned, merged where they touch.  One earliest position per
-    fingerprint is joined to the positions of the same fingerprint, so that a
-    passage in a third of all documents gives one pair per copy, not all pairs.
+    (id, line) stays; the others are returned, merged where they touch.
+
+    Selected lines (see selected_lines) are joined on their hashes, and only those that stand in several places go on.  A match is extended
+    both ways: around such a line, the shortest runs of min_words words that hold it, onward from and up to every line, are compared by
+    the 128-bit digests of all their lines, each with the earliest equal one, so that a passage in a
+    third of all documents gives one pair per copy, not all pairs.  Runs that overlap or touch are one.
     """
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    rows = rows.select("id", F.xxhash64("text").alias("th"), F.explode(_lines(F.col("text"))).alias("x")).select("id", "th", "x.*")
-    # Rows equal in id and text are one document.  One shuffle of hashes serves this and the windows.
-    rows = rows.repartition("id", "th").dropDuplicates(["id", "th", "pos"])
-    windows = _windows(rows, min_words).withColumn("at", F.struct("id", "th", "first"))
-    anchors = windows.groupBy("fp", "body").agg(F.min("at").alias("anchor"), F.max("at").alias("latest")).where("anchor < latest")
-    anchors = anchors.select("anchor", F.col("fp").alias("afp"), F.col("body").alias("abody"), F.xxhash64("fp", "body").alias("akey"))
-    # The last key has a value of its own, so that Spark shuffles both sides for the join and may split a hot window's rows.
-    same = (F.col("fp") == F.col("afp")) & (F.col("body") == F.col("abody")) & (F.xxhash64("fp", "body") == F.col("akey"))
-    later = windows.join(anchors, same).where("at > anchor").select("id", "th", "first", "last")
-    # Extend both ways: windows that overlap or touch are parts of one run.
+    lines = checkpoint(_lines(docs, id_col, text_col))
+    selected = checkpoint(selected_lines(lines, min_words))
+    # Written out, so that Spark may split the rows of a frequent line in the join.
+    again = checkpoint(selected.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
+    matched = checkpoint(selected.join(again, "h", "left_semi").select(F.col("id").alias("mid"), F.col("th").alias("mth"), F.col("pos").alias("mpos")))
+    of_doc = F.col("id").eqNullSafe(F.col("mid")) & (F.col("th") == F.col("mth"))
+
+    whole = matched.select("mid", "mth").distinct()
+    near = lines.join(whole, of_doc, "left_semi").join(matched.withColumn("hit", F.lit(1)), of_doc & (F.col("pos") == F.col("mpos")), "left")
+    near = near.select("id", "th", "pos", "digest", "w", "upto", F.coalesce("hit", F.lit(0)).alias("hit"))
+    onward, back = _onward(min_words), _back(min_words)
+
+    def one(frame: str, ends: str) -> Column:
+        body = f"md5(array_join(collect_list(hex(digest)) {frame}, ''))"
+        return F.expr(f"struct(sum(w) {frame} AS words, sum(hit) {frame} AS hits, unhex({body}) AS body, {ends})")
+
+    both = near.select(
+        "id", "th",
+        one(onward, f"pos AS first, max(pos) {onward} AS last").alias("a"),
+        one(back, f"min(pos) {back} AS first, pos AS last").alias("b"),
+    )
+    each = F.filter(F.array("a", "b"), lambda x: (x["words"] >= min_words) & (x["hits"] > 0))
+    runs = both.select("id", "th", F.explode(F.array_distinct(each)).alias("x")).select("id", "th", "x.body", "x.first", "x.last")
+    runs = checkpoint(runs.withColumn("at", F.struct("id", "th", "first")))
+    anchors = checkpoint(runs.groupBy("body").agg(F.min("at").alias("anchor"), F.max("at").alias("latest")).where("anchor < latest"))
+    later = runs.join(anchors.select(F.col("body").alias("same"), "anchor"), F.col("body") == F.col("same"))
+    later = later.where("at > anchor").select("id", "th", "first", "last")
     reach = "max(last) OVER (PARTITION BY id, th ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     marked = later.withColumn("opens", F.expr(f"CASE WHEN first <= {reach} + 1 THEN 0 ELSE 1 END"))
     numbered = marked.withColumn("run", F.expr("sum(opens) OVER (PARTITION BY id, th ORDER BY first, last ROWS UNBOUNDED PRECEDING)"))
@@ -78,14 +98,15 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     """One row per row of docs: id, text without later repeated runs, n_lines, removed_lines (numbers from 0).
 
     See repeated_runs for what a run is.  Blank lines inside a run go with it.
-    A deleted line always has an equal line at an earlier place.  A null text counts as empty and stays '';
+    A deleted line always has an equal line (by 128-bit digest) at an earlier place.  A null text counts as empty and stays '';
     a null id comes before all others; rows equal in id and text are one
-    document and get the same result.  An empty table gives no rows; other columns are ignored.
+    document and get the same result; of texts with one id the order is that of their MD5.  The lines of a very long text are handled in one
+    task, row by row.  An empty table gives no rows; other columns are ignored.
     """
     runs = repeated_runs(docs, min_words, id_col, text_col).groupBy("id", "th").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     runs = runs.select(F.col("id").alias("run_id"), F.col("th").alias("run_th"), "runs")
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    rows = rows.withColumn("th", F.xxhash64("text"))
+    rows = rows.withColumn("th", F.unhex(F.md5("text")))
     joined = rows.join(runs, F.col("id").eqNullSafe(F.col("run_id")) & (F.col("th") == F.col("run_th")), "left")
     gone = F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"])))))
     joined = joined.withColumn("removed_lines", F.coalesce(gone, F.array().cast("array<int>")))
@@ -95,6 +116,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document: its lines, those removed as later repeats of runs of MIN_WORDS words, and the SHA-256 of what is left."""
     return line_dedup(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines",
         F.size("removed_lines").alias("n_removed"),

@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from pumpwise.llm import line_dedup as line_dedup_module
 from pumpwise.llm.exact_dedup import exact_dedup
 from pumpwise.llm.line_dedup import line_dedup
 from pumpwise.llm.simhash import close_pairs, connected_components, near_duplicates
@@ -158,5 +159,34 @@ def test_line_dedup(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_lines_are_selected_by_winnowing(spark):
+    """Far fewer lines are selected than there are, a window's least one each; equal windows in two places select the same line."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(500)]
+    block = [" ".join(rng.choices(words, k=6)) for _ in range(30)]
+    own = [[" ".join(rng.choices(words, k=6)) for _ in range(40)] for _ in range(2)]
+    texts = [(k, "\n".join([*own[k][:7], *block, *own[k][7:]])) for k in range(2)] + [(2, "short"), (3, None)]
+    lines = line_dedup_module._lines(table(spark, texts), "doc_id", "text")
+    got = {}
+    for r in line_dedup_module.selected_lines(lines, 24).collect():
+        got.setdefault(r["id"], set()).add(r["pos"])
+    assert set(got) == {0, 1} and all(20 <= len(p) <= 40 for p in got.values())  # of 70 lines each
+    inside = (lambda k: {p for p in got[k] if 7 + 3 <= p < 37 - 3})
+    assert inside(0) == inside(1) and len(inside(0)) >= 6
+    hashes = {k: spark.createDataFrame([(x,) for x in t.split("\n")], "s string").select(F.xxhash64("s")).collect() for k, t in texts[:2]}
+    for k, h in hashes.items():
+        assert got[k] == {min(range(i, i + 4), key=lambda j: h[j][0]) for i in range(len(h) - 3)}
+
+
+def test_line_dedup_does_not_trust_selection_hashes(spark, monkeypatch):
+    """With all line hashes equal, every line is its window's candidate or covered by one, and digests alone decide."""
+    module = line_dedup_module
+    monkeypatch.setattr(module, "_lines", lambda *a, f=module._lines: f(*a).withColumn("h", F.lit(7).cast("long")))
+    texts = [(i, f"only {i} here\nsame words in both\nother {i % 2} {i}") for i in range(6)]
+    gone = brute_lines(texts, 4)
+    got = line_dedup(table(spark, texts), min_words=4).collect()
+    assert {r["doc_id"]: r["removed_lines"] for r in got} == {i: sorted(gone[i, t]) for i, t in texts} and any(gone.values())
+
+
 def test_line_dedup_empty(spark):
     assert line_dedup(table(spark, [])).count() == 0
