@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pumpwise.llm.common import broadcast_up_to, checkpoint, join_on_id, let, read_table, text_or_empty
+from pumpwise.llm.common import broadcast_up_to, checkpoint, free_name, join_on_id, let, read_table, text_or_empty
 
 #: Words in a shingle, and the least share of an item's shingles that a document must hold.
 WIDTH, CONTAINMENT = 5, 0.8
 #: Whatever is neither a letter, a mark nor a digit separates words.
 BETWEEN_WORDS = r"[^\p{L}\p{M}\p{N}]+"
-#: Most rows of a broadcast table of ids, hashes or shingles; larger ones are shuffled.
+#: Most rows of a broadcast table of ids, hashes or shingles (their bytes are bounded, too); larger ones are shuffled.
 MAX_BROADCAST_ROWS = 200_000
 
 
@@ -50,17 +50,23 @@ def _needed(n: Column, containment: float) -> Column:
     return F.ceil(F.round(F.lit(containment) * n, 9)).cast("int")
 
 
-def _sketches(items: DataFrame, containment: float) -> DataFrame:
+def _wanted(items: DataFrame) -> DataFrame:
+    """item, shingle and h (the hash of its words) of each distinct shingle of the rows with one item id."""
+    both = F.arrays_zip(shingles_of(F.col("text")).alias("shingle"), shingles_of(F.col("text"), of="hash").alias("h"))
+    return items.select("item", F.explode(both).alias("x")).select("item", "x.shingle", "x.h").distinct()
+
+
+def _sketches(wanted: DataFrame, containment: float) -> DataFrame:
     """Bottom-k MinHash sketches: h, one row per hash that some item must find in a document.
 
-    Items are partitioned by size, [2^p, 2^(p+1)) distinct shingles.  A document
+    Items, all rows of one item id taken together, are partitioned by size, [2^p, 2^(p+1)) distinct shingles.  A document
     that holds ceil(t*n) of n shingles misses at most n - ceil(t*n) of them, so it
     holds one of any n - ceil(t*n) + 1.  The partition's upper bound in place of n fixes k.
     """
-    sized = items.select(F.array_sort(F.array_distinct(shingles_of(F.col("text"), of="hash"))).alias("hs")).where(F.size("hs") > 0)
-    upper = F.pow(F.lit(2), F.floor(F.log2(F.size("hs"))) + 1).cast("int") - 1
-    k = upper - _needed(upper, containment) + 1
-    return sized.select(F.explode(F.slice("hs", F.lit(1), k)).alias("h")).distinct()
+    ranked = wanted.withColumn("n", F.expr("count(*) OVER (PARTITION BY item)"))
+    ranked = ranked.withColumn("rank", F.expr("row_number() OVER (PARTITION BY item ORDER BY h, shingle)"))
+    upper = F.pow(F.lit(2), F.floor(F.log2("n")) + 1).cast("int") - 1
+    return ranked.where(F.col("rank") <= upper - _needed(upper, containment) + 1).select("h").distinct()
 
 
 def contained_items(
@@ -81,25 +87,27 @@ def contained_items(
     decide.  Signatures of whole documents in bands would miss short items in long
     documents: their Jaccard similarity is close to 0.
 
-    An item of fewer than WIDTH words is one shingle.  As in SQL below, it matches only a document of just these words;
+    An item of fewer than WIDTH words is one shingle, that matches only a document of just these words;
     with short_inside, each such length that occurs is a size partition of its own: documents give their sequences of
-    that length, too, and the item is found wherever its words follow each other.
+    that length, too, and the item is found wherever its words follow each other.  The registered query and the pipeline do so.
 
     Shingles of documents are never shuffled if the sketches are small; candidate
     documents are few, and only their shingles that occur in an item are counted.
-    Null or wordless texts match nothing.  Rows with one id count as one document,
-    rows with one item id as one item; null ids are ids too.  Other columns are ignored.
+    Null or wordless texts match nothing; very long texts are taken whole.  Rows with one id count as one document,
+    rows with one item id as one item, whose shingles are those of all its rows; null ids are ids too.  Repeated rows change nothing.  Without
+    documents or without items there are no pairs.  Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     items = items.select(F.col(item_id_col).alias("item"), text_or_empty(item_text_col).alias("text"))
     shorter = _short_lengths(items) if short_inside else []
 
-    sketch = broadcast_up_to(checkpoint(_sketches(items, containment)), MAX_BROADCAST_ROWS)
+    wanted = checkpoint(_wanted(items))
+    sketch = broadcast_up_to(checkpoint(_sketches(wanted, containment)), MAX_BROADCAST_ROWS)
     probes = docs.select("id", F.explode(shingles_of(F.col("text"), of="hash", shorter=shorter)).alias("h"))
     candidates = checkpoint(probes.join(sketch, "h", "left_semi").select("id").distinct())
     candidates = broadcast_up_to(candidates.withColumnRenamed("id", "found"), MAX_BROADCAST_ROWS)
 
-    wanted = checkpoint(items.select("item", F.explode(shingles_of(F.col("text"))).alias("shingle")).distinct())
+    wanted = wanted.select("item", "shingle")
     sizes = wanted.groupBy("item").agg(F.count(F.lit(1)).alias("n_shingles"))
     held = join_on_id(docs, candidates, "id", "found", "left_semi")
     held = held.select("id", F.explode(F.array_distinct(shingles_of(F.col("text"), shorter=shorter))).alias("shingle"))
@@ -116,23 +124,38 @@ def contained_items(
 def drop_contaminated(
     docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The rows of docs whose id is in no pair of contained_items, short items inside documents included; all columns as they are."""
-    found = contained_items(docs, items, containment, id_col, text_col, short_inside=True).select(F.col(id_col).alias("__found")).distinct()
-    return join_on_id(docs, broadcast_up_to(checkpoint(found), MAX_BROADCAST_ROWS), id_col, "__found", "left_anti")
+    """The rows of docs whose id is in no pair of contained_items, short items inside documents included; all columns as they are.
+
+    Null and wordless texts stay.  Rows with one id are one document and go together; so do those with null ids.  Repeated rows stay or go
+    alike; an empty table of docs gives an empty one, one of items leaves docs as they are.
+    """
+    name = free_name(docs, "__found")
+    found = contained_items(docs, items, containment, id_col, text_col, short_inside=True).select(F.col(id_col).alias(name)).distinct()
+    return join_on_id(docs, broadcast_up_to(checkpoint(found), MAX_BROADCAST_ROWS), id_col, name, "left_anti")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    """All pairs of a document and a benchmark item it holds, items of fewer than WIDTH words inside longer documents included."""
+    return contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), short_inside=True)
 
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '')"
-_SHINGLES = f"list_distinct(list_transform(range(1, greatest(len(ws) - {WIDTH} + 1, 1) + 1), lambda i: array_to_string(ws[i:i + {WIDTH - 1}], ' ')))"
+
+
+def _sql_grams(n: str) -> str:
+    """The sequences of n words of ws; with fewer words, the one whole sequence."""
+    return f"list_transform(range(1, greatest(len(ws) - {n} + 1, 1) + 1), lambda i: array_to_string(ws[i:i + {n} - 1], ' '))"
+
+
 SQL = f"""
-WITH b AS (
-  SELECT DISTINCT item_id, unnest({_SHINGLES}) AS s FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0
+WITH i AS (SELECT item_id, {_WORDS} AS ws FROM benchmark
+), b AS (SELECT DISTINCT item_id, unnest({_sql_grams(str(WIDTH))}) AS s FROM i WHERE len(ws) > 0
 ), n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY 1
+), w AS (SELECT doc_id, {_WORDS} AS ws FROM documents
 ), d AS (
-  SELECT DISTINCT doc_id, unnest({_SHINGLES}) AS s FROM (SELECT doc_id, {_WORDS} AS ws FROM documents) WHERE len(ws) > 0
+  SELECT doc_id, unnest({_sql_grams(str(WIDTH))}) AS s FROM w WHERE len(ws) > 0
+  UNION
+  SELECT doc_id, unnest({_sql_grams("k")}) FROM w JOIN (SELECT DISTINCT len(ws) AS k FROM i WHERE len(ws) BETWEEN 1 AND {WIDTH - 1}) ON len(ws) >= k
 ), f AS (SELECT doc_id, item_id, count(*) AS n_found FROM d JOIN b USING (s) GROUP BY 1, 2)
 SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment
 FROM f JOIN n USING (item_id) WHERE n_found >= ceil(round({CONTAINMENT} * n_shingles, 9))
