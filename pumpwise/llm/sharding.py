@@ -13,6 +13,8 @@ from pumpwise.llm.common import checkpoint, read_table, text_or_empty
 HASH_BITS = 60
 #: The directory is first built this many bits deeper than evenly filled shards would need.
 SPARE_BITS = 6
+#: Depths of the directory that are sized in one shuffle.
+LEVELS = 4
 #: Bytes of text in a shard of the registered query.
 SHARD_BYTES = 1 << 20
 
@@ -22,24 +24,47 @@ def _prefix(addr: Column, bits: Column | int) -> Column:
     return F.call_function("shiftright", addr, (F.lit(HASH_BITS) - bits).cast("int"))
 
 
-def _nodes(cells: DataFrame, low: int, high: int, limit: int) -> DataFrame:
-    """Bytes, documents and 'must split' of each bucket at the depths low to high.  cells: cell (high bits), bytes, docs."""
-    levels = cells.select(F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"), "cell", "bytes", "docs")
-    at = F.call_function("shiftright", F.col("cell"), (F.lit(high) - F.col("depth")).cast("int"))
-    sizes = levels.groupBy("depth", at.alias("node")).agg(F.sum("bytes").alias("bytes"), F.sum("docs").alias("docs"))
-    return sizes.withColumn("splits", (F.col("bytes") > limit) & (F.col("docs") > 1))
-
+def _name(node: Column, depth: Column) -> Column:
+    return F.concat(F.lit("b"), F.when(depth > 0, F.lpad(F.bin(node), depth, "0")).otherwise(""))
 
-def _leaves(nodes: DataFrame, low: int) -> DataFrame:
-    """The buckets that fit and whose parent had to split (or that have no parent among nodes)."""
-    parents = nodes.where("splits").select((F.col("depth") + 1).alias("depth"), F.col("node").alias("up"))
-    fits = nodes.where("NOT splits").withColumn("up", F.call_function("shiftright", F.col("node"), F.lit(1)))
-    tops = fits.where(F.col("depth") == low).drop("up")
-    return fits.where(F.col("depth") > low).join(parents, ["depth", "up"], "left_semi").drop("up").unionByName(tops)
 
+def _directory(cells: DataFrame, low: int, high: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The bucket of each cell, at the least depth from low to high at which it fits, and the cells that no bucket fits.
 
-def _name(node: Column, depth: Column) -> Column:
-    return F.concat(F.lit("b"), F.when(depth > 0, F.lpad(F.bin(node), depth, "0")).otherwise(""))
+    cells: cell (its high bits), bytes, docs; no cell twice.  The directory: cell, shard, depth, shard_bytes, shard_docs.  Only the
+    buckets of cells that exist are looked at, LEVELS depths at a time from the deepest up: a shuffle brings the at most 2^(LEVELS-1)
+    buckets below one bucket together, whose sizes at each depth are sums over them, and the sums go on to the next depths, which have
+    2^LEVELS times fewer.  Then the buckets found above are handed down the same way.
+    """
+    base, blocks, bottom = cells, [], high
+    while bottom >= low:
+        top = max(low, bottom - LEVELS + 1)
+        at = {d: f"n{d}" for d in range(top, bottom + 1)}
+        shift = (lambda c, n: F.call_function("shiftright", F.col(c), F.lit(n)))
+        sized = base.select("cell", "bytes", "docs", *(shift("cell", bottom - d).alias(n) for d, n in at.items()))
+        found = F.lit(None)
+        for d in range(bottom, top - 1, -1):
+            over = f"OVER (PARTITION BY {', '.join(at[k] for k in range(top, d + 1))})"
+            sized = sized.withColumn(f"s{d}", F.expr(f"struct({d} AS depth, {at[d]} AS node, sum(bytes) {over} AS bytes, sum(docs) {over} AS docs)"))
+            size = F.col(f"s{d}")
+            found = F.when((size["bytes"] <= limit) | (size["docs"] == 1), size).otherwise(found)
+        blocks.append((checkpoint(sized.select("cell", found.alias("own"))), bottom, top))
+        if top > low:
+            base = checkpoint(base.groupBy(shift("cell", bottom - top + 1).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.sum("docs").alias("docs")))
+        bottom = top - 1
+    given = None
+    for block, bottom, top in reversed(blocks):
+        if given is not None:
+            above = given.select(F.col("cell").alias("up"), F.col("own").alias("above"))
+            block = block.withColumn("up", F.call_function("shiftright", F.col("cell"), F.lit(bottom - top + 1))).join(above, "up")
+            block = block.select("cell", F.coalesce("above", "own").alias("own"))
+        given = block
+    given = checkpoint(given)
+    named = given.where(F.col("own").isNotNull()).select(
+        "cell", _name(F.col("own.node"), F.col("own.depth")).alias("shard"), "own.depth",
+        F.col("own.bytes").alias("shard_bytes"), F.col("own.docs").alias("shard_docs"),
+    )
+    return named, given.where(F.col("own").isNull()).select("cell")
 
 
 def extendible_shards(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -53,8 +78,8 @@ def extendible_shards(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id",
     'b<bits>-0', 'b<bits>-1', ..., each within the limit.
 
     Bytes are summed per hash cell before anything is shuffled, the buckets of all
-    depths are sized from those sums, and documents join their cell's bucket on a
-    uniform hash, so no key is hot.  Null texts count as empty, null ids as ''.  An
+    depths are sized from those sums (the directory has an entry per cell that exists, none per address), and documents join their cell's
+    bucket on a uniform hash, so no key is hot.  Null texts count as empty, null ids as ''; very long texts count with all their bytes.  An
     empty table gives no rows.  Other columns are ignored.
     """
     text = text_or_empty(text_col)
@@ -67,17 +92,9 @@ def extendible_shards(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id",
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     bits = min(HASH_BITS, max(0, math.ceil(math.log2(max(1, total) / limit_bytes))) + SPARE_BITS)
     rows = rows.withColumn("cell", _prefix(F.col("addr"), bits))
-    cells = rows.groupBy("cell").agg(F.sum("n_bytes").alias("bytes"), F.count(F.lit(1)).alias("docs"))
-    nodes = checkpoint(_nodes(cells, 0, bits, limit_bytes))
-
-    span = F.call_function("shiftleft", F.lit(1).cast("long"), (F.lit(bits) - F.col("depth")).cast("int"))
-    owned = F.sequence(F.col("node") * span, (F.col("node") + 1) * span - 1)
-    directory = _leaves(nodes, 0).select(
-        F.explode(owned).alias("cell"), _name(F.col("node"), F.col("depth")).alias("shard"), "depth",
-        F.col("bytes").alias("shard_bytes"), F.col("docs").alias("shard_docs"),
-    )
+    cells = checkpoint(rows.groupBy("cell").agg(F.sum("n_bytes").alias("bytes"), F.count(F.lit(1)).alias("docs")))
+    directory, deep = _directory(cells, 0, bits, limit_bytes)
     placed = rows.join(directory, "cell").select("id", "shard", "depth", "n_bytes", "shard_bytes", "shard_docs")
-    deep = nodes.where((F.col("depth") == bits) & F.col("splits")).select(F.col("node").alias("cell"))
     if not deep.isEmpty():
         placed = placed.unionByName(_deep_shards(rows.join(deep, "cell", "left_semi"), bits, limit_bytes))
     return placed.withColumnRenamed("id", id_col)
@@ -87,19 +104,11 @@ def _deep_shards(rows: DataFrame, bits: int, limit: int) -> DataFrame:
     """Shards for the few cells that are still too large after the first bits."""
     rows = checkpoint(rows.select("id", "addr", "n_bytes"))
     cells = rows.groupBy(F.col("addr").alias("cell")).agg(F.sum("n_bytes").alias("bytes"), F.count(F.lit(1)).alias("docs"))
-    nodes = checkpoint(_nodes(cells, bits, HASH_BITS, limit))
-    leaves = _leaves(nodes, bits)
-    levels = cells.select("cell", F.explode(F.sequence(F.lit(bits), F.lit(HASH_BITS))).alias("depth"))
-    levels = levels.withColumn("node", _prefix(F.col("cell"), F.col("depth")))
-    directory = levels.join(leaves, ["depth", "node"]).select(
-        F.col("cell").alias("addr"), _name(F.col("node"), F.col("depth")).alias("shard"), "depth",
-        F.col("bytes").alias("shard_bytes"), F.col("docs").alias("shard_docs"),
-    )
-    placed = rows.join(directory, "addr").select("id", "shard", "depth", "n_bytes", "shard_bytes", "shard_docs")
-
-    same = nodes.where((F.col("depth") == HASH_BITS) & F.col("splits")).select(F.col("node").alias("addr"))
+    directory, same = _directory(checkpoint(cells), min(bits + 1, HASH_BITS), HASH_BITS, limit)
+    placed = rows.join(directory.withColumnRenamed("cell", "addr"), "addr").select("id", "shard", "depth", "n_bytes", "shard_bytes", "shard_docs")
     if same.isEmpty():
         return placed
+    same = same.withColumnRenamed("cell", "addr")
     # Number the rows of an address without gathering them: by task, then within the task.
     same = checkpoint(rows.join(same, "addr").withColumn("row", F.monotonically_increasing_id()))
     same = same.withColumn("task", F.call_function("shiftright", F.col("row"), F.lit(33)))
@@ -120,6 +129,7 @@ def _deep_shards(rows: DataFrame, bits: int, limit: int) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document, shards holding SHARD_BYTES of text at most."""
     return extendible_shards(read_table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
