@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pumpwise.llm.common import read_table
@@ -11,10 +11,24 @@ from pumpwise.llm.common import read_table
 SCENE_ROLES = ("system",)
 #: Marks around a message.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
+#: What starts a mark; in a text or name a bar more follows it, so that neither can hold a mark.  Taking that bar away gives the text back.
+MARK_START, ESCAPED_START = "<|", "<||"
 #: Turns whose lengths are summed together before the offsets of a dialogue are.
 TURNS_PER_BLOCK = 64
 
 
+def escaped(text: Column) -> Column:
+    """A text in which nothing reads as a mark."""
+    return F.replace(text, F.lit(MARK_START), F.lit(ESCAPED_START))
+
+
+def escaped_name(name: Column) -> Column:
+    """A name that neither holds a mark nor ends its line: a backslash is doubled, line breaks are \\n and \\r."""
+    for raw, written in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+        name = F.replace(name, F.lit(raw), F.lit(written))
+    return escaped(name)
+
+
 def rotate_perspectives(
     messages: DataFrame, scene_roles: tuple[str, ...] = SCENE_ROLES,
     conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
@@ -27,13 +41,14 @@ def rotate_perspectives(
     others as user with their name, scene messages as they are.  Joined in the order of
     start, the rows' rendered texts are the dialogue; start and stop are offsets in
     code points.  The loss mask is [mask_start, mask_stop): the participant's own words and the closing
-    mark; null for other messages.
+    mark; null for other messages.  Texts and names are escaped where they are rendered (see escaped, escaped_name), so that no message can
+    forge a turn; name has the speaker as it is.
 
     Messages are ordered by turn, then role, then text; equal rows are all kept.  A null turn comes
-    first, a null role is the participant 'unknown', a null text is empty; a null conv is a dialogue of
-    its own.  A dialogue of scene messages only has no participants and gives no rows.  Offsets
+    first, a null role is the participant 'unknown', a null text is empty; messages of a null conv are one dialogue.  A dialogue of scene messages only has no participants and gives no rows.  Offsets
     are summed per block of turns and then over blocks, so a long dialogue is not gathered in
-    one task.  Other columns are ignored.
+    one task; the messages of one block, and those of one dialogue without a turn, are put in order in one.  Very long texts are taken whole.
+    An empty table gives no rows.  Other columns are ignored.
     """
     rows = messages.select(
         F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"),
@@ -47,10 +62,10 @@ def rotate_perspectives(
     own, scene = F.col("speaker") == F.col("perspective"), F.col("speaker").isin(*scene_roles)
     role = F.when(own, "assistant").when(scene, F.col("speaker")).otherwise("user")
     name = F.when(~own & ~scene, F.col("speaker"))
-    head = F.concat(F.lit(OPEN), role, F.coalesce(F.concat(F.lit(" name="), name), F.lit("")), F.lit("\n"))
+    head = F.concat(F.lit(OPEN), role, F.coalesce(F.concat(F.lit(" name="), escaped_name(name)), F.lit("")), F.lit("\n"))
     both = both.select(
         "conv", "perspective", "turn", "speaker", "text", role.alias("role"), name.alias("name"), own.alias("own"),
-        F.length(head).alias("head"), F.concat(head, F.col("text"), F.lit(CLOSE)).alias("rendered"),
+        F.length(head).alias("head"), F.concat(head, escaped(F.col("text")), F.lit(CLOSE)).alias("rendered"),
         F.coalesce(F.floor(F.col("turn") / TURNS_PER_BLOCK), F.lit(-(2**62))).alias("block"),
     ).withColumn("size", F.length("rendered").cast("long"))
 
@@ -71,9 +86,11 @@ def rotate_perspectives(
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message of every dialogue as rendered from each participant's perspective, with offsets and loss masks."""
     return rotate_perspectives(read_table(spark, sf_dir, "conversations"))
 
 
+_NAME = rf"replace(replace(replace(replace(name, '\', '\\'), chr(10), '\n'), chr(13), '\r'), '{MARK_START}', '{ESCAPED_START}')"
 _SCENE = ", ".join(f"'{x}'" for x in SCENE_ROLES)
 SQL = f"""
 WITH m AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
@@ -82,8 +99,8 @@ b AS (SELECT conv_id, perspective, turn, speaker, text, speaker = perspective AS
              CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker IN ({_SCENE}) THEN speaker ELSE 'user' END AS role,
              CASE WHEN speaker <> perspective AND speaker NOT IN ({_SCENE}) THEN speaker END AS name
       FROM m JOIN v USING (conv_id)),
-h AS (SELECT *, '{OPEN}' || role || coalesce(' name=' || name, '') || chr(10) AS head FROM b),
-r AS (SELECT *, head || text || '{CLOSE.rstrip()}' || chr(10) AS rendered FROM h),
+h AS (SELECT *, '{OPEN}' || role || coalesce(' name=' || {_NAME}, '') || chr(10) AS head FROM b),
+r AS (SELECT *, head || replace(text, '{MARK_START}', '{ESCAPED_START}') || '{CLOSE.rstrip()}' || chr(10) AS rendered FROM h),
 s AS (SELECT *, CAST(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY turn, speaker, text ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM r)
 SELECT conv_id, perspective, turn, role, name, rendered, stop - length(rendered) AS start, stop,
        CASE WHEN own THEN stop - length(rendered) + length(head) END AS mask_start, CASE WHEN own THEN stop - 1 END AS mask_stop
