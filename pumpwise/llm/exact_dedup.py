@@ -29,7 +29,8 @@ def exact_dedup(
     keep names the id that stays, "min" or "max".  A null text counts as empty.
     Null ids never become keep_id unless all ids of the group are null; a row
     with a null id is kept only then.  Rows that repeat the kept id are all
-    marked as kept.  Other columns are ignored; an empty table gives no rows.
+    marked as kept, so there are no ties to break.  Very long texts are compared whole.  Other columns are ignored; an empty table gives no
+    rows.
     """
     pick = {"min": F.min, "max": F.max}[keep]
     texts = docs.select(F.col(id_col).alias("id"), ascii_lower(text_or_empty(text_col)).alias("norm"))
@@ -55,6 +56,7 @@ def exact_dedup(
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of equal texts of every document, the largest doc_id staying."""
     return exact_dedup(read_table(spark, sf_dir, "documents"), keep="max")
 
 

@@ -20,9 +20,11 @@ SCRIPT_RANGES = (
     (0x0900, 0x097F), (0x0980, 0x09FF), (0x0B80, 0x0BFF), (0x0E00, 0x0E7F), (0x10A0, 0x10FF), (0x3040, 0x30FF),
     (0x4E00, 0x9FFF), (0xAC00, 0xD7AF),
 )
-#: Character n-grams of words are counted in so many hash buckets, for at most so many languages: this bounds the model.
-BUCKET_BITS, MAX_LANGUAGES = 16, 200
+#: Character n-grams of words are counted in so many hash buckets; the model has 4 bytes for each bucket and language.
+BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
+#: Languages counted at once in a task; numbers (code points x languages) that a slice of texts, or of a text's words, may take in an array.
+LANGUAGES_AT_ONCE, SLICE = 16, 8_000_000
 #: Log-probability lost by a change of language between words; least share of a language's words for a script to be its own.
 SWITCH_PENALTY, SCRIPT_SHARE = 8.0, 0.01
 #: Score of a word for a language that does not use its script, and of documents walked at once.
@@ -73,10 +75,9 @@ def words_of_texts(texts: list[str], letters: np.ndarray) -> Words:
     edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     here = np.where(inside, codes, np.uint32(32))
-    before = np.concatenate((here[:1], here[:-1]))
-    before[:1] = 32
-    two = here * np.uint32(0x9E3779B1) + before * np.uint32(0x85EBCA6B)
-    three = two + np.concatenate((here[:2], here[:-2]))[: len(here)] * np.uint32(0xC2B2AE35) + np.uint32(3)
+    padded = np.concatenate((np.full(2, 32, dtype=np.uint32), here))
+    two = here * np.uint32(0x9E3779B1) + padded[1:-1] * np.uint32(0x85EBCA6B)
+    three = two + padded[:-2] * np.uint32(0xC2B2AE35) + np.uint32(3)
     buckets = tuple(
         np.where(ends, (h ^ (h >> 15)) * np.uint32(0x2C1B3C6D) >> (32 - BUCKET_BITS), np.uint32(BUCKETS)).astype(np.int32)
         for h, ends in ((two, inside | after), (three, after))
@@ -94,13 +95,19 @@ class Languages:
     scripts: np.ndarray  # scripts x languages
 
     def word_scores(self, words: Words) -> np.ndarray:
-        if not len(words.first):
-            return np.zeros((0, len(self.names)), dtype=np.float32)
-        padded = np.vstack((self.weights, np.zeros((1, len(self.names)), dtype=np.float32)))
-        each = sum(padded[b] for b in words.buckets)
-        # From a word's first letter to the blank after it; a line end follows every text, so last is inside.
-        bounds = np.stack((words.first, words.last + 1), axis=1).ravel()
-        sums = np.add.reduceat(np.vstack((each, padded[-1:])), bounds, axis=0)[::2]
+        """The score of each word in each language: its n-grams' log-probabilities, or OFF_SCRIPT a letter in another script."""
+        k, count = len(self.names), len(words.first)
+        padded = np.vstack((self.weights, np.zeros((1, k), dtype=np.float32)))
+        sums = np.zeros((count, k), dtype=np.float32)
+        at = 0
+        while at < count:  # so many words that their code points times languages stay within a slice; one word at least
+            end = max(at + 1, int(np.searchsorted(words.last, words.first[at] + SLICE // max(1, k), side="right")))
+            a, b = int(words.first[at]), int(words.last[end - 1]) + 1
+            each = sum(padded[x[a:b]] for x in words.buckets)
+            # From a word's first letter to the blank after it; a line end follows every text, so last is inside.
+            bounds = np.stack((words.first[at:end], words.last[at:end] + 1), axis=1).ravel() - a
+            sums[at:end] = np.add.reduceat(np.vstack((each, padded[-1:])), bounds, axis=0)[::2]
+            at = end
         allowed = self.scripts[words.script]
         # A script that no language uses leaves all candidates.
         return np.where(allowed | ~allowed.any(axis=1, keepdims=True), sums, OFF_SCRIPT * (1 + words.length[:, None]))
@@ -109,20 +116,21 @@ class Languages:
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
     """The best path (texts x words) through scores (texts x words x languages), a change of language costing the penalty."""
     texts, steps, k = scores.shape
-    best, back = scores[:, 0].copy(), np.zeros((texts, steps, k), dtype=np.uint8)
-    stay, ends = np.arange(k, dtype=np.uint8), np.zeros((texts, k), dtype=scores.dtype)
+    kind = np.min_scalar_type(k)
+    best, back = scores[:, 0].copy(), np.zeros((texts, steps, k), dtype=kind)
+    stay, ends = np.arange(k, dtype=kind), np.zeros((texts, k), dtype=scores.dtype)
     rows = np.arange(texts)
     ends[lengths == 1] = best[lengths == 1]
     for t in range(1, steps):
         top = best.argmax(axis=1)
         switched = best[rows, top] - penalty
         moves = switched[:, None] > best
-        back[:, t] = np.where(moves, top[:, None].astype(np.uint8), stay)
+        back[:, t] = np.where(moves, top[:, None].astype(kind), stay)
         best = np.where(moves, switched[:, None], best) + scores[:, t]
         done = lengths == t + 1
         if done.any():
             ends[done] = best[done]
-    path, state = np.zeros((texts, steps), dtype=np.uint8), ends.argmax(axis=1)
+    path, state = np.zeros((texts, steps), dtype=kind), ends.argmax(axis=1)
     for t in range(steps - 1, -1, -1):
         inside = t < lengths
         path[inside, t] = state[inside]
@@ -134,13 +142,13 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
 def label_words(model: Languages, words: Words, count: int, penalty: float = SWITCH_PENALTY) -> np.ndarray:
     """The language number of each word, texts of like length walked together."""
     scores = model.word_scores(words)
-    out = np.zeros(len(scores), dtype=np.uint8)
+    out = np.zeros(len(scores), dtype=np.min_scalar_type(len(model.names)))
     n = np.bincount(words.text, minlength=count) if len(words.text) else np.zeros(count, dtype=int)
     heads = np.concatenate(([0], np.cumsum(n)))
     order = [i for i in np.argsort(n, kind="stable") if n[i]]
     while order:
         # At most BLOCK texts, fewer of very long ones.
-        size = max(1, min(BLOCK, 400_000 // int(n[order[-1]])))
+        size = max(1, min(BLOCK, SLICE // (4 * int(n[order[-1]]) * len(model.names))))
         chosen, order = np.array(order[-size:]), order[:-size]
         grid = np.zeros((len(chosen), int(n[chosen].max()), len(model.names)), dtype=np.float32)
         for r, i in enumerate(chosen):
@@ -154,8 +162,10 @@ def label_words(model: Languages, words: Words, count: int, penalty: float = SWI
 def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:
     """Count n-gram buckets and scripts by language over all documents that are not held out (CRC-32 of the id mod 4 is not 2).
 
-    The counts are summed in each task, then by language and bucket; what reaches the driver is bounded by BUCKETS
-    and MAX_LANGUAGES (more languages stop the job).  Every counted language weighs the same.
+    The counts are summed in each task, LANGUAGES_AT_ONCE at once, then by language and bucket; the driver gets the
+    counts that are not zero and makes the model of BUCKETS numbers a language, 0.26 MB each: with so many languages that this exceeds memory
+    the job cannot run.  Every counted language weighs the same.  Null texts count as empty, repeated rows each; an empty table, or one
+    without languages, gives a model without languages.
     """
     rows = docs.select(
         F.col(lang_col).cast("string").alias("lang"), text_or_empty(text_col).alias("text"), held_out(F.col(id_col), 4, 2).alias("out")
@@ -165,27 +175,32 @@ def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, counts = _letters(), {}
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for lang, into in counts.items():
+                slot = np.flatnonzero(into)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(slot), pa.string()), pa.array(slot, pa.int32()), pa.array(into[slot])], names=["lang", "slot", "n"]
+                )
+            counts.clear()
+
         for batch in batches:
             for part in by_characters(batch):
                 texts = pa.table({"lang": part.column(0), "text": part.column(1)}).to_pandas().groupby("lang")["text"]
                 for lang, own in texts:
+                    if lang not in counts and len(counts) == LANGUAGES_AT_ONCE:
+                        yield from counted()
                     words = words_of_texts(list(own), letters)
                     into = counts.setdefault(lang, np.zeros(BUCKETS + scripts, dtype=np.int64))
                     for b in words.buckets:
                         into[:BUCKETS] += np.bincount(b, minlength=BUCKETS + 1)[:BUCKETS]
                     into[BUCKETS:] += np.bincount(words.script, minlength=scripts)
-        for lang, into in counts.items():
-            slot = np.flatnonzero(into)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(slot), pa.string()), pa.array(slot, pa.int32()), pa.array(into[slot])], names=["lang", "slot", "n"]
-            )
+        yield from counted()
 
     summed = checkpoint(rows.mapInArrow(of_batches, "lang string, slot int, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n")))
-    if (languages := summed.select("lang").distinct().count()) > MAX_LANGUAGES:
-        raise ValueError(f"{languages} languages; the model takes {MAX_LANGUAGES}")
     got = summed.toPandas()
     names = tuple(sorted(got["lang"].unique()))
-    counts = np.zeros((BUCKETS + scripts, len(names)))
+    counts = np.zeros((BUCKETS + scripts, len(names)), dtype=np.int64)
     counts[
         got["slot"].to_numpy(dtype=int), np.searchsorted(np.array(names, dtype=object), got["lang"].to_numpy(dtype=object))
     ] = got["n"].to_numpy()
@@ -205,19 +220,20 @@ def identify_languages(
     change of language costing the penalty, labels them, and words of one language in a row form a span.
     lang_pred is the language with most letters (ties: the first in alphabetical order), score its share of the letters.  Without a letter
     (null and empty texts too), or if nothing was learned, they are 'und' and 0.
-    The whole text is the only input.  Rows are labelled one by one; other columns are ignored.
+    The whole text is the only input; a very long one needs memory for its words times languages.  Rows are labelled one by one, repeated
+    ones alike; an empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    # At most BUCKETS x MAX_LANGUAGES numbers.
+    # BUCKETS numbers a language.
     shared = docs.sparkSession.sparkContext.broadcast((model.names, model.weights, model.scripts))
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, model = _letters(), Languages(*shared.value)
         for batch in batches:
-            for part in by_characters(batch):
+            for part in by_characters(batch, most=max(10_000, SLICE // max(4, len(model.names)))):
                 n, k = part.num_rows, len(model.names)
                 words = words_of_texts(part.column(1).to_pylist(), letters)
-                labels = label_words(model, words, n, penalty) if k else np.zeros(0, dtype=np.uint8)
+                labels = label_words(model, words, n, penalty) if k else np.zeros(0, dtype=int)
                 share = np.zeros((n, max(1, k)))
                 if k and len(labels):
                     np.add.at(share, (words.text, labels), words.length)
@@ -243,6 +259,7 @@ def identify_languages(
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, its share of the letters, and the spans of all languages in it."""
     docs = read_table(spark, sf_dir, "documents")
     found = identify_languages(docs, learn_languages(docs))
     return found.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", "spans")

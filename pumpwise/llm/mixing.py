@@ -134,7 +134,7 @@ def mix_sources(
     last document of a prefix is taken whole, so that a leaf exceeds its budget by less than
     a document.  Rows with one id share a place and are taken together.  Null
     domain, lang or source is the child 'unknown'; a null id orders as ''; null texts have no tokens.  A
-    leaf without tokens is not taken.  An empty table gives no rows.  All columns of docs stay.
+    leaf without tokens is not taken.  An empty table gives no rows.  All columns of docs stay, but for one named times, which is replaced.
     """
     plan = mixing_plan(docs, domain, weights, share, max_epochs, seed, id_col, text_col)
     leaf = {x: f"__mix_{x}" for x in (*LEVELS, "epochs", "upto")}
@@ -147,6 +147,7 @@ def mix_sources(
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture, one row for each epoch that takes a document."""
     docs = read_table(spark, sf_dir, "documents")
     mixed = mix_sources(docs, source_domain(), WEIGHTS, SHARE, MAX_EPOCHS, SEED)
     rows = mixed.select(

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from pumpwise.llm.common import read_table, text_or_empty
 
-#: Most labelled documents that the model is fitted on (those with the least CRC-32 of their ids), and pairs drawn from them.
-MAX_FIT_ROWS, MAX_PAIRS = 20_000, 100_000
+#: Most labelled documents that the model is fitted on (those with the least CRC-32 of their ids), and partners of the other label drawn
+#: for each of them.
+MAX_FIT_ROWS, PARTNERS = 20_000, 10
 RIDGE, STEPS, SEED = 1e-3, 30, 42
 #: Characters and capitals that a text is taken to have besides its own, so that one short sentence says little.
 PRIOR_CHARS, PRIOR_CAPITALS = 40, 1.2
@@ -74,8 +75,17 @@ def _standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.clip((x - mean) / scale, -6, 6)
 
 
+def pair_differences(z: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Features of a good document minus those of a bad one: every document with PARTNERS of the other label, drawn with a fixed seed."""
+    rng = np.random.default_rng(SEED)
+    ups, downs = np.flatnonzero(good), np.flatnonzero(~good)
+    first = np.concatenate((np.repeat(ups, PARTNERS), rng.choice(ups, PARTNERS * len(downs))))
+    second = np.concatenate((rng.choice(downs, PARTNERS * len(ups)), np.repeat(downs, PARTNERS)))
+    return z[first] - z[second]
+
+
 def fit_ranking(x: np.ndarray, good: np.ndarray) -> Ranking | None:
-    """Bradley-Terry strengths from pairs of a good and a bad document; None if either kind is missing.
+    """Bradley-Terry strengths from pairs of a good and a bad document, PARTNERS drawn for each; None if either kind is missing.
 
     The loss of a pair is log(1 + exp(-(s_good - s_bad))), minimised by Newton steps with a ridge.  The cut is
     the quantile of the fitted scores that best separates the labels: of all quantiles, the one with the highest mean
@@ -85,10 +95,8 @@ def fit_ranking(x: np.ndarray, good: np.ndarray) -> Ranking | None:
         return None
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
     z = _standard(x, mean, scale)
-    rng = np.random.default_rng(SEED)
-    ups, downs = np.flatnonzero(good), np.flatnonzero(~good)
-    n = min(MAX_PAIRS, 20 * max(len(ups), len(downs)))
-    diff = z[rng.choice(ups, n)] - z[rng.choice(downs, n)]
+    diff = pair_differences(z, good)
+    n = len(diff)
     w = np.zeros(x.shape[1])
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(np.clip(diff @ w, -500, 500)))
@@ -112,13 +120,18 @@ def held_out(id_col: Column, modulus: int, remainder: int) -> Column:
 def fit_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
 ) -> Ranking | None:
-    """Fit on labelled documents that are not held out (CRC-32 of the id mod 3 is not 1), at most MAX_FIT_ROWS of them."""
+    """Fit on labelled documents that are not held out (CRC-32 of the id mod 3 is not 1), at most MAX_FIT_ROWS of them.
+
+    Of several labels of one id the least counts, of several texts the least in byte order, so that at most MAX_FIT_ROWS rows of a few
+    numbers reach the driver.  Null ids and other labels than 0 and 1 are left out; without labels of both kinds the result is None.
+    """
     chosen = labels.select(
         F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")
     ).where("id IS NOT NULL AND label IN (0, 1)")
     chosen = chosen.where(~held_out(F.col("id"), 3, 1)).groupBy("id").agg(F.min("label").alias("label"))
     chosen = chosen.orderBy(F.crc32(F.col("id").cast("string").cast("binary")), "id").limit(MAX_FIT_ROWS)
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id", "label").agg(F.min("text").alias("text"))
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = _classes()
@@ -149,19 +162,24 @@ def quality_score(model: Ranking | None, text: Column) -> Column:
 def quality_scores(docs: DataFrame, model: Ranking | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, score (0 to 1), predicted (1 from 0.5 on).
 
-    Null texts count as empty and get the score of a text without words.  Rows with one id are scored one by one, an empty
-    table gives no rows; other columns are ignored.
+    Null texts count as empty and get the score of a text without words.  Rows with one id are scored one by one, a very long text in
+    one piece, an empty table gives no rows; other columns are ignored.
     """
     scored = docs.select(F.col(id_col).alias("id"), quality_score(model, text_or_empty(text_col)).alias("score"))
     return scored.select(F.col("id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, model: Ranking | None, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text scores 0.5 or more, all columns as they are."""
+    """The rows of docs whose text scores 0.5 or more, all columns as they are.
+
+    Null texts are scored as empty ones, repeated rows one by one; a score of just 0.5 stays, so without a model all do.  An empty table
+    gives an empty one.
+    """
     return docs.where(quality_score(model, text_or_empty(text_col)) >= 0.5)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, from a ranking learned on labels outside the held-out fold."""
     docs = read_table(spark, sf_dir, "documents")
     scores = quality_scores(docs, fit_quality(docs, read_table(spark, sf_dir, "labels")))
     return scores.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from itertools import islice, takewhile
 
 import pyarrow as pa
 import tiktoken
@@ -86,7 +87,9 @@ def random_spans(text: str, taken: list[Span], encoding: tiktoken.Encoding) -> l
         s, (a, b) = m[0], m.span()
         while last < len(taken) and taken[last][1] <= a:
             last += 1
-        if any(x[0] < b and a < x[1] for x in taken[last : last + 4]) or _NUMBER.fullmatch(s) or _UUID.fullmatch(s):
+        # Spans before the last one end before this string; those that start after it do not touch it, nor do later ones.
+        touching = (x[1] > a for x in takewhile(lambda x: x[0] < b, islice(taken, last, None)))
+        if any(touching) or _NUMBER.fullmatch(s) or _UUID.fullmatch(s):
             continue
         if len(s) in DIGEST_LENGTHS and _DIGEST.fullmatch(s) or _of_words(s, encoding):
             continue
@@ -104,8 +107,8 @@ def scan_secrets(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "d
 
     spans are kind:start:end in code points, end exclusive, by start and then kind,
     comma-joined; base_spans has the fixed patterns only.  A null or empty text has none. vocabulary is the path of a tiktoken rank file
-    that every executor can read.  Rows are scanned one by one: repeated rows give repeated results, an empty table none;
-    other columns are ignored.
+    that every executor can read.  Rows are scanned one by one, very long texts whole: repeated rows give repeated results, an empty
+    table none; of spans that start together the kinds' order decides.  Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kinds = [*BASE_KINDS, RANDOM_KIND]
@@ -138,5 +141,6 @@ def scan_secrets(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "d
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: counts and a digest of the fixed patterns' spans, and all spans with those the method adds."""
     found = scan_secrets(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_random", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
