@@ -71,7 +71,10 @@ def _fold_table() -> tuple[str, str]:
 def norm_key(c: Column) -> Column:
     """Lower case, accents dropped, ASCII letters and digits only; letters without a decomposition (ø, ł, ß) vanish."""
     accented, plain = _fold_table()
-    return F.regexp_replace(F.translate(F.lower(c), accented, plain), "[^a-z0-9]", "")
+    lowered = F.lower(c)
+    # Most texts are plain ASCII; only others are looked up character by character.
+    folded = F.when(F.length(lowered) == F.octet_length(lowered), lowered).otherwise(F.translate(lowered, accented, plain))
+    return F.regexp_replace(folded, "[^a-z0-9]+", "")
 
 
 def brand_key(c: Column, aliases: Mapping[str, str] = BRAND_ALIASES) -> Column:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pumpwise.functions.scalars import haversine_km, within
-from pumpwise.operators.lookup import small
 
 #: Kilometres in a degree of latitude.
 KM_PER_DEGREE = 111.0
+EARTH_KM = 6371.0
 
 
 def require_coordinates(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -28,7 +30,7 @@ def drop_outside(df: DataFrame, box: tuple[float, float, float, float], lat: str
 
 def in_country(df: DataFrame, countries: DataFrame, iso3: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Rows with their country's columns: the ISO-3 code joins, the country's box filters.  One join for all countries."""
-    boxes = small(countries.withColumnRenamed("iso3", "__iso3"))
+    boxes = countries.withColumnRenamed("iso3", "__iso3")
     at = (F.col(iso3) == F.col("__iso3")) & F.col(lat).between(F.col("min_lat"), F.col("max_lat")) & F.col(lon).between(F.col("min_lon"), F.col("max_lon"))
     return df.join(boxes, at).drop("__iso3", "min_lat", "min_lon", "max_lat", "max_lon")
 
@@ -36,12 +38,30 @@ def in_country(df: DataFrame, countries: DataFrame, iso3: str, lat: str = "lat",
 def radius_cover(df: DataFrame, grid: DataFrame, radius_km: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Rows within the radius of any grid point (g_id, g_lat, g_lon), with the point's id and distance_km; a row may match several points.
 
-    Latitude bands of the radius's height make the join an equi-join: a point is in the
-    band of a row or in one next to it.
+    Cells of the radius's height and width make the join an equi-join: a point is in the cell of a row or in one next to it.  A band
+    of latitude has as many cells around the globe as are wide enough at its edge nearer to the pole, near the poles one.
     """
     height = radius_km / KM_PER_DEGREE * 1.01
-    bands = F.explode(F.array(*(F.floor(F.col("g_lat") / height) + k for k in (-1, 0, 1))))
-    near = df.withColumn("__band", F.floor(F.col(lat) / height)).join(small(grid.withColumn("__band", bands)), "__band").drop("__band")
+    half = math.sin(radius_km / EARTH_KM / 2) * 1.01
+
+    def cells(band: Column) -> Column:
+        """How many cells a band has: at its far edge, and that of the next band, the radius spans at most one of them."""
+        edge = F.radians(F.greatest(F.abs(band * height), F.abs((band + 1) * height)) + height)
+        width = 2 * F.degrees(F.asin(F.least(F.lit(half) / F.cos(edge), F.lit(1.0))))
+        return F.when(edge < math.pi / 2 - 0.01, F.greatest(F.floor(360 / width), F.lit(1))).otherwise(F.lit(1)).cast("bigint")
+
+    def cell(band: Column, at: Column, step: int = 0) -> Column:
+        n = cells(band)
+        return F.pmod(F.floor((at + 180) / 360 * n) + step, n)
+
+    band = F.floor(F.col(lat) / height)
+    near = [
+        F.struct((at + up).alias("__band"), cell(at + up, F.col("g_lon"), side).alias("__cell"))
+        for at in (F.floor(F.col("g_lat") / height),) for up in (-1, 0, 1) for side in (-1, 0, 1)
+    ]
+    around = grid.withColumn("__at", F.explode(F.array_distinct(F.array(*near)))).select(*grid.columns, "__at.*")
+    placed = df.withColumns({"__band": band, "__cell": cell(band, F.col(lon))})
+    near = placed.join(around, ["__band", "__cell"]).drop("__band", "__cell")
     away = near.withColumn("distance_km", haversine_km(F.col(lat), F.col(lon), F.col("g_lat"), F.col("g_lon")))
     return away.where(F.col("distance_km") <= radius_km)
 

@@ -7,18 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Lookup tables up to this number of rows are broadcast; larger ones are shuffled.
-MAX_BROADCAST_ROWS = 100_000
-
-
 def dim(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A small table of fixed values, as a literal in the plan."""
-    return spark.createDataFrame(list(rows), schema)
+    """A small table of fixed values, as a literal in the plan.
 
-
-def small(df: DataFrame) -> DataFrame:
-    """A broadcast hint for a dimension whose size is checked first."""
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
+    Joins with tables carry no hint and count nothing: Spark broadcasts a literal or a file by its known size, and what is
+    derived by the size it measures when it runs (adaptive execution), so that building a plan starts no job.
+    """
+    return spark.createDataFrame(list(rows), schema)
 
 
 def fuel_dim(spark: SparkSession, fuels: Sequence[tuple[str, str, str]]) -> DataFrame:
@@ -27,7 +22,7 @@ def fuel_dim(spark: SparkSession, fuels: Sequence[tuple[str, str, str]]) -> Data
 
 def map_codes(df: DataFrame, code: str, codes: DataFrame, key: str) -> DataFrame:
     """Inner join with a code table: unmapped codes are dropped."""
-    return df.join(small(codes.withColumnRenamed(key, "__code")), F.col(code) == F.col("__code")).drop("__code")
+    return df.join(codes.withColumnRenamed(key, "__code"), F.col(code) == F.col("__code")).drop("__code")
 
 
 def code_map(pairs: Sequence[tuple[str, str]], key: Column) -> Column:
@@ -54,8 +49,8 @@ def overridden(code: Column, special: str, name: Column, marker: str, with_marke
 
 def two_hops(facts: DataFrame, key: str, first: DataFrame, first_key: str, link: str, second: DataFrame, second_key: str) -> DataFrame:
     """facts -> first -> second by inner joins; facts that miss either are dropped."""
-    hop = facts.join(small(first), F.col(key) == F.col(first_key))
-    return hop.join(small(second), F.col(link) == F.col(second_key))
+    hop = facts.join(first, F.col(key) == F.col(first_key))
+    return hop.join(second, F.col(link) == F.col(second_key))
 
 
 def registry_join(registry: DataFrame, facts: DataFrame, key: str) -> DataFrame:
@@ -70,7 +65,22 @@ def exclude(df: DataFrame, column: str, names: Sequence[str]) -> DataFrame:
 
 def members(df: DataFrame, column: str, names: DataFrame, key: str) -> DataFrame:
     """Rows whose value is in a list."""
-    return df.join(small(names.select(F.col(key).alias("__member"))), F.col(column) == F.col("__member"), "left_semi")
+    return df.join(names.select(F.col(key).alias("__member")), F.col(column) == F.col("__member"), "left_semi")
+
+
+def of_shape(df: DataFrame, column: str, pattern: str) -> DataFrame:
+    """Rows whose key has the required shape; nulls go."""
+    return df.where(F.col(column).rlike(pattern))
+
+
+def open_stations(df: DataFrame, column: str = "open") -> DataFrame:
+    """Stations that are open or do not say."""
+    return df.where(F.coalesce(F.col(column), F.lit(True)))
+
+
+def tagged(df: DataFrame, tag: str, value: str, types: Sequence[str], tags: str = "tags", kind: str = "type") -> DataFrame:
+    """Elements of the given types whose tag has the value or is missing."""
+    return df.where((F.coalesce(F.col(tags)[tag], F.lit(value)) == value) & F.col(kind).isin(*types))
 
 
 def latest_slice(df: DataFrame, period: str, condition: Column) -> DataFrame:
@@ -85,8 +95,8 @@ def fallback(primary: DataFrame, secondary: DataFrame, status: DataFrame, source
 
     status: source, available.  A source that is available but empty stays empty.
     """
-    down = small(status.where(~F.col("available")).select(F.col(source).alias("__source")))
-    up = small(status.where("available").select(F.col(source).alias("__source")))
+    down = status.where(~F.col("available")).select(F.col(source).alias("__source"))
+    up = status.where("available").select(F.col(source).alias("__source"))
     use = primary.join(up, F.col(source) == F.col("__source"), "left_semi")
     return use.unionByName(secondary.join(down, F.col(source) == F.col("__source"), "left_semi"), allowMissingColumns=True)
 

@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pumpwise.operators.lookup import small
-
 
 def _rated(df: DataFrame, rates: DataFrame, currency: str) -> DataFrame:
     rates = rates.select(F.col("currency").alias("__currency"), F.col("rate").alias("__rate")).where("__rate <> 0")
-    return df.join(small(rates), F.col(currency) == F.col("__currency"), "left")
+    return df.join(rates, F.col(currency) == F.col("__currency"), "left")
 
 
 def convert(df: DataFrame, rates: DataFrame, price: str, target: str, base: str = "EUR", places: int = 3) -> DataFrame:

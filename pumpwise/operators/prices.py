@@ -31,6 +31,29 @@ def first_per_fuel(prices: Column) -> Column:
     return F.filter(prices, lambda p, i: F.array_position(names, p["fuel_type"]) == i + 1)
 
 
+def first_valid_columns(fuels: Sequence[tuple[str, str, str]], value) -> Column:
+    """The same as first_per_fuel(keep_valid(from_columns(fuels, value))), with the comparisons of fuels made while the plan is built."""
+    prices, kept = [value(name) for name, _, _ in fuels], []
+    for i, (_, fuel, unit) in enumerate(fuels):
+        earlier = [valid_price(prices[j]) for j in range(i) if fuels[j][1] == fuel]
+        first = valid_price(prices[i])
+        for other in earlier:
+            first = first & ~other
+        kept.append(F.when(first, entry(F.lit(fuel), prices[i], F.lit(unit))))
+    return F.array_compact(F.array(*kept))
+
+
+def unnest(df: DataFrame, keep: Sequence[str], nested: str, ordinal: str, name: str) -> DataFrame:
+    """The elements of a nested list as rows, with their place in the list."""
+    return df.select(*keep, F.posexplode(nested).alias(ordinal, name))
+
+
+def first_where(elements: Column, condition) -> Column:
+    """The first list element that meets the condition, null without one; what it holds is parsed only then, so a bad value does not
+    make way for the next element."""
+    return F.get(F.filter(elements, condition), F.lit(0))
+
+
 def with_prices(stations: DataFrame, prices: Column, currency: str, run_at: Column, keep_empty: bool = False) -> DataFrame:
     """Stations with prices[] in the canonical form; stations left without a price go unless keep_empty."""
     canonical = F.transform(

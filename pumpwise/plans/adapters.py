@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pumpwise.functions import dims
 from pumpwise.functions import scalars as S
 from pumpwise.operators import dedup, geo, geocode, lookup, match, money
-from pumpwise.operators.prices import canonical, entry, first_per_fuel, from_columns, keep_valid, with_prices
+from pumpwise.operators.prices import canonical, entry, first_valid_columns, first_where, from_columns, keep_valid, unnest, with_prices
 from pumpwise.sources import raw as R
 
 Raw = Mapping[str, DataFrame]
@@ -74,7 +74,7 @@ def points_of_interest(docs: DataFrame, countries: DataFrame, rates: DataFrame,
 
 def _osm(docs: DataFrame, country: str, default: str) -> DataFrame:
     """Fuel stations of a map feed; the first element of an id decides, even if it has no coordinates."""
-    rows = R.map_elements(docs).where((F.coalesce(F.col("tags")["amenity"], F.lit("fuel")) == "fuel") & F.col("type").isin("node", "way"))
+    rows = lookup.tagged(R.map_elements(docs), "amenity", "fuel", ("node", "way"))
     rows = geo.require_coordinates(dedup.first_wins(rows, ["element_id"], ["path", "row_ord"]))
     tag = (lambda k: F.col("tags")[k])
     return rows.select(
@@ -94,7 +94,7 @@ def _osm(docs: DataFrame, country: str, default: str) -> DataFrame:
 def sweden_priced(docs: DataFrame) -> DataFrame:
     """Priced stations of the county feed (county, shard_ord): the last price of a fuel counts, the last county too."""
     key = S.rsplit_key(F.col("key"))
-    facts = R.flat_map(docs).withColumn("k", key).where(F.col("key").contains("__"))
+    facts = lookup.of_shape(R.flat_map(docs), "key", "__").withColumn("k", key)
     facts = facts.select(
         "county", F.struct("shard_ord", "row_ord").alias("at"), F.col("k.head").alias("station"), F.col("k.tail").alias("code"),
         S.decimal_comma(F.col("value")).alias("price")
@@ -278,7 +278,7 @@ def france(raw: Raw, run_at: Column) -> DataFrame:
     rows = _meta(rows, "FR").withColumns({
         "id": F.concat(F.lit("fr_"), F.coalesce("id", F.lit(""))), "name": brand, "brand": brand, "address": _text("adresse"),
         "city": _text("ville"),
-        "raw_prices": first_per_fuel(keep_valid(from_columns(dims.FR_FUELS, lambda c: S.number(F.col(c))))),
+        "raw_prices": first_valid_columns(dims.FR_FUELS, lambda c: S.number(F.col(c))),
     })
     return canonical(with_prices(rows, F.col("raw_prices"), "EUR", run_at))
 
@@ -293,7 +293,7 @@ def spain(raw: Raw, run_at: Column) -> DataFrame:
     rows = _meta(rows, "ES").withColumns({
         "id": F.concat(F.lit("es_"), F.coalesce("IDEESS", F.lit(""))), "name": brand, "brand": brand,
         "address": F.coalesce("Dirección", F.lit("")), "city": F.coalesce("Municipio", F.lit("")),
-        "raw_prices": first_per_fuel(keep_valid(from_columns(dims.ES_FUELS, lambda c: S.decimal_comma(F.col(f"`{c}`"))))),
+        "raw_prices": first_valid_columns(dims.ES_FUELS, lambda c: S.decimal_comma(F.col(f"`{c}`"))),
     })
     return canonical(with_prices(rows, F.col("raw_prices"), "EUR", run_at))
 
@@ -319,16 +319,23 @@ def portugal(raw: Raw, run_at: Column) -> DataFrame:
 
 
 def austria(raw: Raw, run_at: Column) -> DataFrame:
-    """Answers per district and fuel (fuel, shard_ord), open stations only, merged by station."""
+    """Answers per district and fuel (fuel, shard_ord), open stations only, merged by station.
+
+    Where no district has answered, those of the nine states stand in, if they have landed (states, as districts).
+    """
     element = (
         "struct<id: string, name: string, open: boolean, address: struct<street: string, streetnumber: string, city: string>, "
         "location: struct<latitude: double, longitude: double>, prices: array<struct<fuelType: string, amount: string>>>"
     )
-    rows = R.json_list(raw["districts"], element, root=True).select(
-        "fuel", F.struct("shard_ord", "row_ord").alias("at"), "x.*"
-    ).where(F.coalesce("open", F.lit(True)))
+    docs = raw["districts"]
+    if "states" in raw:
+        status = docs.limit(1).agg((F.count(F.lit(1)) > 0).alias("available")).withColumn("level", F.lit("AT"))
+        docs, states = (x.withColumn("level", F.lit("AT")) for x in (docs, raw["states"]))
+        docs = lookup.fallback(docs, states, status, "level").drop("level")
+    rows = R.json_list(docs, element, root=True).select("fuel", F.struct("shard_ord", "row_ord").alias("at"), "x.*")
+    rows = lookup.open_stations(rows)
     fuel = F.col("fuel")
-    own = F.get(F.filter("prices", lambda p: (p["fuelType"] == fuel) & (F.coalesce(S.nonblank(p["amount"]), F.lit("0")) != "0")), F.lit(0))
+    own = first_where(F.col("prices"), lambda p: (p["fuelType"] == fuel) & (F.coalesce(S.nonblank(p["amount"]), F.lit("0")) != "0"))
     codes, units = [(c, f) for c, f, _ in dims.AT_FUELS], [(c, u) for c, _, u in dims.AT_FUELS]
     price = entry(lookup.code_map(codes, fuel), S.number(own["amount"]), lookup.code_map(units, fuel))
     rows = _meta(rows, "AT").select(
@@ -384,7 +391,7 @@ def slovenia(raw: Raw, run_at: Column) -> DataFrame:
     rows = _meta(rows, "SI").withColumns({
         "id": F.concat(F.lit("si_"), sid), "name": _text("name"), "brand": _text("name"), "address": _text("address"),
         "city": _text("zip_code"),
-        "raw_prices": first_per_fuel(keep_valid(from_columns(dims.SI_FUELS, lambda c: S.number(F.col("prices")[c])))),
+        "raw_prices": first_valid_columns(dims.SI_FUELS, lambda c: S.number(F.col("prices")[c])),
     })
     return canonical(with_prices(rows.drop("prices"), F.col("raw_prices"), "EUR", run_at))
 
@@ -401,7 +408,7 @@ def croatia(raw: Raw, run_at: Column) -> DataFrame:
         "cjenici: array<struct<gorivo_id: string, cijena: string>>>"
     )
     stations = R.json_list(raw["all"], element, ["postajas"]).select("row_ord", "x.*")
-    facts = stations.select("row_ord", F.posexplode("cjenici").alias("price_ord", "c")).select(
+    facts = unnest(stations, ["row_ord"], "cjenici", "price_ord", "c").select(
         "row_ord", "price_ord", F.col("c.gorivo_id").alias("gid"), S.decimal_comma(F.col("c.cijena")).alias("price")
     )
     facts = lookup.two_hops(

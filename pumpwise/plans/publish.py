@@ -5,12 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pumpwise.functions.scalars import iso_timestamp
 from pumpwise.operators.geocode import grown_cache
-from pumpwise.operators.lookup import small
 from pumpwise.schema import CACHE, STATION
 
 
@@ -24,10 +24,15 @@ def coverage(df: DataFrame, group: str, **conditions: Column) -> DataFrame:
     return df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *(F.count_if(c).alias(k) for k, c in conditions.items()))
 
 
-def metas(stations: DataFrame, sources: DataFrame, fetched_at: Column) -> DataFrame:
-    """One row per source: country, currency, source, confidence, fetched_at, station_count.  The source's own values stand even if its rows came from a fallback."""
+def metas(stations: DataFrame, sources: DataFrame, fetched_at: Column, status: DataFrame | None = None) -> DataFrame:
+    """One row per source: country, currency, source, confidence, fetched_at, station_count.  The source's own values stand even if its rows came from a fallback.
+
+    With a status per country (see run.country_status) those that failed are left out; one that answered with nothing is listed with 0.
+    """
+    if status is not None:
+        sources = sources.join(status.where("available").select("country"), "country", "left_semi")
     per = stations.groupBy("country").agg(F.count(F.lit(1)).alias("station_count"))
-    joined = small(sources).join(per, "country", "left")
+    joined = sources.join(per, "country", "left")
     return joined.select(
         "source_ord", "country", "currency", "source", "confidence", iso_timestamp(fetched_at).alias("fetched_at"),
         F.coalesce("station_count", F.lit(0).cast("bigint")).alias("station_count")
@@ -57,7 +62,10 @@ def read_combined(spark: SparkSession, path: str) -> DataFrame:
 
 
 def country_document(stations: DataFrame, metas: DataFrame) -> DataFrame:
-    """Optional export of one nested document {meta, stations} per country, for readers that want single files; countries are small by nature."""
+    """Optional export of one nested document {meta, stations} per country, for readers that want single files.
+
+    A country's stations become one row, so this is for countries of some ten thousand stations; write_countries has no such limit.
+    """
     listed = stations.groupBy("country").agg(F.sort_array(F.collect_list(F.struct(*STATION.fieldNames()))).alias("stations"))
     meta = metas.select("country", F.struct(*(c for c in metas.columns if c != "source_ord")).alias("meta"))
     return meta.join(listed, "country").select("country", F.to_json(F.struct("meta", "stations")).alias("document"))
@@ -75,11 +83,13 @@ def save_cache(cache: DataFrame, attempts: DataFrame, root: str) -> str:
 
 
 def load_cache(spark: SparkSession, candidates: Sequence[str]) -> DataFrame:
-    """The first candidate path that can be read as a cache, else an empty one."""
+    """The first candidate path that exists and has a cache's columns, else an empty one.  One that exists and cannot be read is an error."""
     for path in candidates:
         try:
             found = spark.read.parquet(path)
-        except Exception:  # noqa: BLE001  absent or not a cache: the next candidate
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise  # a cache that is there but cannot be read must not pass for an empty one
             continue
         if set(CACHE.fieldNames()) <= set(found.columns):
             return found.select(*CACHE.fieldNames())

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pumpwise.functions import dims
 from pumpwise.operators import lookup
@@ -48,3 +49,13 @@ def sources_of(
         countries = adapters.poi_countries(spark, scope)
         found["POI"] = lambda: adapters.points_of_interest(raw["POI"]["stations"], countries, rates, run_at)
     return found
+
+
+def country_status(status: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """country, available: the status of publish.run_all, that of the point-of-interest feed handed to each country of its scope.
+
+    A country that several sources serve is available if one of them is.
+    """
+    of_feed = status.where("country = 'POI'").select(F.explode(F.array(*map(F.lit, scope)).cast("array<string>")).alias("country"), "available")
+    both = status.where("country <> 'POI'").select("country", "available").unionByName(of_feed)
+    return both.groupBy("country").agg(F.bool_or("available").alias("available"))

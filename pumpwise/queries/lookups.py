@@ -117,23 +117,23 @@ def latest_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.latest_slice(rows, "day", F.col("event_type").isin("click", "view")).select("event_id", "value")
 
 
-@REGISTRY.add("SELECT p_partkey FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_partkey < 10)")
+@REGISTRY.add("SELECT p_partkey FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size = 1)")
 def member_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of listed networks (FLT-15)."""
     parts = table(spark, sf_dir, "part")
-    return lookup.members(parts, "p_brand", parts.where("p_partkey < 10").select("p_brand").distinct(), "p_brand").select("p_partkey")
+    return lookup.members(parts, "p_brand", parts.where("p_size = 1").select("p_brand").distinct(), "p_brand").select("p_partkey")
 
 
 @REGISTRY.add(
-    """SELECT event_id FROM events WHERE CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) % 2 = 0 AND event_type IN ('click', 'view', 'purchase')"""
+    """SELECT event_id FROM (SELECT event_id, event_type, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) AS k FROM events)
+WHERE (k % 2 = 0 OR k % 3 = 0) AND event_type IN ('click', 'view', 'purchase')"""
 )
 def tag_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tag of a map and a type decide (FLT-14)."""
-    tags = F.from_json("props", "map<string,string>")
-    rows = table(spark, sf_dir, "events").withColumn("tags", tags)
-    return rows.where(
-        (F.col("tags")["k"].try_cast("int") % 2 == 0) & F.col("event_type").isin("click", "view", "purchase")
-    ).select("event_id")
+    """A tag of a map, if it is there, and a type decide (FLT-14)."""
+    k = F.from_json("props", "map<string,string>")["k"].try_cast("int")
+    amenity = F.when(k % 3 > 0, F.when(k % 2 == 0, "fuel").otherwise("cafe"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("type"), F.create_map(F.lit("amenity"), amenity).alias("tags"))
+    return lookup.tagged(rows, "amenity", "fuel", ("click", "view", "purchase")).select("event_id")
 
 
 @REGISTRY.add("""SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 2 = 0 AND n_nationkey < 20 THEN CAST(n_nationkey AS DOUBLE)
@@ -143,7 +143,7 @@ def gazetteer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation")
     regions = table(spark, sf_dir, "region")
     blank = F.lit(None).cast("string")
-    exact = nations.where("n_nationkey < 20").join(lookup.small(regions), F.col("n_regionkey") == F.col("r_regionkey")).select(
+    exact = nations.where("n_nationkey < 20").join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.lit("XX").alias("country"), F.col("n_name").alias("street"), F.col("r_name").alias("city"), blank.alias("postal"),
         F.col("n_nationkey").cast("double").alias("lat"), F.lit(0.0).alias("lon"), F.lit(0).alias("rank"))
     loose = regions.select(
@@ -153,8 +153,8 @@ def gazetteer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     # An entry without a street answers queries by city only; those with one rank after it there.
     gazetteer = exact.withColumn("rank", F.lit(5)).unionByName(loose)
     rows = table(spark, sf_dir, "customer").join(
-        lookup.small(nations), F.col("c_nationkey") == F.col("n_nationkey")
-    ).join(lookup.small(regions), F.col("n_regionkey") == F.col("r_regionkey"))
+        nations, F.col("c_nationkey") == F.col("n_nationkey")
+    ).join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
     key = F.col("c_custkey")
     street = F.when(key % 2 == 0, F.upper("n_name")).otherwise("")
     city = F.when((key % 7 == 0), "Nowhere").when(
@@ -199,7 +199,7 @@ def box_country(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("iso3"), low.alias("min_lat"), F.lit(-1.0).alias("min_lon"),
         (low + 2500).alias("max_lat"), F.lit(99.0).alias("max_lon")
     )
-    rows = table(spark, sf_dir, "customer").join(lookup.small(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     rows = rows.select(
         "c_custkey", F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("code"), F.col("c_acctbal").alias("lat"),
         F.col("c_nationkey").cast("double").alias("lon")
@@ -228,10 +228,12 @@ def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.union_sources(one, two)
 
 
-@REGISTRY.add("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O'")
+@REGISTRY.add("SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F'")
 def open_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Open stations (FLT-12)."""
-    return table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "O").select("o_orderkey")
+    """Stations that are open or do not say (FLT-12)."""
+    status = F.col("o_orderstatus")
+    says = F.when(status == "O", True).when(status == "F", False)
+    return lookup.open_stations(table(spark, sf_dir, "orders").withColumn("open", says)).select("o_orderkey")
 
 
 @REGISTRY.add("SELECT doc_id FROM documents WHERE source IS NULL OR source NOT IN ('src0', 'src3')")

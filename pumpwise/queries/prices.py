@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pumpwise.functions import scalars as S
 from pumpwise.operators import dedup, geocode, lookup, match, money
-from pumpwise.operators.prices import first_per_fuel, from_columns, keep_valid
+from pumpwise.operators.prices import entry, first_valid_columns, first_where, keep_valid, unnest, with_prices
 from pumpwise.plans import history, publish
 from pumpwise.queries.registry import Registry, table
 
@@ -105,23 +105,22 @@ def to_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cached(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Documents as stations without coordinates, labels as a cache in which label 0 is a remembered failure."""
-    key = (lambda c: F.concat(F.lit("k"), (c % 5000).cast("string")))
+    key = (lambda c: F.concat(F.lit("k"), F.floor(c / 4).cast("string")))  # up to four documents of a language share a key
     stations = table(spark, sf_dir, "documents").select(
         "doc_id", F.col("lang").alias("country"), key(F.col("doc_id")).alias("geo_key"), F.lit(None).cast("double").alias("lat"),
         F.lit(None).cast("double").alias("lon")
     )
-    labels = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    labels = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    rows = labels.select(F.col("lang").alias("country"), key(F.col("doc_id")).alias("key"), "doc_id", "quality")
+    first = dedup.first_wins(rows, ["country", "key"], ["doc_id"])
     good = F.when(F.col("quality") == 1, F.col("doc_id").cast("double"))
-    cache = labels.where("doc_id < 5000").select(
-        F.col("lang").alias("country"), key(F.col("doc_id")).alias("key"), good.alias("lat"), (good / 2).alias("lon")
-    )
-    return stations, cache
+    return stations, first.select("country", "key", good.alias("lat"), (good / 2).alias("lon"))
 
 
 _CACHE = """
-WITH s AS (SELECT doc_id, lang AS country, doc_id % 5000 AS k FROM documents),
-c AS (SELECT lang AS country, doc_id AS k, CASE WHEN quality = 1 THEN CAST(doc_id AS DOUBLE) END AS lat
-      FROM labels JOIN documents USING (doc_id) WHERE doc_id < 5000)
+WITH s AS (SELECT doc_id, lang AS country, doc_id // 4 AS k FROM documents),
+c AS (SELECT lang AS country, doc_id // 4 AS k, CASE WHEN arg_min(quality, doc_id) = 1 THEN CAST(min(doc_id) AS DOUBLE) END AS lat
+      FROM labels JOIN documents USING (doc_id) GROUP BY ALL)
 """
 
 
@@ -187,7 +186,7 @@ def unpivot_first_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide price columns to long, the first valid of each fuel, inside the row (PRJ-05, AGG-03)."""
     fuels = [("l_discount", "E5", "L"), ("l_tax", "E5", "L"), ("l_extendedprice", "DIESEL", "L")]
     rows = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", first_per_fuel(keep_valid(from_columns(fuels, F.col))).alias("p")
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", first_valid_columns(fuels, F.col).alias("p")
     )
     return rows.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.explode("p").alias("p")
@@ -242,7 +241,7 @@ def ordinal_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("SELECT n_name, count(*) AS station_count FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_name)")
 def meta_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stations per country and in all (AGG-09)."""
-    rows = table(spark, sf_dir, "customer").join(lookup.small(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return publish.counts(rows, "n_name")
 
 
@@ -259,8 +258,10 @@ def coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 0)")
 def nonempty_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stations with a valid price (FLT-03)."""
-    priced = table(spark, sf_dir, "orders").where(S.valid_price(F.col("o_totalprice")))
-    return table(spark, sf_dir, "customer").join(priced, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+    one = entry(F.col("o_orderpriority"), F.col("o_totalprice"), F.lit("L"))
+    listed = dedup.ordered_list(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderkey"], one, "raw_prices")
+    stations = table(spark, sf_dir, "customer").join(listed, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return with_prices(stations, keep_valid(F.col("raw_prices")), "EUR", F.lit("2026-01-01").cast("timestamp")).select("c_custkey")
 
 
 @REGISTRY.add("""SELECT event_id, previous, value - previous AS delta FROM (
@@ -282,12 +283,17 @@ def daily_history(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings)""")
 def unnest_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A nested list to rows, order kept (PRJ-06)."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "value"))
+    rows = unnest(table(spark, sf_dir, "embeddings"), ["vec_id"], "embedding", "pos", "value")
     return rows.withColumn("value", F.col("value").cast("double"))
 
 
-@REGISTRY.add("SELECT vec_id, CAST(list_filter(embedding, lambda v: v > 0.2)[1] AS DOUBLE) AS value FROM embeddings")
+@REGISTRY.add("""SELECT o_custkey, CASE WHEN arg_min(o_orderkey, o_orderkey) % 3 > 0 THEN arg_min(o_totalprice, o_orderkey) END AS value
+FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey""")
 def first_matching_element(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first list element that meets a condition (PRJ-07)."""
-    first = F.get(F.filter("embedding", lambda v: v > 0.2), F.lit(0))
-    return table(spark, sf_dir, "embeddings").select("vec_id", first.cast("double").alias("value"))
+    """The first list element that meets a condition; if it cannot be parsed, the next is not tried (PRJ-07)."""
+    text = F.when(F.col("o_orderkey") % 3 == 0, "n/a").otherwise(F.col("o_totalprice").cast("string"))
+    one = F.struct(F.col("o_orderstatus").alias("status"), text.alias("amount"))
+    listed = dedup.ordered_list(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderkey"], one, "listed")
+    first = first_where(F.col("listed"), lambda p: p["status"] == "F")
+    found = listed.select("o_custkey", first.alias("x")).where("x IS NOT NULL")
+    return found.select("o_custkey", S.number(F.col("x.amount")).alias("value"))

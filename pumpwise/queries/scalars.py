@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pumpwise.functions import scalars as S
+from pumpwise.operators import lookup
 from pumpwise.queries.registry import Registry, table
 
 REGISTRY = Registry()
@@ -47,17 +48,21 @@ def split_camel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", parts.alias("x")).select("p_partkey", "x.city", "x.street")
 
 
-@REGISTRY.add("""WITH s AS (SELECT s_suppkey, s_suppkey % 4 AS k FROM supplier)
-SELECT s_suppkey, CASE k WHEN 0 THEN 'circle k · Main Road, Malm' WHEN 1 THEN 'st1 · Solo City, Solna' WHEN 2 THEN 'plain brand' ELSE 'single' END AS name,
-  CASE k WHEN 0 THEN 'circle_k' WHEN 1 THEN 'st1' WHEN 2 THEN 'plain_brand' ELSE 'single' END AS brand,
-  CASE k WHEN 0 THEN 'MalmMainRoad' WHEN 1 THEN 'SolnaSoloCity' ELSE '' END AS geo_key, CASE k WHEN 0 THEN 'Malm' WHEN 1 THEN 'Solna' ELSE '' END AS city,
-  CASE k WHEN 0 THEN 'Main Road' WHEN 1 THEN 'Solo City' ELSE '' END AS street FROM s""")
+@REGISTRY.add("""WITH s AS (SELECT s_suppkey, s_suppkey % 4 AS k, CAST(s_suppkey AS VARCHAR) AS n, 'Malm' || chr(CAST(97 + s_suppkey % 26 AS INTEGER)) AS c,
+  'Ga' || chr(CAST(97 + s_suppkey // 26 % 26 AS INTEGER)) || 'an' AS r FROM supplier)
+SELECT s_suppkey, CASE k WHEN 0 THEN 'circle k' || n || ' · Main ' || r || ', ' || c WHEN 1 THEN 'st' || n || ' · ' || r || ', ' || c WHEN 2 THEN 'plain brand' || n ELSE 'single' || n END AS name,
+  CASE k WHEN 0 THEN 'circle_k' || n WHEN 1 THEN 'st' || n WHEN 2 THEN 'plain_brand' || n ELSE 'single' || n END AS brand,
+  CASE k WHEN 0 THEN c || 'Main' || r WHEN 1 THEN c || r ELSE '' END AS geo_key, CASE WHEN k < 2 THEN c ELSE '' END AS city,
+  CASE k WHEN 0 THEN 'Main ' || r WHEN 1 THEN r ELSE '' END AS street FROM s""")
 def parse_composite_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Composite ids (SCL-07)."""
-    kind = F.col("s_suppkey") % 4
-    text = F.when(kind == 0, "skane-lan_circle_k_MalmMainRoad").when(
-        kind == 1, "stockholms-lan_st1_SolnaSoloCity_rest"
-    ).when(kind == 2, "kalmar_plain_brand").otherwise("single")
+    key = F.col("s_suppkey")
+    kind, n, county = key % 4, key.cast("string"), F.concat(F.lit("lan-"), F.col("s_nationkey").cast("string"))
+    city = F.concat(F.lit("Malm"), F.char(key % 26 + 97))
+    street = F.concat(F.lit("Ga"), F.char(F.floor(key / 26) % 26 + 97), F.lit("an"))
+    text = F.when(kind == 0, F.concat(county, F.lit("_circle_k"), n, F.lit("_"), city, F.lit("Main"), street)).when(
+        kind == 1, F.concat(county, F.lit("_st"), n, F.lit("_"), city, street, F.lit("_rest"))
+    ).when(kind == 2, F.concat(county, F.lit("_plain_brand"), n)).otherwise(F.concat(F.lit("single"), n))
     return table(spark, sf_dir, "supplier").select("s_suppkey", S.parse_composite_id(text).alias("x")).select("s_suppkey", "x.*")
 
 
@@ -139,13 +144,16 @@ def descale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @REGISTRY.add(
-    """SELECT c_custkey, CASE WHEN c_nationkey % 4 < 2 THEN 45.0::DOUBLE + (c_nationkey % 2) END AS lat, CASE WHEN c_nationkey % 4 < 2 THEN 15.5::DOUBLE END AS lon FROM customer"""
+    """SELECT c_custkey, CASE WHEN c_custkey % 4 < 2 THEN CAST(430 + c_custkey % 39 AS DOUBLE) / 10 END AS lat,
+  CASE WHEN c_custkey % 4 < 2 THEN CAST(140 + (c_custkey + c_nationkey) % 51 AS DOUBLE) / 10 END AS lon FROM customer"""
 )
 def swap_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Swapped axes told apart by their ranges (SCL-17)."""
-    kind = F.col("c_nationkey") % 4
-    first = F.when(kind == 0, "15,5").when(kind == 1, "46.0").when(kind == 2, "45.0").otherwise("99")
-    second = F.when(kind == 0, "45,0").when(kind == 1, "15.5").when(kind == 2, "n/a").otherwise("15.5")
+    kind = F.col("c_custkey") % 4
+    tenths = (lambda n, mark: F.concat(F.floor(n / 10).cast("string"), F.lit(mark), (n % 10).cast("string")))
+    lat, lon = F.lit(430) + F.col("c_custkey") % 39, F.lit(140) + (F.col("c_custkey") + F.col("c_nationkey")) % 51
+    first = F.when(kind == 0, tenths(lon, ",")).when(kind == 3, F.concat(F.lit("9"), tenths(lat, "."))).otherwise(tenths(lat, "."))
+    second = F.when(kind == 0, tenths(lat, ",")).when(kind == 2, "n/a").otherwise(tenths(lon, "."))
     x = S.repair_axes([first, F.lit(None).cast("string"), second], (42.3, 13.4, 46.9, 19.5))
     return table(spark, sf_dir, "customer").select("c_custkey", x.alias("x")).select("c_custkey", "x.*")
 
@@ -200,7 +208,7 @@ def sentinel_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("SELECT o_orderkey FROM orders WHERE regexp_matches(o_orderpriority, '^[0-9]-[A-Z]+$')")
 def key_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of the required shape (FLT-10)."""
-    return table(spark, sf_dir, "orders").where(F.col("o_orderpriority").rlike("^[0-9]-[A-Z]+$")).select("o_orderkey")
+    return lookup.of_shape(table(spark, sf_dir, "orders"), "o_orderpriority", "^[0-9]-[A-Z]+$").select("o_orderkey")
 
 
 @REGISTRY.add("SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_custkey % 5 > 0")

@@ -6,16 +6,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pumpwise.functions import scalars as S
+from pumpwise.plans.adapters import RO_LITERAL
 from pumpwise.sources import raw as R
 from pumpwise.queries.registry import Registry, table
 
 REGISTRY = Registry()
 
 
-def _documents(df: DataFrame, key: str, value: Column, *order: str) -> DataFrame:
+#: Keys of rows in one document, where a key of its own would not keep documents small.
+PAGE_ROWS = 1000
+
+
+def _documents(df: DataFrame, key: str | list[str], value: Column, *order: str) -> DataFrame:
     """One document per key: path, x (values in the order of the columns)."""
+    keys = [key] if isinstance(key, str) else key
     listed = F.array_sort(F.collect_list(F.struct(*order, value.alias("v"))))
-    return df.groupBy(key).agg(F.transform(listed, lambda e: e["v"]).alias("x")).withColumn("path", F.col(key).cast("string"))
+    path = F.concat_ws("-", *(F.col(k).cast("string") for k in keys))
+    return df.groupBy(*keys).agg(F.transform(listed, lambda e: e["v"]).alias("x")).withColumn("path", path)
+
+
+def _paged_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with the page that their key is on: documents made of a page do not grow with the table."""
+    return table(spark, sf_dir, "customer").withColumn("page_no", F.floor(F.col("c_custkey") / PAGE_ROWS))
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +107,7 @@ def embedded_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(rows, "o_custkey", item, "o_orderkey").select(
         F.concat(F.lit("<script>\nvar rezultate = JSON.parse('["), F.array_join("x", ","), F.lit("]');</script>")).alias("doc")
     )
-    found = R.embedded_literal(docs, r"(?s)var rezultate\s*=\s*JSON\.parse\('(\[.*?\])'\)", 6)
+    found = R.embedded_literal(docs, RO_LITERAL, 6)
     at = (lambda i: F.get("x", F.lit(i)))
     return found.select(at(6).cast("bigint").alias("o_orderkey"), at(0).alias("brand"), S.number(at(5)).alias("price"))
 
@@ -103,7 +115,8 @@ def embedded_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("SELECT page_id, CAST(regexp_extract(html, 'track\\(([0-9]+)\\)', 1) AS BIGINT) AS n FROM pages")
 def script_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A literal in page script (SRC-06)."""
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r"track\(([0-9]+)\)", 1).cast("bigint").alias("n"))
+    docs = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("doc"))
+    return docs.select("page_id", R.script_value(r"track\(([0-9]+)\)").cast("bigint").alias("n"))
 
 
 @REGISTRY.add("""SELECT event_id, 'k' AS key, regexp_extract(props, '"k": *([0-9]+)', 1) AS value FROM events""")
@@ -112,25 +125,27 @@ def flat_kv_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.flat_map(table(spark, sf_dir, "events").select("event_id", F.col("props").alias("doc"))).select("event_id", "key", "value")
 
 
-@REGISTRY.add("SELECT 'CU' || chr(65 + n_nationkey) AS currency, n_nationkey + 0.5::DOUBLE AS rate FROM nation")
+_LETTER = "chr(CAST(65 + c_custkey // {} % 26 AS INTEGER))"
+
+
+@REGISTRY.add(f"""SELECT {' || '.join(_LETTER.format(n) for n in (676, 26, 1))} AS currency,
+  arg_max(c_custkey + 0.5::DOUBLE, lpad(CAST(c_custkey // {PAGE_ROWS} AS VARCHAR), 12, '0') || lpad(CAST(c_custkey AS VARCHAR), 15, '0')) AS rate FROM customer GROUP BY 1""")
 def xml_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Currency and rate pairs of a feed; the last of repeated ones counts (SRC-08)."""
-    name = F.concat(F.lit("CU"), F.char(F.col("n_nationkey") + 65))
+    key = F.col("c_custkey")
+    name = F.concat(*(F.char(F.floor(key / n) % 26 + 65) for n in (676, 26, 1)))
     pair = F.concat(
-        F.lit('<Cube currency="'), name, F.lit('" rate="9"/><Cube currency="'), name, F.lit('" rate="'),
-        (F.col("n_nationkey") + 0.5).cast("string"), F.lit('"/>')
+        F.lit('<Cube currency="'), name, F.lit('" rate="9"/><Cube currency="'), name, F.lit('" rate="'), key.cast("string"), F.lit('.5"/>')
     )
-    docs = _documents(
-        table(spark, sf_dir, "nation"), "n_regionkey", pair, "n_nationkey"
-    ).select("path", F.array_join("x", "\n").alias("doc"))
-    return R.xml_rates(docs)
+    docs = _documents(_paged_customers(spark, sf_dir), "page_no", pair, "c_custkey")
+    return R.xml_rates(docs.select(F.lpad("path", 12, "0").alias("path"), F.array_join("x", "\n").alias("doc")))
 
 
 @REGISTRY.add("""SELECT c_custkey AS element_id, CAST(c_nationkey AS DOUBLE) + CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 100 END AS lat, c_mktsegment AS brand,
   CASE WHEN c_custkey % 2 = 0 THEN 'node' ELSE 'way' END AS type FROM customer""")
 def map_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Map elements: nodes carry coordinates, others a centre (SRC-09)."""
-    rows = table(spark, sf_dir, "customer")
+    rows = _paged_customers(spark, sf_dir)
     node, lat = F.col("c_custkey") % 2 == 0, F.col("c_nationkey").cast("double")
     element = F.struct(
         F.col("c_custkey").alias("id"), F.when(node, "node").otherwise("way").alias("type"), F.when(node, lat).alias("lat"),
@@ -138,7 +153,7 @@ def map_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(~node, F.struct((lat + 100).alias("lat"), F.lit(2.0).alias("lon"))).alias("center"),
         F.create_map(F.lit("brand"), "c_mktsegment", F.lit("amenity"), F.lit("fuel")).alias("tags"),
     )
-    listed = _documents(rows, "c_nationkey", F.to_json(element), "c_custkey")
+    listed = _documents(rows, ["c_nationkey", "page_no"], F.to_json(element), "c_custkey")
     docs = listed.select("path", F.concat(F.lit('{"elements":['), F.array_join("x", ","), F.lit("]}")).alias("doc"))
     return R.map_elements(docs).select("element_id", "type", "lat", F.col("tags")["brand"].alias("brand"))
 
@@ -153,15 +168,18 @@ def positional_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.positional_cube(docs, [("0", "E10", "L"), ("1", "DIESEL", "L")]).select("fuel_ord", "fuel_type", "price")
 
 
-@REGISTRY.add("SELECT c_custkey AS id, c_nationkey AS page FROM customer WHERE c_nationkey < 13")
+@REGISTRY.add("""WITH c AS (SELECT c_custkey, c_mktsegment AS feed, dense_rank() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey // 100) AS page FROM customer)
+SELECT c_custkey AS id, feed, CAST(page AS INTEGER) AS page FROM c WHERE page <= length(feed)""")
 def paged_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered pages up to the first empty one (SRC-11): page 13 is empty."""
-    rows = _documents(table(spark, sf_dir, "customer"), "c_nationkey", F.struct(F.col("c_custkey").alias("id")), "c_custkey")
-    full = F.when(F.col("c_nationkey") != 13, F.col("x")).otherwise(F.array().cast("array<struct<id: bigint>>"))
-    docs = rows.select(
-        F.col("c_nationkey").alias("page"), F.to_json(F.struct(F.lit("more").alias("next"), full.alias("results"))).alias("doc")
+    """Numbered pages of several feeds, each up to its first empty one (SRC-11): a feed has one page more than its name has letters, an empty one."""
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.col("c_mktsegment").alias("feed"), F.floor(F.col("c_custkey") / 100).alias("hundred")
     )
-    return R.pages(docs, "struct<id: bigint>").select("x.id", "page")
+    rows = _documents(rows, ["feed", "hundred"], F.struct(F.col("c_custkey").alias("id")), "c_custkey")
+    rows = rows.withColumn("page", F.expr("row_number() OVER (PARTITION BY feed ORDER BY hundred)"))
+    full = F.when(F.col("page") != F.length("feed") + 1, F.col("x")).otherwise(F.array().cast("array<struct<id: bigint>>"))
+    docs = rows.select("feed", "page", F.to_json(F.struct(F.lit("more").alias("next"), full.alias("results"))).alias("doc"))
+    return R.pages(docs, "struct<id: bigint>", feed=["feed"]).select("x.id", "feed", "page")
 
 
 @REGISTRY.add(
@@ -182,12 +200,12 @@ def sharded_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("x.id", F.col("region").cast("int").alias("region"), "fuel", "shard_ord.region_ord", "shard_ord.fuel_ord")
 
 
-@REGISTRY.add("SELECT n_nationkey AS code FROM nation WHERE n_nationkey % 4 > 0")
+@REGISTRY.add("SELECT CAST(c_custkey AS INTEGER) AS code FROM customer WHERE c_custkey % 4 > 0")
 def region_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of a nested region tree, those that are no numbers dropped (SRC-13)."""
-    key = F.col("n_nationkey")
+    key = F.col("c_custkey")
     sub = F.struct(F.when(key % 4 == 0, "x").otherwise(key.cast("string")).alias("code"))
-    rows = _documents(table(spark, sf_dir, "nation"), "n_regionkey", sub, "n_nationkey")
+    rows = _documents(_paged_customers(spark, sf_dir), ["c_nationkey", "page_no"], sub, "c_custkey")
     docs = rows.select(F.to_json(F.array(F.struct(F.col("x").alias("subRegions")))).alias("doc"))
     return R.region_codes(docs).select("code")
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pumpwise.functions.scalars import number, strip
-from pumpwise.operators.lookup import small
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -48,7 +47,7 @@ def shard_of(docs: DataFrame, pattern: str, **groups: int) -> DataFrame:
 def with_shard_order(docs: DataFrame, shards: DataFrame) -> DataFrame:
     """Documents with shard_ord, from a table of shard columns and shard_ord; documents of unknown shards are dropped."""
     keys = [c for c in shards.columns if c != "shard_ord"]
-    return docs.join(small(shards), keys)
+    return docs.join(shards, keys)
 
 
 def shard_grid(*dims: DataFrame) -> DataFrame:
@@ -81,7 +80,7 @@ def csv_after_preamble(lines: DataFrame, header: str, columns: Sequence[str], se
     columns name the fields by position; extra fields are ignored, missing ones null, double quotes quote.
     """
     starts = lines.where(F.col("value").startswith(header)).groupBy("path").agg(F.min("line_ord").alias("__start"))
-    body = lines.join(small(starts), "path", "left").where(F.col("__start").isNull() | (F.col("line_ord") > F.col("__start")))
+    body = lines.join(starts, "path", "left").where(F.col("__start").isNull() | (F.col("line_ord") > F.col("__start")))
     schema = ", ".join(f"`{c}` string" for c in columns)
     parsed = F.from_csv("value", F.lit(schema), {"sep": sep, "mode": "PERMISSIVE"})
     return body.where("value <> ''").select("path", "line_ord", parsed.alias("x")).select("path", "line_ord", "x.*")
@@ -96,10 +95,15 @@ def table_rows(docs: DataFrame, table: str, row: str, cell: str) -> DataFrame:
     )
 
 
+def script_value(pattern: str) -> Column:
+    """A literal of page script: the first group of the pattern, '' without a match."""
+    return F.regexp_extract("doc", pattern, 1)
+
+
 def embedded_literal(docs: DataFrame, pattern: str, fields: int) -> DataFrame:
     """Positional arrays of a JSON literal in page script: docs' columns, row_ord, x (array<string>); arrays with fewer fields are dropped."""
     rest = [c for c in docs.columns if c != "doc"]
-    rows = F.from_json(F.regexp_extract("doc", pattern, 1), "array<array<string>>")
+    rows = F.from_json(script_value(pattern), "array<array<string>>")
     return docs.select(*rest, F.posexplode(rows).alias("row_ord", "x")).where(F.size("x") >= fields)
 
 
@@ -145,19 +149,23 @@ def positional_cube(docs: DataFrame, fuels: Sequence[tuple[str, str, str]]) -> D
     return rows.select("fuel_ord", "x.fuel_type", "x.unit", number(F.get("v", F.col("fuel_ord"))).alias("price"))
 
 
-def pages(docs: DataFrame, element: str, page: str = "page", key: str = "results") -> DataFrame:
-    """Elements of numbered pages, in order, up to the first page that is empty, unparsable, missing or after one without a next page: page, row_ord, x."""
+def pages(docs: DataFrame, element: str, page: str = "page", key: str = "results", feed: Sequence[str] = ()) -> DataFrame:
+    """Elements of numbered pages, in order, up to the first page that is empty, unparsable, missing or after one without a next page: page, row_ord, x.
+
+    feed names the columns that tell feeds apart, each of which has pages of its own; they are kept.  Without it all pages are one feed.
+    """
+    by = f"PARTITION BY {', '.join(feed) or 'true'}"
     schema = f"struct<next: string, `{key}`: array<{element}>>"
-    parsed = docs.select(F.col(page).cast("int").alias("page"), F.from_json("doc", schema).alias("d"))
-    state = parsed.select("page", (F.coalesce(F.size(f"d.{key}"), F.lit(0)) > 0).alias("full"), F.col("d.next").isNull().alias("last"))
+    parsed = docs.select(*feed, F.col(page).cast("int").alias("page"), F.from_json("doc", schema).alias("d"))
+    state = parsed.select(*feed, "page", (F.coalesce(F.size(f"d.{key}"), F.lit(0)) > 0).alias("full"), F.col("d.next").isNull().alias("last"))
     # The run of good pages: as many good pages as their number says, none before them the last.
-    marks = state.where("full").selectExpr("page", "last", "row_number() OVER (ORDER BY page) AS n", "min(page) OVER () AS first")
+    marks = state.where("full").selectExpr(*feed, "page", "last", f"row_number() OVER ({by} ORDER BY page) AS n", f"min(page) OVER ({by}) AS first")
     marks = marks.selectExpr(
-        "page", "page - first + 1 = n AS gapless",
-        "coalesce(max(last) OVER (ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ended"
+        *feed, "page", "page - first + 1 = n AS gapless",
+        f"coalesce(max(last) OVER ({by} ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ended"
     )
-    good = marks.where("gapless AND NOT ended").select("page")
-    return parsed.join(small(good), "page").select("page", F.posexplode(f"d.{key}").alias("row_ord", "x"))
+    good = marks.where("gapless AND NOT ended").select(*feed, "page")
+    return parsed.join(good, [*feed, "page"]).select(*feed, "page", F.posexplode(f"d.{key}").alias("row_ord", "x"))
 
 
 def region_codes(docs: DataFrame) -> DataFrame:
