@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pumpwise.llm.common import Scratch, checkpoint, free_name, text_or_empty
+from pumpwise.llm.common import Scratch, free_name, text_or_empty
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -44,8 +44,9 @@ def rooted(rows: DataFrame, distinct: DataFrame, roots: DataFrame, node: str) ->
     """
     roots = roots.select(F.col("node").alias("__node"), "root")
     labelled = distinct.join(roots, F.col(node) == F.col("__node"), "left").select(node, "least", F.coalesce("root", node).alias("root"))
-    least = checkpoint(labelled.groupBy("root").agg(F.min("least").alias("component_id")))
-    return rows.join(checkpoint(labelled.join(least, "root").select(node, "root", "component_id")), node)
+    scratch = Scratch(rows.sparkSession)
+    least = scratch.write(labelled.groupBy("root").agg(F.min("least").alias("component_id")))
+    return rows.join(scratch.write(labelled.join(least, "root").select(node, "root", "component_id")), node)
 
 
 def row_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
@@ -63,7 +64,7 @@ def one_of_each(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id", tex
     grouped has id, digest (see row_digest), root and component_id of each row.  Of rows equal in all columns one is left.
     """
     own = grouped.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root", "digest").agg(F.count(F.lit(1)).alias("n"))
-    kept = checkpoint(own.groupBy("root").agg(F.min(F.struct("digest", "n")).alias("x")).select("x.digest", "x.n"))
+    kept = Scratch(docs.sparkSession).write(own.groupBy("root").agg(F.min(F.struct("digest", "n")).alias("x")).select("x.digest", "x.n"))
     name = free_name(docs, "__digest")
     keyed = docs.withColumn(name, row_digest(docs, id_col, text_col))
 
