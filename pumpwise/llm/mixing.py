@@ -13,8 +13,8 @@ from pumpwise.llm.common import broadcast_up_to, checkpoint, read_table, text_or
 LEVELS = ("domain", "lang", "source")
 #: Leaves up to this number are broadcast to the documents; a larger tree is joined by shuffle.
 MAX_BROADCAST_LEAVES = 100_000
-#: Hex digits of a document's key that name its bucket in the leaf's order.
-BUCKET_DIGITS = 3
+#: Hex digits of a document's key that name its bucket in the leaf's order: the bucket in which a budget ends is divided again.
+BUCKET_DIGITS = (2, 4, 6)
 #: Parameters of the registered query.
 WEIGHTS = {"domain": {"dom0": 4, "dom1": 3, "dom2": 2, "dom3": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}, "source": {}}
 SHARE, MAX_EPOCHS, SEED = 0.6, 2, 42
@@ -93,8 +93,8 @@ def mixing_plan(
 
     In the epoch after the full ones, the leaf's documents with a key of at most
     upto are taken (none if it is null): the shortest prefix of the seeded order that
-    reaches the budget.  Only the bucket of keys in which the budget ends is
-    sorted; the buckets before it are summed.
+    reaches the budget.  Documents are summed by the first digits of their keys, then those of the bucket in which the budget ends by more
+    digits, and only what is left of it then, one document in 16 million, is sorted: no task gets more than 256 sums of a leaf.
     """
     rows = docs.select(
         F.col(id_col).alias("id"), *(_leaf(x, domain).alias(x) for x in LEVELS),
@@ -110,13 +110,21 @@ def mixing_plan(
 
     open_leaves = broadcast_up_to(plan.where("part > 0").select(*keys, "epochs", "part"), MAX_BROADCAST_LEAVES)
     keyed = rows.join(open_leaves, keys).withColumn("key", _key(F.col("epochs"), F.col("id"), seed))
-    keyed = keyed.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
-    sums = keyed.groupBy(*keys, "bucket", "part").agg(F.sum("n_tokens").alias("n"))
     leaf = f"PARTITION BY {', '.join(keys)}"
-    sums = sums.withColumn("upto", F.expr(f"sum(n) OVER ({leaf} ORDER BY bucket)")).withColumn("before", F.expr("upto - n"))
-    edge = sums.where("before < part AND part <= upto").select(*keys, "bucket", "before")
-    last = keyed.join(broadcast_up_to(edge, MAX_BROADCAST_LEAVES), [*keys, "bucket"])
-    last = last.groupBy(*keys, "part", "before", "key").agg(F.sum("n_tokens").alias("n"))
+    edge = plan.where("part > 0").select(*keys, F.lit("").alias("prefix"), F.lit(0).cast("long").alias("before"))
+
+    def within(edge: DataFrame, digits: int) -> DataFrame:
+        """The documents of each leaf's bucket, whose keys begin with prefix."""
+        edge = broadcast_up_to(edge.withColumnRenamed("prefix", "head"), MAX_BROADCAST_LEAVES)
+        return keyed.withColumn("head", F.substring("key", 1, digits)).join(edge, [*keys, "head"])
+
+    above = 0
+    for digits in BUCKET_DIGITS:
+        sums = within(edge, above).groupBy(*keys, "part", "before", F.substring("key", 1, digits).alias("prefix")).agg(F.sum("n_tokens").alias("n"))
+        sums = sums.withColumn("upto", F.expr(f"before + sum(n) OVER ({leaf} ORDER BY prefix)")).withColumn("start", F.expr("upto - n"))
+        edge = checkpoint(sums.where("start < part AND part <= upto").select(*keys, "prefix", F.col("start").alias("before")))
+        above = digits
+    last = within(edge, above).groupBy(*keys, "part", "before", "key").agg(F.sum("n_tokens").alias("n"))
     last = last.withColumn("start", F.expr(f"before + sum(n) OVER ({leaf} ORDER BY key) - n"))
     ends = last.where("start < part").groupBy(*keys).agg(F.max("key").alias("upto"))
     return checkpoint(plan.drop("part").join(ends, keys, "left"))
