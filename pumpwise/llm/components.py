@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from pumpwise.llm.common import Scratch, free_name, text_or_empty
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, owner: Scratch | None = None) -> DataFrame:
     """node, root of every node in links (a, b): the least node reachable.  Alternating large-star and small-star steps.
 
     Each step sends a node's neighbours to the least of them by joins and minima, so no neighbour list is gathered;
-    steps end when the links no longer change.  Links of a node to itself are ignored; no links give no rows.
+    steps end when the links no longer change.  Links of a node to itself are ignored; no links give no rows.  The table that the result
+    reads is handed to owner, to be dropped with its own.
     After a few steps all of a component hang on its root.  Minima are written out before they are joined, so that both sides of
     a join are shuffled for it and Spark may split the root's rows over many tasks; under an aggregate it could not.
     """
@@ -30,13 +31,15 @@ def connected_components(links: DataFrame) -> DataFrame:
         scratch.drop_all_but_last()
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
+            if owner:
+                owner.paths += scratch.paths
             return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
         state = now
 
 
-def rooted(rows: DataFrame, distinct: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+def rooted(rows: DataFrame, distinct: DataFrame, roots: DataFrame, node: str, scratch: Scratch | None = None) -> DataFrame:
     """The rows with root (a node that names the component) and component_id (the least id in it).
 
     rows have a column node; distinct has each node once and least (its least id); roots are those of connected_components.
@@ -44,7 +47,7 @@ def rooted(rows: DataFrame, distinct: DataFrame, roots: DataFrame, node: str) ->
     """
     roots = roots.select(F.col("node").alias("__node"), "root")
     labelled = distinct.join(roots, F.col(node) == F.col("__node"), "left").select(node, "least", F.coalesce("root", node).alias("root"))
-    scratch = Scratch(rows.sparkSession)
+    scratch = scratch or Scratch(rows.sparkSession)
     least = scratch.write(labelled.groupBy("root").agg(F.min("least").alias("component_id")))
     return rows.join(scratch.write(labelled.join(least, "root").select(node, "root", "component_id")), node)
 
@@ -58,13 +61,15 @@ def row_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return F.unhex(F.md5(F.concat(own, F.md5(text_or_empty(text_col)), F.lit(":"), null, F.lit(":"), rest)))
 
 
-def one_of_each(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, grouped: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stand for their component, all columns as they are: of the rows with its least id, that of the least digest.
 
     grouped has id, digest (see row_digest), root and component_id of each row.  Of rows equal in all columns one is left.
+    The tables in scratch, which grouped is made from, are dropped.
     """
     own = grouped.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root", "digest").agg(F.count(F.lit(1)).alias("n"))
-    kept = Scratch(docs.sparkSession).write(own.groupBy("root").agg(F.min(F.struct("digest", "n")).alias("x")).select("x.digest", "x.n"))
+    kept = scratch.write(own.groupBy("root").agg(F.min(F.struct("digest", "n")).alias("x")).select("x.digest", "x.n"))
+    scratch.drop_all_but_last()
     name = free_name(docs, "__digest")
     keyed = docs.withColumn(name, row_digest(docs, id_col, text_col))
 
