@@ -18,9 +18,11 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     th (128 bits of the text) and id name the document; rows equal in both are one.  Rows of a document are in one partition.
     """
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    # The text's digest is taken below the explosion: in one projection with it, it would be taken again for every line.
+    rows = rows.withColumn("th", F.unhex(F.md5("text")))
     parts = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), F.trim(x, F.lit(BLANKS)).alias("s")))
     full = F.filter(parts, lambda x: x["s"] != "")
-    lines = rows.select("id", F.unhex(F.md5("text")).alias("th"), F.explode(full).alias("x"))
+    lines = rows.select("id", "th", F.explode(full).alias("x"))
     lines = lines.select(
         "id", "th", "x.pos", F.xxhash64("x.s").alias("h"), F.unhex(F.md5("x.s")).alias("digest"), F.size(words_of(F.col("x.s"))).cast("long").alias("w")
     )
