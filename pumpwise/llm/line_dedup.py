@@ -12,6 +12,14 @@ MIN_WORDS = 50
 BLANKS = " \t\r\v\f"
 
 
+def _words(s: Column) -> Column:
+    """The words of a trimmed line: one more than its blanks if all are single spaces, as in most lines; else they are cut and counted."""
+    other = s.contains("  ")
+    for c in BLANKS[1:]:
+        other = other | s.contains(c)
+    return F.when(other, F.size(words_of(s))).otherwise(F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) + 1).cast("long")
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The non-blank lines of each document: id, th, pos (0-based among all lines), h and digest of the trimmed line, upto (words so far), w.
 
@@ -24,7 +32,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     full = F.filter(parts, lambda x: x["s"] != "")
     lines = rows.select("id", "th", F.explode(full).alias("x"))
     lines = lines.select(
-        "id", "th", "x.pos", F.xxhash64("x.s").alias("h"), F.unhex(F.md5("x.s")).alias("digest"), F.size(words_of(F.col("x.s"))).cast("long").alias("w")
+        "id", "th", "x.pos", F.xxhash64("x.s").alias("h"), F.unhex(F.md5("x.s")).alias("digest"), _words(F.col("x.s")).alias("w")
     )
     lines = lines.repartition("id", "th").distinct()
     return lines.withColumn("upto", F.expr("sum(w) OVER (PARTITION BY id, th ORDER BY pos)"))
@@ -58,33 +66,29 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
     words or more in all.  Of equal runs the one with the smallest
     (id, line) stays; the others are returned, merged where they touch.
 
-    Selected lines (see selected_lines) are joined on their hashes, and only those that stand in several places go on.  A match is extended
-    both ways: around such a line, the shortest runs of min_words words that hold it, onward from and up to every line, are compared by
+    Selected lines (see selected_lines) are joined on their hashes, and only lines with a hash that is selected in several places go on.  A match
+    is extended both ways: around such a line, the shortest runs of min_words words that hold it, onward from and up to every line, are compared by
     the 128-bit digests of all their lines, each with the earliest equal one, so that a passage in a
     third of all documents gives one pair per copy, not all pairs.  Runs that overlap or touch are one.
     """
     lines = checkpoint(_lines(docs, id_col, text_col))
-    selected = checkpoint(selected_lines(lines, min_words))
+    selected = selected_lines(lines, min_words)
     # Written out, so that Spark may split the rows of a frequent line in the join.
     again = checkpoint(selected.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
-    matched = checkpoint(selected.join(again, "h", "left_semi").select(F.col("id").alias("mid"), F.col("th").alias("mth"), F.col("pos").alias("mpos")))
-    of_doc = F.col("id").eqNullSafe(F.col("mid")) & (F.col("th") == F.col("mth"))
-
-    whole = matched.select("mid", "mth").distinct()
-    near = lines.join(whole, of_doc, "left_semi").join(matched.withColumn("hit", F.lit(1)), of_doc & (F.col("pos") == F.col("mpos")), "left")
-    near = near.select("id", "th", "pos", "digest", "w", "upto", F.coalesce("hit", F.lit(0)).alias("hit"))
+    near = lines.join(again.withColumn("hit", F.lit(1)), "h", "left")
+    near = near.withColumn("any", F.expr("max(hit) OVER (PARTITION BY id, th)")).where("any = 1")
     onward, back = _onward(min_words), _back(min_words)
 
     def one(frame: str, ends: str) -> Column:
         body = f"md5(array_join(collect_list(hex(digest)) {frame}, ''))"
-        return F.expr(f"struct(sum(w) {frame} AS words, sum(hit) {frame} AS hits, unhex({body}) AS body, {ends})")
+        return F.expr(f"struct(sum(w) {frame} AS words, max(hit) {frame} AS hits, unhex({body}) AS body, {ends})")
 
     both = near.select(
         "id", "th",
         one(onward, f"pos AS first, max(pos) {onward} AS last").alias("a"),
         one(back, f"min(pos) {back} AS first, pos AS last").alias("b"),
     )
-    each = F.filter(F.array("a", "b"), lambda x: (x["words"] >= min_words) & (x["hits"] > 0))
+    each = F.filter(F.array("a", "b"), lambda x: (x["words"] >= min_words) & (x["hits"] == 1))
     runs = both.select("id", "th", F.explode(F.array_distinct(each)).alias("x")).select("id", "th", "x.body", "x.first", "x.last")
     runs = checkpoint(runs.withColumn("at", F.struct("id", "th", "first")))
     anchors = checkpoint(runs.groupBy("body").agg(F.min("at").alias("anchor"), F.max("at").alias("latest")).where("anchor < latest"))
