@@ -1,6 +1,6 @@
-"""The registered queries of this subpackage and their SQL; the four without SQL are tested against brute force."""
+"""The registered queries of this subpackage and their SQL; those without SQL are tested against brute force."""
 
-from pumpwise.llm import chat, decontaminate, exact_dedup, langid, line_dedup, mixing, quality, secrets, sharding, simhash
+from pumpwise.llm import chat, decontaminate, exact_dedup, langid, line_dedup, mixing, periodic, quality, secrets, sharding, simhash
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_mixing": mixing.op10_mixing,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.SQL,

@@ -1,0 +1,95 @@
+"""Periodic runs: random sequences, edge cases and the query against plain loops."""
+
+import hashlib
+import random
+import re
+import zlib
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from pumpwise.llm.periodic import find_periodic_runs, kept_words, op13_periodic_runs, periodic_runs
+
+
+def brute(words):
+    """All maximal runs by every period in turn; smallest periods only."""
+    n, found = len(words), []
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            if words[i] != words[i + q]:
+                i += 1
+                continue
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            length = j + q - i
+            stretch = words[i : i + length]
+            if length >= max(6, 4 * q) and not any(q % d == 0 and stretch[d:] == stretch[:-d] for d in range(1, q)):
+                found.append((i, length, q))
+            i = j
+    return sorted(found, key=lambda r: (r[0], r[2]))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_random_sequences(seed):
+    rng = random.Random(seed)
+    for _ in range(250):
+        words = []
+        while len(words) < rng.randint(0, 90):
+            piece = [rng.randint(0, rng.choice((1, 2, 5, 50))) for _ in range(rng.randint(1, 9))]
+            words += piece * rng.choice((1, 1, 2, 4, 5, 7)) + piece[: rng.randint(0, 3)]
+        assert periodic_runs(np.array(words, np.int64)) == brute(words), words
+
+
+def test_long_runs():
+    rng = random.Random(1)
+    piece = [rng.randint(0, 1000) for _ in range(777)]
+    words = np.array([5] * 70_000 + [rng.randint(0, 9) for _ in range(5000)] + piece * 6 + [1, 2] * 30_000)
+    runs = periodic_runs(words)
+    assert (0, 70_000, 1) in runs and any(r[2] == 777 and r[1] >= 777 * 6 for r in runs) and any(r[2] == 2 and r[1] >= 60_000 for r in runs)
+    assert runs == sorted(set(runs), key=lambda r: (r[0], r[2]))
+    assert kept_words(8, [(0, 8, 1)]).tolist() == [True] + [False] * 7
+
+
+def test_edge_rows(spark):
+    texts = [(1, None), (2, ""), (3, "a b " * 6), (3, "a b " * 6), (None, "x y " * 3 + "x y\t\n" * 3)]
+    df = spark.createDataFrame([(*x, "clash", 1) for x in texts], "doc_id bigint, text string, runs string, `a.b` bigint")
+    got = sorted(((r.doc_id, [tuple(x) for x in r.runs], r.best and tuple(r.best), r.collapsed) for r in find_periodic_runs(df).collect()), key=str)
+    assert got == sorted(
+        [
+            (1, [], None, ""), (2, [], None, ""), (3, [(0, 12, 2)], (0, 12, 2), "a b"), (3, [(0, 12, 2)], (0, 12, 2), "a b"),
+            (None, [(0, 6, 1)], (0, 6, 1), "x y")
+        ], key=str
+    )
+    assert find_periodic_runs(df.limit(0)).count() == 0
+
+
+def test_query(spark):
+    """Every row of the smallest table by loops of their own."""
+    sf = "/root/testdata/sf0.001"
+    got = {r.doc_id: r for r in op13_periodic_runs(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(docs)
+    planted = 0
+    for d in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", d.text or "")
+        n, h = len(w), zlib.crc32(str(d.doc_id).encode())
+        if n > 3000:
+            continue
+        if h % 10 == 0 and n:
+            g = h // 10
+            a, planted = g % n, planted + 1
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+        runs = brute(w)
+        gone = {i for s, length, q in runs for i in range(s + q, s + length)}
+        r = got[d.doc_id]
+        assert r.n_runs == len(runs)
+        assert r.runs_sha256 == hashlib.sha256("".join(f"{s},{m},{q}\n" for s, m, q in runs).encode()).hexdigest()
+        assert r.collapsed_sha256 == hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()
+        best = min(runs, key=lambda x: (-Fraction(x[1], x[2]), x[0], x[2]), default=None)
+        want = (*best, 1000 * best[1] // best[2]) if best else (None,) * 4
+        assert (r.start, r.length, r.period, r.exponent_milli) == want
+    assert planted > 5
