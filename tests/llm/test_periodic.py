@@ -54,13 +54,13 @@ def test_long_runs():
 
 
 def test_edge_rows(spark):
-    texts = [(1, None), (2, ""), (3, "a b " * 6), (3, "a b " * 6), (None, "x y " * 3 + "x y\t\n" * 3)]
+    texts = [(1, None), (2, ""), (3, "a b " * 6), (3, "a b " * 6), (None, "x\u00a0y " * 3 + "x\u00a0y\t\n" * 3)]
     df = spark.createDataFrame([(*x, "clash", 1) for x in texts], "doc_id bigint, text string, runs string, `a.b` bigint")
-    got = sorted(((r.doc_id, [tuple(x) for x in r.runs], r.best and tuple(r.best), r.collapsed) for r in find_periodic_runs(df).collect()), key=str)
+    got = sorted(((r.doc_id, [tuple(x) for x in r["runs"]], r.best and tuple(r.best), r.collapsed) for r in find_periodic_runs(df).collect()), key=str)
     assert got == sorted(
         [
             (1, [], None, ""), (2, [], None, ""), (3, [(0, 12, 2)], (0, 12, 2), "a b"), (3, [(0, 12, 2)], (0, 12, 2), "a b"),
-            (None, [(0, 6, 1)], (0, 6, 1), "x y")
+            (None, [(0, 6, 1)], (0, 6, 1), "x\u00a0y")
         ], key=str
     )
     assert find_periodic_runs(df.limit(0)).count() == 0
