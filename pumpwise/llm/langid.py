@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,8 @@ LANGUAGES_AT_ONCE, SLICE = 16, 8_000_000
 SWITCH_PENALTY, SCRIPT_SHARE = 8.0, 0.01
 #: Score of a word for a language that does not use its script, and of documents walked at once.
 OFF_SCRIPT, BLOCK = -50.0, 256
-#: All code points; the marks that continue a word but open none, and what the letter table holds for them.
-_CODES, _MARKS, _MARK = 0x110000, (0x0300, 0x036F), 255
+#: All code points; the categories of marks (accents, vowel signs), which continue a word but open none, and what the letter table holds for them.
+_CODES, _MARKS, _MARK = 0x110000, ("Mn", "Mc"), 255
 
 
 @dataclass(frozen=True)
@@ -49,14 +49,14 @@ class Words:
         return self.last - self.first
 
 
-@cache
 def _letters() -> np.ndarray:
-    """Of each code point: 1 + the script of a letter, _MARK for a mark, 0 for anything else."""
-    table = np.fromiter((chr(i).isalpha() for i in range(_CODES)), dtype=np.uint8, count=_CODES) * np.uint8(1 + len(SCRIPT_RANGES))
+    """Of each code point: 1 + the script of a letter, _MARK for a mark, 0 for anything else.  The driver makes it once for a job: 1.1 MB."""
+    plain = 1 + len(SCRIPT_RANGES)
+    kinds = (unicodedata.category(chr(i)) for i in range(_CODES))
+    table = np.fromiter((plain if c[0] == "L" else _MARK if c in _MARKS else 0 for c in kinds), dtype=np.uint8, count=_CODES)
     for k, (a, b) in enumerate(SCRIPT_RANGES):
         part = table[a : b + 1]
-        part[part > 0] = 1 + k
-    table[_MARKS[0] : _MARKS[1] + 1] = _MARK
+        part[part == plain] = 1 + k
     return table
 
 
@@ -172,9 +172,10 @@ def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     rows = rows.where("lang IS NOT NULL AND NOT out").select("lang", "text")
     scripts = len(SCRIPT_RANGES) + 1
+    table = docs.sparkSession.sparkContext.broadcast(_letters())
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, counts = _letters(), {}
+        letters, counts = table.value, {}
 
         def counted() -> Iterator[pa.RecordBatch]:
             for lang, into in counts.items():
@@ -226,9 +227,10 @@ def identify_languages(
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     # BUCKETS numbers a language.
     shared = docs.sparkSession.sparkContext.broadcast((model.names, model.weights, model.scripts))
+    table = docs.sparkSession.sparkContext.broadcast(_letters())
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, model = _letters(), Languages(*shared.value)
+        letters, model = table.value, Languages(*shared.value)
         for batch in batches:
             for part in by_characters(batch, most=max(10_000, SLICE // max(4, len(model.names)))):
                 n, k = part.num_rows, len(model.names)
