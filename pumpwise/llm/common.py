@@ -29,8 +29,13 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
+def column(name: str) -> Column:
+    """The column of just this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def text_or_empty(text: str = "text") -> Column:
-    return F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return F.coalesce(column(text).cast("string"), F.lit(""))
 
 
 def words_of(text: Column) -> Column:

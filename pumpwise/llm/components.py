@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pumpwise.llm.common import Scratch, free_name, text_or_empty
+from pumpwise.llm.common import Scratch, column, free_name, text_or_empty
 
 
 def connected_components(links: DataFrame, owner: Scratch | None = None) -> DataFrame:
@@ -52,13 +52,19 @@ def rooted(rows: DataFrame, distinct: DataFrame, roots: DataFrame, node: str, sc
     return rows.join(scratch.write(labelled.join(least, "root").select(node, "root", "component_id")), node)
 
 
+#: What to_json needs to write every value in full.
+_LOSSLESS = {
+    "ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
 def row_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """128 bits that tell apart rows of docs that differ in any column."""
-    others = [F.col(c) for c in docs.columns if c not in (id_col, text_col)]
-    rest = F.md5(F.to_json(F.struct(*others))) if others else F.lit("")
-    own = F.concat(F.col(id_col).isNull().cast("string"), F.lit(":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"))
-    null = F.col(text_col).isNull().cast("string")
-    return F.unhex(F.md5(F.concat(own, F.md5(text_or_empty(text_col)), F.lit(":"), null, F.lit(":"), rest)))
+    """128 bits that tell apart rows of docs that differ in any column; moments differ by the microsecond."""
+    others = [column(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in (id_col, text_col)]
+    rest = F.md5(F.to_json(F.struct(*others), _LOSSLESS)) if others else F.lit("")
+    id_, text = column(id_col), column(text_col)
+    own = F.concat(id_.isNull().cast("string"), F.lit(":"), F.coalesce(id_.cast("string"), F.lit("")), F.lit(":"))
+    return F.unhex(F.md5(F.concat(own, F.md5(text_or_empty(text_col)), F.lit(":"), text.isNull().cast("string"), F.lit(":"), rest)))
 
 
 def one_of_each(docs: DataFrame, grouped: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -70,12 +76,12 @@ def one_of_each(docs: DataFrame, grouped: DataFrame, scratch: Scratch, id_col: s
     own = grouped.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root", "digest").agg(F.count(F.lit(1)).alias("n"))
     kept = scratch.write(own.groupBy("root").agg(F.min(F.struct("digest", "n")).alias("x")).select("x.digest", "x.n"))
     scratch.drop_all_but_last()
-    name = free_name(docs, "__digest")
+    name, wanted = free_name(docs, "__digest"), free_name(docs, "__digest_kept")
     keyed = docs.withColumn(name, row_digest(docs, id_col, text_col))
 
     def among(some: DataFrame) -> DataFrame:
-        some = some.select(F.col("digest").alias(f"{name}_kept"))
-        return keyed.join(some, F.col(name) == F.col(f"{name}_kept"), "left_semi")
+        some = some.select(F.col("digest").alias(wanted))
+        return keyed.join(some, F.col(name) == F.col(wanted), "left_semi")
 
     out = among(kept.where("n = 1"))
     if not (repeated := kept.where("n > 1")).isEmpty():

@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pumpwise.llm.common import broadcast_up_to, checkpoint, read_table, text_or_empty, words_of
+from pumpwise.llm.common import broadcast_up_to, checkpoint, free_name, read_table, text_or_empty, words_of
 
 LEVELS = ("domain", "lang", "source")
 #: Leaves up to this number are broadcast to the documents; a larger tree is joined by shuffle.
@@ -145,13 +145,14 @@ def mix_sources(
     leaf without tokens is not taken.  An empty table gives no rows.  All columns of docs stay, but for one named times, which is replaced.
     """
     plan = mixing_plan(docs, domain, weights, share, max_epochs, seed, id_col, text_col)
-    leaf = {x: f"__mix_{x}" for x in (*LEVELS, "epochs", "upto")}
+    leaf = {x: free_name(docs, f"__mix_{x}") for x in (*LEVELS, "epochs", "upto", "times")}
+    times = leaf.pop("times")
     plan = broadcast_up_to(plan.where("alloc > 0").select(*(F.col(k).alias(v) for k, v in leaf.items())), MAX_BROADCAST_LEAVES)
     same = [_leaf(x, domain) == F.col(leaf[x]) for x in LEVELS]
     part = F.coalesce(_key(F.col(leaf["epochs"]), F.col(id_col), seed) <= F.col(leaf["upto"]), F.lit(False))
-    joined = docs.join(plan, same[0] & same[1] & same[2]).withColumn("__mix_times", F.col(leaf["epochs"]) + part.cast("long"))
-    taken = joined.where(F.col("__mix_times") > 0).drop(*leaf.values())
-    return taken.drop("times").withColumnRenamed("__mix_times", "times")
+    joined = docs.join(plan, same[0] & same[1] & same[2]).withColumn(times, F.col(leaf["epochs"]) + part.cast("long"))
+    taken = joined.where(F.col(times) > 0).drop(*leaf.values())
+    return taken.drop("times").withColumnRenamed(times, "times")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
