@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pumpwise.operators.ranks import number_rows
+
 
 def _packed(cols: Sequence[str]) -> Column:
     """One column as it is (numbers then aggregate by hash), several as a struct (by sort)."""
@@ -75,9 +77,8 @@ def group_by_place(df: DataFrame, name: str, lat: str, lon: str, order: Sequence
 
 
 def ordinal_ids(df: DataFrame, partition: Sequence[str], order: Sequence[str], name: str = "ordinal") -> DataFrame:
-    """Rows numbered from 0 by first sight within a partition (a country).  For parity with sources that number their rows; stable_id scales better."""
-    window = f"PARTITION BY {', '.join(partition)} ORDER BY {', '.join(order)}"
-    return df.withColumn(name, F.expr(f"row_number() OVER ({window}) - 1").cast("bigint"))
+    """Rows numbered from 0 by first sight within a partition (a country), a large one by many tasks.  For parity with sources that number their rows."""
+    return number_rows(df, partition, order, name, first=0)
 
 
 def stable_id(*cols: Column) -> Column:

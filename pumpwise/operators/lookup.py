@@ -79,8 +79,14 @@ def open_stations(df: DataFrame, column: str = "open") -> DataFrame:
 
 
 def tagged(df: DataFrame, tag: str, value: str, types: Sequence[str], tags: str = "tags", kind: str = "type") -> DataFrame:
-    """Elements of the given types whose tag has the value or is missing."""
-    return df.where((F.coalesce(F.col(tags)[tag], F.lit(value)) == value) & F.col(kind).isin(*types))
+    """Elements of the given types whose tag has the value; one without the tag, or without tags, is none of them."""
+    return df.where((F.col(tags)[tag] == value) & F.col(kind).isin(*types))
+
+
+def of_networks(df: DataFrame, column: str, names: Sequence[str]) -> DataFrame:
+    """Rows whose network is one of a fixed list, whatever its case, blanks and punctuation; nulls go."""
+    key = F.regexp_replace(F.lower(F.col(column)), "[^a-z0-9]", "")
+    return df.where(key.isin(*("".join(c for c in n.lower() if c.isascii() and c.isalnum()) for n in names)))
 
 
 def latest_slice(df: DataFrame, period: str, condition: Column) -> DataFrame:

@@ -7,14 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pumpwise.operators.ranks import number_rows
+
 
 def _numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows with all keys filled, numbered within the key as __n; and the others, which never match."""
+    """Rows with all keys filled, numbered within the key as __n (a hot key by many tasks); and the others, which never match."""
     full = F.lit(True)
     for k in keys:
         full = full & F.coalesce(F.col(k) != "", F.lit(False))
-    window = f"PARTITION BY {', '.join(keys)} ORDER BY {', '.join(order)}"
-    return df.where(full).withColumn("__n", F.expr(f"row_number() OVER ({window})")), df.where(~full)
+    return number_rows(df.where(full), keys, order, "__n"), df.where(~full)
 
 
 def match_slots(

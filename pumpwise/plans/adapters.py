@@ -210,6 +210,7 @@ def denmark(raw: Raw, run_at: Column, cache: DataFrame | None = None, gazetteer:
     return lookup.union_sources(*parts)
 
 
+# The tables of the pages.
 FI_TABLE, FI_ROW = r'(?s)<table class="e10">(.*?)</table>', r'(?s)<tr class=" bg[12] E10">(.*?)</tr>'
 FI_CELL = r'<td[^>]*class="Hinnat[^"]*"[^>]*>([^<]+)</td>'
 
@@ -429,18 +430,19 @@ def croatia(raw: Raw, run_at: Column) -> DataFrame:
     return canonical(with_prices(rows, F.col("raw_prices"), "EUR", run_at))
 
 
+# Fixed value: where the page keeps its answer.
 RO_LITERAL = r"(?s)var rezultate\s*=\s*JSON\.parse\('(\[.*?\])'\)"
 
 
 def romania(raw: Raw, run_at: Column) -> DataFrame:
-    """Page literals per fuel and county (fuel, shard_ord, fuel-major); rows of one brand and rounded place are one station, its id the hash of that key."""
+    """Page literals per fuel and county (fuel, shard_ord, fuel-major); rows of the listed networks; those of one brand and rounded place are one station, its id the hash of that key."""
     rows = R.embedded_literal(raw["pages"], RO_LITERAL, 6)
     at = (lambda i: F.get("x", F.lit(i)))
     rows = rows.select(
         "fuel", F.struct("shard_ord", "row_ord").alias("at"), S.strip(at(0)).alias("brand"), S.number(at(1)).alias("lat"),
         S.number(at(2)).alias("lon"), S.strip(at(3)).alias("city"), S.strip(at(4)).alias("address"), S.number(at(5)).alias("price")
     )
-    rows = geo.drop_outside(rows, dims.BOUNDS["RO"]).where(S.valid_price(F.col("price")))
+    rows = geo.drop_outside(lookup.of_networks(rows, "brand", dims.RO_NETWORKS), dims.BOUNDS["RO"]).where(S.valid_price(F.col("price")))
     codes = lookup.code_map([(c, f) for c, f, _ in dims.RO_FUELS], F.col("fuel"))
     rows = dedup.group_by_place(rows, "brand", "lat", "lon", ["at"]).drop("place_at")
     rows = rows.withColumn("raw_prices", F.array(entry(codes, F.col("price"), F.lit("L")))).drop("fuel", "price")

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import json
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pumpwise.functions.scalars import iso_timestamp
 from pumpwise.operators.geocode import grown_cache
 from pumpwise.schema import CACHE, STATION
+from pumpwise.staging import Files
 
 
 def counts(df: DataFrame, group: str) -> DataFrame:
@@ -75,16 +79,69 @@ def write_index(one: DataFrame, path: str) -> None:
     one.coalesce(1).write.mode("overwrite").json(path)
 
 
-def save_cache(cache: DataFrame, attempts: DataFrame, root: str) -> str:
-    """The cache grown by this run's attempts, as a new version; readers see it once its last file is in place."""
-    path = f"{root.rstrip('/')}/version={uuid.uuid1().hex}"
-    grown_cache(cache, attempts).write.mode("errorifexists").parquet(path)
-    return path
+#: Versions of a cache that stay: the newest, and those before it for readers under way.
+KEEP_VERSIONS = 3
+_COMMITS = "_commits"
+
+
+def save_cache(cache: DataFrame, attempts: DataFrame, root: str, keep: int = KEEP_VERSIONS) -> str:
+    """The cache grown by this run's attempts as the newest version under root; returns its path.
+
+    The data are written first, into a folder of their own, then a commit file with the next number and that folder's name, renamed into place; of two writers one
+    takes the number and the other the next.  Versions beyond the newest keep go, their commits first, and with them what unfinished writings
+    older than those left behind.
+    """
+    files, folder = Files(cache.sparkSession, root), f"version={uuid.uuid1().hex}"
+    grown_cache(cache, attempts).write.mode("errorifexists").parquet(f"{root.rstrip('/')}/{folder}")
+    while True:
+        committed = _commits(files)
+        number = max(committed, default=-1) + 1
+        if files.put(f"{_COMMITS}/{number:012d}", json.dumps({"folder": folder, "unfinished": _unfinished(files, committed, folder)})):
+            break
+    for old in sorted({*committed, number})[: -max(1, keep)]:
+        commit = json.loads(files.text(f"{_COMMITS}/{old:012d}"))
+        files.drop(f"{_COMMITS}/{old:012d}")
+        # What was unfinished when an old version was committed, and is still, was given up.
+        for name in (commit["folder"], *set(commit["unfinished"]) - {json.loads(files.text(f"{_COMMITS}/{n:012d}"))["folder"] for n in _commits(files)}):
+            files.drop(name)
+    return f"{root.rstrip('/')}/{folder}"
+
+
+def _commits(files: Files) -> list[int]:
+    return [int(n) for n in files.names(_COMMITS) if n.isdigit()]
+
+
+def _unfinished(files: Files, committed: Sequence[int], own: str) -> list[str]:
+    """Version folders without a commit."""
+    done = {json.loads(files.text(f"{_COMMITS}/{n:012d}"))["folder"] for n in committed}
+    return [n for n in files.names() if n.startswith("version=") and n not in done and n != own]
+
+
+def _newest(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest committed version under path that can be read whole and has a cache's columns; None if path has no commits."""
+    files = Files(spark, path)
+    for number in sorted(_commits(files), reverse=True):
+        with contextlib.suppress(AnalysisException, ValueError, KeyError, Py4JJavaError):
+            folder = json.loads(files.text(f"{_COMMITS}/{number:012d}"))["folder"]
+            if "_SUCCESS" not in files.names(folder):
+                continue  # its folder is gone or half there
+            found = spark.read.parquet(f"{path.rstrip('/')}/{folder}")
+            if set(CACHE.fieldNames()) <= set(found.columns):
+                return found
+    return None
 
 
 def load_cache(spark: SparkSession, candidates: Sequence[str]) -> DataFrame:
-    """The first candidate path that exists and has a cache's columns, else an empty one.  One that exists and cannot be read is an error."""
+    """The first candidate that is a cache, else an empty one: of a folder of versions the newest, or a table with a cache's columns.
+
+    A version that is not whole is passed over for the one before it, a folder without a whole one for the next candidate.  A table that exists and
+    cannot be read is an error.
+    """
     for path in candidates:
+        if (newest := _newest(spark, path)) is not None:
+            return newest.select(*CACHE.fieldNames())
+        if any(n.startswith("version=") or n == _COMMITS for n in Files(spark, path).names()):
+            continue  # versions, none of them committed and whole
         try:
             found = spark.read.parquet(path)
         except AnalysisException as e:
@@ -96,23 +153,57 @@ def load_cache(spark: SparkSession, candidates: Sequence[str]) -> DataFrame:
     return spark.createDataFrame([], CACHE)
 
 
-def run_all(spark: SparkSession, adapters: dict[str, Callable[[], DataFrame]], staging: str) -> tuple[DataFrame, DataFrame]:
-    """Each source written to staging by itself, so that one that fails leaves the others; their union, and a status row per source.
+STATUS = "country string, available boolean, error string, documents bigint, readable bigint, station_count bigint, with_coordinates bigint, with_prices bigint"
+
 
-    Adapters are lazy: what can go wrong in a source goes wrong in its own write.
+class Watch:
+    """What a source's feeds held, counted while its own write reads them."""
+
+    def __init__(self, country: str) -> None:
+        self.country, self._seen = country, []
+
+    def feed(self, docs: DataFrame, doc: str = "doc", readable: Column | None = None) -> DataFrame:
+        """docs, whose documents and readable ones (by default those that are JSON) are counted as they go by."""
+        seen = Observation()
+        self._seen.append(seen)
+        good = F.try_parse_json(doc).isNotNull() if readable is None else readable
+        return docs.observe(seen, F.count(F.lit(1)).alias("documents"), F.count_if(good).alias("readable"))
+
+    def counts(self) -> tuple[int | None, int | None]:
+        """Documents and readable ones of the feed with fewest; None if nothing was watched.  After the write only."""
+        got = [x.get for x in self._seen]
+        return min(((x["documents"], x["readable"]) for x in got), key=lambda x: x[1], default=(None, None))
+
+
+def run_all(
+    spark: SparkSession, adapters: dict[str, Callable[[], DataFrame]], staging: str, watches: Mapping[str, Watch] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Each source written to staging by itself, so that one that fails leaves the others; their union, and a status row per source (STATUS).
+
+    Adapters are lazy: what can go wrong in a source goes wrong in its own write.  The same write counts its stations, those with coordinates and those
+    with prices, and by a watch its documents: a watched source none of whose documents can be read is unavailable, one that
+    answers with no stations is available.
     """
-    status, paths = [], []
+    status, paths, watches = [], [], watches or {}
     for country, adapter in adapters.items():
-        path = f"{staging.rstrip('/')}/{country.lower()}"
+        path, made = f"{staging.rstrip('/')}/{country.lower()}", Observation()
+        placed = F.col("lat").isNotNull() & F.col("lon").isNotNull()
         try:
-            adapter().write.mode("overwrite").parquet(path)
+            rows = adapter().observe(
+                made, F.count(F.lit(1)).alias("n"), F.count_if(placed).alias("placed"), F.count_if(F.size("prices") > 0).alias("priced")
+            )
+            rows.write.mode("overwrite").parquet(path)
+            documents, readable = watches[country].counts() if country in watches else (None, None)
         except Exception as e:  # noqa: BLE001  any failure of a source concerns that source only
-            status.append((country, False, str(e)[:200]))
+            status.append((country, False, str(e)[:200], None, None, None, None, None))
+            continue
+        got = made.get
+        if readable == 0:
+            status.append((country, False, "no document could be read", documents, readable, 0, 0, 0))
         else:
-            status.append((country, True, None))
+            status.append((country, True, None, documents, readable, got["n"], got["placed"], got["priced"]))
             paths.append(path)
-    parts = [spark.read.parquet(p) for p in paths]
     union = spark.createDataFrame([], STATION)
-    for p in parts:
-        union = union.unionByName(p, allowMissingColumns=True)
-    return union, spark.createDataFrame(status, "country string, available boolean, error string")
+    for p in paths:
+        union = union.unionByName(spark.read.parquet(p), allowMissingColumns=True)
+    return union, spark.createDataFrame(status, STATUS)

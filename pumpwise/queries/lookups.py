@@ -124,12 +124,22 @@ def member_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.members(parts, "p_brand", parts.where("p_size = 1").select("p_brand").distinct(), "p_brand").select("p_partkey")
 
 
+@REGISTRY.add(f"""SELECT c_custkey FROM customer WHERE c_custkey % 23 < {len(dims.RO_NETWORKS)}""")
+def network_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a fixed list of networks, spelled in other cases and with blanks, among rows of others (FLT-15)."""
+    listed = F.element_at(F.array(*map(F.lit, dims.RO_NETWORKS)), (F.col("c_custkey") % 23 + 1).cast("int"))
+    spelled = F.when(F.col("c_custkey") % 2 == 0, F.upper(listed)).otherwise(F.concat(F.lit(" "), listed, F.lit(".")))
+    other = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("Other "), F.col("c_mktsegment")))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 23 < len(dims.RO_NETWORKS), spelled).otherwise(other).alias("brand"))
+    return lookup.of_networks(rows, "brand", dims.RO_NETWORKS).select("c_custkey")
+
+
 @REGISTRY.add(
     """SELECT event_id FROM (SELECT event_id, event_type, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) AS k FROM events)
-WHERE (k % 2 = 0 OR k % 3 = 0) AND event_type IN ('click', 'view', 'purchase')"""
+WHERE k % 2 = 0 AND k % 3 > 0 AND event_type IN ('click', 'view', 'purchase')"""
 )
 def tag_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tag of a map, if it is there, and a type decide (FLT-14)."""
+    """A tag of a map and a type decide; an element without the tag goes (FLT-14)."""
     k = F.from_json("props", "map<string,string>")["k"].try_cast("int")
     amenity = F.when(k % 3 > 0, F.when(k % 2 == 0, "fuel").otherwise("cafe"))
     rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("type"), F.create_map(F.lit("amenity"), amenity).alias("tags"))

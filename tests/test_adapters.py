@@ -68,7 +68,8 @@ def test_points_of_interest(spark):
 
 def osm(i, kind="node", lat=55.0, lon=13.0, **tags):
     at = {"lat": lat, "lon": lon} if kind == "node" else {"center": {"lat": lat, "lon": lon}}
-    return {"id": i, "type": kind, "tags": {k.replace("addr_", "addr:"): v for k, v in tags.items()}, **at}
+    tags = {"amenity": "fuel", **tags}
+    return {"id": i, "type": kind, "tags": {k.replace("addr_", "addr:"): v for k, v in tags.items() if v is not None}, **at}
 
 
 def test_sweden(spark):
@@ -283,12 +284,14 @@ def test_romania(spark):
         spark,
         romanian(
             ["OMV", 45.00001, 25.0, "C", "A", 7.5], ["OMV", 45.00002, 25.0, "late", "A", 8.0], ["MOL", 10, 25, "C", "A", 7],
-            ["MOL", 45, 25, "C"]
+            ["MOL", 45, 25, "C"], ["Unlisted", 45.1, 25.1, "C", "A", 7.5], [None, 45.2, 25.2, "C", "A", 7.5], ["Rom Petrol", 45.3, 25.3, "D", "A", 7.6]
         ),
         romanian(["OMV", "45.00001", "25", "C2", "A2", "8.1"], ["MOL", 45.5, 25.5, "C", "A", 0]), "none",
         fuel=["Benzina_Regular", "Motorina_Regular", "GPL"], shard_ord=[0, 1, 2])
-    got = list(stations(A.romania({"pages": pages}, NOW)).values())
-    assert len(got) == 1 and prices(got[0]) == [("E5", 7.5, "RON", "L"), ("DIESEL", 8.1, "RON", "L")] and got[0]["city"] == "C"
+    got = sorted(stations(A.romania({"pages": pages}, NOW)).values(), key=lambda x: x["city"])
+    # Only listed networks stay, however they are spelled.
+    assert [x["brand"] for x in got] == ["OMV", "Rom Petrol"]
+    assert prices(got[0]) == [("E5", 7.5, "RON", "L"), ("DIESEL", 8.1, "RON", "L")] and got[0]["city"] == "C"
 
 
 def test_charsets(spark):
@@ -323,10 +326,35 @@ def test_a_whole_run(spark, tmp_path):
         "IS": {"stations": docs(spark, [{"key": "k", "diesel": 300}])},
     }
     rates = spark.createDataFrame([("DKK", 7.5)], "currency string, rate double")
-    rows, status = publish.run_all(spark, run.sources_of(spark, raw, rates, NOW), str(tmp_path / "staging"))
+    rows, status = run.run_sources(spark, raw, rates, NOW, str(tmp_path / "staging"))
     got = stations(rows)
     assert set(got) == {"nl_n", "dk_d", "es_e", "de_u", "is_k"} and prices(got["dk_d"]) == [("DIESEL", 11.25, "DKK", "L")]
     assert {r["country"]: r["available"] for r in status.collect()} == {"POI": True, "DE": True, "FR": False, "IS": True}
     one = publish.index(publish.metas(rows, run.source_dim(spark), NOW), NOW).first()
     assert one["total_stations"] == 5 and [m["country"] for m in one["countries"]] == dims.COUNTRY_ORDER
     assert run.poi_scope({"DE": True, "ES": True}) == [c[0] for c in dims.POI_COUNTRIES if c[0] not in ("DE", "ES")]
+
+
+@pytest.mark.parametrize("answer, stands_in", [("<html>busy</html>", True), ('{"ListaEESSPrecio": [', True), ('{"ListaEESSPrecio": []}', False), (None, True)])
+def test_a_feed_that_cannot_be_read_gets_a_stand_in(spark, tmp_path, answer, stands_in):
+    """Decided by what the write of the source has read, not by what has landed; an empty answer is an answer."""
+    from pumpwise.plans import run
+
+    euro = {"fuelType": "DIESEL", "value": 1.5}
+    feed = {"value": [poi("n", "NLD", [euro]), poi("e", "ESP", [euro], 40.0, -3.0), poi("g", "DEU", [euro], 50.0, 10.0)]}
+    areas = docs(spark, {"ok": True, "stations": [{"id": "u", "lat": 48.4, "lng": 9.9, "e5": 1.8}]}, "no answer", shard_ord=[0, 1])
+    raw = {"POI": {"stations": docs(spark, feed)}, "DE": {"areas": areas}, "ES": {"stations": docs(spark, "{}").withColumn("doc", F.lit(answer).cast("string"))}}
+    rates = spark.createDataFrame([("DKK", 7.5)], "currency string, rate double")
+    rows, status = run.run_sources(spark, raw, rates, NOW, str(tmp_path / "staging"))
+    assert set(stations(rows)) == {"nl_n", "de_u"} | ({"es_e"} if stands_in else set())
+    got = {r["country"]: r for r in status.collect()}
+    assert got["ES"]["available"] is not stands_in and (got["ES"]["documents"], got["ES"]["readable"]) == (1, 0 if stands_in else 1)
+    # The counts of a source come from its own write.
+    de = got["DE"]
+    assert (de["documents"], de["readable"], de["station_count"], de["with_coordinates"], de["with_prices"]) == (2, 1, 1, 1, 1)
+    assert got["POI"]["station_count"] == 1 + stands_in and ("ES" in got["POI"]["scope"]) is stands_in and "DE" not in got["POI"]["scope"]
+
+
+def test_an_element_without_the_tag_is_no_station(spark):
+    elements = [osm(1, name="A"), osm(2, amenity=None, name="B"), osm(3, amenity="cafe", name="C"), {"id": 4, "type": "node", "lat": 55.0, "lon": 13.0}]
+    assert [r["name"] for r in A._osm(docs(spark, {"elements": elements}), "SE", "x").collect()] == ["A"]

@@ -49,6 +49,51 @@ def test_cache_files(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == {("SE", "k", 1.0, 2.0), ("SE", "f", None, None)}
 
 
+def test_the_newest_whole_version_of_a_cache(spark, tmp_path):
+    """Two saves then a load give the second only; half-written versions are passed over; old ones go."""
+    root = str(tmp_path / "cache")
+    tried = lambda *rows: spark.createDataFrame(list(rows), "country string, geo_key string, lat double, lon double")
+    folders = lambda: sorted(p.name for p in (tmp_path / "cache").iterdir() if p.name.startswith("version="))
+    read = lambda: {tuple(r) for r in publish.load_cache(spark, [root]).collect()}
+    empty = spark.createDataFrame([], CACHE)
+    publish.save_cache(empty, tried(("SE", "a", 1.0, 1.0)), root)
+    second = publish.save_cache(publish.load_cache(spark, [root]), tried(("SE", "b", 2.0, 2.0)), root)
+    assert read() == {("SE", "a", 1.0, 1.0), ("SE", "b", 2.0, 2.0)}
+    # A writing that ended before its commit, and one whose files went after it.
+    (tmp_path / "cache/version=halfway").mkdir()
+    (tmp_path / "cache/version=halfway/part-0.parquet").write_text("no parquet")
+    third = Path(publish.save_cache(publish.load_cache(spark, [root]), tried(("SE", "c", 3.0, 3.0)), root))
+    assert len(read()) == 3
+    (third / "_SUCCESS").unlink()
+    assert read() == {("SE", "a", 1.0, 1.0), ("SE", "b", 2.0, 2.0)}
+    for k in range(4):
+        publish.save_cache(empty, tried(("SE", f"d{k}", 4.0, 4.0)), root)
+    assert read() == {("SE", "d3", 4.0, 4.0)}
+    # Three versions are left, and what was halfway has gone with the versions that saw it.
+    assert len(folders()) == 3 and "version=halfway" not in folders() and Path(second).name not in folders()
+    (tmp_path / "none/version=x").mkdir(parents=True)
+    assert publish.load_cache(spark, [str(tmp_path / "none"), root]).count() == 1
+
+
+def test_writers_at_once_both_commit(spark, tmp_path, monkeypatch):
+    """A writer whose number was taken while it wrote takes the next."""
+    root = str(tmp_path / "cache")
+    tried = lambda k: spark.createDataFrame([("SE", k, 1.0, 1.0)], "country string, geo_key string, lat double, lon double")
+    empty, inner, taken = spark.createDataFrame([], CACHE), publish.Files.put, []
+
+    def slow(files, name, text):
+        if not taken:
+            taken.append(name)
+            monkeypatch.setattr(publish.Files, "put", inner)
+            publish.save_cache(empty, tried("other"), root)
+        return inner(files, name, text)
+
+    monkeypatch.setattr(publish.Files, "put", slow)
+    publish.save_cache(empty, tried("own"), root)
+    assert [r["key"] for r in publish.load_cache(spark, [root]).collect()] == ["own"]
+    assert sorted(p.name for p in (tmp_path / "cache/_commits").iterdir() if p.name.isdigit()) == ["000000000000", "000000000001"]
+
+
 def test_a_failing_source_leaves_the_others(spark, tmp_path):
     good = spark.createDataFrame([station("1", "IT")], STATION)
     bad = good.withColumn("id", F.raise_error(F.lit("broken")).cast("string"))
