@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pumpwise.functions.scalars import haversine_km, within
+from pumpwise.staging import staged
 
 #: Kilometres in a degree of latitude.
 KM_PER_DEGREE = 111.0
@@ -66,9 +67,71 @@ def radius_cover(df: DataFrame, grid: DataFrame, radius_km: float, lat: str = "l
     return away.where(F.col("distance_km") <= radius_km)
 
 
+def nearest(
+    points: DataFrame, sites: DataFrame, k: int, point: str = "id", site: str = "site_id", first_km: float | None = None, lat: str = "lat", lon: str = "lon"
+) -> DataFrame:
+    """The k nearest sites of every point by distance, then id: point, site, distance_km, place (from 1).
+
+    points has point (each value once), lat and lon, sites the same with site; rows without coordinates take no part.  With fewer than k sites
+    each point gets all of them; no points or no sites give no rows.
+
+    Rings of cells: every point meets the sites within a radius, by an equi-join on cells.  All sites within the radius are there, so a point that has k
+    of them is done; the others go on with twice the radius, until it spans half the globe.  The first radius is the one that holds 2 k sites at the
+    mean density of the sites' box, so points in dense parts are done at once and later rounds hold few points.  Of sites at one place only the k with
+    the least ids are looked at.
+    """
+    columns = (lambda df, key, to: require_coordinates(df, lat, lon).select(F.col(key).alias(to), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")))
+    at_place = "row_number() OVER (PARTITION BY lat, lon ORDER BY site)"
+    sites = columns(sites, site, "site").withColumn("__place", F.expr(at_place)).where(F.col("__place") <= k).drop("__place")
+    sites, left = staged(sites), staged(columns(points, point, "g_id").withColumnsRenamed({"lat": "g_lat", "lon": "g_lon"}))
+    radius = first_km or _first_radius(sites, k)
+    found = []
+    while True:
+        near = radius_cover(sites, left, radius).select("g_id", "site", "distance_km")
+        near = near.withColumn("place", F.expr("row_number() OVER (PARTITION BY g_id ORDER BY distance_km, site)")).where(F.col("place") <= k)
+        near = staged(near)
+        if radius > math.pi * EARTH_KM * 1.01:  # farther than any two points are
+            found.append(near)
+            break
+        done = near.where(F.col("place") == k).select("g_id")
+        found.append(near.join(done, "g_id", "left_semi"))
+        left = staged(left.join(done, "g_id", "left_anti"))
+        if left.isEmpty():
+            break
+        radius = min(2 * radius, math.pi * EARTH_KM * 1.02)
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.select(F.col("g_id").alias(point), F.col("site").alias(site), "distance_km", "place")
+
+
+def _first_radius(sites: DataFrame, k: int) -> float:
+    """The radius of a circle that holds 2 k sites on average, were they spread evenly over their box; kilometres."""
+    n, south, north, west, east = sites.agg(F.count(F.lit(1)), *(f(c) for c in ("lat", "lon") for f in (F.min, F.max))).first()
+    if not n:
+        return math.pi * EARTH_KM * 1.02
+    width = KM_PER_DEGREE * (east - west) * math.cos(math.radians((south + north) / 2))
+    return max(0.05, math.sqrt(2 * k * max(1.0, KM_PER_DEGREE * (north - south)) * max(1.0, width) / (n * math.pi)))
+
+
+def around(lat: float, lon: float, radius_km: float) -> Column:
+    """A box of latitude and longitude that holds the circle, in plain comparisons that a scan can check against its statistics."""
+    dlat = radius_km / KM_PER_DEGREE * 1.01
+    box = F.col("lat").between(lat - dlat, lat + dlat)
+    edge = abs(lat) + dlat
+    if edge >= 89:
+        return box
+    dlon = math.degrees(2 * math.asin(min(1.0, math.sin(min(math.pi / 2, radius_km / EARTH_KM / 2)) * 1.01 / math.cos(math.radians(edge)))))
+    west, east = lon - dlon, lon + dlon
+    if dlon >= 180:
+        return box
+    if west < -180 or east > 180:  # across the date line
+        return box & ((F.col("lon") >= (west + 180) % 360 - 180) | (F.col("lon") <= (east + 180) % 360 - 180))
+    return box & F.col("lon").between(west, east)
+
+
 def cheapest_near(df: DataFrame, lat: float, lon: float, radius_km: float, k: int, price: str = "price", key: str = "id") -> DataFrame:
     """The k cheapest rows within the radius of a point, ties by distance, then key: a top-k report."""
-    dlat = radius_km / KM_PER_DEGREE * 1.01
     away = haversine_km(F.lit(lat), F.lit(lon), F.col("lat"), F.col("lon"))
-    near = df.where(F.col("lat").between(lat - dlat, lat + dlat)).withColumn("distance_km", away)
+    near = df.where(around(lat, lon, radius_km)).withColumn("distance_km", away)
     return near.where(F.col("distance_km") <= radius_km).orderBy(price, "distance_km", key).limit(k)

@@ -108,6 +108,20 @@ def nearest_cheapest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.cheapest_near(_placed(spark, sf_dir), 50.0, 10.0, 150.0, 20).select("id", "price")
 
 
+_C_LAT, _C_LON = "(48 + (c_custkey * 41 % 1009) / 250.0)", "(8 + (c_custkey * 59 % 983) / 200.0)"
+
+
+@REGISTRY.add(f"""SELECT c_custkey, s_suppkey, place FROM (
+  SELECT c_custkey, s_suppkey, row_number() OVER (PARTITION BY c_custkey ORDER BY {_HAV.format(a='c.lat', b='s.lat', c='c.lon', d='s.lon')}, s_suppkey)::INTEGER AS place
+  FROM (SELECT c_custkey, {_C_LAT}::DOUBLE AS lat, {_C_LON}::DOUBLE AS lon FROM customer) c, (SELECT s_suppkey, {_LAT}::DOUBLE AS lat, {_LON}::DOUBLE AS lon FROM supplier) s)
+WHERE place <= 3""")
+def nearest_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest suppliers of every customer, nearest first (FLT-11, DCL-04)."""
+    lat, lon = F.lit(48) + (F.col("c_custkey") * 41 % 1009) / 250.0, F.lit(8) + (F.col("c_custkey") * 59 % 983) / 200.0
+    customers = table(spark, sf_dir, "customer").select("c_custkey", lat.alias("lat"), lon.alias("lon"))
+    return geo.nearest(customers, _placed(spark, sf_dir).withColumnRenamed("id", "s_suppkey"), 3, "c_custkey", "s_suppkey").drop("distance_km")
+
+
 @REGISTRY.add(
     """SELECT event_id, value FROM events WHERE event_type IN ('click', 'view') AND CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events WHERE event_type IN ('click', 'view'))"""
 )

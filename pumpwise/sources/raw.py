@@ -66,10 +66,17 @@ def gate(docs: DataFrame, condition: Column) -> DataFrame:
 
 def json_list(docs: DataFrame, element: str, keys: Sequence[str] = (), root: bool = False) -> DataFrame:
     """Elements of a JSON list at the root, or under the first key whose list is not empty: docs' columns, row_ord, x."""
-    # Spark reads a lone object as a list of one, hence the look at the first character.
-    shapes = [F.when(F.col("doc").rlike(r"^[\s\uFEFF]*\["), F.from_json("doc", f"array<{element}>"))] if root else []
-    shapes += [F.from_json("doc", f"struct<`{k}`: array<{element}>>")[k] for k in keys]
-    found = F.coalesce(*(F.when(F.size(s) > 0, s) for s in shapes), F.lit(None))
+    # One parse a document: into a struct of all keys, or, if it begins as a list (Spark reads a lone object as a list of one), into a list.
+    parts = F.from_json("doc", "struct<" + ", ".join(f"`{k}`: array<{element}>" for k in keys) + ">") if keys else None
+
+    def first(x: Column) -> Column:
+        return F.coalesce(*(F.when(F.size(x[k]) > 0, x[k]) for k in keys), F.lit(None))
+
+    # As a variable of transform the parsed struct is computed once, however many keys look into it.
+    found = F.get(F.transform(F.array(parts), first), F.lit(0)) if keys else None
+    if root:
+        listed = F.when(F.col("doc").rlike(r"^[\s\uFEFF]*\["), F.from_json("doc", f"array<{element}>"))
+        found = listed.otherwise(found) if keys else listed
     rest = [c for c in docs.columns if c != "doc"]
     return docs.select(*rest, F.posexplode(found).alias("row_ord", "x")).where("x IS NOT NULL")
 
