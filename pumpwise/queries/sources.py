@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pumpwise.functions import scalars as S
 from pumpwise.plans.adapters import RO_LITERAL
 from pumpwise.sources import raw as R
+from pumpwise.sources.split import split_json_list
+from pumpwise.staging import shared_folder
 from pumpwise.queries.registry import Registry, table
 
 REGISTRY = Registry()
@@ -46,6 +50,21 @@ def json_nested_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.json_list(docs, _ROW, ["value"]).select("o_custkey", "row_ord", "x.id", F.col("x.p").alias("price"))
 
 
+@REGISTRY.add(
+    "SELECT o_custkey // 1000 AS page_no, CAST(row_number() OVER (PARTITION BY o_custkey // 1000 ORDER BY o_orderkey) - 1 AS INTEGER) AS row_ord, o_orderkey AS id, o_totalprice AS price FROM orders"
+)
+def json_split_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of whole files, a file a thousand customers, each read by as many tasks as it has blocks (SRC-01)."""
+    row = F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("s"), F.col("o_totalprice").alias("p"))
+    orders = table(spark, sf_dir, "orders").withColumn("page_no", F.floor(F.col("o_custkey") / PAGE_ROWS))
+    docs = _documents(orders, "page_no", row, "o_orderkey").select("page_no", F.to_json(F.struct(F.lit("a [{ \"value\"").alias("note"), F.col("x").alias("value"))).alias("doc"))
+    root = f"{shared_folder(spark).rstrip('/')}/documents-{uuid.uuid4().hex}"
+    docs.write.partitionBy("page_no").text(root)
+    found = split_json_list(spark, root, _ROW, "value")
+    page = F.regexp_extract("path", "page_no=([0-9]+)", 1).cast("bigint")
+    return found.select(page.alias("page_no"), "row_ord", "x.id", F.col("x.p").alias("price"))
+
+
 @REGISTRY.add(_ORDERS)
 def json_root_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A bare list, or a list under one of several keys, the first that is not empty (SRC-02)."""
