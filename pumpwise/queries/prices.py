@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from pumpwise.operators import dedup, geocode, lookup, match, money
 from pumpwise.operators.prices import entry, first_valid_columns, first_where, keep_valid, unnest, with_prices
 from pumpwise.plans import history, publish
 from pumpwise.queries.registry import Registry, table
+from pumpwise.staging import shared_folder
+from pumpwise.streaming import daily
 
 REGISTRY = Registry()
 #: Order of line items that leaves no ties: (l_orderkey, l_linenumber) is no key in the synthetic tables.
@@ -279,6 +284,25 @@ def daily_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.daily_summary(table(spark, sf_dir, "events"), ["event_type"], "ts", "value")
 
 
+@REGISTRY.add("""SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, min(value) AS low, max(value) AS high FROM events
+WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY GROUP BY ALL""")
+def streamed_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily summaries of events that land in four pieces, each with a day of the one before again; days that are final (STR-01, DCL-02)."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    root = f"{shared_folder(spark).rstrip('/')}/landing-{uuid.uuid4().hex}"
+    step = (last - first) / 4 if first is not None else None
+    for k in range(4) if step is not None else ():
+        low, high = first + k * step - timedelta(days=1), first + (k + 1) * step
+        piece = events.where((F.col("ts") >= F.lit(low)) & ((F.col("ts") < F.lit(high)) | F.lit(k == 3)))
+        piece.write.mode("append").parquet(f"{root}/landed")
+        daily.summarise_days(
+            daily.landed_rows(spark, f"{root}/landed", events.schema), ["event_type"], "ts", ["event_id"], f"{root}/days", f"{root}/checkpoint", "value"
+        ).awaitTermination()
+    schema = "event_type string, day date, n bigint, low double, high double"
+    return spark.read.schema(schema).parquet(f"{root}/days") if step is not None else spark.createDataFrame([], schema)
+
+
 @REGISTRY.add("""SELECT vec_id, CAST(pos - 1 AS INTEGER) AS pos, CAST(v AS DOUBLE) AS value FROM (
   SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings)""")
 def unnest_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,9 +15,16 @@ from pumpwise.plans.publish import load_cache
 COMPACT_EVERY = 20
 
 
-def landed(spark: SparkSession, path: str) -> DataFrame:
-    """New whole files of a landing folder as documents (path, doc)."""
-    stream = spark.readStream.format("text").option("wholetext", True).load(path)
+#: Documents of one micro-batch: a backlog is worked off in steps.
+FILES_PER_BATCH = 1000
+
+
+def landed(spark: SparkSession, path: str, files_per_batch: int = FILES_PER_BATCH, archive: str | None = None) -> DataFrame:
+    """New whole files of a landing folder as documents (path, doc), at most so many in a batch; with an archive, those that are done are moved there."""
+    stream = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files_per_batch)
+    if archive:
+        stream = stream.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    stream = stream.load(path)
     return stream.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("doc"))
 
 
