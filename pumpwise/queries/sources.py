@@ -187,16 +187,18 @@ def positional_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.positional_cube(docs, [("0", "E10", "L"), ("1", "DIESEL", "L")]).select("fuel_ord", "fuel_type", "price")
 
 
-@REGISTRY.add("""WITH c AS (SELECT c_custkey, c_mktsegment AS feed, dense_rank() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey // 100) AS page FROM customer)
-SELECT c_custkey AS id, feed, CAST(page AS INTEGER) AS page FROM c WHERE page <= length(feed)""")
+@REGISTRY.add("""WITH c AS (SELECT c_custkey, c_mktsegment || '-' || (c_custkey // 1000) AS feed, length(c_mktsegment) AS pages,
+  dense_rank() OVER (PARTITION BY c_mktsegment, c_custkey // 1000 ORDER BY c_custkey // 100) AS page FROM customer)
+SELECT c_custkey AS id, feed, CAST(page AS INTEGER) AS page FROM c WHERE page <= pages""")
 def paged_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered pages of several feeds, each up to its first empty one (SRC-11): a feed has one page more than its name has letters, an empty one."""
+    """Numbered pages of several feeds, each up to its first empty one (SRC-11): feeds of a thousand keys and a segment, of which the page after as many as the segment has letters is empty."""
+    feed = F.concat_ws("-", "c_mktsegment", F.floor(F.col("c_custkey") / 1000).cast("string"))
     rows = table(spark, sf_dir, "customer").select(
-        "c_custkey", F.col("c_mktsegment").alias("feed"), F.floor(F.col("c_custkey") / 100).alias("hundred")
+        "c_custkey", feed.alias("feed"), F.length("c_mktsegment").alias("pages"), F.floor(F.col("c_custkey") / 100).alias("hundred")
     )
-    rows = _documents(rows, ["feed", "hundred"], F.struct(F.col("c_custkey").alias("id")), "c_custkey")
+    rows = _documents(rows, ["feed", "pages", "hundred"], F.struct(F.col("c_custkey").alias("id")), "c_custkey")
     rows = rows.withColumn("page", F.expr("row_number() OVER (PARTITION BY feed ORDER BY hundred)"))
-    full = F.when(F.col("page") != F.length("feed") + 1, F.col("x")).otherwise(F.array().cast("array<struct<id: bigint>>"))
+    full = F.when(F.col("page") != F.col("pages") + 1, F.col("x")).otherwise(F.array().cast("array<struct<id: bigint>>"))
     docs = rows.select("feed", "page", F.to_json(F.struct(F.lit("more").alias("next"), full.alias("results"))).alias("doc"))
     return R.pages(docs, "struct<id: bigint>", feed=["feed"]).select("x.id", "feed", "page")
 
@@ -205,10 +207,10 @@ def paged_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT c_custkey AS id, c_nationkey AS region, c_mktsegment AS fuel, CAST(c_nationkey AS INTEGER) AS region_ord, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS INTEGER) AS fuel_ord FROM customer"""
 )
 def sharded_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Responses per region and fuel in the order of the shard grid (SRC-12)."""
-    rows = table(spark, sf_dir, "customer")
-    one = rows.groupBy("c_nationkey", "c_mktsegment").agg(F.collect_list(F.struct(F.col("c_custkey").alias("id"))).alias("x"))
-    path = F.concat_ws("/", F.lit("landing"), F.concat_ws("-", F.col("c_nationkey").cast("string"), "c_mktsegment"))
+    """Pages of responses per region and fuel in the order of the shard grid (SRC-12)."""
+    rows = _paged_customers(spark, sf_dir)
+    one = rows.groupBy("page_no", "c_nationkey", "c_mktsegment").agg(F.collect_list(F.struct(F.col("c_custkey").alias("id"))).alias("x"))
+    path = F.concat_ws("/", F.lit("landing"), F.col("page_no").cast("string"), F.concat_ws("-", F.col("c_nationkey").cast("string"), "c_mktsegment"))
     docs = R.shard_of(one.select(path.alias("path"), F.to_json("x").alias("doc")), "([0-9]+)-([A-Z]+)$", region=1, fuel=2)
     regions = rows.select(
         F.col("c_nationkey").cast("string").alias("region"), F.col("c_nationkey").cast("int").alias("region_ord")
