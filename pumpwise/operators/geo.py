@@ -36,6 +36,35 @@ def in_country(df: DataFrame, countries: DataFrame, iso3: str, lat: str = "lat",
     return df.join(boxes, at).drop("__iso3", "min_lat", "min_lon", "max_lat", "max_lon")
 
 
+#: Finest level of the cells of boxes: level n has cells of 180 / 2^n degrees.
+FINEST = 20
+
+
+def in_boxes(df: DataFrame, boxes: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Rows with the columns of every box that holds them, borders included; boxes may overlap and need no code that names them.
+
+    boxes have min_lat, min_lon, max_lat, max_lon, which are dropped, and any other columns.  A box is cut into the cells of the level at which it
+    spans two at most each way; a row is in one cell of each level that boxes use, 21 at most, so the join is an equi-join on cells, and the borders
+    are checked after it.  Each row and box meet once.  Rows without coordinates and boxes without a border match nothing, nor does a
+    box that ends before it begins: one across the date line is given as two.
+    """
+    sides = ("min_lat", "min_lon", "max_lat", "max_lon")
+    span = F.greatest(F.col("max_lat") - F.col("min_lat"), F.col("max_lon") - F.col("min_lon"), F.lit(180.0 / 2**FINEST))
+    level = F.greatest(F.lit(0), F.least(F.lit(FINEST), F.floor(F.log2(F.lit(180.0) / span)))).cast("int")
+    boxes = boxes.where("min_lat <= max_lat AND min_lon <= max_lon").withColumn("__level", level)
+
+    def cell(at: Column, low: float) -> Column:
+        return F.floor((at - low) * F.pow(F.lit(2.0), F.col("__level")) / 180)
+
+    for name, side, low in (("__y", "lat", -90.0), ("__x", "lon", -180.0)):
+        boxes = boxes.withColumn(name, F.explode(F.sequence(cell(F.col(f"min_{side}"), low), cell(F.col(f"max_{side}"), low))))
+    levels = [r[0] for r in boxes.select("__level").distinct().collect()]  # of 21 at most
+    rows = require_coordinates(df, lat, lon).withColumn("__level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    rows = rows.withColumns({"__y": cell(F.col(lat), -90.0), "__x": cell(F.col(lon), -180.0)})
+    inside = F.col(lat).between(F.col("min_lat"), F.col("max_lat")) & F.col(lon).between(F.col("min_lon"), F.col("max_lon"))
+    return rows.join(boxes, ["__level", "__y", "__x"]).where(inside).drop("__level", "__y", "__x", *sides)
+
+
 def radius_cover(df: DataFrame, grid: DataFrame, radius_km: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Rows within the radius of any grid point (g_id, g_lat, g_lon), with the point's id and distance_km; a row may match several points.
 

@@ -111,15 +111,31 @@ def nearest_cheapest(spark: SparkSession, sf_dir: str) -> DataFrame:
 _C_LAT, _C_LON = "(48 + (c_custkey * 41 % 1009) / 250.0)", "(8 + (c_custkey * 59 % 983) / 200.0)"
 
 
+def _customers_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lat, lon = F.lit(48) + (F.col("c_custkey") * 41 % 1009) / 250.0, F.lit(8) + (F.col("c_custkey") * 59 % 983) / 200.0
+    return table(spark, sf_dir, "customer").select("c_custkey", lat.alias("lat"), lon.alias("lon"))
+
+
 @REGISTRY.add(f"""SELECT c_custkey, s_suppkey, place FROM (
   SELECT c_custkey, s_suppkey, row_number() OVER (PARTITION BY c_custkey ORDER BY {_HAV.format(a='c.lat', b='s.lat', c='c.lon', d='s.lon')}, s_suppkey)::INTEGER AS place
   FROM (SELECT c_custkey, {_C_LAT}::DOUBLE AS lat, {_C_LON}::DOUBLE AS lon FROM customer) c, (SELECT s_suppkey, {_LAT}::DOUBLE AS lat, {_LON}::DOUBLE AS lon FROM supplier) s)
 WHERE place <= 3""")
 def nearest_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three nearest suppliers of every customer, nearest first (FLT-11, DCL-04)."""
-    lat, lon = F.lit(48) + (F.col("c_custkey") * 41 % 1009) / 250.0, F.lit(8) + (F.col("c_custkey") * 59 % 983) / 200.0
-    customers = table(spark, sf_dir, "customer").select("c_custkey", lat.alias("lat"), lon.alias("lon"))
-    return geo.nearest(customers, _placed(spark, sf_dir).withColumnRenamed("id", "s_suppkey"), 3, "c_custkey", "s_suppkey").drop("distance_km")
+    return geo.nearest(_customers_placed(spark, sf_dir), _placed(spark, sf_dir).withColumnRenamed("id", "s_suppkey"), 3, "c_custkey", "s_suppkey").drop("distance_km")
+
+
+@REGISTRY.add(f"""SELECT c_custkey, s_suppkey FROM (SELECT c_custkey, {_C_LAT}::DOUBLE AS lat, {_C_LON}::DOUBLE AS lon FROM customer) c
+JOIN (SELECT s_suppkey, {_LAT}::DOUBLE AS s_lat, {_LON}::DOUBLE AS s_lon, (s_suppkey % 7 + 1)::DOUBLE * 0.01371::DOUBLE AS half FROM supplier) s
+ON lat BETWEEN s_lat - half AND s_lat + half AND lon BETWEEN s_lon - 2 * half AND s_lon + 2 * half""")
+def boxes_without_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in the boxes of suppliers, which overlap and are of several sizes (FLT-08)."""
+    half = (F.col("id") % 7 + 1).cast("double") * 0.01371
+    boxes = _placed(spark, sf_dir).select(
+        F.col("id").alias("s_suppkey"), (F.col("lat") - half).alias("min_lat"), (F.col("lat") + half).alias("max_lat"),
+        (F.col("lon") - 2 * half).alias("min_lon"), (F.col("lon") + 2 * half).alias("max_lon")
+    )
+    return geo.in_boxes(_customers_placed(spark, sf_dir), boxes).select("c_custkey", "s_suppkey")
 
 
 @REGISTRY.add(

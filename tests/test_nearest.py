@@ -76,3 +76,23 @@ def test_a_document_is_parsed_once(spark):
     assert sorted((r["path"], r["x"]["id"]) for r in got.collect()) == [("a", 1), ("b", 2), ("c", 3), ("h", 5), ("i", 7)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 2, plan  # a list or a struct, never both for one document
+
+
+def test_boxes_without_a_code(spark):
+    """Boxes from a point to the globe, overlapping, against all pairs; one country's box is a plain range that a scan can check."""
+    rng = random.Random(9)
+    points = [(i, rng.choice([rng.uniform(-90, 90), 48 + rng.random()]), rng.choice([rng.uniform(-180, 180), 11 + rng.random()])) for i in range(600)]
+    points += [(600, 48.5, 11.5), (601, 90.0, 180.0), (602, -90.0, -180.0)]
+    boxes = [(0, -90.0, -180.0, 90.0, 180.0), (1, 48.5, 11.5, 48.5, 11.5), (2, 50.0, 10.0, 40.0, 12.0)]
+    for i in range(3, 60):
+        a, b, size = rng.uniform(-80, 80), rng.uniform(-170, 170), rng.choice([1e-4, 0.01, 0.5, 3.0, 40.0])
+        a, b = rng.choice([(a, b), (48.3, 11.2)])
+        boxes.append((i, a, b, a + size, b + size * rng.random()))
+    want = sorted((p, n) for p, a, b in points for n, s, w, e, t in boxes if s <= a <= e and w <= b <= t)
+    df = spark.createDataFrame([*points, (700, None, 1.0)], "id int, lat double, lon double")
+    kept = spark.createDataFrame([*boxes, (99, None, 0.0, 1.0, 1.0)], "box int, min_lat double, min_lon double, max_lat double, max_lon double")
+    got = geo.in_boxes(df, kept)
+    assert got.columns == ["id", "lat", "lon", "box"] and sorted((r["id"], r["box"]) for r in got.collect()) == want and len(want) > 700
+    assert geo.in_boxes(df, kept.limit(0)).count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
