@@ -278,6 +278,22 @@ def price_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("event_id", "previous", "delta")
 
 
+@REGISTRY.add("""SELECT event_id, previous, value - previous AS delta FROM (
+  SELECT event_id, value, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS previous FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL)""")
+def price_delta_by_pulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change against the pull before, three pulls one after the other against a table of the latest prices (DCL-01)."""
+    events = table(spark, sf_dir, "events").where("user_id IS NOT NULL AND event_type IS NOT NULL").select("event_id", "ts", "user_id", "event_type", "value")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    state = history.LatestPrices(spark, f"{shared_folder(spark).rstrip('/')}/latest-{uuid.uuid4().hex}", ["user_id", "event_type"], buckets=8)
+    out, step = None, (last - first) / 3 if first is not None else timedelta(0)
+    for k in range(3):
+        low, high = (F.lit(first + i * step) if first is not None else F.lit(None).cast("timestamp") for i in (k, k + 1))
+        pull = events.where(((F.col("ts") >= low) | F.lit(k == 0)) & ((F.col("ts") < high) | F.lit(k == 2)))
+        changed = state.apply(pull, ["ts", "event_id"], "value")
+        out = changed if out is None else out.unionByName(changed)
+    return out.select("event_id", "previous", "delta")
+
+
 @REGISTRY.add("SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, min(value) AS low, max(value) AS high FROM events GROUP BY ALL")
 def daily_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily summary of prices (DCL-02)."""
