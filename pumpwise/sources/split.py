@@ -16,17 +16,18 @@ def _pieces(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     )
 
 
-def _running(df: DataFrame, value: Column, name: str) -> DataFrame:
-    """df with name: the sum of value over all pieces of a file before each one.
+def _running(df: DataFrame, **values: Column) -> DataFrame:
+    """df with a column for each name: the sum of its value over all pieces of a file before each one.
 
     A task sums the pieces of one block; of the blocks of a file, a few rows each, the sums are summed and handed down.
     """
-    df = df.withColumn("__v", value)
-    blocks = df.groupBy("path", "block").agg(F.sum("__v").alias("__all"))
-    before = "coalesce(sum(__all) OVER (PARTITION BY path ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
-    blocks = blocks.select("path", "block", F.expr(before).alias("__before"))
-    inside = "coalesce(sum(__v) OVER (PARTITION BY path, block ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
-    return df.withColumn(name, F.expr(inside)).join(blocks, ["path", "block"]).withColumn(name, F.col(name) + F.col("__before")).drop("__v", "__before")
+    df = df.withColumns({f"__v_{n}": v for n, v in values.items()})
+    blocks = df.groupBy("path", "block").agg(*(F.sum(f"__v_{n}").alias(f"__all_{n}") for n in values))
+    before = "coalesce(sum(__all_{}) OVER (PARTITION BY path ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+    blocks = blocks.select("path", "block", *(F.expr(before.format(n)).alias(f"__before_{n}") for n in values))
+    inside = "coalesce(sum(__v_{}) OVER (PARTITION BY path, block ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+    df = df.withColumns({n: F.expr(inside.format(n)) for n in values}).join(blocks, ["path", "block"])
+    return df.withColumns({n: F.col(n) + F.col(f"__before_{n}") for n in values}).drop(*(f"__{k}_{n}" for n in values for k in ("v", "before")))
 
 
 def _outside(parts: Column, first: int) -> Column:
@@ -52,19 +53,18 @@ def split_json_list(spark: SparkSession, path: str | Sequence[str], element: str
     """
     clean = F.regexp_replace("value", r"(?s)\\.", "")
     rows = _pieces(spark, path).withColumn("parts", F.split(clean, '"', -1))
-    rows = _running(rows, F.size("parts") - 1, "quotes")
+    rows = _running(rows, quotes=F.size("parts") - 1)
     inside = F.pmod(F.col("quotes"), F.lit(2)) == 1
     shown = F.when(inside, _outside(F.col("parts"), 1)).otherwise(_outside(F.col("parts"), 0))
     ends_outside = F.pmod(F.col("quotes") + F.size("parts") - 1, F.lit(2)) == 0
     rows = rows.withColumn("shown", shown).withColumn("closes", ends_outside).drop("parts")
     opened = _count(F.col("shown"), "{") - F.col("closes").cast("int")
-    rows = _running(rows, opened, "braces")
-    rows = _running(rows, _count(F.col("shown"), "[") - _count(F.col("shown"), "]"), "brackets")
-    depth = 1 if key is not None else 0
-    lists = F.col("brackets") + _count(F.col("shown"), "[") - _count(F.col("shown"), "]")
+    listed = _count(F.col("shown"), "[") - _count(F.col("shown"), "]")
+    rows = _running(rows, braces=opened, brackets=listed)
+    depth, lists = 1 if key is not None else 0, F.col("brackets") + listed
     rows = rows.withColumn("ends", F.col("closes") & (F.col("braces") + opened == depth) & (lists == 1))
     # Pieces between elements count too: those after a list's last element belong to the next number.
-    rows = _running(rows, F.col("ends").cast("int"), "number")
+    rows = _running(rows, number=F.col("ends").cast("int"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "value"))), lambda p: p["value"]), "}")
     whole = rows.groupBy("path", "number").agg(text.alias("text"), F.bool_or("ends").alias("ends")).where("ends")
     # Before an element's own brace stand a comma, or what opens its list: with a key, the last name before the bracket.
