@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pumpwise.functions import dims
 from pumpwise.functions import scalars as S
 from pumpwise.operators import geo, geocode, lookup
+from pumpwise.operators.keywords import by_keyword_table
 from pumpwise.queries.registry import Registry, table
 
 REGISTRY = Registry()
@@ -44,6 +45,27 @@ def ordered_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@REGISTRY.add("""WITH r AS (SELECT item_id AS rule_ord, lower(substr(text, 1 + item_id % 11, 5 + item_id % 9)) AS keyword, 'item ' || item_id AS fuel_type FROM benchmark
+  UNION ALL SELECT 1000000 + min(p_partkey), string_split(p_name, ' ')[2], min_by(p_brand, p_partkey) FROM part GROUP BY ALL HAVING string_split(p_name, ' ')[2] <> ''
+  UNION ALL SELECT 2000000 + min(p_partkey), p_name, min_by(p_brand, p_partkey) FROM part GROUP BY p_name
+  UNION ALL SELECT 3000000 + r_regionkey, lower(r_name[:3]), r_name FROM region)
+SELECT doc_id, min_by(fuel_type, rule_ord) AS fuel_type FROM documents LEFT JOIN r ON contains(lower(text), keyword) GROUP BY doc_id""")
+def keyword_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of many keyword rules that occurs in a text: rules from the names of parts, pieces of benchmark items and short names (JOIN-03)."""
+    items = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").cast("bigint").alias("rule_ord"), F.expr("substring(text, 1 + item_id % 11, 5 + item_id % 9)").alias("keyword"),
+        F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("value"),
+    )
+    parts = table(spark, sf_dir, "part")
+    word = parts.select((F.col("p_partkey") + 1_000_000).alias("rule_ord"), F.split("p_name", " ")[1].alias("keyword"), F.col("p_brand").alias("value"))
+    names = parts.select((F.col("p_partkey") + 2_000_000).alias("rule_ord"), F.upper("p_name").alias("keyword"), F.col("p_brand").alias("value"))
+    short = table(spark, sf_dir, "region").select(
+        (F.col("r_regionkey") + 3_000_000).alias("rule_ord"), F.substring("r_name", 1, 3).alias("keyword"), F.col("r_name").alias("value")
+    )
+    rules = lookup.union_sources(items, word, names, short)
+    return by_keyword_table(table(spark, sf_dir, "documents"), "text", rules, "fuel_type").select("doc_id", "fuel_type")
+
+
 @REGISTRY.add("""SELECT p_partkey, CASE WHEN p_size = 1 THEN CASE WHEN contains(p_name, 'a') THEN 'E10' ELSE 'E5' END
   WHEN p_size = 2 THEN 'LPG' WHEN p_size = 3 THEN 'CNG' END AS fuel_type FROM part""")
 def conditional_override(spark: SparkSession, sf_dir: str) -> DataFrame:
