@@ -119,8 +119,7 @@ def sweden(raw: Raw, run_at: Column, cache: DataFrame | None = None, gazetteer:
     places, priced = _osm(raw["osm"], "SE", "Bränslestation"), sweden_priced(raw["counties"])
     priced = priced.where(F.size("raw_prices") > 0)
     keys = ["bk", "ck"]
-    matched = match.match_slots(places, priced, keys, ["at"], ["at"], ["raw_prices", "source", "confidence"])
-    rest = match.unmatched_records(places, priced, keys, ["at"], ["at"])
+    matched, rest = match.match_and_rest(places, priced, keys, ["at"], ["at"], ["raw_prices", "source", "confidence"])
     located = geo.require_coordinates(
         enriched(rest, cache, gazetteer, F.col("geo_key"), S.geocode_query(F.col("city"), F.col("address"), F.lit("")), ["at"])
     )

@@ -104,6 +104,8 @@ def test_greedy_matching(spark):
     got = {x["id"]: x["price"] for x in match.match_slots(l, r, ["bk", "ck"], ["id"], ["rid"], ["price"]).collect()}
     assert got == {i: paired.get(i) for i, *_ in locations}
     assert sorted(x["rid"] for x in match.unmatched_records(l, r, ["bk", "ck"], ["id"], ["rid"]).collect()) == left
+    both, rest = match.match_and_rest(l, r, ["bk", "ck"], ["id"], ["rid"], ["price"])
+    assert {x["id"]: x["price"] for x in both.collect()} == got and sorted(x["rid"] for x in rest.collect()) == left
 
 
 def test_money(spark):
