@@ -397,29 +397,30 @@ def slovenia(raw: Raw, run_at: Column) -> DataFrame:
 
 
 def croatia(raw: Raw, run_at: Column) -> DataFrame:
-    """Prices name products, products name categories, categories fuels; coordinates may be swapped."""
+    """Prices name products, products name categories, categories fuels; coordinates may be swapped.  One document or several, in the order of their paths."""
     products = R.json_list(raw["all"], "struct<id: string, vrsta_goriva_id: string>", ["gorivos"]).select(
-        "row_ord", F.col("x.id").alias("product"), F.col("x.vrsta_goriva_id").alias("category")
+        "path", "row_ord", F.col("x.id").alias("product"), F.col("x.vrsta_goriva_id").alias("category")
     )
     known = products.where((F.coalesce("product", F.lit("0")) != "0") & (F.coalesce("category", F.lit("0")) != "0"))
-    products = dedup.last_wins(known, ["product"], ["row_ord"]).drop("row_ord")
+    products = dedup.last_wins(known, ["product"], ["path", "row_ord"]).drop("path", "row_ord")
     element = (
         "struct<id: string, naziv: string, brand: string, adresa: string, mjesto: string, lat: string, lng: string, long: string, lon: string, "
         "cjenici: array<struct<gorivo_id: string, cijena: string>>>"
     )
-    stations = R.json_list(raw["all"], element, ["postajas"]).select("row_ord", "x.*")
-    facts = unnest(stations, ["row_ord"], "cjenici", "price_ord", "c").select(
-        "row_ord", "price_ord", F.col("c.gorivo_id").alias("gid"), S.decimal_comma(F.col("c.cijena")).alias("price")
+    stations = R.json_list(raw["all"], element, ["postajas"]).select("path", "row_ord", "x.*")
+    station = ["path", "row_ord"]
+    facts = unnest(stations, station, "cjenici", "price_ord", "c").select(
+        *station, "price_ord", F.col("c.gorivo_id").alias("gid"), S.decimal_comma(F.col("c.cijena")).alias("price")
     )
     facts = lookup.two_hops(
         facts, "gid", products, "product", "category", lookup.fuel_dim(stations.sparkSession, dims.HR_FUELS), "fuel_code"
     )
     facts = dedup.first_valid(
-        facts.select("row_ord", "price_ord", "fuel_type", "unit", "price"), ["row_ord", "fuel_type"], ["price_ord"],
+        facts.select(*station, "price_ord", "fuel_type", "unit", "price"), [*station, "fuel_type"], ["price_ord"],
         S.valid_price(F.col("price"))
     )
-    listed = dedup.ordered_list(facts, ["row_ord"], ["price_ord"], entry(F.col("fuel_type"), F.col("price"), F.col("unit")), "raw_prices")
-    rows = stations.join(listed, "row_ord")
+    listed = dedup.ordered_list(facts, station, ["price_ord"], entry(F.col("fuel_type"), F.col("price"), F.col("unit")), "raw_prices")
+    rows = stations.join(listed, station)
     rows = _place(rows, S.repair_axes([F.col(c) for c in ("lat", "lng", "long", "lon")], dims.BOUNDS["HR"]))
     brand = S.strip(S.first_nonblank(F.col("naziv"), F.col("brand")))
     sid = F.coalesce("id", dedup.stable_id(F.col("naziv"), F.col("adresa"), F.col("mjesto")))

@@ -311,3 +311,90 @@ def adapter_points_of_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = lookup.dim(spark, [("PLN", 4.5)], "currency string, rate double")
     found = adapters.points_of_interest(docs, adapters.poi_countries(spark), rates, F.lit(RUN_AT).cast("timestamp"))
     return _whole(found, "country")
+
+
+@REGISTRY.add("""
+WITH s AS (
+  SELECT c_custkey AS k, c_name, c_nationkey AS n, 'Ulica ' || c_custkey AS address, CAST(420 + c_custkey % 55 AS DOUBLE) / 10 AS y,
+         list_filter([struct_pack(f := 'E5', p := c_acctbal), struct_pack(f := 'DIESEL', p := CASE WHEN c_acctbal > 1000 THEN c_acctbal - 1000 ELSE c_custkey % 50 + 0.5::DOUBLE END)], lambda v: v.p > 0) AS ps
+  FROM customer)
+SELECT 'hr_' || CASE WHEN k % 4 > 0 THEN CAST(k AS VARCHAR) ELSE sha256(c_name || '|' || address || '|Mjesto' || n)[:16] END AS id, c_name AS name, c_name AS brand, address, 'Mjesto' || n AS city,
+       CASE WHEN y BETWEEN 42.3 AND 46.9 THEN y END AS lat, CASE WHEN y BETWEEN 42.3 AND 46.9 THEN 16.5::DOUBLE END AS lon, 'mzoe-gor.hr' AS source, 1.0::DOUBLE AS confidence,
+       CAST(i AS INTEGER) AS price_ord, ps[i + 1].f AS fuel_type, ps[i + 1].p AS price, 'EUR' AS currency, 'L' AS unit
+FROM (SELECT *, unnest(range(len(ps))) AS i FROM s)""")
+def adapter_croatia(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices by product, products by category, categories by fuel; the last row of a product counts; axes in the wrong fields (section 2.12, HR)."""
+    k, balance = F.col("c_custkey"), F.col("c_acctbal")
+    text, tenths = (lambda c: c.cast("string")), F.lit(420) + k % 55
+    y = F.concat(text(F.floor(tenths / 10)), F.lit(","), text(tenths % 10))
+    offer = (lambda product, value: F.struct(F.lit(product).alias("gorivo_id"), value.alias("cijena")))
+    station = F.struct(
+        F.when(k % 4 > 0, text(k)).alias("id"), F.col("c_name").alias("naziv"), F.col("c_mktsegment").alias("brand"),
+        F.concat(F.lit("Ulica "), text(k)).alias("adresa"), F.concat(F.lit("Mjesto"), text(F.col("c_nationkey"))).alias("mjesto"),
+        F.when(k % 2 == 0, y).otherwise("16,5").alias("lat"), F.when(k % 2 == 0, "16.5").otherwise(y).alias("lng"),
+        F.array(
+            offer(101, text(balance)), offer(999, F.lit("1")), offer(102, F.replace(text(balance - 1000), F.lit("."), F.lit(","))),
+            offer(103, F.concat(text(k % 50), F.lit(",5")))
+        ).alias("cjenici"),
+    )
+    products = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(c).alias("vrsta_goriva_id")) for i, c in ((101, 1), (102, 2), (103, 7), (102, 8), (104, 99), (0, 1))))
+    answers = _answers(table(spark, sf_dir, "customer").select("*", _page("c_custkey")), ["page"], station)
+    docs = answers.select("path", F.to_json(F.struct(F.col("x").alias("postajas"), products.alias("gorivos"))).alias("doc"))
+    return _whole(adapters.croatia({"all": docs}, F.lit(RUN_AT).cast("timestamp")))
+
+
+@REGISTRY.add("""
+WITH s AS (
+  SELECT c_custkey AS k, c_mktsegment AS brand, c_nationkey AS n,
+         list_filter([struct_pack(f := 'DIESEL', p := c_acctbal, u := 'L'), struct_pack(f := 'E5', p := CASE WHEN c_custkey % 2 = 1 AND c_acctbal > 1000 THEN c_acctbal - 1000 ELSE c_custkey % 50 + 0.5::DOUBLE END, u := 'L'),
+                      struct_pack(f := 'CNG', p := CASE WHEN c_custkey % 3 = 0 THEN 1.25::DOUBLE END, u := 'kg')], lambda v: v.p > 0) AS ps
+  FROM customer)
+SELECT 'es_' || k AS id, brand AS name, brand, 'Calle ' || k AS address, 'Municipio' || n AS city, CASE WHEN k % 5 > 0 AND k % 7 > 0 THEN 40.5::DOUBLE END AS lat, CASE WHEN k % 5 > 0 AND k % 7 > 0 THEN -3.25::DOUBLE END AS lon,
+       'minetur.gob.es' AS source, 0.95::DOUBLE AS confidence, CAST(i AS INTEGER) AS price_ord, ps[i + 1].f AS fuel_type, ps[i + 1].p AS price, 'EUR' AS currency, ps[i + 1].u AS unit
+FROM (SELECT *, unnest(range(len(ps))) AS i FROM s)""")
+def adapter_spain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide records with decimal commas: the first valid of the columns of a fuel; zero and impossible coordinates are none (section 2.12, ES)."""
+    k, balance = F.col("c_custkey"), F.col("c_acctbal")
+    text = (lambda c: c.cast("string"))
+    comma = (lambda c: F.replace(text(c), F.lit("."), F.lit(",")))
+    station = F.struct(
+        text(k).alias("IDEESS"), F.col("c_mktsegment").alias("Rótulo"), F.concat(F.lit("Calle "), text(k)).alias("Dirección"),
+        F.concat(F.lit("Municipio"), text(F.col("c_nationkey"))).alias("Municipio"),
+        F.when(k % 5 == 0, "0").when(k % 7 == 0, "95,0").otherwise("40,5").alias("Latitud"), F.when(k % 5 == 0, "0").otherwise("-3,25").alias("Longitud (WGS84)"),
+        comma(balance).alias("Precio Gasoleo A"), F.when(k % 2 == 1, comma(balance - 1000)).otherwise("").alias("Precio Gasolina 95 E5"),
+        F.lit("").alias("Precio Gasolina 95 E10"), F.concat(text(k % 50), F.lit(",5")).alias("Precio Gasolina 98 E5"),
+        F.when(k % 3 == 0, "1,25").alias("Precio Gas Natural Comprimido"),
+    )
+    answers = _answers(table(spark, sf_dir, "customer").select("*", _page("c_custkey")), ["page"], station)
+    docs = answers.select("path", F.to_json(F.struct(F.lit("OK").alias("ResultadoConsulta"), F.col("x").alias("ListaEESSPrecio"))).alias("doc"))
+    return _whole(adapters.spain({"stations": docs}, F.lit(RUN_AT).cast("timestamp")))
+
+
+@REGISTRY.add("""
+WITH s AS (
+  SELECT c_custkey AS k, c_name, c_nationkey AS n, CAST(450 + c_custkey % 25 AS DOUBLE) / 10 AS y,
+         list_filter([struct_pack(f := 'E5', p := CASE WHEN c_acctbal > 0 THEN c_acctbal ELSE c_custkey % 50 + 0.5::DOUBLE END, u := 'L'), struct_pack(f := 'DIESEL', p := c_acctbal - 1000, u := 'L'),
+                      struct_pack(f := 'CNG', p := CASE WHEN c_custkey % 3 = 0 THEN 1.25::DOUBLE END, u := 'kg')], lambda v: v.p > 0) AS ps
+  FROM customer)
+SELECT 'si_' || CASE WHEN k % 6 > 0 THEN CAST(k AS VARCHAR) ELSE sha256(c_name || '|Cesta ' || k)[:16] END AS id, c_name AS name, c_name AS brand, 'Cesta ' || k AS address, CAST(1000 + n AS VARCHAR) AS city,
+       CASE WHEN y BETWEEN 45.4 AND 46.9 THEN y END AS lat, CASE WHEN y BETWEEN 45.4 AND 46.9 THEN 14.5::DOUBLE END AS lon, 'goriva.si' AS source, 1.0::DOUBLE AS confidence,
+       CAST(i AS INTEGER) AS price_ord, ps[i + 1].f AS fuel_type, ps[i + 1].p AS price, 'EUR' AS currency, ps[i + 1].u AS unit
+FROM (SELECT *, unnest(range(len(ps))) AS i FROM s)""")
+def adapter_slovenia(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered pages up to an empty one, behind which nothing counts; a station without a number gets the hash of its name and address (section 2.12, SI)."""
+    k, balance = F.col("c_custkey"), F.col("c_acctbal")
+    text, tenths = (lambda c: c.cast("string")), F.lit(450) + k % 25
+    station = F.struct(
+        F.when(k % 6 > 0, text(k)).when(k % 12 == 0, "0").alias("pk"), F.col("c_name").alias("name"), F.concat(F.lit("Cesta "), text(k)).alias("address"),
+        text(F.lit(1000) + F.col("c_nationkey")).alias("zip_code"), F.concat(text(F.floor(tenths / 10)), F.lit("."), text(tenths % 10)).alias("lat"), F.lit("14.5").alias("lng"),
+        F.struct(
+            balance.alias("95"), F.concat(text(k % 50), F.lit(".5")).alias("98"), (balance - 1000).alias("dizel"), F.when(k % 3 == 0, F.lit(1.25)).alias("cng")
+        ).alias("prices"),
+    )
+    rows = table(spark, sf_dir, "customer").withColumn("page", (F.floor(k / PAGE_ROWS) + 1).cast("int"))
+    more = F.lit("next").alias("next")
+    full = _answers(rows, ["page"], station).select("path", "page", F.to_json(F.struct(more, F.col("x").alias("results"))).alias("doc"))
+    last = rows.agg((F.max("page") + 1).alias("page"))  # one row: the empty page
+    empty = last.select(F.lit("z").alias("path"), "page", F.lit('{"next": "next", "results": []}').alias("doc"))
+    beyond = last.select(F.lit("zz").alias("path"), (F.col("page") + 1).alias("page"), F.lit('{"next": null, "results": [{"pk": "late", "name": "late", "prices": {"95": 1}}]}').alias("doc"))
+    return _whole(adapters.slovenia({"pages": full.unionByName(empty).unionByName(beyond)}, F.lit(RUN_AT).cast("timestamp")))

@@ -275,6 +275,14 @@ def test_croatia(spark):
     assert (got["hr_10"]["lat"], got["hr_10"]["lon"]) == (45.8, 15.9)
 
 
+def test_croatia_in_two_documents(spark):
+    """Stations at the same place of two documents are two; a product's last row, in the order of paths, counts for both."""
+    one = {"gorivos": [{"id": 1, "vrsta_goriva_id": 1}], "postajas": [{"id": 1, "naziv": "A", "cjenici": [{"gorivo_id": 1, "cijena": 1.5}]}]}
+    two = {"gorivos": [{"id": 1, "vrsta_goriva_id": 7}], "postajas": [{"id": 2, "naziv": "B", "cjenici": [{"gorivo_id": 1, "cijena": 1.6}]}]}
+    got = stations(A.croatia({"all": docs(spark, one, two)}, NOW))
+    assert {k: prices(v) for k, v in got.items()} == {"hr_1": [("DIESEL", 1.5, "EUR", "L")], "hr_2": [("DIESEL", 1.6, "EUR", "L")]}
+
+
 def romanian(*rows):
     return f"<script>var rezultate = JSON.parse('{json.dumps(rows)}');</script>"
 
