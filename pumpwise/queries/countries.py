@@ -398,3 +398,25 @@ def adapter_slovenia(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty = last.select(F.lit("z").alias("path"), "page", F.lit('{"next": "next", "results": []}').alias("doc"))
     beyond = last.select(F.lit("zz").alias("path"), (F.col("page") + 1).alias("page"), F.lit('{"next": null, "results": [{"pk": "late", "name": "late", "prices": {"95": 1}}]}').alias("doc"))
     return _whole(adapters.slovenia({"pages": full.unionByName(empty).unionByName(beyond)}, F.lit(RUN_AT).cast("timestamp")))
+
+
+@REGISTRY.add("""
+WITH s AS (
+  SELECT c_custkey AS k, c_mktsegment AS brand, CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment ELSE c_name END AS name,
+         list_filter([struct_pack(f := 'E5', p := c_acctbal), struct_pack(f := 'DIESEL', p := CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 50 + 0.5::DOUBLE END)], lambda v: v.p > 0) AS ps
+  FROM customer)
+SELECT 'is_' || k AS id, name, brand, '' AS address, '' AS city, CASE WHEN k % 3 = 0 THEN 64.5::DOUBLE WHEN k % 3 = 1 THEN 65.25::DOUBLE END AS lat, CASE WHEN k % 3 = 0 THEN -21.5::DOUBLE WHEN k % 3 = 1 THEN -18.25::DOUBLE END AS lon,
+       'gasvaktin.is' AS source, 0.9::DOUBLE AS confidence, CAST(i AS INTEGER) AS price_ord, ps[i + 1].f AS fuel_type, ps[i + 1].p AS price, 'ISK' AS currency, 'L' AS unit
+FROM (SELECT *, unnest(range(len(ps))) AS i FROM s)""")
+def adapter_iceland(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list at the root or under a key; coordinates nested, or flat where those are missing or 0 (section 2.12, IS)."""
+    k = F.col("c_custkey")
+    nested = F.when(k % 3 == 0, F.struct(F.lit("64.5").alias("lat"), F.lit("-21.5").alias("lon"))).when(k % 3 == 1, F.struct(F.lit("0").alias("lat"), F.lit("0").alias("lon")))
+    station = F.struct(
+        k.cast("string").alias("key"), F.when(k % 4 > 0, F.concat("c_name", F.lit(" "))).alias("name"), F.col("c_mktsegment").alias("company"), nested.alias("geo"),
+        F.when(k % 3 == 1, "65.25").alias("lat"), F.when(k % 3 == 1, "-18.25").alias("lon"), F.col("c_acctbal").alias("bensin95"),
+        F.when(k % 2 == 0, (k % 50).cast("double") + 0.5).alias("diesel"),
+    )
+    answers = _answers(table(spark, sf_dir, "customer").select("*", _page("c_custkey"), (k % 2).alias("half")), ["page", "half"], station)
+    doc = F.when(F.col("half") == 0, F.to_json("x")).otherwise(F.to_json(F.struct(F.col("x").alias("stations"))))
+    return _whole(adapters.iceland({"stations": answers.select("path", doc.alias("doc"))}, F.lit(RUN_AT).cast("timestamp")))
