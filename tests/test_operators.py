@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pumpwise.operators import dedup, geo, geocode, lookup, match, money
 from pumpwise.operators.prices import entry, first_per_fuel, keep_valid
+from pumpwise.queries import QUERIES
 
 RNG = random.Random(11)
 ROWS = [
@@ -191,3 +192,10 @@ def test_radius_cover(spark):
         spark.createDataFrame(grid, "g_id int, g_lat double, g_lon double"), 25.0
     )
     assert {(r["id"], r["g_id"]) for r in got.collect()} == want and want
+
+
+def test_tag_filter_keeps_every_tagged_element(spark, tmp_path):
+    """All even events have the tag, multiples of three among them; odd ones, with another tag or none, go."""
+    events = [(i, t, f'{{"k": {i}}}') for i in range(12) for t in ("click", "error")]
+    spark.createDataFrame(events, "event_id bigint, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted(r[0] for r in QUERIES["tag_filter"](spark, str(tmp_path)).collect()) == [0, 2, 4, 6, 8, 10]
