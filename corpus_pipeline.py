@@ -29,8 +29,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the least id, of each group linked by a Jaccard similarity of 0.8 on shingles of five words.
 
-    Fingerprints of 64 bits cannot decide that similarity: at 0.8 about 10 bits differ, and no trie prunes such a budget, so MinHash
-    bands propose the pairs and the shingles decide.  Null and wordless texts are one group; of several rows with the least id that with
+    SimHash fingerprints propose the pairs, joined by binary tries within a Hamming budget that is set for that similarity, and the shingles
+    decide.  Null and wordless texts are one group; of several rows with the least id that with
     the least digest stays, of wholly repeated rows one; null ids stand only for groups without other ids.  An empty table gives an empty one.
     """
     return keep_one_of_similar(docs)
@@ -67,7 +67,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard),
 ]
 
-#: The ranking is fitted numerically and the MinHash bands are XXH64 numbers, neither of which SQL can express.
+#: The ranking is fitted numerically and the fingerprints are bits of XXH64 numbers, neither of which SQL can express.
 ORACLE_SQL = None
 
 

@@ -1,4 +1,9 @@
-"""Near-deduplication by Jaccard similarity: MinHash bands propose pairs, the exact similarity of shingle sets decides."""
+"""Near-deduplication by Jaccard similarity: SimHash fingerprints joined by binary tries within a Hamming budget, then exact similarity of sets.
+
+Several tries hold the same sets: trie t has t's own bits of the fingerprint on its first levels and the common bits below.  All are
+walked together.  On the first levels the paths of a pair must be equal (an error there is left to the other tries), below them they may
+differ in as many bits as the budget says.
+"""
 
 from __future__ import annotations
 
@@ -16,19 +21,21 @@ from pumpwise.llm.components import connected_components, one_of_each, rooted, r
 
 #: Words of a shingle, least Jaccard similarity of linked texts, seed of all hashes.
 WIDTH, SIMILARITY, SEED = 5, 0.8, 42
-#: Two texts are compared if they agree in a whole band of minima; at a similarity of 0.8 a pair is missed with (1 - 0.8^4)^20 = 0.00003.
-BANDS, ROWS = 20, 4
-#: Standard deviations below the limit from which a similarity estimated by all minima rules a pair out.
-SPREAD = 5.0
-#: Pairs whose sets are compared in one group, on average; sets whose minima are compared with as many others in one group.
+#: Words of 64 bits below the first levels of all tries.
+WORDS = 3
+#: How far the share of differing bits at a similarity may lie above that of its angle (sets of few shingles; measured), standard
+#: deviations of that share that the budget allows, chance that a pair just at the similarity shares no node.
+EXCESS, SPREAD, MISSED = 1.09, 5.5, 0.00003
+#: Pairs whose sets are compared in one group, on average; sets whose fingerprints are compared with as many others in one group.
 PAIRS_IN_CELL, SETS_IN_BLOCK = 500, 1024
-#: Shingles of the sets that are compared in one group with as many others; hashes looked up at once there.
-SHINGLES_IN_BLOCK, _GATHERED = 1_000_000, 4_000_000
+#: Shingles of the sets that are compared in one group with as many others; hashes looked up, or pairs of fingerprints compared, at once.
+SHINGLES_IN_BLOCK, _GATHERED = 1_000_000, 1_000_000
 #: Most rows of a broadcast table of digests.
 MAX_BROADCAST_ROWS = 200_000
-#: Shingle hashes whose minima are taken at once.
-_CHUNK = 1 << 13
-_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
+#: Shingle hashes whose bits are counted at once; a sum of bytes holds 255 of them.
+_CHUNK = 255 * 4
+#: The common bits as numbers.
+FINGERPRINT = tuple(f"f{i}" for i in range(WORDS))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -48,30 +55,67 @@ def shingle_hashes(text: str, width: int = WIDTH) -> np.ndarray:
     return np.unique(_mixed(hashes))
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """The least of the hashes under each of BANDS x ROWS hash functions; none for no hashes."""
-    if not len(hashes):
-        return np.zeros(0, dtype="<u8")
-    mixed, least = hashes ^ (hashes >> np.uint64(32)), None
-    for i in range(0, len(mixed), _CHUNK):
-        part = (mixed[None, i : i + _CHUNK] * _FACTORS).min(axis=1)
-        least = part if least is None else np.minimum(least, part)
-    return least
+def _spread(h: np.ndarray) -> np.ndarray:
+    """One-to-one numbers in which every bit depends on all bits of h (the last steps of SplitMix64)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def tries(rows: int, similarity: float = SIMILARITY) -> tuple[int, int, int]:
+    """For so many sets: the levels of equal paths, the number of tries, and the budget of the common bits below.
+
+    A node at that level holds SETS_IN_BLOCK // 4 sets if bits are even.  A bit differs with angle / pi, so two sets at the similarity share a
+    node of one trie with (1 - angle / pi) ** depth, and there are as many tries as MISSED asks for: their number grows with the 0.25th power of rows.
+    """
+    differ = min(0.5, EXCESS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    depth = max(0, math.ceil(math.log2(max(1, rows) / max(1, SETS_IN_BLOCK // 4))))
+    shared, bits = (1 - differ) ** depth, 64 * WORDS
+    turns = 1 if shared == 1 else math.ceil(math.log(MISSED) / math.log1p(-shared))
+    return depth, turns, math.floor(bits * differ + SPREAD * math.sqrt(bits * differ * (1 - differ)))
+
+
+def _twice_ones(hashes: np.ndarray, first: int, words: int) -> np.ndarray:
+    """For each bit of the words from number first on: twice how many of the hashes have it."""
+    seeds = np.arange(first + 1, first + words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros(64 * words, dtype=np.int64)
+    for i in range(0, len(hashes), _CHUNK):
+        bits = np.unpackbits(_spread(hashes[i : i + _CHUNK, None] + seeds).view(np.uint8), axis=1)
+        for j in range(0, len(bits), 255):
+            ones += bits[j : j + 255].sum(axis=0, dtype=np.uint8)
+    return 2 * ones
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """One signed 64-bit number per band of minima; none for no shingles."""
-    return _bands(minima(hashes))
+def fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The SimHash of a set of hashes, 64 bits a word: 1 where over half of its hashes have it.
+
+    A hash has as many bits as asked for: word i is spread from it and i.  Ties, frequent in small sets, are broken by as many further
+    words, and what ties again or is of a larger set by the bit's place: a member that breaks them would be another one in a similar set.
+    """
+    n, twice, tied = len(hashes), _twice_ones(hashes, 0, words), np.arange(64 * words) % 2 == 1
+    if n % 2 == 0 and n <= 255:
+        again = _twice_ones(hashes, words, words)
+        tied = np.where(again == n, tied, again > n)
+    return np.where(twice == n, tied, twice > n).astype(np.uint8)
+
+
+def _split(bits: np.ndarray, depth: int, turns: int) -> tuple[np.ndarray, np.ndarray]:
+    """The common words of a fingerprint, and for each trie the number of the node at that depth; both signed."""
+    common = np.packbits(bits[: 64 * WORDS]).view(np.int64)
+    paths = bits[64 * WORDS : 64 * WORDS + turns * depth].reshape(turns, depth).astype(np.uint64)
+    steps = np.uint64(1) << np.arange(depth, dtype=np.uint64)
+    nodes = (np.arange(turns, dtype=np.uint64) << np.uint64(depth)) + (paths * steps).sum(axis=1, dtype=np.uint64)
+    return common, _spread(nodes).view(np.int64)
 
 
-def _bands(least: np.ndarray) -> np.ndarray:
-    rows = enumerate(least.reshape(-1, ROWS))
-    return np.array([xxhash.xxh64_intdigest(m.tobytes(), i) for i, m in rows], dtype=np.uint64).view(np.int64)
+def _words(depth: int, turns: int) -> int:
+    return WORDS + math.ceil(turns * depth / 64)
 
 
-def _signature(least: np.ndarray) -> bytes:
-    """One byte of each minimum."""
-    return (least >> np.uint64(24)).astype(np.uint8).tobytes()
+def band_keys(hashes: np.ndarray, rows: int = 250_000) -> np.ndarray:
+    """One signed 64-bit number per trie, of the set's node in it, as for so many sets; none for no shingles."""
+    depth, turns, _ = tries(rows)
+    return _split(fingerprint(hashes, _words(depth, turns)), depth, turns)[1] if len(hashes) else np.zeros(0, dtype=np.int64)
 
 
 def _lowered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -81,26 +125,28 @@ def _lowered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _sketched(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """id, digest (of the row), key (128 bits of the set of shingles), size (of the set), bands and signature of each row."""
+def _sketched(docs: DataFrame, width: int, id_col: str, text_col: str, depth: int, turns: int) -> DataFrame:
+    """id, digest (of the row), key (128 bits of the set of shingles), size (of the set), buckets (nodes of the tries) and fingerprint of each row."""
     rows = _lowered(docs, id_col, text_col)
+    words, nothing = _words(depth, turns), (np.zeros(WORDS, dtype=np.int64), [])
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_characters(batch):
                 sets = [shingle_hashes(t, width) for t in part.column(1).to_pylist()]
-                least = [minima(s) for s in sets]
+                split = [_split(fingerprint(s, words), depth, turns) if len(s) else nothing for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(2), part.column(0), pa.array([xxhash.xxh128_digest(s.tobytes(), SEED) for s in sets], pa.binary()),
-                        pa.array([len(s) for s in sets], pa.int64()), pa.array([_bands(m) for m in least], pa.list_(pa.int64())),
-                        pa.array([_signature(m) for m in least], pa.binary()),
+                        pa.array([len(s) for s in sets], pa.int64()), pa.array([b for _, b in split], pa.list_(pa.int64())),
+                        *(pa.array([int(common[i]) for common, _ in split], pa.int64()) for i in range(WORDS)),
                     ],
-                    names=["id", "digest", "key", "size", "bands", "signature"],
+                    names=["id", "digest", "key", "size", "buckets", *FINGERPRINT],
                 )
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(of_batches, f"id {kind}, digest binary, key binary, size bigint, bands array<bigint>, signature binary")
+    common = ", ".join(f"{f} bigint" for f in FINGERPRINT)
+    return rows.mapInArrow(of_batches, f"id {kind}, digest binary, key binary, size bigint, buckets array<bigint>, {common}")
 
 
 def _sets(docs: DataFrame, digests: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -174,39 +220,31 @@ def _links_between(x: list[np.ndarray], y: list[np.ndarray], similarity: float)
         yield shared >= similarity * (len(own) + sizes - shared) - 1e-9
 
 
-_CELL = "bucket bigint, x struct<own: bigint, part: bigint>, y struct<own: bigint, part: bigint>, side int, node bigint, root bigint"
-
-
 def _crossing(
-    docs: DataFrame, crowded: DataFrame, sets: DataFrame, scratch: Scratch, similarity: float, width: int, id_col: str, text_col: str
+    docs: DataFrame, members: DataFrame, owns: DataFrame, sets: DataFrame, scratch: Scratch, similarity: float, budget: int, width: int,
+    id_col: str, text_col: str,
 ) -> DataFrame:
     """Links (a, b) between members of one bucket that are of different roots, enough to join all groups that are linked there.
 
-    crowded: bucket, node, root.  The members of a bucket are dealt by hash into blocks, of SETS_IN_BLOCK sets and SHINGLES_IN_BLOCK shingles
-    about; a root with as many members has blocks of its own, which are not compared with one another.  Two blocks make a cell; no bucket is
-    gathered.  In a cell the signatures first tell which members have a partner that they do not rule out; only the sets of
+    members: bucket, own (their root if it has SETS_IN_BLOCK members or more, else -1), node, root, size, fingerprint; owns: bucket, own, n
+    and shingles of the buckets that are compared.  The members of one own are dealt by hash into blocks, of SETS_IN_BLOCK sets and
+    SHINGLES_IN_BLOCK shingles about; blocks of one root are not compared with one another.  Two blocks make a cell; no bucket is
+    gathered.  In a cell the fingerprints first tell which members have a partner within the budget; only the sets of
     those are sent to the cell again and compared.
     """
-    crowded = scratch.write(crowded.join(sets.select("node", "size", "signature"), "node"))
-    per_root = crowded.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
-    own = F.when(F.col("n") >= SETS_IN_BLOCK, F.col("root")).otherwise(-1)
-    per_own = per_root.groupBy("bucket", own.alias("own")).agg(F.sum("n").alias("n"), F.sum("shingles").alias("shingles"))
-    parts = F.greatest(F.ceil(F.col("n") / SETS_IN_BLOCK), F.ceil(F.col("shingles") / SHINGLES_IN_BLOCK))
-    place = per_root.select("bucket", "root", own.alias("own")).join(per_own.select("bucket", "own", parts.alias("parts")), ["bucket", "own"])
-    part = F.pmod(F.xxhash64("node"), F.col("parts"))
-    dealt = crowded.join(scratch.write(place), ["bucket", "root"])
-    dealt = scratch.write(dealt.select("bucket", F.struct("own", part.alias("part")).alias("block"), "node", "root", "size", "signature"))
-    left = dealt.select("bucket", F.col("block").alias("x")).distinct()
-    cells = left.join(left.withColumnRenamed("x", "y"), "bucket").where("x <= y AND (x.own <> y.own OR x.own = -1)")
-    cells = scratch.write(cells.select("bucket", "x", "y"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / SETS_IN_BLOCK), F.ceil(F.col("shingles") / SHINGLES_IN_BLOCK)).cast("int")
+    place = scratch.write(owns.select("bucket", "own", parts.alias("parts")))
+    blocks = place.select("bucket", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    left, right = (blocks.select("bucket", F.struct("own", "part").alias(c)) for c in "xy")
+    cells = left.join(right, "bucket").where("x <= y AND (x.own <> y.own OR x.own = -1)")
+    cells = scratch.write(cells.withColumn("cell", F.monotonically_increasing_id()))
     sides = [
-        dealt.join(cells.withColumnRenamed(side, "block").where(which), ["bucket", "block"]).select(
-            "bucket", *(F.col("block" if c == side else c).alias(c) for c in "xy"), F.lit(number).alias("side"), "node", "root", "size", "signature"
-        )
-        for number, (side, which) in enumerate((("x", "true"), ("y", "x <> block")))
+        cells.where(which).select("bucket", "cell", F.lit(number).alias("side"), F.col(f"{side}.own").alias("own"), F.col(f"{side}.part").alias("part"))
+        for number, (side, which) in enumerate((("x", "true"), ("y", "x <> y")))
     ]
-    functions = BANDS * ROWS
-    least = similarity * functions - SPREAD * math.sqrt(functions * similarity * (1 - similarity))
+    sides = scratch.write(sides[0].unionByName(sides[1]))
+    dealt = members.join(place, ["bucket", "own"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.join(sides, ["bucket", "own", "part"]).select("cell", "side", "node", "root", "size", *FINGERPRINT)
 
     def two_sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
         side = table.column("side").to_numpy()
@@ -215,17 +253,19 @@ def _crossing(
 
     def with_partner(table: pa.Table) -> pa.Table:
         root, size = (table.column(c).to_numpy() for c in ("root", "size"))
-        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint8).reshape(-1, functions)
+        common = [table.column(f).to_numpy().view(np.uint64) for f in FINGERPRINT]
         keep = np.zeros(len(root), dtype=bool)
         x, y, _ = two_sides(table)
-        for i in x:
-            near = y[(np.minimum(size[i], size[y]) >= similarity * np.maximum(size[i], size[y]) - 1e-9) & (root[y] != root[i])]
-            near = near[(signature[near] == signature[i]).sum(axis=1) >= least]
-            keep[near] = True
-            keep[i] |= len(near) > 0
-        return table.select(["bucket", "x", "y", "side", "node", "root"]).take(np.flatnonzero(keep))
-
-    met = scratch.write(sides[0].unionByName(sides[1]).groupBy("bucket", "x", "y").applyInArrow(with_partner, _CELL))
+        step = max(1, _GATHERED // max(1, len(y)))
+        for i in range(0, len(x), step):
+            own = x[i : i + step]
+            near = sum(np.bitwise_count(f[own][:, None] ^ f[y]) for f in common) <= budget
+            a, b = (side[at] for side, at in zip((own, y), np.nonzero(near)))
+            met = (root[a] != root[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9)
+            keep[a[met]] = keep[b[met]] = True
+        return table.select(["cell", "side", "node", "root"]).take(np.flatnonzero(keep))
+
+    met = scratch.write(dealt.groupBy("cell").applyInArrow(with_partner, "cell bigint, side int, node bigint, root bigint"))
     named = scratch.write(met.select("node").distinct().join(sets.select("node", "digest"), "node"))
     own = _sets(docs, named.select("digest"), width, id_col, text_col).join(named, "digest").select("node", "hashes")
 
@@ -249,7 +289,7 @@ def _crossing(
         return pa.table({k: pa.array([f[n] for f in found], pa.int64()) for n, k in enumerate("ab")})
 
     full = met.join(own, "node")
-    return full.groupBy("bucket", "x", "y").applyInArrow(linked, "a bigint, b bigint").distinct()
+    return full.groupBy("cell").applyInArrow(linked, "a bigint, b bigint").distinct()
 
 
 def _crossing_in_hot_buckets(
@@ -294,33 +334,45 @@ def similar_groups(
     docs: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """id, digest, node (number of the row's set), root and component_id of each row; see keep_one_of_similar."""
-    rows = scratch.write(_sketched(docs, width, id_col, text_col))
-    sets = rows.select("key", "digest", "size", "bands", "signature").dropDuplicates(["key"])
+    depth, turns, budget = tries(docs.count(), similarity)
+    rows = scratch.write(_sketched(docs, width, id_col, text_col, depth, turns))
+    sets = rows.select("key", "digest", "size", "buckets", *FINGERPRINT).dropDuplicates(["key"])
     sets = scratch.write(sets.withColumn("node", F.monotonically_increasing_id()))
 
-    # The leader of a bucket is the member nearest to the bucket's own number by exclusive or: another one in each of a group's buckets.
-    members = sets.select("node", F.explode("bands").alias("bucket"))
+    # A bucket is what a trie holds below one node.  Its leader is the member nearest to the bucket's own number by exclusive or: another
+    # one in each of a group's buckets.
+    members = sets.select("node", "size", *FINGERPRINT, F.explode("buckets").alias("bucket"))
     place = F.col("node").bitwiseXOR(F.col("bucket"))
-    shared = members.groupBy("bucket").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most")
-    shared = scratch.write(shared.select("bucket", F.col("least").bitwiseXOR(F.col("bucket")).alias("leader")))
-    members = scratch.write(members.join(shared, "bucket").where("node <> leader").select("bucket", "node", "leader"))
-
-    # First each member of a bucket against the bucket's leader: that settles nearly all of a large group of copies.
-    stars = members.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+    led = members.groupBy("bucket").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most")
+    led = led.select("bucket", F.col("least").bitwiseXOR(F.col("bucket")).alias("leader"))
+    led = scratch.write(led.join(sets.select(*(F.col(c).alias(f"{c}_l") for c in ("node", "size", *FINGERPRINT))), F.col("leader") == F.col("node_l")))
+
+    # First each member of a bucket within the budget against the bucket's leader: that settles nearly all of a large group of copies.
+    differ = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"{f}_l"))) for f in FINGERPRINT), F.lit(0))
+    near = (differ <= budget) & (F.least("size", "size_l") >= similarity * F.greatest("size", "size_l") - 1e-9)
+    stars = members.join(led, "bucket").where((F.col("node") != F.col("leader")) & near)
+    stars = stars.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
     links = similar_pairs(docs, sets, stars, similarity, width, id_col, text_col, scratch)
     roots = scratch.write(connected_components(links, scratch))
 
     # Then, in buckets whose members are not all of one group, those of different groups against each other: in blocks, or in buckets of
-    # more sets than a block by the rarest shingles.
-    labelled = members.join(roots.select(F.col("node").alias("n"), "root"), F.col("node") == F.col("n"), "left")
-    labelled = scratch.write(labelled.select("bucket", "node", F.coalesce("root", "node").alias("root")))
-    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket")
-    if not (mixed := scratch.write(mixed)).isEmpty():
-        crowded = scratch.write(labelled.join(mixed, "bucket"))
-        hot = scratch.write(crowded.groupBy("bucket").count().where(F.col("count") > SETS_IN_BLOCK).select("bucket"))
-        more = _crossing(docs, crowded.join(hot, "bucket", "left_anti"), sets, scratch, similarity, width, id_col, text_col)
+    # more sets than a block, large groups aside, by the rarest shingles.
+    large = scratch.write(roots.groupBy("root").count().where(F.col("count") >= SETS_IN_BLOCK).select(F.col("root").alias("own")))
+    labelled = sets.join(roots.select(F.col("node").alias("n"), "root"), F.col("node") == F.col("n"), "left").drop("n", "key", "digest")
+    labelled = labelled.withColumn("root", F.coalesce("root", "node")).join(large, F.col("root") == F.col("own"), "left")
+    labelled = scratch.write(labelled.withColumn("own", F.coalesce("own", F.lit(-1))))
+    members = labelled.select("node", "root", "own", "size", *FINGERPRINT, F.explode("buckets").alias("bucket"))
+    owns = members.groupBy("bucket", "own").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"), F.min("root").alias("a"), F.max("root").alias("b"))
+    owns = scratch.write(owns)
+    mixed = owns.groupBy("bucket").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.max(F.when(F.col("own") == -1, F.col("n"))).alias("few"))
+    mixed = scratch.write(mixed.where("a < b").select("bucket", (F.coalesce("few", F.lit(0)) > SETS_IN_BLOCK).alias("hot")))
+    if not mixed.isEmpty():
+        hot = mixed.where("hot").select("bucket")
+        compared = owns.join(mixed.where("NOT hot"), "bucket", "left_semi")
+        more = _crossing(docs, members, compared, sets, scratch, similarity, budget, width, id_col, text_col)
         if not hot.isEmpty():
-            of_hot = crowded.join(hot, "bucket", "left_semi").select("node", "root")
+            of_hot = members.join(hot, "bucket", "left_semi").select("node", "root")
             more = more.unionByName(_crossing_in_hot_buckets(docs, of_hot, sets, scratch, similarity, width, id_col, text_col))
         more = scratch.write(more)
         if not more.isEmpty():
@@ -338,9 +390,10 @@ def keep_one_of_similar(
     is at least similarity, and groups are what is reachable over links.  Shingles are told apart by 64-bit hashes inside a pair, whole
     sets by 128 bits; rows of equal sets are joined once, through one representative.
 
-    Every pair of sets that shares a band and is not in one group already is compared, and none is capped: a group of n near copies
-    costs about n comparisons with the leaders of its buckets; only members of a bucket that these leave in different groups are compared
-    pairwise, first by their minima, if they are at most SETS_IN_BLOCK; those of larger buckets are joined by the rarest of their shingles.
+    Every pair of sets that shares a node of a trie, is within the budget and not in one group already is compared, and none is capped: a
+    group of n near copies costs about n comparisons with the leaders of its buckets; only members of a bucket that these leave in different
+    groups are compared pairwise, first by their fingerprints, if they are at most SETS_IN_BLOCK; those of larger buckets are joined by the
+    rarest of their shingles.
 
     Null and wordless texts are one group; very long texts are taken whole.  Null ids stand for a group only if it has no other.
     Of several rows with the least id, the one with the least digest of all columns stays, and of rows equal in all
