@@ -26,6 +26,8 @@ WORDS = 3
 #: How far the share of differing bits at a similarity may lie above that of its angle (sets of few shingles; measured), standard
 #: deviations of that share that the budget allows, chance that a pair just at the similarity shares no node.
 EXCESS, SPREAD, MISSED = 1.09, 5.5, 0.00003
+#: Tries that are walked in one round, whose tables are dropped before the next.
+TRIES_IN_ROUND = 24
 #: Pairs whose sets are compared in one group, on average; sets whose fingerprints are compared with as many others in one group.
 PAIRS_IN_CELL, SETS_IN_BLOCK = 500, 1024
 #: Shingles of the sets that are compared in one group with as many others; hashes looked up, or pairs of fingerprints compared, at once.
@@ -330,53 +332,77 @@ def _crossing_in_hot_buckets(
     return similar_pairs(docs, sets, pairs, similarity, width, id_col, text_col, scratch)
 
 
-def similar_groups(
-    docs: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """id, digest, node (number of the row's set), root and component_id of each row; see keep_one_of_similar."""
-    depth, turns, budget = tries(docs.count(), similarity)
-    rows = scratch.write(_sketched(docs, width, id_col, text_col, depth, turns))
-    sets = rows.select("key", "digest", "size", "buckets", *FINGERPRINT).dropDuplicates(["key"])
-    sets = scratch.write(sets.withColumn("node", F.monotonically_increasing_id()))
+def _members(sets: DataFrame, roots: DataFrame, first: int, scratch: Scratch) -> DataFrame:
+    """bucket, node, root, own (the root if it has SETS_IN_BLOCK members or more, else -1), size and fingerprint of each set in each trie of a round."""
+    large = scratch.write(roots.groupBy("root").count().where(F.col("count") >= SETS_IN_BLOCK).select(F.col("root").alias("own")))
+    some = F.slice("buckets", first + 1, TRIES_IN_ROUND).alias("buckets")
+    rows = sets.select("node", "size", *FINGERPRINT, some).join(roots.select(F.col("node").alias("n"), "root"), F.col("node") == F.col("n"), "left")
+    rows = rows.withColumn("root", F.coalesce("root", "node")).join(large, F.col("root") == F.col("own"), "left").drop("n")
+    rows = scratch.write(rows.withColumn("own", F.coalesce("own", F.lit(-1))))
+    return rows.select("node", "root", "own", "size", *FINGERPRINT, F.explode("buckets").alias("bucket"))
 
+
+def _walked(
+    docs: DataFrame, sets: DataFrame, roots: DataFrame, first: int, scratch: Scratch, similarity: float, budget: int, width: int, id_col: str,
+    text_col: str,
+) -> DataFrame:
+    """roots (node, root) with the groups joined that are linked in the tries of the round that begins with number first."""
     # A bucket is what a trie holds below one node.  Its leader is the member nearest to the bucket's own number by exclusive or: another
     # one in each of a group's buckets.
-    members = sets.select("node", "size", *FINGERPRINT, F.explode("buckets").alias("bucket"))
+    members = _members(sets, roots, first, scratch)
     place = F.col("node").bitwiseXOR(F.col("bucket"))
     led = members.groupBy("bucket").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most")
     led = led.select("bucket", F.col("least").bitwiseXOR(F.col("bucket")).alias("leader"))
     led = scratch.write(led.join(sets.select(*(F.col(c).alias(f"{c}_l") for c in ("node", "size", *FINGERPRINT))), F.col("leader") == F.col("node_l")))
+    led = led.join(roots.select(F.col("node").alias("n"), F.col("root").alias("root_l")), F.col("leader") == F.col("n"), "left").drop("n")
+    led = scratch.write(led.withColumn("root_l", F.coalesce("root_l", "leader")))
 
     # First each member of a bucket within the budget against the bucket's leader: that settles nearly all of a large group of copies.
     differ = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"{f}_l"))) for f in FINGERPRINT), F.lit(0))
     near = (differ <= budget) & (F.least("size", "size_l") >= similarity * F.greatest("size", "size_l") - 1e-9)
-    stars = members.join(led, "bucket").where((F.col("node") != F.col("leader")) & near)
+    stars = members.join(led, "bucket").where((F.col("root") != F.col("root_l")) & near)
     stars = stars.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
     links = similar_pairs(docs, sets, stars, similarity, width, id_col, text_col, scratch)
-    roots = scratch.write(connected_components(links, scratch))
+    known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = scratch.write(connected_components(known.unionByName(links), scratch))
 
     # Then, in buckets whose members are not all of one group, those of different groups against each other: in blocks, or in buckets of
     # more sets than a block, large groups aside, by the rarest shingles.
-    large = scratch.write(roots.groupBy("root").count().where(F.col("count") >= SETS_IN_BLOCK).select(F.col("root").alias("own")))
-    labelled = sets.join(roots.select(F.col("node").alias("n"), "root"), F.col("node") == F.col("n"), "left").drop("n", "key", "digest")
-    labelled = labelled.withColumn("root", F.coalesce("root", "node")).join(large, F.col("root") == F.col("own"), "left")
-    labelled = scratch.write(labelled.withColumn("own", F.coalesce("own", F.lit(-1))))
-    members = labelled.select("node", "root", "own", "size", *FINGERPRINT, F.explode("buckets").alias("bucket"))
+    members = _members(sets, roots, first, scratch)
     owns = members.groupBy("bucket", "own").agg(
         F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"), F.min("root").alias("a"), F.max("root").alias("b"))
     owns = scratch.write(owns)
     mixed = owns.groupBy("bucket").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.max(F.when(F.col("own") == -1, F.col("n"))).alias("few"))
     mixed = scratch.write(mixed.where("a < b").select("bucket", (F.coalesce("few", F.lit(0)) > SETS_IN_BLOCK).alias("hot")))
-    if not mixed.isEmpty():
-        hot = mixed.where("hot").select("bucket")
-        compared = owns.join(mixed.where("NOT hot"), "bucket", "left_semi")
-        more = _crossing(docs, members, compared, sets, scratch, similarity, budget, width, id_col, text_col)
-        if not hot.isEmpty():
-            of_hot = members.join(hot, "bucket", "left_semi").select("node", "root")
-            more = more.unionByName(_crossing_in_hot_buckets(docs, of_hot, sets, scratch, similarity, width, id_col, text_col))
-        more = scratch.write(more)
-        if not more.isEmpty():
-            roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch)
+    if mixed.isEmpty():
+        return roots
+    hot = mixed.where("hot").select("bucket")
+    compared = owns.join(mixed.where("NOT hot"), "bucket", "left_semi")
+    more = _crossing(docs, members, compared, sets, scratch, similarity, budget, width, id_col, text_col)
+    if not hot.isEmpty():
+        of_hot = members.join(hot, "bucket", "left_semi").select("node", "root")
+        more = more.unionByName(_crossing_in_hot_buckets(docs, of_hot, sets, scratch, similarity, width, id_col, text_col))
+    more = scratch.write(more)
+    if more.isEmpty():
+        return roots
+    return connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch)
+
+
+def similar_groups(
+    docs: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """id, digest, node (number of the row's set), root and component_id of each row; see keep_one_of_similar."""
+    depth, turns, budget = tries(docs.count(), similarity)
+    rows = scratch.write(_sketched(docs, width, id_col, text_col, depth, turns))
+    sets = rows.select("key", "digest", "size", "buckets", *FINGERPRINT).dropDuplicates(["key"])
+    sets = scratch.write(sets.withColumn("node", F.monotonically_increasing_id()))
+
+    roots = docs.sparkSession.createDataFrame([], "node bigint, root bigint")
+    for first in range(0, turns, TRIES_IN_ROUND):
+        own = Scratch(docs.sparkSession)
+        roots = own.write(_walked(docs, sets, roots, first, own, similarity, budget, width, id_col, text_col))
+        own.drop_all_but_last()
+        scratch.paths += own.paths
     rows = scratch.write(rows.select("id", "digest", "key").join(sets.select("key", "node"), "key").drop("key"))
     return rooted(rows, rows.groupBy("node").agg(F.min("id").alias("least")), roots, "node", scratch)
 
