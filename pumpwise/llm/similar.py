@@ -28,10 +28,15 @@ WORDS = 3
 EXCESS, SPREAD, MISSED = 1.09, 5.5, 0.00003
 #: Tries that are walked in one round, whose tables are dropped before the next.
 TRIES_IN_ROUND = 24
-#: Pairs whose sets are compared in one group, on average; sets whose fingerprints are compared with as many others in one group.
-PAIRS_IN_CELL, SETS_IN_BLOCK = 500, 1024
-#: Shingles of the sets that are compared in one group with as many others; hashes looked up, or pairs of fingerprints compared, at once.
-SHINGLES_IN_BLOCK, _GATHERED = 1_000_000, 1_000_000
+#: Pairs whose sets are compared in one group, on average; sets whose fingerprints are compared with as many others in one group.  A
+#: fingerprint is short, so many are compared in one group: fewer levels of equal paths, hence fewer tries, hence fewer rows to shuffle.
+PAIRS_IN_CELL, SETS_IN_BLOCK = 500, 32_768
+#: A group is hot if more than this part of SETS_IN_BLOCK is left to be compared by sets, or more than twice so many shingles.
+LEFT_PART, SHINGLES_IN_BLOCK = 32, 1_000_000
+#: Hashes looked up, and pairs of fingerprints compared, at once.
+_GATHERED, _COMPARED = 1_000_000, 250_000
+#: The centres of stars are chosen in so many different orders.
+_ORDERS = np.uint64(4)
 #: Most rows of a broadcast table of digests.
 MAX_BROADCAST_ROWS = 200_000
 #: Shingle hashes whose bits are counted at once; a sum of bytes holds 255 of them.
@@ -107,7 +112,7 @@ def _split(bits: np.ndarray, depth: int, turns: int) -> tuple[np.ndarray, np.nda
     paths = bits[64 * WORDS : 64 * WORDS + turns * depth].reshape(turns, depth).astype(np.uint64)
     steps = np.uint64(1) << np.arange(depth, dtype=np.uint64)
     nodes = (np.arange(turns, dtype=np.uint64) << np.uint64(depth)) + (paths * steps).sum(axis=1, dtype=np.uint64)
-    return common, _spread(nodes).view(np.int64)
+    return common, nodes.view(np.int64)
 
 
 def _words(depth: int, turns: int) -> int:
@@ -222,20 +227,70 @@ def _links_between(x: list[np.ndarray], y: list[np.ndarray], similarity: float)
         yield shared >= similarity * (len(own) + sizes - shared) - 1e-9
 
 
-def _crossing(
-    docs: DataFrame, members: DataFrame, owns: DataFrame, sets: DataFrame, scratch: Scratch, similarity: float, budget: int, width: int,
-    id_col: str, text_col: str,
-) -> DataFrame:
-    """Links (a, b) between members of one bucket that are of different roots, enough to join all groups that are linked there.
+def _near(table: pa.Table, x: np.ndarray, y: np.ndarray, budget: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs (i, j) of rows from x and y that are within the budget, of different roots and of sizes that allow the similarity, in the order of x.
 
-    members: bucket, own (their root if it has SETS_IN_BLOCK members or more, else -1), node, root, size, fingerprint; owns: bucket, own, n
-    and shingles of the buckets that are compared.  The members of one own are dealt by hash into blocks, of SETS_IN_BLOCK sets and
-    SHINGLES_IN_BLOCK shingles about; blocks of one root are not compared with one another.  Two blocks make a cell; no bucket is
-    gathered.  In a cell the fingerprints first tell which members have a partner within the budget; only the sets of
-    those are sent to the cell again and compared.
+    A few rows of x at a time; if y is x, each pair once, i before j in x.
+    """
+    root, size = (table.column(c).to_numpy() for c in ("root", "size"))
+    common = [table.column(f).to_numpy().view(np.uint64) for f in FINGERPRINT]
+    step = max(1, _COMPARED // max(1, len(y)))
+    for i in range(0, len(x), step):
+        own, rest = x[i : i + step], y[i:] if y is x else y
+        at, to = np.nonzero(sum(np.bitwise_count(f[own][:, None] ^ f[rest]) for f in common) <= budget)
+        if y is x:
+            at, to = at[to > at], to[to > at]
+        a, b = own[at], rest[to]
+        met = (root[a] != root[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9)
+        yield a[met], b[met]
+
+
+def _stars(members: DataFrame, crowded: DataFrame, budget: int, similarity: float) -> DataFrame:
+    """Those members that have a near one (see _near) in their bucket, with its centre: the node that it was found with, or itself.
+
+    Members of crowded buckets (bucket, parts) are dealt into parts by hash and met inside their part only.  In turn each member that has no
+    centre yet becomes that of all near ones after it that have none, so that a bucket of n members gives less than n pairs of a
+    centre and a member.  Centres are taken in one of few orders, so that the tries find the same pairs, and yet not all depends on one centre.
     """
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / SETS_IN_BLOCK), F.ceil(F.col("shingles") / SHINGLES_IN_BLOCK)).cast("int")
-    place = scratch.write(owns.select("bucket", "own", parts.alias("parts")))
+    dealt = members.join(broadcast_up_to(crowded, MAX_BROADCAST_ROWS), "bucket", "left")
+    dealt = dealt.withColumn("part", F.coalesce(F.pmod(F.xxhash64("node", "bucket"), F.col("parts")), F.lit(-1)).cast("int")).drop("parts")
+
+    def of_bucket(table: pa.Table) -> pa.Table:
+        node = table.column("node").to_numpy()
+        turns = _spread(table.column("bucket").to_numpy().view(np.uint64)) % _ORDERS
+        x = np.argsort(_spread(node.view(np.uint64) ^ turns))
+        keep, centre = np.zeros(len(x), dtype=bool), np.full(len(x), -1)
+        for a, b in _near(table, x, x, budget, similarity):
+            keep[a] = keep[b] = True
+            ends = np.flatnonzero(np.append(a[1:] != a[:-1], True)) + 1 if len(a) else ()
+            for low, high in zip((0, *ends), ends):
+                if centre[a[low]] < 0:
+                    found = b[low:high]
+                    centre[found[centre[found] < 0]] = a[low]
+        own = np.where(centre < 0, np.arange(len(x)), centre)
+        return table.append_column("centre", pa.array(node[own], pa.int64())).take(np.flatnonzero(keep))
+
+    common = ", ".join(f"{f} bigint" for f in FINGERPRINT)
+    names = ["bucket", "part", "node", "root", "size", *FINGERPRINT]
+    return dealt.select(*names).groupBy("bucket", "part").applyInArrow(
+        of_bucket, f"bucket bigint, part int, node bigint, root bigint, size bigint, {common}, centre bigint"
+    )
+
+
+def _cells(members: DataFrame, crowded: DataFrame, roots: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """What is compared in crowded buckets: cells (bucket, cell, side, node, root, size, fingerprint) of two blocks, and what is too much for that.
+
+    The members of a root with SETS_IN_BLOCK members or more are dealt into blocks of their own; blocks of one root are not compared with one
+    another.  The second result is (node, root) of all members of the buckets that hold more than SETS_IN_BLOCK others.
+    """
+    large = scratch.write(roots.groupBy("root").count().where(F.col("count") >= SETS_IN_BLOCK).select(F.col("root").alias("own")))
+    members = members.join(broadcast_up_to(crowded.select("bucket"), MAX_BROADCAST_ROWS), "bucket", "left_semi")
+    members = members.join(large, F.col("root") == F.col("own"), "left").withColumn("own", F.coalesce("own", F.lit(-1)))
+    owns = scratch.write(members.groupBy("bucket", "own").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("a"), F.max("root").alias("b")))
+    mixed = owns.groupBy("bucket").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.max(F.when(F.col("own") == -1, F.col("n"))).alias("few"))
+    mixed = scratch.write(mixed.where("a < b").select("bucket", (F.coalesce("few", F.lit(0)) > SETS_IN_BLOCK).alias("hot")))
+    place = owns.join(mixed.where("NOT hot"), "bucket", "left_semi")
+    place = scratch.write(place.select("bucket", "own", F.ceil(F.col("n") / SETS_IN_BLOCK).cast("int").alias("parts")))
     blocks = place.select("bucket", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     left, right = (blocks.select("bucket", F.struct("own", "part").alias(c)) for c in "xy")
     cells = left.join(right, "bucket").where("x <= y AND (x.own <> y.own OR x.own = -1)")
@@ -246,35 +301,46 @@ def _crossing(
     ]
     sides = scratch.write(sides[0].unionByName(sides[1]))
     dealt = members.join(place, ["bucket", "own"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    dealt = dealt.join(sides, ["bucket", "own", "part"]).select("cell", "side", "node", "root", "size", *FINGERPRINT)
+    dealt = dealt.join(sides, ["bucket", "own", "part"]).select("bucket", "cell", "side", "node", "root", "size", *FINGERPRINT)
+    return dealt, members.join(mixed.where("hot"), "bucket", "left_semi").select("node", "root")
+
 
-    def two_sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+def _crossing(
+    docs: DataFrame, cells: DataFrame, hot: DataFrame, sets: DataFrame, scratch: Scratch, similarity: float, budget: int, width: int,
+    id_col: str, text_col: str,
+) -> DataFrame:
+    """Links (a, b) between sets of one cell that are of different roots, enough to join all groups that are linked there.
+
+    cells: bucket, cell, side, node, root, size, fingerprint; the members of one side are compared with those of the other or, if there is no
+    other, with each other.  The fingerprints first tell which have a partner within the budget; only the sets of those
+    are sent to the cell again and compared.  Where these are too many, they and the sets in hot (node, root) are joined by their rarest shingles.
+    """
+
+    def two_sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         side = table.column("side").to_numpy()
         x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        return (x, y, False) if len(y) else (x, x, True)
+        return (x, y) if len(y) else (x, x)
 
     def with_partner(table: pa.Table) -> pa.Table:
-        root, size = (table.column(c).to_numpy() for c in ("root", "size"))
-        common = [table.column(f).to_numpy().view(np.uint64) for f in FINGERPRINT]
-        keep = np.zeros(len(root), dtype=bool)
-        x, y, _ = two_sides(table)
-        step = max(1, _GATHERED // max(1, len(y)))
-        for i in range(0, len(x), step):
-            own = x[i : i + step]
-            near = sum(np.bitwise_count(f[own][:, None] ^ f[y]) for f in common) <= budget
-            a, b = (side[at] for side, at in zip((own, y), np.nonzero(near)))
-            met = (root[a] != root[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9)
-            keep[a[met]] = keep[b[met]] = True
-        return table.select(["cell", "side", "node", "root"]).take(np.flatnonzero(keep))
-
-    met = scratch.write(dealt.groupBy("cell").applyInArrow(with_partner, "cell bigint, side int, node bigint, root bigint"))
+        keep = np.zeros(table.num_rows, dtype=bool)
+        for a, b in _near(table, *two_sides(table), budget, similarity):
+            keep[a] = keep[b] = True
+        return table.select(["bucket", "cell", "side", "node", "root", "size"]).take(np.flatnonzero(keep))
+
+    met = cells.groupBy("bucket", "cell").applyInArrow(with_partner, "bucket bigint, cell bigint, side int, node bigint, root bigint, size bigint")
+    met = scratch.write(met)
+    left = met.groupBy("bucket", "cell").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
+    large = (F.col("n") > SETS_IN_BLOCK // LEFT_PART) | (F.col("shingles") > 2 * SHINGLES_IN_BLOCK)
+    left = scratch.write(left.select("bucket", "cell", large.alias("large")))
+    hot = scratch.write(hot.unionByName(met.join(left.where("large"), ["bucket", "cell"], "left_semi").select("node", "root")).distinct())
+    met = scratch.write(met.join(left.where("NOT large"), ["bucket", "cell"], "left_semi").drop("size"))
     named = scratch.write(met.select("node").distinct().join(sets.select("node", "digest"), "node"))
     own = _sets(docs, named.select("digest"), width, id_col, text_col).join(named, "digest").select("node", "hashes")
 
     def linked(table: pa.Table) -> pa.Table:
         node, root = (table.column(c).to_numpy() for c in ("node", "root"))
         own = [np.frombuffer(h, dtype="<u8") for h in table.column("hashes").to_pylist()]
-        x, y, _ = two_sides(table)
+        x, y = two_sides(table)
         top, found = {}, []
 
         def find(r: int) -> int:
@@ -290,8 +356,10 @@ def _crossing(
                     found.append((min(node[i], node[j]), max(node[i], node[j])))
         return pa.table({k: pa.array([f[n] for f in found], pa.int64()) for n, k in enumerate("ab")})
 
-    full = met.join(own, "node")
-    return full.groupBy("cell").applyInArrow(linked, "a bigint, b bigint").distinct()
+    links = met.join(own, "node").groupBy("bucket", "cell").applyInArrow(linked, "a bigint, b bigint").distinct()
+    if hot.isEmpty():
+        return links
+    return links.unionByName(_crossing_in_hot_buckets(docs, hot, sets, scratch, similarity, width, id_col, text_col))
 
 
 def _crossing_in_hot_buckets(
@@ -333,13 +401,11 @@ def _crossing_in_hot_buckets(
 
 
 def _members(sets: DataFrame, roots: DataFrame, first: int, scratch: Scratch) -> DataFrame:
-    """bucket, node, root, own (the root if it has SETS_IN_BLOCK members or more, else -1), size and fingerprint of each set in each trie of a round."""
-    large = scratch.write(roots.groupBy("root").count().where(F.col("count") >= SETS_IN_BLOCK).select(F.col("root").alias("own")))
+    """bucket, node, root, size and fingerprint of each set in each trie of a round."""
     some = F.slice("buckets", first + 1, TRIES_IN_ROUND).alias("buckets")
     rows = sets.select("node", "size", *FINGERPRINT, some).join(roots.select(F.col("node").alias("n"), "root"), F.col("node") == F.col("n"), "left")
-    rows = rows.withColumn("root", F.coalesce("root", "node")).join(large, F.col("root") == F.col("own"), "left").drop("n")
-    rows = scratch.write(rows.withColumn("own", F.coalesce("own", F.lit(-1))))
-    return rows.select("node", "root", "own", "size", *FINGERPRINT, F.explode("buckets").alias("bucket"))
+    rows = scratch.write(rows.withColumn("root", F.coalesce("root", "node")).drop("n"))
+    return rows.select("node", "root", "size", *FINGERPRINT, F.explode("buckets").alias("bucket"))
 
 
 def _walked(
@@ -347,42 +413,26 @@ def _walked(
     text_col: str,
 ) -> DataFrame:
     """roots (node, root) with the groups joined that are linked in the tries of the round that begins with number first."""
-    # A bucket is what a trie holds below one node.  Its leader is the member nearest to the bucket's own number by exclusive or: another
-    # one in each of a group's buckets.
+    # A bucket is what a trie holds below one node.  Its members' fingerprints are sent to it once; what comes back are the members within
+    # the budget of another, and fewer pairs than members: that settles nearly all groups, large ones of copies among them.
     members = _members(sets, roots, first, scratch)
-    place = F.col("node").bitwiseXOR(F.col("bucket"))
-    led = members.groupBy("bucket").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most")
-    led = led.select("bucket", F.col("least").bitwiseXOR(F.col("bucket")).alias("leader"))
-    led = scratch.write(led.join(sets.select(*(F.col(c).alias(f"{c}_l") for c in ("node", "size", *FINGERPRINT))), F.col("leader") == F.col("node_l")))
-    led = led.join(roots.select(F.col("node").alias("n"), F.col("root").alias("root_l")), F.col("leader") == F.col("n"), "left").drop("n")
-    led = scratch.write(led.withColumn("root_l", F.coalesce("root_l", "leader")))
-
-    # First each member of a bucket within the budget against the bucket's leader: that settles nearly all of a large group of copies.
-    differ = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"{f}_l"))) for f in FINGERPRINT), F.lit(0))
-    near = (differ <= budget) & (F.least("size", "size_l") >= similarity * F.greatest("size", "size_l") - 1e-9)
-    stars = members.join(led, "bucket").where((F.col("root") != F.col("root_l")) & near)
-    stars = stars.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+    crowded = members.groupBy("bucket").count().where(F.col("count") > SETS_IN_BLOCK)
+    crowded = scratch.write(crowded.select("bucket", F.ceil(F.col("count") / SETS_IN_BLOCK).cast("int").alias("parts")))
+    met = scratch.write(_stars(members, crowded, budget, similarity))
+    stars = met.where("centre <> node").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
     links = similar_pairs(docs, sets, stars, similarity, width, id_col, text_col, scratch)
     known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = scratch.write(connected_components(known.unionByName(links), scratch))
 
-    # Then, in buckets whose members are not all of one group, those of different groups against each other: in blocks, or in buckets of
-    # more sets than a block, large groups aside, by the rarest shingles.
-    members = _members(sets, roots, first, scratch)
-    owns = members.groupBy("bucket", "own").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"), F.min("root").alias("a"), F.max("root").alias("b"))
-    owns = scratch.write(owns)
-    mixed = owns.groupBy("bucket").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.max(F.when(F.col("own") == -1, F.col("n"))).alias("few"))
-    mixed = scratch.write(mixed.where("a < b").select("bucket", (F.coalesce("few", F.lit(0)) > SETS_IN_BLOCK).alias("hot")))
-    if mixed.isEmpty():
-        return roots
-    hot = mixed.where("hot").select("bucket")
-    compared = owns.join(mixed.where("NOT hot"), "bucket", "left_semi")
-    more = _crossing(docs, members, compared, sets, scratch, similarity, budget, width, id_col, text_col)
-    if not hot.isEmpty():
-        of_hot = members.join(hot, "bucket", "left_semi").select("node", "root")
-        more = more.unionByName(_crossing_in_hot_buckets(docs, of_hot, sets, scratch, similarity, width, id_col, text_col))
-    more = scratch.write(more)
+    # Then those that this leaves in different groups against each other; in buckets of several parts, all members.
+    new = roots.select(F.col("node").alias("n"), F.col("root").alias("now"))
+    cells = met.where("part = -1").join(new, F.col("node") == F.col("n"), "left").withColumn("root", F.coalesce("now", "root"))
+    cells = cells.select("bucket", F.lit(-1).cast("long").alias("cell"), F.lit(0).alias("side"), "node", "root", "size", *FINGERPRINT)
+    hot = met.limit(0).select("node", "root")
+    if not crowded.isEmpty():
+        more, hot = _cells(_members(sets, roots, first, scratch), crowded, roots, scratch)
+        cells = cells.unionByName(more)
+    more = scratch.write(_crossing(docs, cells, hot, sets, scratch, similarity, budget, width, id_col, text_col))
     if more.isEmpty():
         return roots
     return connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch)
@@ -417,9 +467,9 @@ def keep_one_of_similar(
     sets by 128 bits; rows of equal sets are joined once, through one representative.
 
     Every pair of sets that shares a node of a trie, is within the budget and not in one group already is compared, and none is capped: a
-    group of n near copies costs about n comparisons with the leaders of its buckets; only members of a bucket that these leave in different
-    groups are compared pairwise, first by their fingerprints, if they are at most SETS_IN_BLOCK; those of larger buckets are joined by the
-    rarest of their shingles.
+    group of n near copies costs about n comparisons of sets, with the centres of its buckets; only members of a bucket that are within the
+    budget and that these leave in different groups are compared pairwise, if they are at most a LEFT_PART of SETS_IN_BLOCK; more of them, and
+    all members of buckets with more than SETS_IN_BLOCK sets outside large groups, are joined by the rarest of their shingles.
 
     Null and wordless texts are one group; very long texts are taken whole.  Null ids stand for a group only if it has no other.
     Of several rows with the least id, the one with the least digest of all columns stays, and of rows equal in all

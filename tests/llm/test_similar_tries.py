@@ -54,3 +54,43 @@ def test_the_fingerprints_decide_what_is_compared(spark, monkeypatch):
     assert got == brute_kept(texts) and len(got) == 60
     monkeypatch.setattr(similar, "tries", lambda *a, inner=similar.tries: (*inner(*a)[:2], 0))
     assert corpus_pipeline.near_dedup(spark, table(spark, texts), "").count() == len(texts)
+
+
+def test_sets_are_sent_once_and_not_to_each_node_that_a_pair_shares(spark, monkeypatch):
+    """Stars settle all groups, with fewer pairs than members, though the pairs meet in many tries; nothing is left to be sent to cells."""
+    monkeypatch.setattr(similar, "SETS_IN_BLOCK", 64)
+    rng, texts, sent, compared = random.Random(8), [], [], []
+    for _ in range(50):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+        texts += [(len(texts), " ".join(words)), (len(texts) + 1, " ".join(words[:-3]))]
+    assert similar.tries(len(texts))[1] > 5
+    sets, pairs = similar._sets, similar.similar_pairs
+    monkeypatch.setattr(similar, "_sets", lambda docs, digests, *a: sent.append(digests.count()) or sets(docs, digests, *a))
+    monkeypatch.setattr(similar, "similar_pairs", lambda docs, of, some, *a: compared.append(some.count()) or pairs(docs, of, some, *a))
+    assert corpus_pipeline.near_dedup(spark, table(spark, texts), "").count() == 50
+    assert compared == [50] and sent == [100, 0]
+
+
+def test_tries_of_half_a_gigabyte_are_one_round():
+    for rows, most in ((44_000, 12), (220_000, 21), (13_000_000, 71)):
+        assert similar.tries(rows)[1] <= most
+    assert similar.tries(220_000)[1] <= similar.TRIES_IN_ROUND
+
+
+def test_crowded_buckets_are_dealt_into_parts(spark, monkeypatch):
+    """Groups larger than a block, in buckets of several parts: blocks of large groups meet those of others, and nothing is lost."""
+    monkeypatch.setattr(similar, "SETS_IN_BLOCK", 16)
+    made, inner = [], similar._cells
+    monkeypatch.setattr(similar, "_cells", lambda *a: made.append(inner(*a)) or made[-1])
+    rng, texts = random.Random(10), []
+    for n in (70, 25, 3):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+        for _ in range(n):
+            some = list(words)
+            some[rng.randrange(90)] = f"x{rng.randrange(10**6)}"
+            texts.append((len(texts), " ".join(some)))
+    texts += [(len(texts) + k, " ".join(f"y{rng.randrange(10**6)}" for _ in range(50))) for k in range(20)]
+    rng.shuffle(texts)
+    texts = [(i, t) for i, (_, t) in enumerate(texts)]
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, table(spark, texts), "").collect())
+    assert got == brute_kept(texts) and made
