@@ -33,8 +33,8 @@ TRIES_IN_ROUND = 24
 PAIRS_IN_CELL, SETS_IN_BLOCK = 500, 32_768
 #: A group is hot if more than this part of SETS_IN_BLOCK is left to be compared by sets, or more than twice so many shingles.
 LEFT_PART, SHINGLES_IN_BLOCK = 32, 1_000_000
-#: Hashes looked up, and pairs of fingerprints compared, at once.
-_GATHERED, _COMPARED = 1_000_000, 250_000
+#: Pairs of fingerprints compared at once.
+_COMPARED = 250_000
 #: The centres of stars are chosen in so many different orders.
 _ORDERS = np.uint64(4)
 #: Most rows of a broadcast table of digests.
@@ -179,17 +179,45 @@ def similar_pairs(
 ) -> DataFrame:
     """The pairs (a, b) of node numbers, without repeats, whose sets of shingles have at least that Jaccard similarity.
 
-    sets has node and digest, that of a row of docs with the node's set.  Sets are dealt into blocks by hash and compared in cells of two
-    blocks, so that a set is sent to each block once and not to each partner, and one with many partners is spread over many cells.
+    sets has node and digest, that of a row of docs with the node's set.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    pairs = scratch.write(pairs)
-    blocks = max(1, math.ceil(math.sqrt(pairs.count() / PAIRS_IN_CELL)))
-    block = (lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)))
-    pairs = pairs.select((block("a") * blocks + block("b")).alias("cell"), "a", "b")
+    return _compared(docs, sets, scratch.write(pairs), similarity, width, id_col, text_col, scratch)
+
+
+def _dealt(pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """cell, a and b of each pair (a, b): a cell is compared in one group, and partners mostly stand in the same one.
+
+    A set's label is the least number within two steps over pairs, which a star or a dense group shares.  Sets are dealt into blocks by their label,
+    those of a label with many sets or pairs by hash into parts too, and a cell is what two blocks have in common.  So a set is sent
+    about once, however many there are in all, and one with many partners to no more cells than its label has parts.
+    """
+    blocks = max(1, math.ceil(pairs.count() / PAIRS_IN_CELL))
+    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    least = both.groupBy("node").agg(F.min("other").alias("label")).select(F.col("node").alias("other"), F.least("node", "label").alias("label"))
+    least = broadcast_up_to(scratch.write(least), MAX_BROADCAST_ROWS)
+    labelled = scratch.write(both.join(least, "other").groupBy("node").agg(F.min("label").alias("label"), F.count(F.lit(1)).alias("n")))
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / (8 * PAIRS_IN_CELL)), F.ceil(F.sqrt(F.sum("n") / (128 * PAIRS_IN_CELL)))).cast("int")
+    large = scratch.write(labelled.groupBy("label").agg(parts.alias("parts")).where("parts > 1"))
+    part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
+    place = labelled.join(broadcast_up_to(large, MAX_BROADCAST_ROWS), "label", "left")
+    place = place.select("node", F.pmod(F.xxhash64("label", part), F.lit(blocks)).alias("block"))
+    place = broadcast_up_to(scratch.write(place), MAX_BROADCAST_ROWS)
+    for c in "ab":
+        pairs = pairs.join(place.select(F.col("node").alias(c), F.col("block").alias(f"block_{c}")), c)
+    cell = F.least("block_a", "block_b") * blocks + F.greatest("block_a", "block_b")
+    return scratch.write(pairs.select(cell.alias("cell"), "a", "b"))
+
+
+def _compared(
+    docs: DataFrame, sets: DataFrame, pairs: DataFrame, similarity: float, width: int, id_col: str, text_col: str, scratch: Scratch
+) -> DataFrame:
+    """See similar_pairs; pairs is a written table."""
+    pairs = _dealt(pairs, scratch)
     wanted = pairs.select("cell", F.col("a").alias("node")).unionByName(pairs.select("cell", F.col("b").alias("node"))).distinct()
     wanted = scratch.write(wanted.join(sets.select("node", "digest"), "node"))
-    own = _sets(docs, scratch.write(wanted.select("digest").distinct()), width, id_col, text_col).join(wanted, "digest")
+    own = _sets(docs, scratch.write(wanted.select("digest").distinct()), width, id_col, text_col)
+    own = own.join(broadcast_up_to(wanted, MAX_BROADCAST_ROWS), "digest")
     both = pairs.select("cell", "a", "b", F.lit(None).cast("binary").alias("hashes")).unionByName(
         own.select("cell", F.col("node").alias("a"), F.col("node").alias("b"), "hashes")
     )
@@ -211,22 +239,6 @@ def similar_pairs(
     return both.groupBy("cell").applyInArrow(of_cell, "a bigint, b bigint")
 
 
-def _links_between(x: list[np.ndarray], y: list[np.ndarray], similarity: float) -> Iterator[np.ndarray]:
-    """For each set of x: which sets of y have at least that Jaccard similarity with it, by counting the shared hashes of all at once."""
-    sizes = np.array([len(s) for s in y])
-    hashes, owner = np.concatenate(y), np.repeat(np.arange(len(y)), sizes)
-    order = np.argsort(hashes, kind="stable")
-    hashes, owner, step = hashes[order], owner[order], max(1, _GATHERED // len(y))
-    for own in x:
-        shared = np.zeros(len(y), dtype=np.int64)
-        for i in range(0, len(own), step):
-            low, high = (np.searchsorted(hashes, own[i : i + step], side=k) for k in ("left", "right"))
-            runs = high - low
-            at = np.arange(runs.sum()) + np.repeat(low - np.concatenate(([0], np.cumsum(runs)[:-1])), runs)
-            shared += np.bincount(owner[at], minlength=len(y))
-        yield shared >= similarity * (len(own) + sizes - shared) - 1e-9
-
-
 def _near(table: pa.Table, x: np.ndarray, y: np.ndarray, budget: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The pairs (i, j) of rows from x and y that are within the budget, of different roots and of sizes that allow the similarity, in the order of x.
 
@@ -306,14 +318,15 @@ def _cells(members: DataFrame, crowded: DataFrame, roots: DataFrame, scratch: Sc
 
 
 def _crossing(
-    docs: DataFrame, cells: DataFrame, hot: DataFrame, sets: DataFrame, scratch: Scratch, similarity: float, budget: int, width: int,
+    docs: DataFrame, cells: DataFrame, hot: DataFrame, done: DataFrame, sets: DataFrame, scratch: Scratch, similarity: float, budget: int, width: int,
     id_col: str, text_col: str,
 ) -> DataFrame:
     """Links (a, b) between sets of one cell that are of different roots, enough to join all groups that are linked there.
 
     cells: bucket, cell, side, node, root, size, fingerprint; the members of one side are compared with those of the other or, if there is no
-    other, with each other.  The fingerprints first tell which have a partner within the budget; only the sets of those
-    are sent to the cell again and compared.  Where these are too many, they and the sets in hot (node, root) are joined by their rarest shingles.
+    other, with each other.  A cell gives the pairs that are within the budget; each, whatever the number of cells that it meets in, is compared by its
+    sets once, and those in done (a, b) were.  Where too many members have a partner, they and the sets in hot (node, root) are joined
+    by their rarest shingles, and the cell gives these members and no pairs.
     """
 
     def two_sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -321,42 +334,22 @@ def _crossing(
         x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         return (x, y) if len(y) else (x, x)
 
-    def with_partner(table: pa.Table) -> pa.Table:
-        keep = np.zeros(table.num_rows, dtype=bool)
+    def of_cell(table: pa.Table) -> pa.Table:
+        node, root, size = (table.column(c).to_numpy() for c in ("node", "root", "size"))
+        keep, found, large = np.zeros(table.num_rows, dtype=bool), [], False
         for a, b in _near(table, *two_sides(table), budget, similarity):
             keep[a] = keep[b] = True
-        return table.select(["bucket", "cell", "side", "node", "root", "size"]).take(np.flatnonzero(keep))
-
-    met = cells.groupBy("bucket", "cell").applyInArrow(with_partner, "bucket bigint, cell bigint, side int, node bigint, root bigint, size bigint")
-    met = scratch.write(met)
-    left = met.groupBy("bucket", "cell").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
-    large = (F.col("n") > SETS_IN_BLOCK // LEFT_PART) | (F.col("shingles") > 2 * SHINGLES_IN_BLOCK)
-    left = scratch.write(left.select("bucket", "cell", large.alias("large")))
-    hot = scratch.write(hot.unionByName(met.join(left.where("large"), ["bucket", "cell"], "left_semi").select("node", "root")).distinct())
-    met = scratch.write(met.join(left.where("NOT large"), ["bucket", "cell"], "left_semi").drop("size"))
-    named = scratch.write(met.select("node").distinct().join(sets.select("node", "digest"), "node"))
-    own = _sets(docs, named.select("digest"), width, id_col, text_col).join(named, "digest").select("node", "hashes")
-
-    def linked(table: pa.Table) -> pa.Table:
-        node, root = (table.column(c).to_numpy() for c in ("node", "root"))
-        own = [np.frombuffer(h, dtype="<u8") for h in table.column("hashes").to_pylist()]
-        x, y = two_sides(table)
-        top, found = {}, []
-
-        def find(r: int) -> int:
-            while top.get(r, r) != r:
-                r = top[r]
-            return r
-
-        for i, hits in zip(x, _links_between([own[i] for i in x], [own[j] for j in y], similarity) if len(x) and len(y) else ()):
-            for j in y[hits & (root[y] != root[i])]:
-                p, q = find(int(root[i])), find(int(root[j]))
-                if p != q:
-                    top[max(p, q)] = min(p, q)
-                    found.append((min(node[i], node[j]), max(node[i], node[j])))
-        return pa.table({k: pa.array([f[n] for f in found], pa.int64()) for n, k in enumerate("ab")})
-
-    links = met.join(own, "node").groupBy("bucket", "cell").applyInArrow(linked, "a bigint, b bigint").distinct()
+            large = large or keep.sum() > SETS_IN_BLOCK // LEFT_PART or size[keep].sum() > 2 * SHINGLES_IN_BLOCK
+            found = [] if large else [*found, (node[a], node[b])]
+        x, y = (node[keep], root[keep]) if large else (np.concatenate([f[i] for f in found] or [node[:0]]) for i in range(2))
+        if not large:
+            x, y = np.minimum(x, y), np.maximum(x, y)
+        return pa.table({"a": x, "b": y, "large": np.full(len(x), large)})
+
+    met = scratch.write(cells.groupBy("bucket", "cell").applyInArrow(of_cell, "a bigint, b bigint, large boolean"))
+    pairs = met.where("NOT large").select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
+    hot = scratch.write(hot.unionByName(met.where("large").select(F.col("a").alias("node"), F.col("b").alias("root"))).distinct())
+    links = _compared(docs, sets, scratch.write(pairs), similarity, width, id_col, text_col, scratch)
     if hot.isEmpty():
         return links
     return links.unionByName(_crossing_in_hot_buckets(docs, hot, sets, scratch, similarity, width, id_col, text_col))
@@ -420,6 +413,7 @@ def _walked(
     crowded = scratch.write(crowded.select("bucket", F.ceil(F.col("count") / SETS_IN_BLOCK).cast("int").alias("parts")))
     met = scratch.write(_stars(members, crowded, budget, similarity))
     stars = met.where("centre <> node").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
+    stars = scratch.write(stars)
     links = similar_pairs(docs, sets, stars, similarity, width, id_col, text_col, scratch)
     known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = scratch.write(connected_components(known.unionByName(links), scratch))
@@ -432,7 +426,7 @@ def _walked(
     if not crowded.isEmpty():
         more, hot = _cells(_members(sets, roots, first, scratch), crowded, roots, scratch)
         cells = cells.unionByName(more)
-    more = scratch.write(_crossing(docs, cells, hot, sets, scratch, similarity, budget, width, id_col, text_col))
+    more = scratch.write(_crossing(docs, cells, hot, stars, sets, scratch, similarity, budget, width, id_col, text_col))
     if more.isEmpty():
         return roots
     return connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch)
@@ -468,7 +462,7 @@ def keep_one_of_similar(
 
     Every pair of sets that shares a node of a trie, is within the budget and not in one group already is compared, and none is capped: a
     group of n near copies costs about n comparisons of sets, with the centres of its buckets; only members of a bucket that are within the
-    budget and that these leave in different groups are compared pairwise, if they are at most a LEFT_PART of SETS_IN_BLOCK; more of them, and
+    budget and that these leave in different groups are compared pairwise, once in all buckets, if they are at most a LEFT_PART of SETS_IN_BLOCK; more of them, and
     all members of buckets with more than SETS_IN_BLOCK sets outside large groups, are joined by the rarest of their shingles.
 
     Null and wordless texts are one group; very long texts are taken whole.  Null ids stand for a group only if it has no other.

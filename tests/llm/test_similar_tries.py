@@ -94,3 +94,27 @@ def test_crowded_buckets_are_dealt_into_parts(spark, monkeypatch):
     texts = [(i, t) for i, (_, t) in enumerate(texts)]
     got = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, table(spark, texts), "").collect())
     assert got == brute_kept(texts) and made
+
+
+def test_what_the_stars_compared_is_not_sent_again(spark, monkeypatch):
+    """Pairs within the budget and below the similarity meet in many tries and stay apart; their sets are compared once in all."""
+    rng, texts, sent = random.Random(14), [], []
+    for _ in range(10):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+        texts += [(len(texts), " ".join(words)), (len(texts) + 1, " ".join(words[:60] + [f"w{rng.randrange(10**6)}" for _ in range(12)]))]
+    sets = similar._sets
+    monkeypatch.setattr(similar, "_sets", lambda docs, digests, *a: sent.append(digests.count()) or sets(docs, digests, *a))
+    assert corpus_pipeline.near_dedup(spark, table(spark, texts), "").count() == 20
+    assert sent[0] > 0 and sent[1:] == [0]
+
+
+def test_partners_stand_in_one_cell(spark, monkeypatch):
+    """A star, a dense group and many pairs: each pair in one cell, and a set in about one, where blocks by hash made it about as many as partners."""
+    monkeypatch.setattr(similar, "PAIRS_IN_CELL", 20)
+    pairs = [(0, i) for i in range(1, 100)] + [(i, j) for j in range(1000, 1030) for i in range(1000, j)] + [(i, i + 1) for i in range(2000, 2400, 2)]
+    frame = spark.createDataFrame(pairs, "a bigint, b bigint")
+    cells = similar._dealt(frame, similar.Scratch(spark)).collect()
+    assert sorted((r["a"], r["b"]) for r in cells) == sorted(pairs)
+    nodes = {n for p in pairs for n in p}
+    assert len({(r["cell"], n) for r in cells for n in (r["a"], r["b"])}) <= 1.2 * len(nodes)
+    assert len({r["cell"] for r in cells}) > 10
